@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: query name -> module of this package that holds the function of the same name
 MODULES = {
+    "op1_topk": "topk",
     "op5_sentencepiece": "pieces",
     "op6_mixing": "mixing",
     "op8_token_codes": "token_codes",
+    "op10_ann": "ann",
 }
 
 
@@ -17,4 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessella.llm.topk import OP1_SQL
+
+    return {"op1_topk": OP1_SQL}
