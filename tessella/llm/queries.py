@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module of this package that holds the function of the same name
 MODULES = {
     "op1_topk": "topk",
+    "op2_extract": "extract",
     "op5_sentencepiece": "pieces",
     "op6_mixing": "mixing",
     "op8_token_codes": "token_codes",
