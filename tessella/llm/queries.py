@@ -11,6 +11,7 @@ MODULES = {
     "op5_sentencepiece": "pieces",
     "op6_mixing": "mixing",
     "op8_token_codes": "token_codes",
+    "op9_ngram_join": "jaccard",
     "op10_ann": "ann",
 }
 
