@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,9 +97,9 @@ class Spans:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((_T_LOWER if lower else _T)[data] * power[:-1], out=self.sums[1:])
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and text index of each word. The line end after each text keeps words of two texts apart."""
-        inside = _IS_WORD[self.data]
+    def words(self, kinds: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text index of each run of bytes of a kind. The line end after each text keeps two texts apart."""
+        inside = kinds[self.data]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(inside) and inside[0]:
             edge = np.concatenate(([0], edge))
@@ -110,10 +110,6 @@ class Spans:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) for f in schema], schema=schema)
-
-
 def sum_counters(parts: DataFrame, size: int, chunk: int) -> np.ndarray:
     """Add up int64 counter arrays that tasks have sent as rows (chunk_id int, counts binary); `size` is fixed, so is the result."""
 
@@ -145,6 +141,11 @@ def counter_rows(counts: np.ndarray, chunk: int, salt: int) -> tuple[list[int],
     return list(range(n)), [salt % 16] * n, [x.tobytes() for x in c]
 
 
+def held_out(doc_id: str = "doc_id"):
+    """The quarter of documents that nothing is learned from: crc32 of the id as text leaves 2 by 4."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: (node long, component long), component = its smallest node.
 
@@ -167,13 +168,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def per_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """For mapInArrow: fn on each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from fn(batch)
-
-    return run

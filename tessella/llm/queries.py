@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_topk": "topk",
     "op2_extract": "extract",
+    "op3_language": "language",
     "op5_sentencepiece": "pieces",
     "op6_mixing": "mixing",
     "op8_token_codes": "token_codes",
