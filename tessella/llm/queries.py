@@ -9,6 +9,7 @@ MODULES = {
     "op1_topk": "topk",
     "op2_extract": "extract",
     "op3_language": "language",
+    "op4_toxicity": "toxicity",
     "op5_sentencepiece": "pieces",
     "op6_mixing": "mixing",
     "op8_token_codes": "token_codes",
