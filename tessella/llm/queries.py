@@ -12,6 +12,7 @@ MODULES = {
     "op4_toxicity": "toxicity",
     "op5_sentencepiece": "pieces",
     "op6_mixing": "mixing",
+    "op7_pii": "pii",
     "op8_token_codes": "token_codes",
     "op9_ngram_join": "jaccard",
     "op10_ann": "ann",
