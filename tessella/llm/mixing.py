@@ -103,24 +103,24 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), F.col("whole").cast("int").alias("passes"), "part", "shard", F.xxhash64(F.lit(seed + 2), "doc_id").alias("place"), *extra)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The mix as documents, with the columns of docs: a document stands once for each whole pass and once more, cut to its
-    first words, for a part. Rows of documents that the mix doesn't take are gone. Shards are partitions' rows in random place."""
+    first words, for a part. Rows that the mix doesn't take are gone. Partitions are in random order within."""
     columns = docs.columns
-    d = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    m = mix(d, extra=("_row",), **options).where("taken > 0").select("doc_id", "_row", "size", "passes", "part").withColumnRenamed("doc_id", "_id")
-    # repeated rows are alike in every respect that the draw sees: number them on both sides
-    m = m.groupBy("_id", "_row").agg(F.collect_list(F.struct("passes", "part", "size")).alias("_takes"))
-    d = d.dropDuplicates(["doc_id", "_row"])
-    j = d.join(m, d.doc_id.eqNullSafe(m["_id"]) & (d["_row"] == m["_row"])).select(*[d[c] for c in columns], F.explode("_takes").alias("_t"))
+    key = F.xxhash64("doc_id", "source", "text")
+    m = mix(docs.withColumn("_row", key), seed=seed, extra=("_row",), **options).where("taken > 0")
+    # repeated rows look alike to the draw: each takes one of the draws of their kind
+    m = m.groupBy(F.col("doc_id").alias("_id"), "_row").agg(F.collect_list(F.struct("passes", "part", "size")).alias("_draws"))
+    d = docs.withColumn("_row", key)
+    j = d.join(m, d.doc_id.eqNullSafe(m["_id"]) & (d["_row"] == m["_row"])).drop(m["_row"])
+    j = j.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_row").orderBy("_row"))).where("_k <= size(_draws)").withColumn("_t", F.element_at("_draws", F.col("_k")))
     whole = F.when(F.col("_t.part") == F.col("_t.size"), F.col("_t.passes") + 1).otherwise(F.col("_t.passes"))
     partial = (F.col("_t.part") > 0) & (F.col("_t.part") < F.col("_t.size"))
-    cutoff = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    j = j.withColumn("_n", F.when(partial, F.col("_t.part")).otherwise(F.lit(0)))
     copies = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.array_repeat(F.lit(True), partial.cast("int")))
-    j = j.withColumn("_cut", F.explode(copies))
-    short = F.array_join(F.slice(F.split(F.substring(F.col("text"), F.length(cutoff) + 1, F.length("text")), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.col("_n"), F.lit(1)).cast("int")), " ")
-    return j.select(*[F.when(F.col("_cut"), short).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns])
+    j = j.select(*columns, "_t", F.posexplode(copies).alias("_copy", "_cut"))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.greatest(F.col("_t.part"), F.lit(1)).cast("int"))
+    j = j.sortWithinPartitions(F.xxhash64(F.lit(seed + 2), "doc_id", "_copy"))
+    return j.select(*[F.when(F.col("_cut"), F.array_join(words, " ")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -250,6 +250,19 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), *keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text scores below THRESHOLD, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES entries
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, s in shared.value.score(batch.column(at)):
+                yield batch.slice(first, last - first).filter(pa.array(s < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score(docs, fit(docs, labels))
