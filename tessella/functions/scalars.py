@@ -109,15 +109,15 @@ _PLAIN = "AAAAAAAAEEEEEEEEIIIIIIOOOOOOUUUUUUUCCCYYZZZSS"
 
 def norm_name(col: Column) -> Column:
     """Capitals without accents (Ñ stays, other tildes part words), no punctuation, single spaces."""
-    x = F.regexp_replace(F.translate(F.upper(col), "Ð", "Ñ"), "Ñ", "Ñ")
-    x = F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), "[̀-̂̄-ͯ]", "")
+    x = F.regexp_replace(F.translate(F.upper(col), "Ð", "Ñ"), "N\u0303", "Ñ")
+    x = F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), "[\u0300-\u0302\u0304-\u036f]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[^A-ZÑ0-9 ]", " "), r"\s+", " "))
 
 
 def search_key(col: Column) -> Column:
     """Capitals without any accent (Ñ becomes N), single spaces."""
     x = F.translate(F.upper(col), _ACCENTED + "ÑÃÕĨŨ", _PLAIN + "NAOIU")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[̀-ͯ]", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, "[\u0300-\u036f]", ""), r"\s+", " "))
 
 
 def split_type(col: Column, types: list[str] = SETTLEMENT_TYPES) -> Column:
