@@ -9,8 +9,17 @@ AREA_RADIUS_KM = 6378.137
 DISTANCE_RADIUS_KM = 6371.0088
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def geometry_of(rings: Column) -> Column:
     """A geometry from rings, with its box. Fails on coordinates that are not finite."""
+    return let(rings, _geometry_of)
+
+
+def _geometry_of(rings: Column) -> Column:
     xs, ys = F.flatten(F.transform(rings, lambda r: r["xs"])), F.flatten(F.transform(rings, lambda r: r["ys"]))
     whole = F.forall(F.concat(xs, ys), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     checked = F.when(whole, rings).otherwise(F.raise_error(F.lit("a coordinate is not finite")).cast("array<struct<part:int,hole:boolean,xs:array<double>,ys:array<double>>>"))
@@ -31,10 +40,10 @@ def circle_ring(lat: Column, lon: Column, km: Column, steps: int = 96) -> Column
     phi, d = F.radians(lat), km / DISTANCE_RADIUS_KM
     bearing = lambda i: i * (-2 * 3.141592653589793 / steps)
     y = lambda i: F.asin(F.sin(phi) * F.cos(d) + F.cos(phi) * F.sin(d) * F.cos(bearing(i)))
-    x = lambda i: F.radians(lon) + F.atan2(F.sin(bearing(i)) * F.sin(d) * F.cos(phi), F.cos(d) - F.sin(phi) * F.sin(y(i)))
+    x = lambda i, v: F.radians(lon) + F.atan2(F.sin(bearing(i)) * F.sin(d) * F.cos(phi), F.cos(d) - F.sin(phi) * F.sin(v))
     at = F.concat(F.sequence(F.lit(0), F.lit(steps - 1)), F.array(F.lit(0)))
-    ring = F.struct(F.lit(0).alias("part"), F.lit(False).alias("hole"), F.transform(at, lambda i: F.degrees(x(i))).alias("xs"), F.transform(at, lambda i: F.degrees(y(i))).alias("ys"))
-    return geometry_of(F.array(ring))
+    ring = lambda ys: F.struct(F.lit(0).alias("part"), F.lit(False).alias("hole"), F.zip_with(at, ys, lambda i, v: F.degrees(x(i, v))).alias("xs"), F.transform(ys, F.degrees).alias("ys"))
+    return geometry_of(F.array(let(F.transform(at, y), ring)))
 
 
 def _ring_sum(ring: Column, term) -> Column:
@@ -46,6 +55,10 @@ def _ring_sum(ring: Column, term) -> Column:
 
 def spherical_area_km2(geom: Column) -> Column:
     """Outer rings less holes, on the sphere of the equator's radius."""
+    return let(geom, _spherical_area_km2)
+
+
+def _spherical_area_km2(geom: Column) -> Column:
     part = lambda r: F.abs(_ring_sum(r, lambda x1, y1, x2, y2: F.radians(x2 - x1) * (F.sin(F.radians(y1)) + F.sin(F.radians(y2))))) / 2
     return F.aggregate(geom["rings"], F.lit(0.0), lambda s, r: s + F.when(r["hole"], -part(r)).otherwise(part(r))) * (AREA_RADIUS_KM**2)
 
@@ -65,7 +78,7 @@ def orient_rings(geom: Column) -> Column:
         turned = F.struct(r["part"].alias("part"), r["hole"].alias("hole"), F.reverse(close(r["xs"])).alias("xs"), F.reverse(close(r["ys"])).alias("ys"))
         return F.when((signed_area(closed) > 0) == r["hole"], turned).otherwise(closed)
 
-    return F.when(F.size(geom["rings"]) > 0, geometry_of(F.transform(geom["rings"], one)))
+    return let(geom, lambda g: F.when(F.size(g["rings"]) > 0, geometry_of(F.transform(g["rings"], one))))
 
 
 def area_m2(geom: Column, project) -> Column:
@@ -73,8 +86,8 @@ def area_m2(geom: Column, project) -> Column:
 
     def part(r: Column) -> Column:
         p = F.arrays_zip(r["xs"], r["ys"])
-        q = F.transform(p, lambda v: project(v["xs"], v["ys"]))
-        return F.abs(signed_area(F.struct(F.transform(q, lambda v: v["x"]).alias("xs"), F.transform(q, lambda v: v["y"]).alias("ys"))))
+        ring = lambda q: F.struct(F.transform(q, lambda v: v["x"]).alias("xs"), F.transform(q, lambda v: v["y"]).alias("ys"))
+        return F.abs(let(F.transform(p, lambda v: project(v["xs"], v["ys"])), lambda q: let(ring(q), signed_area)))
 
     return F.aggregate(geom["rings"], F.lit(0.0), lambda s, r: s + F.when(r["hole"], -part(r)).otherwise(part(r)))
 

@@ -122,11 +122,15 @@ def search_key(col: Column) -> Column:
 
 def split_type(col: Column, types: list[str] = SETTLEMENT_TYPES) -> Column:
     """struct(type, base): the first type of the list that leads the name goes; else an empty type."""
-    out = None
-    for t in types:
-        hit = F.struct(F.lit(t).alias("type"), F.substring(col, F.lit(len(t) + 2), F.length(col)).alias("base"))
-        out = F.when(col.startswith(t + " "), hit) if out is None else out.when(col.startswith(t + " "), hit)
-    return out.otherwise(F.struct(F.lit("").alias("type"), col.alias("base")))
+
+    def split(c: Column) -> Column:
+        out = None
+        for t in types:
+            hit = F.struct(F.lit(t).alias("type"), F.substring(c, F.lit(len(t) + 2), F.length(c)).alias("base"))
+            out = F.when(c.startswith(t + " "), hit) if out is None else out.when(c.startswith(t + " "), hit)
+        return out.otherwise(F.struct(F.lit("").alias("type"), c.alias("base")))
+
+    return F.element_at(F.transform(F.array(col), split), 1)  # the text is computed once
 
 
 def _word(words: list[str]) -> str:

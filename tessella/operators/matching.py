@@ -65,7 +65,7 @@ def fuzzy_match(polygons: DataFrame, values: DataFrame, gid: str = "gid", cut: f
     q = polygons.select(gid, "municipio", S.canon(S.norm_name(F.col("NOM_ASEN"))).alias("cn"))
     q = q.withColumn("c", F.substring("cn", 1, 1)).withColumn("n", F.explode(F.sequence(F.length("cn") - most_apart, F.length("cn") + most_apart)))
     pairs = q.join(keys, ["municipio", "c", "n"]).select(gid, "cn", "key", "pos", "sector", "value")
-    schema = pairs.schema.add("ratio", "double")
+    schema = pairs.withColumn("ratio", F.lit(0.0)).schema
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -94,14 +94,16 @@ def search_catalogue(queries: DataFrame, catalogue: DataFrame, n: int = 8) -> Da
         return q.withColumn("g", gram).join(items.withColumn("g", F.explode(grams)), "g").where(F.contains("key", "core")).select("query_id", "item_id")
 
     first = hits(q)
-    short = F.col("core")
-    for _ in range(2):
+
+    def shorter(c):
         out = None
         for place in S.SEARCH_PLACES:
-            c = short.endswith(" " + place) & (F.length(short) > len(place) + 2)
-            v = F.trim(F.substring(short, F.lit(1), F.length(short) - len(place) - 1))
-            out = F.when(c, v) if out is None else out.when(c, v)
-        short = out.otherwise(short)
+            hit = c.endswith(" " + place) & (F.length(c) > len(place) + 2)
+            v = F.trim(F.substring(c, F.lit(1), F.length(c) - len(place) - 1))
+            out = F.when(hit, v) if out is None else out.when(hit, v)
+        return out.otherwise(c)
+
+    short = F.aggregate(F.sequence(F.lit(1), F.lit(2)), F.col("core"), lambda c, i: shorter(c))
     again = q.join(first.select("query_id").distinct(), "query_id", "left_anti").withColumn("new", short).where("new <> core").select("query_id", F.col("new").alias("core"))
     both = first.unionByName(hits(again))
     return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("item_id"))).where(F.col("rank") <= n)

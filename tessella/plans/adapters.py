@@ -36,7 +36,7 @@ def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tiles(spark: SparkSession, sf_dir: str, name: str, key: str) -> tuple[DataFrame, int]:
+def tiles(spark: SparkSession, sf_dir: str, name: str, key: str, shift: float = 0.0) -> tuple[DataFrame, int]:
     """The table's rows as tiles of a g x g grid over the area: all columns, gid, geom, x1, y1, x2, y2."""
     t = table(spark, sf_dir, name)
     n = t.count()
@@ -44,7 +44,7 @@ def tiles(spark: SparkSession, sf_dir: str, name: str, key: str) -> tuple[DataFr
     while g * g < n:
         g += 1
     i, j = F.col(key) % g, F.floor(F.col(key) / g)
-    d = t.withColumns({"gid": F.col(key), "x1": WEST + i * (WIDE / g), "y1": SOUTH + j * (HIGH / g), "x2": WEST + (i + 1) * (WIDE / g), "y2": SOUTH + (j + 1) * (HIGH / g)})
+    d = t.withColumns({"gid": F.col(key), "x1": WEST + shift + i * (WIDE / g), "y1": SOUTH + shift + j * (HIGH / g), "x2": WEST + shift + (i + 1) * (WIDE / g), "y2": SOUTH + shift + (j + 1) * (HIGH / g)})
     return d.withColumn("geom", rectangle(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))), g
 
 
