@@ -53,7 +53,7 @@ def scalar_classes(spark, sf_dir) -> DataFrame:
 def scalar_money_time(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    pay = S.monthly_payment(F.col("o_totalprice"), (k % 13).cast("double"), (k % 4 + 1) * 5)
+    pay = S.monthly_payment(F.col("o_totalprice") + 0.0123, (k % 13).cast("double"), (k % 4 + 1) * 5)
     bands = S.time_bands((k % 50 + 10).cast("double"))
     return o.select(k.alias("id"), _r(pay, 2).alias("payment"), _r(S.required_income(pay), 2).alias("income"), bands[0].alias("band_1"), bands[1].alias("band_2"), bands[2].alias("band_3"), S.car_budget_s((k % 61).cast("double")).alias("budget_s"))
 
@@ -434,7 +434,7 @@ def _metres(spark, sf_dir) -> DataFrame:
 
 
 def dbscan(spark, sf_dir) -> DataFrame:
-    return proxy.dbscan(_metres(spark, sf_dir), "id").select("id", "core", "cluster")
+    return proxy.dbscan(_metres(spark, sf_dir), "id", eps=300.0).select("id", "core", "cluster")
 
 
 def terciles(spark, sf_dir) -> DataFrame:
@@ -458,7 +458,7 @@ def proxy_validation(spark, sf_dir) -> DataFrame:
 def cluster_scores(spark, sf_dir) -> DataFrame:
     """Clusters of businesses with footprint, mix, reason of exclusion or score and level."""
     pts = _metres(spark, sf_dir)
-    c = pts.join(proxy.dbscan(pts, "id").select("id", "cluster"), "id")
+    c = pts.join(proxy.dbscan(pts, "id", eps=300.0).select("id", "cluster"), "id")
     foot = proxy.cluster_footprints(c, "cluster")
     mix = directory.business_mix(c.join(foot.select("cluster", "km2"), "cluster"), "cluster", F.col("km2")).join(directory.top_activity(c, "cluster"), "cluster").join(foot, "cluster")
     f = _proxy_features(spark, sf_dir)

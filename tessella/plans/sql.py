@@ -120,7 +120,7 @@ SELECT k AS id, {cases([(f"code = '{c}'", f"'{n}'") for c, n in S.SECTOR_CATEGOR
   CASE WHEN w >= 8000 THEN 'alto' WHEN w >= 4000 THEN 'medio' WHEN w >= 1000 THEN 'bajo' ELSE 'minimo' END AS class_b,
   CASE WHEN k % 30 < 8 THEN 'few' WHEN k % 10 / 10.0 > 0.35 THEN 'industrial' WHEN k % 7 / 7.0 > 0.5 AND k % 30 < 20 THEN 'single: giro' END AS reason,
   CASE WHEN round(v, 0) > round(10000 - v, 0) THEN '▲' WHEN round(v, 0) < round(10000 - v, 0) THEN '▼' ELSE '→' END AS trend FROM t""",
-    "scalar_money_time": """WITH t AS (SELECT o_orderkey AS k, o_totalprice AS c, (o_orderkey % 13)::DOUBLE / 1200 AS r, (o_orderkey % 4 + 1) * 60 AS n FROM orders),
+    "scalar_money_time": """WITH t AS (SELECT o_orderkey AS k, o_totalprice + 0.0123::DOUBLE AS c, (o_orderkey % 13)::DOUBLE / 1200 AS r, (o_orderkey % 4 + 1) * 60 AS n FROM orders),
 p AS (SELECT k, CASE WHEN r = 0 THEN c / n ELSE c * r * pow(1 + r, n) / (pow(1 + r, n) - 1) END AS pay FROM t)
 SELECT k AS id, round(pay, 2) AS payment, round(pay / 0.30::DOUBLE, 2) AS income, round((k % 50 + 10)::DOUBLE * 1 / 3)::INT AS band_1, round((k % 50 + 10)::DOUBLE * 2 / 3)::INT AS band_2, round((k % 50 + 10)::DOUBLE * 3 / 3)::INT AS band_3,
   round((k % 61)::DOUBLE * 60 / 1.25)::INT AS budget_s FROM p""",
