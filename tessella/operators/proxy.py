@@ -63,54 +63,53 @@ def _cut(df: DataFrame) -> DataFrame:
 def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6) -> DataFrame:
     """points(pid, x, y in metres) -> pid, core, cluster (its smallest core id); noise has no row.
 
-    Cells are eps / 3 wide, so that in a crowded cell of min_samples points all are core and connected without comparing any
-    two: only cells are linked there, by one pair of their points within eps. Elsewhere neighbours come from an equi-join on
-    the cells around. Components are minimum labels over linked cells and cores, written out each round.
+    Cells are eps / 3 wide, so that all points of a cell and the eight around it are within eps of each other: where these hold
+    min_samples points, all of the cell are core without comparing any two. Only the few others meet the points of the cells
+    within reach. The cores of a cell are connected, so components are of cells: first by the boxes of their cores, where these
+    leave no doubt; only cells that then still lie in different components are compared point by point. No group is gathered.
     """
     side = eps / 3
     p = _cut(points.select(pid, "x", "y", F.floor(F.col("x") / side).cast("int").alias("cx"), F.floor(F.col("y") / side).cast("int").alias("cy")))
-    crowded = p.groupBy("cx", "cy").agg(F.count("*").alias("k"))
-    near = F.explode(F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.struct((F.floor(i / 9) - 4).cast("int").alias("dx"), (i % 9 - 4).cast("int").alias("dy"))))
-    # cells (not points) are paired first; a pair of cells too far apart in any case is left out
-    c = crowded.select("cx", "cy", "k", near.alias("d")).select("cx", "cy", "k", (F.col("cx") + F.col("d.dx")).alias("nx"), (F.col("cy") + F.col("d.dy")).alias("ny"))
-    c = c.join(crowded.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("k").alias("nk")), ["nx", "ny"])
-    q = p.select(F.col(pid).alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
+    around = lambda r: F.explode(F.transform(F.sequence(F.lit(0), F.lit((2 * r + 1) ** 2 - 1)), lambda i: F.struct((F.floor(i / (2 * r + 1)) - r).cast("int").alias("dx"), (i % (2 * r + 1) - r).cast("int").alias("dy"))))
+    reach = lambda d, r, *keep: d.select(*keep, "cx", "cy", around(r).alias("d")).select(*keep, "cx", "cy", (F.col("cx") + F.col("d.dx")).alias("nx"), (F.col("cy") + F.col("d.dy")).alias("ny"))
+    counts = p.groupBy("cx", "cy").agg(F.count("*").alias("k"))
+    close = reach(counts, 1).join(counts.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), "k"), ["nx", "ny"]).groupBy("cx", "cy").agg(F.sum("k").alias("near"))
+    q = p.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
     within = F.pow(F.col("x") - F.col("qx"), 2) + F.pow(F.col("y") - F.col("qy"), 2) <= eps * eps
-    sparse = p.join(c.where(F.col("k") < min_samples), ["cx", "cy"]).join(q, ["nx", "ny"]).where(within)
-    cores = _cut(sparse.groupBy(pid).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(pid).unionByName(p.join(crowded.where(F.col("k") >= min_samples), ["cx", "cy"], "left_semi").select(pid)))
+    few = reach(p.join(close.where(F.col("near") < min_samples), ["cx", "cy"], "left_semi"), 4, pid, "x", "y").join(q, ["nx", "ny"]).where(within)
+    cores = _cut(few.groupBy(pid).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(pid).unionByName(p.join(close.where(F.col("near") >= min_samples), ["cx", "cy"], "left_semi").select(pid)))
     core = _cut(p.join(cores, pid, "left_semi"))
-    # the cores of a cell are connected (its diagonal is below eps): the cell stands for them
-    first = core.groupBy("cx", "cy").agg(F.min(pid).alias("label"))
-    cell_pairs = first.select("cx", "cy", near.alias("d")).select("cx", "cy", (F.col("cx") + F.col("d.dx")).alias("nx"), (F.col("cy") + F.col("d.dy")).alias("ny")).where("nx > cx or (nx = cx and ny > cy)")
-    cell_pairs = cell_pairs.join(first.select(F.col("cx").alias("nx"), F.col("cy").alias("ny")), ["nx", "ny"])
-    a = core.groupBy("cx", "cy").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("a"))
-    links = cell_pairs.join(a, ["cx", "cy"]).join(a.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("a").alias("b")), ["nx", "ny"])
-
-    def touching(batches):
-        for pdf in batches:
-            hit = []
-            for u, v in zip(pdf["a"], pdf["b"], strict=True):
-                m, n = (np.array([(r["x"], r["y"]) for r in z]) for z in (u, v))
-                hit.append(any(((m[i : i + 256, None, :] - n[None, :, :]) ** 2).sum(-1).min() <= eps * eps for i in range(0, len(m), 256)))
-            yield pdf.loc[hit, ["cx", "cy", "nx", "ny"]]
-
-    links = _cut(links.select("cx", "cy", "nx", "ny", "a", "b").mapInPandas(touching, "cx int, cy int, nx int, ny int"))
-    both = links.unionByName(links.select(F.col("nx").alias("cx"), F.col("ny").alias("cy"), F.col("cx").alias("nx"), F.col("cy").alias("ny")))
-    labels = _cut(first)
-    while True:
-        seen = both.join(labels.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), "label"), ["nx", "ny"]).groupBy("cx", "cy").agg(F.min("label").alias("other"))
-        step = labels.join(seen, ["cx", "cy"], "left").select("cx", "cy", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("_moved"))
-        # a label is itself a core id: follow it to its own cell's label
-        owner = core.select(F.col(pid).alias("label"), "cx", "cy").join(step.select("cx", "cy", F.col("label").alias("up")), ["cx", "cy"]).select("label", "up")
-        step = _cut(step.join(owner, "label", "left").select("cx", "cy", F.least("label", F.coalesce("up", "label")).alias("label"), "_moved"))
-        labels = step.drop("_moved")
-        if not step.where("_moved").take(1):
-            break
+    cells = _cut(core.groupBy("cx", "cy").agg(F.min(pid).alias("label"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2")))
+    other = cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), *[F.col(c).alias("n" + c) for c in ("x1", "x2", "y1", "y2")])
+    two = reach(cells, 4, "x1", "x2", "y1", "y2").where("nx > cx or (nx = cx and ny > cy)").join(other, ["nx", "ny"])
+    least = F.pow(F.greatest(F.lit(0.0), F.col("nx1") - F.col("x2"), F.col("x1") - F.col("nx2")), 2) + F.pow(F.greatest(F.lit(0.0), F.col("ny1") - F.col("y2"), F.col("y1") - F.col("ny2")), 2)
+    most = F.pow(F.greatest(F.col("nx2") - F.col("x1"), F.col("x2") - F.col("nx1")), 2) + F.pow(F.greatest(F.col("ny2") - F.col("y1"), F.col("y2") - F.col("ny1")), 2)
+    two = _cut(two.where(least <= eps * eps).select("cx", "cy", "nx", "ny", (most <= eps * eps).alias("sure")))
+
+    def spread(links: DataFrame, labels: DataFrame) -> DataFrame:
+        """Smallest labels over linked cells; a label, itself a core id, is followed to its own cell's label."""
+        both = links.unionByName(links.select(F.col("nx").alias("cx"), F.col("ny").alias("cy"), F.col("cx").alias("nx"), F.col("cy").alias("ny")))
+        while True:
+            seen = both.join(labels.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), "label"), ["nx", "ny"]).groupBy("cx", "cy").agg(F.min("label").alias("other"))
+            step = labels.join(seen, ["cx", "cy"], "left").select("cx", "cy", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("_moved"))
+            owner = core.select(F.col(pid).alias("label"), "cx", "cy").join(step.select("cx", "cy", F.col("label").alias("up")), ["cx", "cy"]).select("label", "up")
+            step = _cut(step.join(owner, "label", "left").select("cx", "cy", F.least("label", F.coalesce("up", "label")).alias("label"), "_moved"))
+            labels = step.drop("_moved")
+            if not step.where("_moved").take(1):
+                return labels
+
+    sure = two.where("sure").select("cx", "cy", "nx", "ny")
+    labels = spread(sure, cells.select("cx", "cy", "label"))
+    open_ = two.where("not sure").join(labels, ["cx", "cy"]).join(labels.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("label").alias("nlabel")), ["nx", "ny"]).where("label <> nlabel").select("cx", "cy", "nx", "ny")
+    far = core.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
+    touching = _cut(open_.join(core.select("cx", "cy", "x", "y"), ["cx", "cy"]).join(far, ["nx", "ny"]).where(within).select("cx", "cy", "nx", "ny").distinct())
+    if touching.take(1):
+        labels = spread(sure.unionByName(touching), labels)
     inside = core.join(labels, ["cx", "cy"]).select(pid, F.lit(True).alias("core"), F.col("label").alias("cluster"))
     # points that are no cores take the smallest cluster among the cores they reach
     rest = p.join(cores, pid, "left_anti")
     lc = core.join(labels, ["cx", "cy"]).select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), "label")
-    border = rest.select(pid, "x", "y", "cx", "cy", near.alias("d")).select(pid, "x", "y", (F.col("cx") + F.col("d.dx")).alias("nx"), (F.col("cy") + F.col("d.dy")).alias("ny")).join(lc, ["nx", "ny"]).where(within)
+    border = reach(rest, 4, pid, "x", "y").join(lc, ["nx", "ny"]).where(within)
     return inside.unionByName(border.groupBy(pid).agg(F.min("label").alias("cluster")).select(pid, F.lit(False).alias("core"), "cluster"))
 
 
