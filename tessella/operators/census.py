@@ -78,8 +78,7 @@ def join_marginality(tracts: DataFrame, official: DataFrame) -> DataFrame:
 
 
 def join_price_zone(zones: DataFrame, dim: DataFrame) -> DataFrame:
-    """dim has one row for each of the seven names of a price zone."""
-    return zones.join(F.broadcast(dim.limit(64)), "zona", "left")
+    return zones.join(dim, "zona", "left")
 
 
 def population_series(raw: DataFrame) -> DataFrame:
