@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.common import Spans, cut, held_out, mix, slices
+from tessella.llm.common import Spans, cut, done_with, held_out, mix, slices
 
 SAMPLE = 30_000
 THRESHOLD = 0.3
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least)], names=["doc_id", "text", "toxic", "least"])
 
-    picked = cut(rows.mapInArrow(signature, "doc_id long, text string, toxic int, least long"), "labelled")
+    held = picked = cut(rows.mapInArrow(signature, "doc_id long, text string, toxic int, least long"), "labelled")
     one = picked.groupBy("least", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
     picked = picked.select("doc_id", "text").join(one, "doc_id")
 
@@ -216,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     entries = counts.where(F.col("pos") >= LEAST_TOXIC).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("pos"), "h").limit(MOST_FEATURES).collect()
     model = Model(np.array([r.h for r in entries], np.int64).view(np.uint64), np.array([r.kind for r in entries], np.int64))
     if not (t and c):
+        done_with(held)
         return model
     shared = picked.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES entries
 
@@ -226,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(1)[first:last], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(col, pa.int32()))], names=["toxic", "cols"])
 
     table = picked.select("text", "toxic").mapInArrow(look, "toxic int, cols array<int>").toArrow()  # at most `sample` rows
+    done_with(held)
     lists = table["cols"].combine_chunks()
     label = np.asarray(table["toxic"])
     cols = np.asarray(lists.flatten())
