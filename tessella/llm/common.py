@@ -41,11 +41,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of an Arrow batch where rows are whole texts or sets: a Python worker holds few batches at once.
+BATCH_ROWS = 500
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder once and read it back: later steps read the files, whichever executors are lost."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -59,7 +69,6 @@ def done_with(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     h = h ^ (h >> np.uint64(33))
@@ -85,6 +94,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    for part in range(0, len(texts), BATCH_ROWS):
+        for first, last, data, offsets in _slices(texts[part : part + BATCH_ROWS], limit):
+            yield part + first, part + last, data, offsets
+
+
+def _slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     joined = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
     n = len(joined)
