@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,8 +33,73 @@ PARTS = frozenset("ad ads advert advertisement adverts adsense sponsor sponsored
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-MARKED = r"(?is)<(article|main)[\s>/]|role\s*=\s*[\"']?main[\"'\s>]"
+_ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MARKED = r"(?is)<(article|main)[\s>/]|[\s/\"']role\s*=\s*[\"']?main[\"'\s>]"
+
+# Where HTML ends an element without an end tag: what starts no paragraph can hold, and what ends its like up to a wall.
+BLOCKS = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
+SCOPE = frozenset("applet caption html table td th marquee object template".split())
+TABLE = frozenset("html table template".split())
+SPECIAL = BLOCKS | SCOPE | frozenset("body button tr tbody thead tfoot select".split())
+_LIKE = {
+    "li": (frozenset(["li"]), SPECIAL - {"address", "div", "p"}), "a": (frozenset(["a"]), SPECIAL), "button": (frozenset(["button"]), SCOPE),
+    **dict.fromkeys(("dd", "dt"), (frozenset(["dd", "dt"]), SPECIAL - {"address", "div", "p"})), **dict.fromkeys(("td", "th"), (frozenset(["td", "th"]), TABLE | {"tr"})),
+    "tr": (frozenset(["tr", "td", "th"]), TABLE), **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset("tbody thead tfoot caption colgroup tr td th".split()), TABLE)),
+    **dict.fromkeys(("option", "optgroup"), (frozenset(["option"]), SPECIAL | {"optgroup"})), **dict.fromkeys(("rt", "rp"), (frozenset(["rt", "rp"]), SPECIAL | {"ruby"})),
+}
+
+
+class Open:
+    """Names of the open elements, outermost first."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.count: Counter[str] = Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+
+    def cut(self, at: int) -> None:
+        self.count.subtract(self.names[at:])
+        del self.names[at:]
+
+    def nearest(self, wanted: frozenset[str], walls: frozenset[str]) -> int:
+        """Place of the innermost wanted element that no wall parts from here, or -1."""
+        if any(self.count[x] for x in wanted):
+            for k in range(len(self.names) - 1, -1, -1):
+                if self.names[k] in wanted:
+                    return k
+                if self.names[k] in walls:
+                    break
+        return -1
+
+    def start(self, name: str) -> None:
+        """End what a start tag ends."""
+        if self.count["head"] and name not in IN_HEAD:
+            self.cut(self.names.index("head"))
+        wanted, walls = _LIKE.get(name, (frozenset(), SPECIAL))
+        while (at := self.nearest(wanted, walls)) >= 0:
+            self.cut(at)
+        if name in BLOCKS and (at := self.nearest(frozenset(["p"]), SCOPE | {"button"})) >= 0:
+            self.cut(at)
+
+    def end(self, name: str) -> int:
+        """End what an end tag ends: the place from which elements are closed, or -1."""
+        if not self.count[name]:
+            return -1
+        walls = SCOPE
+        if name in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"):
+            walls = TABLE
+        elif name in INLINE:
+            walls = SPECIAL
+        elif name in ("p", "li"):
+            walls = SCOPE | ({"button"} if name == "p" else {"ul", "ol"})
+        at = self.nearest(frozenset([name]), walls)
+        if at >= 0:
+            self.cut(at)
+        return at
 
 
 def _dropped(name: str, attributes: str, inside: int) -> bool:
@@ -49,6 +115,15 @@ def _dropped(name: str, attributes: str, inside: int) -> bool:
     return False
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
+def _marks(attributes: str) -> bool:
+    return any(a.lower() == "role" and re.match(r"\s*main\b", x or y or z, re.I) for a, x, y, z in _ATTRIBUTE.findall(attributes))
+
+
 def page_lines(page: str) -> tuple[list[str], list[str], bool]:
     """Blocks inside the marked article, blocks of the whole body, and whether an article is marked."""
     article: list[str] = []
@@ -56,7 +131,7 @@ def page_lines(page: str) -> tuple[list[str], list[str], bool]:
     parts: list[str] = []
     inside = 0
     roots: list[str] = []
-    skip, depth = "", 0
+    elements, skip = Open(), -1  # skip: the place of the dropped element that is open
     marked = False
     at = 0
 
@@ -71,10 +146,12 @@ def page_lines(page: str) -> tuple[list[str], list[str], bool]:
 
     while True:
         m = _TOKEN.search(page, at)
-        if not skip:
-            chunk = page[at : m.start()] if m else page[at:]
-            if chunk:
-                parts.append(chunk)
+        chunk = page[at : m.start()] if m else page[at:]
+        if skip >= 0 and elements.names[-1] == "head" and not chunk.isspace() and chunk:
+            elements.cut(len(elements.names) - 1)  # a head holds no text
+            skip = skip if skip < len(elements.names) else -1
+        if skip < 0 and chunk:
+            parts.append(chunk)
         if not m:
             break
         at = m.end()
@@ -82,12 +159,22 @@ def page_lines(page: str) -> tuple[list[str], list[str], bool]:
         if not name:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            continue
+        empty = attributes.rstrip().endswith("/")
+        ended = -1
+        if closing:
+            ended = elements.end(name)
+        else:
+            elements.start(name)
+        if skip >= 0:
+            if len(elements.names) > skip:
+                if not closing and name in RAW and not (empty and elements.count["svg"]):
+                    at = _raw_end(page, name, at)
+                elif not closing and name not in VOID and not empty:
+                    elements.push(name)
+                continue
+            own, skip = ended == skip, -1
+            if own:
+                continue
         if name == "br":
             parts.append(" ")
             continue
@@ -110,16 +197,17 @@ def page_lines(page: str) -> tuple[list[str], list[str], bool]:
         if _dropped(name, attributes, inside):
             if name not in INLINE:
                 end_block()
-            if not attributes.rstrip().endswith("/") or name in RAW:
-                if name in RAW:
-                    close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                    at = close.end() if close else len(page)
-                else:
-                    skip, depth = name, 1
+            if name in RAW:
+                at = _raw_end(page, name, at)
+            elif not empty:
+                elements.push(name)
+                skip = len(elements.names) - 1
             continue
+        if not empty:
+            elements.push(name)
         if name not in INLINE:
             end_block()
-        if name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I):
+        if name in ("article", "main") or _marks(attributes):
             marked = True
             roots.append(name)
             inside += 1

@@ -276,3 +276,38 @@ def test_extract(spark):
     assert sorted(extract.shared_lines(list("abcxyd"), list("abqxzd"))) == [0, 1, 3, 5]
     assert extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
+
+
+@pytest.mark.parametrize("html,want", [
+    # names are compared whole, and not looked for in values
+    ('<div style="overflow:hidden">kept</div>', "kept"),
+    ('<p data-hidden="false">kept</p>', "kept"),
+    ('<p>see <a href="/hidden-lake">the lake</a> there</p>', "see the lake there"),
+    ('<p data-class="ad" xid=ad title="class=ad hidden">kept</p>', "kept"),
+    ("<p data-role='navigation' alt='role=\"banner\"'>kept</p>", "kept"),
+    ('<p hidden>no</p><p hidden="">no</p><p CLASS=ad>no</p><p id = "share">no</p><p aria-hidden="true">no</p><p role=navigation>no</p><p>kept</p>', "kept"),
+    # ends that HTML implies
+    ('<p class="ad">no<p>kept</p>', "kept"),
+    ('<p class="ad">no <b>no</b><div>kept</div>', "kept"),
+    ('<div><p class="ad">no</div>kept', "kept"),
+    ('<ul><li class="share">no<li>kept</ul><p>too</p>', "kept\ntoo"),
+    ('<ul><li class="share">no<ul><li>no<li>no</ul>no</ul><p>kept</p>', "kept"),
+    ('<dl><dt class="ad">no<dd>kept<dt>too</dl>', "kept\ntoo"),
+    ('<table><tr class="ad"><td>no<td>no<tr><td>kept<td class="ad">no<td>too</table>', "kept too"),
+    ('<p>one <span class="ad">no</p><p>two</p>', "one\ntwo"),
+    ('<div class="ad"><p>no<p>no<div>no</div>no</div><p>kept</p>', "kept"),
+    ('<div class="ad"><table><tr><td>no</div>no</table>no</div><p>kept</p>', "kept"),
+    ('<nav><script>"</nav>"</script>no</nav><p>kept</p>', "kept"),
+])
+def test_extract_drops_only_what_html_says(html, want):
+    article, body, marked = extract.page_lines(f"<html><body><article>{html}</article><p>outside</p></body></html>")
+    assert marked and "\n".join(article) == want and body == [*article, "outside"]
+
+
+def test_extract_head_without_end():
+    for head in ("<head><title>no</title><meta charset=utf-8><style>no</style>", "<head>"):
+        for begin in ("<body>", ""):
+            assert extract.page_lines(f"<html>{head}{begin}<article><p>kept</article>") == (["kept"], ["kept"], True)
+    assert extract.page_lines("<head><title>no</title>kept")[1] == ["kept"]
+    assert not extract.page_lines('<body><div data-role="main">x</div>')[2] and extract.page_lines("<body><div role=main>x</div>")[2]
+    assert extract.page_lines("<article>" + "<b><div>" * 50_000 + "<p class=ad>no<p>kept" * 2000)[0][-1] == "kept"
