@@ -269,7 +269,7 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame
     member = cut(member.distinct(), "classes")
     done_with(both)
     rank = spark.sparkContext.broadcast(table)  # COUNTERS numbers, whatever the corpus
-    least = math.ceil(100 / (100 - percent))  # smaller sets join only equal ones
+    least = -(-percent // (100 - percent))  # n joins n + 1 from here on: 100 n >= percent (n + 1); smaller sets join only equal ones
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -162,6 +162,21 @@ def test_jaccard_join(spark, monkeypatch, block, words, percent):
     assert {x.doc_id for x in kept.collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_jaccard_join_of_a_set_and_one_more(spark, words, percent):
+    """Pairs of n and n + 1 shingles, the smaller inside the larger, below, right at and above the threshold."""
+    texts, least = {}, percent // (100 - percent)
+    for n in [*range(1, 14), 18, 19, 20, 40]:
+        for after in (False, True):
+            w = [f"{'ab'[after]}{n}x{k}" for k in range(n + words)]
+            texts |= {len(texts): " ".join(w), len(texts) + 1: " ".join(w[:-1] if after else w[1:])}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs(spark, [(i, t, "s") for i, t in texts.items()]), words, percent).collect()}
+    sets = sets_of(texts, words)
+    want = closure(sets, percent)
+    assert got == {i: (len(sets[i]), want[i]) for i in texts}
+    assert {len(sets[i]) for i in texts if i % 2 and want[i] != i} == {n for n in [*range(1, 14), 18, 19, 20, 40] if n >= least}
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
