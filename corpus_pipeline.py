@@ -42,9 +42,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, each a whole text."""
     _find_here(spark)
-    return _measured(mixing.mixed_documents(docs)).select(docs.columns)
+    return _measured(mixing.mixed_documents(docs, whole=True)).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,9 +103,11 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), F.col("whole").cast("int").alias("passes"), "part", "shard", F.xxhash64(F.lit(seed + 2), "doc_id").alias("place"), *extra)
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 17, whole: bool = False, **options) -> DataFrame:
     """The mix as documents, with the columns of docs: a document stands once for each whole pass and once more, cut to its
-    first words, for a part. Rows that the mix doesn't take are gone. Partitions are in random order within."""
+    first words, for a part. With `whole` no text is cut: a document of which a part is due stands once more as it is when that
+    is half of it at least, and else not; a source's words then differ from its target by half a document a shard at most.
+    Rows that the mix doesn't take are gone. Partitions are in random order within."""
     columns = docs.columns
     key = F.xxhash64("doc_id", "source", "text")
     m = mix(docs.withColumn("_row", key), seed=seed, extra=("_row",), **options).where("taken > 0")
@@ -114,9 +116,9 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     d = docs.withColumn("_row", key)
     j = d.join(m, d.doc_id.eqNullSafe(m["_id"]) & (d["_row"] == m["_row"])).drop(m["_row"])
     j = j.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_row").orderBy("_row"))).where("_k <= size(_draws)").withColumn("_t", F.element_at("_draws", F.col("_k")))
-    whole = F.when(F.col("_t.part") == F.col("_t.size"), F.col("_t.passes") + 1).otherwise(F.col("_t.passes"))
-    partial = (F.col("_t.part") > 0) & (F.col("_t.part") < F.col("_t.size"))
-    copies = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.array_repeat(F.lit(True), partial.cast("int")))
+    once_more = 2 * F.col("_t.part") >= F.col("_t.size") if whole else F.col("_t.part") == F.col("_t.size")
+    partial = F.lit(False) if whole else (F.col("_t.part") > 0) & (F.col("_t.part") < F.col("_t.size"))
+    copies = F.concat(F.array_repeat(F.lit(False), (F.col("_t.passes") + once_more.cast("int")).cast("int")), F.array_repeat(F.lit(True), partial.cast("int")))
     j = j.select(*columns, "_t", F.posexplode(copies).alias("_copy", "_cut"))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.greatest(F.col("_t.part"), F.lit(1)).cast("int"))
     j = j.sortWithinPartitions(F.xxhash64(F.lit(seed + 2), "doc_id", "_copy"))

@@ -105,6 +105,23 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mixed_documents(docs(spark, [])).count() == 0
 
 
+def test_mixed_documents_whole(spark):
+    r = random.Random(8)
+    rows = [(i, "\n".join(f"w{i}x{k}" for k in range(r.randrange(1, 90))), r.choice(["a", "b", "c", None])) for i in range(400)] + [(500, None, "a"), (501, "", "b"), (5, "one\ttwo", "a")]
+    d = docs(spark, rows)
+    given = {(i, t) for i, t, _ in rows}
+    cut = {(x.doc_id, x.text) for x in mixing.mixed_documents(d).collect()}
+    out = mixing.mixed_documents(d, whole=True).collect()
+    assert cut - given and {(x.doc_id, x.text) for x in out} <= given
+    count = lambda t: len(re.findall(mixing.WORD_PATTERN, t or ""))
+    m = mixing.mix(d).collect()
+    for s in ("a", "b", "c", None):
+        mine = [x for x in m if x.source == s]
+        part = sum(min(x.taken % x.size, x.size - x.taken % x.size) for x in mine if x.size)  # one document: there is one shard
+        assert abs(sum(count(x.text) for x in out if x.source == s) - mine[0].target) <= part + 1
+    assert mixing.mixed_documents(docs(spark, []), whole=True).count() == 0
+
+
 def split_population():
     q = mixing.split_quota(np.array([5, 0, 10**9, 3 * 10**9]), 2 * 10**9, np.random.default_rng(1))
     assert q.sum() == 2 * 10**9 and (q <= [5, 0, 10**9, 3 * 10**9]).all()
