@@ -449,9 +449,9 @@ def _proxy_features(spark, sf_dir) -> DataFrame:
 
 
 def proxy_validation(spark, sf_dir) -> DataFrame:
-    """Out-of-fold figures of the boosted model (fewer trees than in production: five models are fitted)."""
+    """Out-of-fold figures of the boosted model."""
     f = _proxy_features(spark, sf_dir)
-    preds = proxy.cross_val_predict(f, "gid", trees=10)
+    preds = proxy.cross_val_predict(f, "gid")
     return proxy.validation_metrics(preds, proxy.tercile_cuts(f, "nse_score"))
 
 
@@ -462,7 +462,7 @@ def cluster_scores(spark, sf_dir) -> DataFrame:
     foot = proxy.cluster_footprints(c, "cluster")
     mix = directory.business_mix(c.join(foot.select("cluster", "km2"), "cluster"), "cluster", F.col("km2")).join(directory.top_activity(c, "cluster"), "cluster").join(foot, "cluster")
     f = _proxy_features(spark, sf_dir)
-    return proxy.score_clusters(mix, proxy.fit_proxy(f, trees=20), proxy.tercile_cuts(f, "nse_score")).select("cluster", "n", _r(F.col("km2"), 4).alias("km2"), "excluido", "score", "nivel")
+    return proxy.score_clusters(mix, proxy.fit_proxy(f), proxy.tercile_cuts(f, "nse_score")).select("cluster", "n", _r(F.col("km2"), 4).alias("km2"), "excluido", "score", "nivel")
 
 
 def compared_colonias(spark, sf_dir) -> DataFrame:

@@ -135,3 +135,24 @@ def test_erase_and_dissolve(spark):
     assert whole > 0 and spatial.erase(a, a.select(F.col("gid").alias("mid"), "geom"), "gid", "mid").count() == 0
     d = spatial.dissolve(a.unionByName(a).withColumn("z", F.lit("k")).select("z", "geom"), "z").first()
     assert d.km2 == pytest.approx(whole, rel=1e-9)
+
+
+def test_registered_models_fit_all_trees(spark, monkeypatch):
+    """Both queries of the boosted model fit as many trees as the reference (150), in validation and for good."""
+    from tessella.operators import proxy
+    from tessella.plans import queries
+
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def regressor(**options):
+        asked.append((options["maxIter"], options["maxDepth"], options["stepSize"]))
+        raise Asked
+
+    monkeypatch.setattr(proxy, "GBTRegressor", regressor)
+    for query in (queries.proxy_validation, queries.cluster_scores):
+        with pytest.raises(Asked):
+            query(spark, "/root/testdata/sf0.001")
+    assert asked == [(150, 2, 0.05)] * 2
