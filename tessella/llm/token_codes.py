@@ -191,22 +191,45 @@ class PieceEncoder:
         return self.ids[where], upto[np.searchsorted(starts, offsets)]
 
 
+def kept_whole(starts_of, strings: list[bytes]):
+    """starts_of without the places inside one of these strings."""
+
+    def run(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        starts, raw = starts_of(data, offsets), data.tobytes()
+        inside = np.zeros(len(data) + 1, bool)
+        for s in strings:
+            at = raw.find(s)
+            while at >= 0:
+                inside[at + 1 : at + len(s)] = True
+                at = raw.find(s, at + 1)
+        return starts[~inside[starts]]
+
+    return run
+
+
 _ENCODERS: dict = {}
 
 
-def _byte_encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
+def _byte_encoder(path: str, added: bool) -> PieceEncoder:
+    if (path, added) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        starts_of = piece_starts
+        if added:
+            tokens = tokenizer.get_added_tokens_decoder().values()
+            if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+                raise ValueError("an added token that depends on what is beside it")
+            starts_of = kept_whole(piece_starts, [t.content.encode() for t in tokens])
+        else:
+            tokenizer.encode_special_tokens = True
 
         def encode_many(pieces: list[str]) -> list[list[int]]:
             return [x.ids for i in range(0, len(pieces), 4096) for x in tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
 
-        _ENCODERS[path] = PieceEncoder(encode_many, piece_starts)
-    return _ENCODERS[path]
+        _ENCODERS[path, added] = PieceEncoder(encode_many, starts_of)
+    return _ENCODERS[path, added]
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
@@ -215,11 +238,15 @@ _BLOCK = pa.schema([("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64()))
 BLOCK_TYPE = "first_doc long, doc_ids array<long>, counts array<long>, n_ids long, code binary"
 
 
-def write_token_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, block_docs: int = BLOCK_DOCS) -> None:
-    """Encode docs(doc_id, text) and write blocks in ascending doc_id order under path. Rows without a doc_id come first."""
+def write_token_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, block_docs: int = BLOCK_DOCS, added: bool = False) -> None:
+    """Encode docs(doc_id, text) and write blocks in ascending doc_id order under path. Rows without a doc_id come first.
+
+    With `added`, the string of one of the tokenizer's added tokens (<|endoftext|>) is that token, as the library has it by
+    default; otherwise it is text like any other.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _byte_encoder(tokenizer_path)
+        encoder = _byte_encoder(tokenizer_path, added)
 
         def block(doc_ids, counts, parts):
             ids = np.concatenate(parts)
@@ -277,5 +304,5 @@ def op8_token_codes(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{scratch_dir(spark)}/codes-{uuid.uuid4().hex}"
-    write_token_codes(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_token_codes(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return token_digests(read_token_codes(spark, path))

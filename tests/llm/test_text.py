@@ -54,6 +54,28 @@ def test_token_files(spark, tmp_path):
     assert token_codes.token_digests(token_codes.read_token_codes(spark, str(tmp_path / "e"))).count() == 0
 
 
+def test_token_files_as_the_library_does(spark, tmp_path):
+    t = Tokenizer.from_file(BYTES)
+    end = "<|endoftext|>"
+    texts = [*odd_texts(), f"a {end} b", end, end + end, f"x{end}y", f"<{end}>", f"a  {end}\n\n{end}'s", f"<|endof{end}text|>", "<|endoftext|", f"é{end}漢 {end}\xa0b"]
+    assert t.encode(f"a {end} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    token_codes.write_token_codes(docs(spark, [(i, x, "s") for i, x in enumerate(texts)]), str(tmp_path / "f"), BYTES, block_docs=100, added=True)
+    got = {r.doc_id: r for r in token_codes.token_digests(token_codes.read_token_codes(spark, str(tmp_path / "f"))).collect()}
+    start = 0
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_op8_takes_the_librarys_defaults(spark, tmp_path):
+    t = Tokenizer.from_file(BYTES)
+    docs(spark, [(1, "a <|endoftext|> b", "s"), (2, "c", "s")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_codes.op8_token_codes(spark, str(tmp_path)).collect()}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert got == {1: (0, 5, crc([64, 220, 50256, 275, 2])), 2: (5, 2, crc([*t.encode("c").ids, 2]))}
+
+
 def test_pieces(spark):
     texts = odd_texts()
     sp = sentencepiece.SentencePieceProcessor(model_file=SP)
