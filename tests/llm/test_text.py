@@ -216,6 +216,36 @@ def test_jaccard_join_of_a_set_and_one_more(spark, words, percent):
     assert {len(sets[i]) for i in texts if i % 2 and want[i] != i} == {n for n in [*range(1, 14), 18, 19, 20, 40] if n >= least}
 
 
+@pytest.mark.parametrize("percent", [90, 80, 60])
+def test_sets_that_join_have_a_key_in_common(percent):
+    """Pairs right at the threshold, where the parts leave least room; many of the small ones have empty parts."""
+    r = np.random.default_rng(percent)
+    wide = 0
+    for n in [*range(2, 60), 100, 333, 1000, 2500] * 3:
+        least = -(-percent * n // 100)
+        for both, mine in ((least, n), (n, n)):
+            # as many elements of the other's own as the threshold allows
+            other = both * 100 // percent - mine
+            if other < 0 or (other == 0 and mine == both):
+                continue
+            x = r.integers(1, 1 << 63, both + (mine - both) + other).astype(np.uint64) * np.uint64(2)
+            a, b = np.sort(x[:mine]), np.sort(np.concatenate((x[:both], x[mine:])))
+            assert 100 * both >= percent * len(x)
+            owner, key = jaccard.set_keys(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), percent)
+            assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
+            wide += 1
+    assert wide > 200
+
+
+def test_jaccard_rows_of_one_id(spark):
+    """Rows of one doc_id are one document with the largest of their sets; rows without one take no part."""
+    long = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(long), "s"), (1, "w1 w2 w3", "s"), (2, " ".join([*long, "x"]), "s"), (3, "w1 w2 w3", "s"), (3, "w1 w2 w3", "s"), (4, "W1 w2\nw3", "s"), (None, "w1 w2 w3", "s")]
+    for given in (rows, rows[::-1]):
+        got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs(spark, given)).collect())
+        assert got == [(1, 38, 1), (2, 39, 1), (3, 1, 3), (4, 1, 3)]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
