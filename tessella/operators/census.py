@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.functions import scalars as S
+from tessella.operators.ranking import running_sum
 
 # The index's variables and weights.
 WEIGHTS = {"GRAPROES": 0.25, "pct_inter": 0.20, "pct_pc": 0.15, "pct_auto": 0.15, "pct_serv": 0.15, "PRO_OCUP_C": -0.10}
@@ -57,12 +58,11 @@ def composite_score(df: DataFrame, weights: dict[str, float] = WEIGHTS, name: st
 def percentile_level(df: DataFrame, col: str, name: str = "nse_nivel") -> DataFrame:
     """Level by percentile rank with ties at their average: counts a distinct score, summed up, joined back.
 
-    The running sum is over distinct scores (at most 10,001 at 4 decimals), not over rows.
+    The running sum is over distinct scores, in ranges of the score.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_k"))
-    upto = W.orderBy(col)
-    ranks = counts.select(col, "_k", F.sum("_k").over(upto).alias("_upto"), F.sum("_k").over(W.partitionBy(F.lit(1))).alias("_all"))
-    ranks = ranks.select(F.col(col).alias("_c"), ((F.col("_upto") - F.col("_k") + (F.col("_k") + 1) / 2) / F.col("_all") * 100).alias("_pct"))
+    ranks = running_sum(counts, [F.col(col)], F.col("_k"), "_upto")
+    ranks = ranks.select(F.col(col).alias("_c"), ((F.col("_upto") - F.col("_k") + (F.col("_k") + 1) / 2) / F.col("_upto_all") * 100).alias("_pct"))
     d = df.join(ranks, F.col(col) == F.col("_c"), "left")
     return d.withColumn(name, F.when(F.col("_pct").isNotNull(), S.level_of(F.col("_pct")))).drop("_c", "_pct")
 

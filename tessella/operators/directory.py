@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions import scalars as S
+from tessella.operators.ranking import running_sum
 
 # Sectors of each group, and size classes that count as large.
 SECTOR_GROUPS = {
@@ -44,7 +45,7 @@ def dictionary_encode(df: DataFrame, cols: list[str], order: dict[str, list[Colu
     for c in cols:
         by = (order or {}).get(c) or [F.col(c)]
         values = df.where(F.col(c).isNotNull()).select(c).distinct()
-        dim = values.select((F.row_number().over(W.orderBy(*by)) - 1).alias("code"), F.col(c).alias("value"))
+        dim = running_sum(values, by, F.lit(1), "_n").select((F.col("_n") - 1).cast("int").alias("code"), F.col(c).alias("value"))
         dims[c] = dim
         out = out.join(dim.select(F.col("code").alias(f"{c}_code"), F.col("value").alias(c)), c, "left")
     return out, dims

@@ -16,7 +16,10 @@ RADIUS_KM = 6378.137
 
 
 def rings_of(geom) -> Rings:
-    """Rings of a geometry cell as pandas gives it."""
+    """Rings of a geometry cell as pandas gives it; one without rings is the rectangle of its box."""
+    if geom["rings"] is None:
+        x1, y1, x2, y2 = (geom[k] for k in ("xmin", "ymin", "xmax", "ymax"))
+        return [(np.array([x1, x2, x2, x1, x1], float), np.array([y1, y1, y2, y2, y1], float))]
     return [(np.asarray(r["xs"], float), np.asarray(r["ys"], float)) for r in geom["rings"]]
 
 
@@ -134,6 +137,13 @@ def slabs(a: Rings, b: Rings, op: str) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def area_km2(rings: Rings) -> float:
+    """Area of a polygon on the sphere."""
+    if len(rings) == 1:
+        return abs(spherical_km2(*rings[0]))
+    return sum(abs(spherical_km2(*r)) for r in slabs(rings, [], "or"))
+
+
 def overlap_km2(a: Rings, b: Rings) -> float:
     """Area of the intersection on the sphere: by clipping where one side is convex, else by slabs."""
     if len(a) == 1 and len(b) == 1:

@@ -80,18 +80,25 @@ def search_catalogue(queries: DataFrame, catalogue: DataFrame, n: int = 8) -> Da
     """queries(query_id, text), catalogue(item_id, TIPO, NOM_ASEN) -> query_id, item_id, rank of up to n hits by item_id.
 
     What follows a comma and a leading type go; if nothing contains the rest, up to two place names at its end go and the
-    search runs once more. Texts of a catalogue share trigrams with what they contain, which makes the search an equi-join.
+    search runs once more. Texts share bigrams and trigrams with what they contain: each query joins on the rarest of its own.
     """
     key = S.search_key(F.concat_ws(" ", "TIPO", "NOM_ASEN"))
     items = catalogue.select("item_id", key.alias("key"))
     text = S.search_key(F.element_at(F.split("text", ","), 1))
     q = queries.select("query_id", S.split_type(text, S.SEARCH_TYPES)["base"].alias("core"))
 
+    def grams(c):
+        runs = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(runs(2), runs(3)))
+
+    of_items = items.select("item_id", "key", F.explode(grams(F.col("key"))).alias("g"))
+    counts = of_items.groupBy("g").agg(F.count("*").alias("k"))
+
     def hits(q: DataFrame) -> DataFrame:
-        q = q.where(F.length("core") >= 2)
-        gram = F.substring("core", 1, 2)
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(2))))
-        return q.withColumn("g", gram).join(items.withColumn("g", F.explode(grams)), "g").where(F.contains("key", "core")).select("query_id", "item_id")
+        asked = q.where(F.length("core") >= 2).withColumn("g", F.explode(grams(F.col("core"))))
+        # a text with a gram that no item has is in none; of the others the rarest gram is looked up
+        rare = asked.join(counts, "g", "left").groupBy("query_id", "core").agg(F.min_by("g", F.struct("k", "g")).alias("g"), F.bool_and(F.col("k").isNotNull()).alias("all")).where("all").drop("all")
+        return rare.join(of_items, "g").where(F.contains("key", "core")).select("query_id", "item_id")
 
     first = hits(q)
 

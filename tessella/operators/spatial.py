@@ -2,6 +2,9 @@
 
 A pair of boxes is a candidate in one cell only, the one that holds the lower left corner of the boxes' intersection, so that
 no distinct is needed. A point lies in one cell. Adaptive execution splits crowded cells and broadcasts small sides.
+
+Polygons that are upright rectangles are settled by expressions; only pairs with another polygon go to the kernels. Each join
+is parted before it meets (rectangles with rectangles, the rest with the rest), so that no pair is met twice.
 """
 
 from __future__ import annotations
@@ -13,10 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.functions.geometry import GEOMETRY
-from tessella.functions.scalars import haversine_km
+from tessella.functions.scalars import EARTH_KM, haversine_km
 from tessella.operators import kernels as K
 
 CELL = 0.01
+RINGS = "array<struct<part:int,hole:boolean,xs:array<double>,ys:array<double>>>"
 
 
 def _floor(x: Column, cell: float) -> Column:
@@ -36,25 +40,72 @@ def _candidates(a: DataFrame, b: DataFrame, ga: str, gb: str, cell: float) -> Da
     return cells(a, ga, cell).join(cells(b, gb, cell), ["cx", "cy"]).where(meet & (_floor(left, cell) == F.col("cx")) & (_floor(low, cell) == F.col("cy"))).drop("cx", "cy")
 
 
-def _kernel(df: DataFrame, keep: list[str], name: str, kind: str, fn: Callable) -> DataFrame:
-    """The kept columns and fn(*geometries) of each row; geometries are read once a batch, each distinct one once."""
+def _is_box(geom: Column) -> Column:
+    """Whether a polygon is one upright rectangle: four edges, each along one axis in turn."""
+
+    def four(xs: Column, ys: Column) -> Column:
+        flat = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(xs, i) == F.element_at(xs, i + 1))
+        turns = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(ys, i) != F.element_at(ys, i + 1))
+        return (flat == turns) & F.array(F.lit(True), F.lit(False), F.lit(True), F.lit(False)).eqNullSafe(flat) | (flat == turns) & F.array(F.lit(False), F.lit(True), F.lit(False), F.lit(True)).eqNullSafe(flat)
+
+    one = lambda r: (F.size(r["xs"]) == 5) & (F.size(r["ys"]) == 5) & (r["xs"][0] == r["xs"][4]) & (r["ys"][0] == r["ys"][4]) & four(r["xs"], r["ys"])
+    return F.coalesce((F.size(geom["rings"]) == 1) & F.forall(geom["rings"], one), F.lit(False))
+
+
+def _parted(df: DataFrame, gid: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(gid, name) of the rectangles, without their rings, and of all other polygons."""
+    g = F.col("geom")
+    d = df.where(g.isNotNull())
+    flat = F.struct(*[g[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.lit(None).cast(RINGS).alias("rings"))
+    return d.where(_is_box(g)).select(gid, flat.alias(name)), d.where(~_is_box(g)).select(gid, F.struct(*[g[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax", "rings")]).alias(name))
+
+
+def _pairs(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Candidates (zid, gid, ga, gb): pairs of rectangles, and all others dealt evenly."""
+    (za, zb), (la, lb) = _parted(zones, zid, "ga"), _parted(layer, gid, "gb")
+    meet = lambda a, b: _candidates(a, b, "ga", "gb", cell)
+    rest = meet(zb, la).unionByName(meet(za, lb)).unionByName(meet(zb, lb))
+    n = max(1, int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return meet(za, la), rest.repartition(n, zid, gid)
+
+
+def _box_km2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.radians(x2 - x1) * (F.sin(F.radians(y2)) - F.sin(F.radians(y1))) * K.RADIUS_KM**2
+
+
+def _kernel(df: DataFrame, keep: list[str], name: str, kind: str, fn: Callable, ids: tuple[str, ...] = ()) -> DataFrame:
+    """The kept columns and fn(*geometries) of each row. ids names a key of each geometry, which is then read once a batch."""
     schema = df.select(*keep).schema.add(name, kind)
     geoms = [c for c in df.columns if c not in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            read = []
+            for k, c in enumerate(geoms):
+                if ids:
+                    at, first = np.unique(pdf[ids[k]].to_numpy(), return_index=True, return_inverse=True)[1:][::-1]
+                    once = [K.rings_of(g) for g in pdf[c].iloc[first]]
+                    read.append([once[i] for i in at])
+                else:
+                    read.append([K.rings_of(g) for g in pdf[c]])
             out = pdf[keep].copy()
-            out[name] = [fn(*map(K.rings_of, g)) for g in zip(*(pdf[c] for c in geoms), strict=True)]
+            out[name] = [fn(*g) for g in zip(*read, strict=True)]
             yield out
 
     return df.mapInPandas(run, schema)
 
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, pid: str, gid: str, keep_all: bool = False, cell: float = CELL) -> DataFrame:
-    """points(pid, lon, lat), polys(gid, geom) -> pid, gid: the smallest gid that holds the point (all with keep_all)."""
+    """points(pid, lon, lat), polys(gid, geom) -> pid, gid: the smallest gid that holds the point (all with keep_all).
+
+    A rectangle holds its lower and left edge, as the ray cast has it.
+    """
     p = points.select(pid, "lon", "lat", _floor(F.col("lon"), cell).alias("cx"), _floor(F.col("lat"), cell).alias("cy"))
+    boxes, rest = _parted(polys, gid, "geom")
     g = F.col("geom")
-    c = p.join(cells(polys.select(gid, "geom"), "geom", cell), ["cx", "cy"]).where(F.col("lon").between(g["xmin"], g["xmax"]) & F.col("lat").between(g["ymin"], g["ymax"]))
+    inside = (F.col("lon") >= g["xmin"]) & (F.col("lon") < g["xmax"]) & (F.col("lat") >= g["ymin"]) & (F.col("lat") < g["ymax"])
+    plain = p.join(cells(boxes, "geom", cell), ["cx", "cy"]).where(inside).select(pid, gid)
+    c = p.join(cells(rest, "geom", cell), ["cx", "cy"]).where(F.col("lon").between(g["xmin"], g["xmax"]) & F.col("lat").between(g["ymin"], g["ymax"]))
     schema = c.select(pid, gid).schema
 
     def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +116,7 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, pid: str, gid: str,
                 hit[at] = K.contains(K.rings_of(some["geom"].iloc[0]), some["lon"].to_numpy(), some["lat"].to_numpy())
             yield pdf.loc[hit, [pid, gid]]
 
-    hits = c.select(pid, gid, "lon", "lat", "geom").mapInPandas(cast, schema)
+    hits = plain.unionByName(c.select(pid, gid, "lon", "lat", "geom").mapInPandas(cast, schema))
     return hits if keep_all else hits.groupBy(pid).agg(F.min(gid).alias(gid))
 
 
@@ -76,20 +127,26 @@ def gap_points(points: DataFrame, inside_none: DataFrame, inside_any: DataFrame,
 
 
 def polygons_intersecting(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float = CELL) -> DataFrame:
-    c = _candidates(zones.select(zid, F.col("geom").alias("ga")), layer.select(gid, F.col("geom").alias("gb")), "ga", "gb", cell)
-    return _kernel(c, [zid, gid], "meets", "boolean", K.intersects).where("meets").drop("meets")
+    boxes, rest = _pairs(zones, layer, zid, gid, cell)  # rectangles whose boxes meet do
+    return boxes.select(zid, gid).unionByName(_kernel(rest, [zid, gid], "meets", "boolean", K.intersects, (zid, gid)).where("meets").drop("meets"))
 
 
 def overlap(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float = CELL) -> DataFrame:
     """zones(zid, geom), layer(gid, geom, ...) -> zid, gid, km2 of the intersection, frac of the layer's polygon."""
-    c = _candidates(zones.select(zid, F.col("geom").alias("ga")), layer.select(gid, F.col("geom").alias("gb")), "ga", "gb", cell)
-    whole = _kernel(layer.select(gid, "geom"), [gid], "whole", "double", lambda g: abs(sum(K.spherical_km2(x, y) if k == 0 else -abs(K.spherical_km2(x, y)) for k, (x, y) in enumerate(g))) if len(g) == 1 else sum(abs(K.spherical_km2(*r)) for r in K.slabs(g, [], "or")))
-    km2 = _kernel(c, [zid, gid], "km2", "double", K.overlap_km2).where("km2 > 0")
-    return km2.join(whole, gid).select(zid, gid, "km2", F.least(F.lit(1.0), F.col("km2") / F.col("whole")).alias("frac"))
+    boxes, rest = _pairs(zones, layer, zid, gid, cell)
+    a, b = F.col("ga"), F.col("gb")
+    full = _box_km2(b["xmin"], b["ymin"], b["xmax"], b["ymax"])
+    meet = _box_km2(F.greatest(a["xmin"], b["xmin"]), F.greatest(a["ymin"], b["ymin"]), F.least(a["xmax"], b["xmax"]), F.least(a["ymax"], b["ymax"]))
+    settled = boxes.select(zid, gid, meet.alias("km2"), full.alias("whole")).where("km2 > 0")
+    flat, other = _parted(layer, gid, "gb")
+    whole = flat.select(gid, full.alias("whole")).unionByName(_kernel(other, [gid], "whole", "double", K.area_km2))
+    km2 = _kernel(rest, [zid, gid], "km2", "double", K.overlap_km2, (zid, gid)).where("km2 > 0")
+    return settled.unionByName(km2.join(whole, gid).select(zid, gid, "km2", "whole")).select(zid, gid, "km2", F.least(F.lit(1.0), F.col("km2") / F.col("whole")).alias("frac"))
 
 
 def with_representative(layer: DataFrame, gid: str) -> DataFrame:
     """gid, lon, lat of a point inside each polygon."""
+    boxes, rest = _parted(layer, gid, "geom")
     schema = layer.select(gid).schema.add("lon", "double").add("lat", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +154,9 @@ def with_representative(layer: DataFrame, gid: str) -> DataFrame:
             p = [K.representative_point(K.rings_of(g)) for g in pdf["geom"]]
             yield pd.DataFrame({gid: pdf[gid], "lon": [x for x, _ in p], "lat": [y for _, y in p]})
 
-    return layer.select(gid, "geom").mapInPandas(run, schema)
+    g = F.col("geom")
+    middle = boxes.select(gid, ((g["xmin"] + g["xmax"]) / 2).alias("lon"), (g["ymin"] + (g["ymax"] - g["ymin"]) * 0.5).alias("lat"))
+    return middle.unionByName(rest.mapInPandas(run, schema))
 
 
 def representative_in(layer: DataFrame, zones: DataFrame, gid: str, zid: str, first: bool = False) -> DataFrame:
@@ -105,17 +164,28 @@ def representative_in(layer: DataFrame, zones: DataFrame, gid: str, zid: str, fi
     return points_in_polygons(with_representative(layer, gid), zones, gid, zid, keep_all=not first)
 
 
-def within_distance(centres: DataFrame, points: DataFrame, radius: Column, most_km: float) -> DataFrame:
-    """centres(lat, lng, ...), points(lat, lon, ...) -> both sides' columns and dist_km <= radius (at most most_km).
+def within_distance(centres: DataFrame, points: DataFrame, radius: Column, cell_km: float) -> DataFrame:
+    """centres(lat, lng, ...), points(lat, lon, ...) -> both sides' columns and dist_km <= radius, whatever the radius.
 
-    Cells are as wide as most_km; a centre looks into its own and the eight around it. Points are sent once.
+    Cells are rows of latitude cell_km high; a row has as many columns as make them about cell_km wide at its own latitude.
+    A centre looks into all cells that its circle reaches (over the date line too); points are sent once.
     """
-    km = 111.0  # of a degree of latitude; of longitude at most
-    cy = lambda lat: F.floor(lat * km / most_km).cast("int")
-    lon_cell = most_km / 78.0  # degrees of longitude that are at least most_km up to 45 degrees of latitude
-    cx = lambda lon: F.floor(lon / lon_cell).cast("int")
-    c = centres.withColumn("_r", radius).withColumn("cx", F.explode(F.sequence(cx(F.col("lng")) - 1, cx(F.col("lng")) + 1))).withColumn("cy", F.explode(F.sequence(cy(F.col("lat")) - 1, cy(F.col("lat")) + 1)))
-    p = points.withColumnRenamed("lat", "_plat").withColumnRenamed("lon", "_plon").withColumn("cx", cx(F.col("_plon"))).withColumn("cy", cy(F.col("_plat")))
+    degrees = cell_km / 111.0
+    last = int(180 // degrees)
+    row = lambda lat: F.least(F.floor((lat + 90) / degrees), F.lit(last)).cast("long")
+    columns = lambda r: F.greatest(F.lit(1), F.floor(360 / degrees * F.cos(F.radians(r * degrees - 90 + degrees / 2)))).cast("long")
+    column = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n).cast("long")
+    c = centres.withColumn("_r", radius.cast("double")).where("_r >= 0")
+    dy = F.degrees(F.col("_r") / EARTH_KM) * (1 + 1e-9) + 1e-9
+    c = c.withColumn("_dy", dy).withColumn("cy", F.explode(F.sequence(row(F.greatest(F.col("lat") - F.col("_dy"), F.lit(-90.0))), row(F.least(F.col("lat") + F.col("_dy"), F.lit(90.0))))))
+    # the widest that a circle gets: asin(sin r / cos lat), all round where it holds a pole
+    reach = F.sin(F.radians("_dy")) / F.cos(F.radians("lat"))
+    dx = F.when((F.abs("lat") + F.col("_dy") < 90) & (reach < 1), F.degrees(F.asin(reach)) * (1 + 1e-9) + 1e-9).otherwise(180.0)
+    n = columns(F.col("cy"))
+    first, upto = F.floor((F.col("lng") - F.col("_dx") + 180) / 360 * F.col("_n")), F.floor((F.col("lng") + F.col("_dx") + 180) / 360 * F.col("_n"))
+    c = c.withColumn("_dx", dx).withColumn("_n", n).withColumn("cx", F.explode(F.transform(F.sequence(first, F.least(upto, first + F.col("_n") - 1)), lambda i: F.pmod(i, F.col("_n")).cast("long")))).drop("_dy", "_dx", "_n")
+    p = points.withColumnRenamed("lat", "_plat").withColumnRenamed("lon", "_plon").withColumn("cy", row(F.col("_plat")))
+    p = p.withColumn("cx", column(F.col("_plon"), columns(F.col("cy"))))
     j = c.join(p, ["cx", "cy"]).withColumn("dist_km", haversine_km(F.col("lat"), F.col("lng"), F.col("_plat"), F.col("_plon")))
     return j.where(F.col("dist_km") <= F.col("_r")).drop("cx", "cy", "_r", "_plat", "_plon")
 
@@ -145,6 +215,21 @@ def reach_counts(hits: DataFrame, bands: DataFrame, category: str) -> DataFrame:
     return all_.select("zone_id", "band_idx", category, F.coalesce(F.sum("k").over(upto), F.lit(0)).cast("long").alias("n"))
 
 
+def reachable_projects(projects: DataFrame, bands: DataFrame, pid: str) -> DataFrame:
+    """projects(pid, lon, lat, ...), bands -> zone_id, pid, minutes (the least in which it is reached) and the projects' columns."""
+    hits = smallest_band(projects.select(pid, "lon", "lat"), bands, pid)
+    return hits.select("zone_id", pid, "minutes").join(projects.drop("lon", "lat"), pid)
+
+
+def reach_tables(counts: DataFrame, projects: DataFrame, category: str, name: str, most: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Rows as they are shown: (zone_id, rank, category, n) of what the outermost band reaches, most first (ties by category),
+    and (zone_id, rank, minutes, name) of the first `most` projects by minutes and name."""
+    outer = counts.groupBy("zone_id", category).agg(F.max_by("n", "band_idx").alias("n")).where("n > 0")
+    services = outer.withColumn("rank", F.row_number().over(W.partitionBy("zone_id").orderBy(F.desc("n"), category))).select("zone_id", "rank", category, "n")
+    near = projects.withColumn("rank", F.row_number().over(W.partitionBy("zone_id").orderBy("minutes", name))).where(F.col("rank") <= most)
+    return services, near.select("zone_id", "rank", "minutes", name)
+
+
 # --- geometries out --------------------------------------------------------------------------------------------------
 
 def _cell_value(rings: list[tuple[np.ndarray, np.ndarray]]):

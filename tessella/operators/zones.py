@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.functions import scalars as S
 
@@ -62,17 +62,15 @@ def value_stats_upper(values: DataFrame, by: str = "zone_id", col: str = "valor_
     return g.select(by, F.size("l").alias("n"), F.element_at("l", (F.floor(F.size("l") / 2) + 1).cast("int")).alias("med"), S.round_js(F.col("a")).alias("avg"))
 
 
-def landuse_shares(overlap: DataFrame, zones: DataFrame, denominator: str = "zone") -> DataFrame:
-    """overlap(zone_id, grupo, programa, km2), zones(zone_id, km2) -> zone_id, grupo, programa (null: all of the group), km2, pct.
-
-    Shares of the zone's area, or (denominator='zoned') of its zoned area; grupo null is what no zoning covers.
-    """
+def landuse_shares(overlap: DataFrame, zones: DataFrame) -> DataFrame:
+    """overlap(zone_id, grupo, programa, km2), zones(zone_id, km2) -> zone_id, grupo, programa (null: all of the group), km2,
+    pct of the zone's area, pct_zoned of its zoned area; grupo null is what no zoning covers."""
     parts = overlap.rollup("zone_id", "grupo", "programa").agg(F.sum("km2").alias("km2"), F.grouping_id().alias("g")).where("g in (0, 1, 3) and zone_id is not null")
-    whole = parts.where("g = 3").select("zone_id", F.col("km2").alias("zoned"))
-    d = parts.join(whole, "zone_id").join(zones.select("zone_id", F.col("km2").alias("area")), "zone_id")
-    base = F.col("area") if denominator == "zone" else F.col("zoned")
-    pct = F.when(F.col("g") == 3, F.greatest(F.lit(0.0), 100 - F.col("zoned") / F.col("area") * 100)).otherwise(F.col("km2") / base * 100)
-    return d.select("zone_id", "grupo", "programa", F.when(F.col("g") == 3, F.greatest(F.lit(0.0), F.col("area") - F.col("zoned"))).otherwise(F.col("km2")).alias("km2"), pct.alias("pct"))
+    d = parts.join(zones.select("zone_id", F.col("km2").alias("area")), "zone_id")
+    d = d.withColumn("zoned", F.max(F.when(F.col("g") == 3, F.col("km2"))).over(W.partitionBy("zone_id")))
+    free = F.col("g") == 3
+    share = lambda base: F.when(free, F.greatest(F.lit(0.0), 100 - F.col("zoned") / F.col("area") * 100)).otherwise(F.col("km2") / F.col(base) * 100)
+    return d.select("zone_id", "grupo", "programa", F.when(free, F.greatest(F.lit(0.0), F.col("area") - F.col("zoned"))).otherwise(F.col("km2")).alias("km2"), share("area").alias("pct"), share("zoned").alias("pct_zoned"))
 
 
 def poi_counts(hits: DataFrame, zones: DataFrame, categories: list[str] = POI_ORDER) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.functions import geometry as G, scalars as S
 from tessella.operators import census, directory, matching, proxy, series, spatial, zones as Z
 from tessella.plans.adapters import businesses, lat_of, lon_of, table, tiles, tracts, zones
+from tessella.sources import readers, writers
+from tessella.sources.scratch import scratch_dir
 from tessella.streaming.traffic import classify_readings
 
 _r = lambda c, n=4: F.round(c, n)
@@ -210,9 +214,8 @@ def landuse_shares(spark, sf_dir) -> DataFrame:
     z, u = zones(spark, sf_dir), _landuse(spark, sf_dir)
     ov = spatial.overlap(z, u, "zone_id", "gid").join(u.drop("geom"), "gid")
     area = z.select("zone_id", G.spherical_area_km2(F.col("geom")).alias("km2"))
-    a = Z.landuse_shares(ov, area).select("zone_id", F.coalesce("grupo", F.lit("-")).alias("grupo"), F.coalesce("programa", F.lit("-")).alias("programa"), _r(F.col("pct"), 3).alias("pct"))
-    b = Z.landuse_shares(ov, area, "zoned").select("zone_id", F.coalesce("grupo", F.lit("-")).alias("grupo"), F.coalesce("programa", F.lit("-")).alias("programa"), _r(F.col("pct"), 3).alias("pct_zoned"))
-    return a.join(b, ["zone_id", "grupo", "programa"])
+    d = Z.landuse_shares(ov, area)
+    return d.select("zone_id", F.coalesce("grupo", F.lit("-")).alias("grupo"), F.coalesce("programa", F.lit("-")).alias("programa"), _r(F.col("pct"), 3).alias("pct"), _r(F.col("pct_zoned"), 3).alias("pct_zoned"))
 
 
 def zone_poi_counts(spark, sf_dir) -> DataFrame:
@@ -264,10 +267,25 @@ def reach_counts(spark, sf_dir) -> DataFrame:
 
 def reachable_projects(spark, sf_dir) -> DataFrame:
     """Reachable places, the first 24 of each zone by minutes and id."""
-    hits = spatial.smallest_band(businesses(spark, sf_dir).select("id", "lon", "lat"), _bands(spark, sf_dir), "id")
+    hits = spatial.reachable_projects(businesses(spark, sf_dir).select("id", "lon", "lat"), _bands(spark, sf_dir), "id")
     return series.top_n(hits, ["zone_id"], [F.col("minutes"), F.col("id")], 24).select("zone_id", "rank", "id", "minutes")
 
 
+def _reach_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p, b = businesses(spark, sf_dir), _bands(spark, sf_dir)
+    hits = spatial.smallest_band(p.select("id", "lon", "lat"), b, "id").join(p.select("id", "category"), "id")
+    named = p.where("id % 4 = 0").select("id", "lon", "lat", F.concat(F.lit("obra "), (F.col("id") * 7 % 1009).cast("string"), F.lit("/"), F.col("id").cast("string")).alias("nombre"))
+    return spatial.reach_tables(spatial.reach_counts(hits, b, "category"), spatial.reachable_projects(named, b, "id"), "category", "nombre")
+
+
+def reach_services(spark, sf_dir) -> DataFrame:
+    return _reach_tables(spark, sf_dir)[0]
+
+
+def reach_projects(spark, sf_dir) -> DataFrame:
+    return _reach_tables(spark, sf_dir)[1]
+
+
 def ring_bands(spark, sf_dir) -> DataFrame:
     return spatial.ring_bands(_bands(spark, sf_dir)).select("zone_id", "band_idx", "minutes", _r(F.col("km2"), 5).alias("km2"), _r(F.col("full_km2"), 5).alias("full_km2"))
 
@@ -372,15 +390,19 @@ def search(spark, sf_dir) -> DataFrame:
 
 # --- directory -------------------------------------------------------------------------------------------------------
 
-def osm_points(spark, sf_dir) -> DataFrame:
-    """Elements from orders: some lack a place, a category or a name; repeats of a place keep the first."""
+def _osm_elements(spark, sf_dir) -> DataFrame:
+    """Elements from orders: some lack a place, a category or a name."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     m = F.lit(3001)
     kv = _pick(["school", "clinic", "bank", "fuel", "cafe"], k * 3 % 7)
     tags = F.map_concat(F.create_map(F.lit("amenity"), kv), F.when(k % 4 == 0, F.create_map(F.lit("name"), F.concat(F.lit("lugar "), (k % 5).cast("string")))).otherwise(F.create_map().cast("map<string,string>")))
-    e = o.select(k.alias("id"), F.when(k % 3 != 0, lat_of(k % m)).alias("lat"), F.when(k % 3 != 0, lon_of(k % m)).alias("lon"), F.when(k % 6 == 0, F.struct(lat_of(k % m).alias("lat"), lon_of(k % m).alias("lon"))).alias("center"), tags.alias("tags"))
-    return directory.dedupe_points(directory.osm_points(e)).select("id", "lat", "lon", "category", "kind", "name")
+    return o.select(k.alias("id"), F.when(k % 3 != 0, lat_of(k % m)).alias("lat"), F.when(k % 3 != 0, lon_of(k % m)).alias("lon"), F.when(k % 6 == 0, F.struct(lat_of(k % m).alias("lat"), lon_of(k % m).alias("lon"))).alias("center"), tags.alias("tags"))
+
+
+def osm_points(spark, sf_dir) -> DataFrame:
+    """Points of interest; repeats of a place keep the first."""
+    return directory.dedupe_points(directory.osm_points(_osm_elements(spark, sf_dir))).select("id", "lat", "lon", "category", "kind", "name")
 
 
 def category_counts(spark, sf_dir) -> DataFrame:
@@ -473,10 +495,114 @@ def compared_colonias(spark, sf_dir) -> DataFrame:
     return d.join(lv, "gid").select("municipio", "rank", "gid", _r(F.col("valor_m2"), 4).alias("valor_m2"), "nivel")
 
 
+def compared_set(spark, sf_dir) -> DataFrame:
+    """Settlements side by side, of those asked for the first four."""
+    c = _colonias(spark, sf_dir).select("gid", "municipio", "valor_m2").join(colonia_levels(spark, sf_dir), "gid")
+    return Z.compare(c, [17, 3, 17, 88, 5, 41]).select("gid", "municipio", _r(F.col("valor_m2"), 4).alias("valor_m2"), "nivel")
+
+
+# --- files: written to the scratch folder and read back ----------------------------------------------------------------
+
+def _path(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def census_file(spark, sf_dir) -> DataFrame:
+    """The raw census as CSV, read as text, and its tracts of two municipalities."""
+    path = _path(spark, "census")
+    _census_raw(spark, sf_dir).write.csv(path, header=True)
+    return census.tract_rows(readers.read_census(spark, path), [1, 5]).select("MUN", "LOC", "AGEB", "POBTOT", "VPH_INTER", "TVIVPARHAB")
+
+
+def business_snapshots(spark, sf_dir) -> DataFrame:
+    """Two snapshots in Latin-1, of which the newest is read, with the label from its notes."""
+    path = _path(spark, "snapshots")
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit('Café "Ñandú" '), F.col("o_orderkey").cast("string"))
+    for year, part in ((2023, "o_orderkey % 2 = 0"), (2024, "o_orderkey % 3 = 0")):
+        o.where(part).select(F.col("o_orderkey").alias("id"), name.alias("nom_estab")).write.csv(f"{path}/denue_{year}", header=True, encoding="ISO-8859-1", quote='"', escape='"')
+    o.agg(F.concat(F.lit("Modified: "), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd")).alias("value")).write.text(f"{path}/notes")
+    label = readers.snapshot_label(spark.read.text(f"{path}/notes"), "denue")
+    return readers.read_businesses(spark, f"{path}/denue_*").select(F.col("id").cast("long").alias("id"), "nom_estab").crossJoin(F.broadcast(label))  # one row
+
+
+def features_file(spark, sf_dir) -> DataFrame:
+    """Tracts as GeoJSON, a feature a line, read back."""
+    path = _path(spark, "features")
+    writers.write_features(tracts(spark, sf_dir).select("CVEGEO", "POBTOT", "nse_nivel", "geom"), path, text=True)
+    d = readers.read_geojson(spark, path, "CVEGEO string, POBTOT double, nse_nivel string", lines=True)
+    return d.select("CVEGEO", "POBTOT", "nse_nivel", _r(G.spherical_area_km2(F.col("geom")), 6).alias("km2"), F.size("geom.rings").alias("rings"))
+
+
+def features_table(spark, sf_dir) -> DataFrame:
+    """Zones as Parquet, read back."""
+    path = _path(spark, "features")
+    writers.write_features(zones(spark, sf_dir).select("zone_id", "geom"), path)
+    return spark.read.parquet(path).select("zone_id", _r(F.col("geom.xmin"), 9).alias("xmin"), _r(F.col("geom.ymax"), 9).alias("ymax"))
+
+
+def webmap_file(spark, sf_dir) -> DataFrame:
+    """Web maps of up to 500 features a line; one layer of the two is read."""
+    path = _path(spark, "webmap")
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    use = F.when(k % 13 == 0, " ").otherwise(_pick(["Habitacional popular", "mixto", "Vialidad primaria", "Industria ligera"], k * 7 % 41))
+    square = F.array(F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.col("p_size") * 1.0), F.array(F.lit(0.0), F.lit(0.0))))
+    f = F.struct(F.struct(use.alias("USO"), (F.col("p_size") * 1.27).alias("HA")).alias("attributes"), F.struct(square.alias("rings")).alias("geometry"))
+    blocks = p.groupBy(F.floor(k / 500).alias("block"), F.when(k % 5 == 0, "otra").otherwise("usos").alias("title")).agg(F.collect_list(f).alias("features"))
+    layer = F.struct("title", F.struct(F.array(F.struct(F.struct("features").alias("featureSet"))).alias("layers")).alias("featureCollection"))
+    blocks.groupBy("block").agg(F.collect_list(layer).alias("operationalLayers")).select(F.to_json(F.struct("operationalLayers")).alias("value")).write.text(path)
+    d = readers.read_webmap(spark, path, "usos", "USO", "M", "P", "HA", "VIALIDAD", lines=True)
+    return d.groupBy("municipio", "programa", "uso", "grupo").agg(F.count("*").alias("n"), _r(F.sum("hectareas"), 1).alias("hectareas"), F.max("geom.ymax").alias("ymax"))
+
+
+def osm_file(spark, sf_dir) -> DataFrame:
+    """Answers of up to 500 elements a line, read back and made points of interest."""
+    path = _path(spark, "osm")
+    blocks = _osm_elements(spark, sf_dir).groupBy(F.floor(F.col("id") / 500).alias("block")).agg(F.collect_list(F.struct("id", "lat", "lon", "center", "tags")).alias("elements"))
+    blocks.select(F.to_json(F.struct("elements")).alias("value")).write.text(path)
+    return directory.osm_points(readers.read_osm(spark, path, lines=True)).select("id", "lat", "lon", "category", "kind", "name")
+
+
+def compact_file(spark, sf_dir) -> DataFrame:
+    """The directory as facts and dictionaries, read back and joined."""
+    path = _path(spark, "compact")
+    b = businesses(spark, sf_dir).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("nombre"), "lat", "lon", F.col("category").alias("categoria"), F.col("nombre_act").alias("actividad"), F.col("per_ocu").alias("tamano"))
+    writers.write_compact(b, path)
+    d = spark.read.parquet(f"{path}/facts")
+    for c in ("categoria", "actividad", "tamano"):
+        d = d.join(spark.read.parquet(f"{path}/{c}").select(F.col("code").alias(f"{c}_code"), F.col("value").alias(c)), f"{c}_code")
+    return d.select("nombre", "lat", "lon", "categoria", "actividad", "tamano", "tamano_code")
+
+
+def metrics_file(spark, sf_dir) -> DataFrame:
+    """Figures of each nation's customers as metric rows in CSV, a folder a zone, read back."""
+    path = _path(spark, "metrics")
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("zone_id"), F.col("c_mktsegment").alias("s")).agg(F.count("*").alias("n"))
+    rows = c.select("zone_id", F.concat(F.lit('clientes "'), F.col("s"), F.lit('", total')).alias("metrica"), F.col("n").cast("string").alias("valor"), F.lit("clientes").alias("unidad"))
+    writers.write_metrics_csv(rows, path)
+    d = spark.read.csv(path, header=True, quote='"', escape='"')
+    first = d.columns[0]
+    return d.select(F.col("zone_id").cast("int").alias("zone_id"), F.col(f"`{first}`").alias("metrica"), F.col("valor"), "unidad")
+
+
+def reports_file(spark, sf_dir) -> DataFrame:
+    """Zone reports as JSON lines, read back."""
+    path = _path(spark, "reports")
+    z, t = zones(spark, sf_dir), tracts(spark, sf_dir)
+    rows = spatial.overlap(z, t, "zone_id", "gid").join(t.drop("geom"), "gid")
+    base = z.select("zone_id", "lat", "lng", "radius_km", G.spherical_area_km2(F.col("geom")).alias("km2"), F.lit(None).cast("double").alias("tract_km2"))
+    writers.write_zone_reports(Z.zone_report(base, Z.demographics(rows), Z.level_shares(rows)), path)
+    kind = "zone_id long, schema_version int, radio_km double, nivel_predominante string, metricas struct<agebs_intersectadas:double,poblacion_estimada:double>"
+    d = spark.read.schema(kind).json(path)
+    return d.select("zone_id", "schema_version", _r(F.col("radio_km"), 3).alias("radio_km"), F.col("metricas.agebs_intersectadas").cast("long").alias("tracts"))
+
+
 QUERIES = {f.__name__: f for f in (
     scalar_names, scalar_numbers, scalar_classes, scalar_money_time, traffic_levels, projections, conic_density, circle_areas, census_index, census_joins, population_series, population_context,
     price_index_yoy, price_index_latest, zone_demographics, zone_demographics_round, whole_tracts, value_stats, value_stats_drawn, top_values, landuse_shares, zone_poi_counts, zone_nearest,
     points_in_tracts, gap_points, colonia_levels, smallest_band, reach_counts, reachable_projects, ring_bands, nearest_segment, viewport_points, erase, dissolve, smoothed_outlines, zone_reports,
     metric_rows, gis_layer, collapsed_values, cascade_match, fuzzy_match, search, osm_points, category_counts, dictionary_codes, business_mix, value_histogram, described_values, landuse_union,
-    totals_by_status, dbscan, terciles, proxy_validation, cluster_scores, compared_colonias,
+    totals_by_status, dbscan, terciles, proxy_validation, cluster_scores, compared_colonias, compared_set, reach_services, reach_projects, census_file, business_snapshots, features_file,
+    features_table, webmap_file, osm_file, compact_file, metrics_file, reports_file,
 )}

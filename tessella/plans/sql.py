@@ -109,6 +109,65 @@ VALUES = f"""v0 AS (SELECT {pick(['Aguascalientes', 'Jesús María'], 'p_partkey
   trim({pick(['COLONIA ', '', 'FRACCIONAMIENTO '], 'p_partkey * 3 % 29')} || upper(p_name) || {pick(['', ' PRIMERA SECCION', ' SECCION 2'], 'p_partkey * 5 % 31')}) AS name, p_retailprice AS value FROM part),
 vals AS (SELECT municipio, name, arg_min(sector, pos) AS sector, min(pos) AS pos, round_even(avg(CASE WHEN municipio = 'Aguascalientes' THEN floor(value) ELSE value END), 0)::BIGINT AS value FROM v0 WHERE value >= 100 GROUP BY municipio, name)"""
 
+WORD = "[A-ZÑ0-9]"
+SECTION = "|".join(S.SECTIONS)
+
+
+def squeezed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def norm(x: str) -> str:
+    return squeezed(f"regexp_replace(translate(upper({x}), 'ÁÉÍÓÚ', 'AEIOU'), '[^A-ZÑ0-9 ]', ' ', 'g')")
+
+
+def by_word(x: str, of: str) -> str:
+    """Words of a name (single spaces) each as the expression `of` of w."""
+    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: {of}), ' ')"
+
+
+def canon(x: str) -> str:
+    ordinals = cases([(f"w IN ({', '.join(map(repr, words))})", f"'{d}'") for d, words in S.ORDINALS.items()], "w")
+    return squeezed(f"regexp_replace({by_word(by_word(x, 'CASE WHEN w = ' + repr('SECC') + ' THEN ' + repr('SECCION') + ' ELSE w END'), ordinals)}, '(^| )([0-9]) ({SECTION})( |$)', '\\1\\3 \\2\\4', 'g')")
+
+
+def bare(x: str) -> str:
+    return squeezed(f"regexp_replace(regexp_replace({x}, '(^| )({SECTION})( ?[0-9]+)?( |$)', ' ', 'g'), '\\s+[0-9]+$', '')")
+
+
+def slug(x: str) -> str:
+    return f"replace({by_word(x, 'CASE WHEN w IN (' + ', '.join(map(repr, S.CONNECTIVES)) + ') THEN ' + repr('') + ' ELSE w END')}, ' ', '')"
+
+
+def leading(x: str) -> tuple[str, str]:
+    """(type, base) of a name."""
+    hits = [(f"starts_with({x}, '{t} ')", t) for t in S.SETTLEMENT_TYPES]
+    return cases([(c, f"'{t}'") for c, t in hits], "''"), cases([(c, f"substr({x}, {len(t) + 2})") for c, t in hits], x)
+
+
+NAMED = f"""p AS (SELECT p_partkey AS gid, {pick(['', 'Colonia ', 'Fraccionamiento ', 'unidad habitacional ', 'Zona ', 'Barrio de la '], 'p_partkey * 3 % 103')} || replace(replace(p_name, 'o', 'ó'), 'ng', 'ñg') || {pick(['', ' 1RA SECC', ' segunda sección', ' 2 SECCION', ' III ETAPA', ' sector 4'], 'p_partkey * 7 % 101')} AS name FROM part),
+n AS (SELECT gid, name, {norm('name')} AS norm FROM p), t AS (SELECT *, {leading('norm')[0]} AS type, {leading('norm')[1]} AS base FROM n), c AS (SELECT *, {canon('base')} AS canon FROM t)"""
+WORDS = ["small ring", "red widget", "blue bolt", "hot gear", "red rings", "blu bolt", "plaza nueva", "small ringe"]
+POLYGONS = f"""polys AS (SELECT c_custkey AS gid, {pick(['Aguascalientes', 'Jesús María'], 'c_custkey')} AS municipio, {pick(['COLONIA', 'FRACCIONAMIENTO', 'BARRIO'], 'c_custkey * 7 % 13')} AS tipo, {pick(WORDS, 'c_custkey * 11 % 37')} || {pick(['', ' 1a secc', ' sección 2', ' III etapa'], 'c_custkey * 3 % 17')} AS nom FROM customer),
+q AS (SELECT gid, municipio, tipo, {norm('nom')} AS nom, {canon(norm('nom'))} AS cn FROM polys), q2 AS (SELECT *, {bare('cn')} AS ss FROM q),
+asks AS (SELECT gid, municipio, unnest([{{'turn': 0, 'm': 0, 'level': 0, 'key': tipo || ' ' || nom}}, {{'turn': 1, 'm': 1, 'level': 1, 'key': nom}}, {{'turn': 2, 'm': 2, 'level': 2, 'key': cn}}, {{'turn': 3, 'm': 2, 'level': 2, 'key': replace(cn, ' ', '')}},
+  {{'turn': 4, 'm': 3, 'level': 3, 'key': ss}}, {{'turn': 5, 'm': 3, 'level': 1, 'key': ss}}, {{'turn': 6, 'm': 3, 'level': 2, 'key': ss}}, {{'turn': 7, 'm': 4, 'level': 4, 'key': {slug('cn')}}}, {{'turn': 8, 'm': 4, 'level': 4, 'key': {slug('ss')}}}], recursive := true) FROM q2)"""
+KEYS = f"""k0 AS (SELECT *, {leading('name')[1]} AS base FROM vals), k1 AS (SELECT *, {canon('base')} AS cb FROM k0), k2 AS (SELECT *, {bare('cb')} AS ss FROM k1),
+k3 AS (SELECT municipio, pos, sector, value, unnest([{{'level': 0, 'key': name}}, {{'level': 1, 'key': base}}, {{'level': 2, 'key': cb}}, {{'level': 2, 'key': replace(cb, ' ', '')}}, {{'level': 3, 'key': CASE WHEN ss <> cb THEN ss END}}, {{'level': 4, 'key': {slug('cb')}}}, {{'level': 4, 'key': {slug('ss')}}}], recursive := true) FROM k2),
+keys AS (SELECT municipio, level, key, round_even(avg(value), 0)::BIGINT AS value, arg_min(sector, pos) AS sector FROM k3 WHERE key <> '' GROUP BY ALL)"""
+ELEMENTS = f"""e0 AS (SELECT o_orderkey AS k, {pick(['school', 'clinic', 'bank', 'fuel', 'cafe'], 'o_orderkey * 3 % 7')} AS v FROM orders WHERE o_orderkey % 6 = 0 OR o_orderkey % 3 <> 0),
+osm AS (SELECT k AS id, round({lat('k % 3001')}, 6) AS lat, round({lon('k % 3001')}, 6) AS lon, CASE v WHEN 'school' THEN 'Educación' WHEN 'clinic' THEN 'Salud' WHEN 'bank' THEN 'Bancos' ELSE 'Gasolineras' END AS category, 'amenity=' || v AS kind,
+  CASE WHEN k % 4 = 0 THEN 'lugar ' || (k % 5) ELSE category || ' sin nombre' END AS name FROM e0 WHERE v <> 'cafe')"""
+
+
+def utm_13(o: str, a: str) -> str:
+    """x and y columns of UTM 13 (WGS 84) by the series of the third flattening, to the sixth order."""
+    return f"""u0 AS (SELECT *, radians({a}) AS phi, radians({o} + 105) AS dl, (1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE) AS n FROM src),
+u1 AS (SELECT *, 2 * sqrt(n) / (1 + n) AS e, 6378137 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS rect FROM u0), u2 AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM u1),
+u3 AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta, [n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16, 13 * n * n / 48 - 3 * pow(n, 3) / 5, 61 * pow(n, 3) / 240] AS al FROM u2),
+utm AS (SELECT *, 500000 + 0.9996 * rect * (eta + {' + '.join(f'al[{j}] * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j in (1, 2, 3))}) AS east, 0.9996 * rect * (xi + {' + '.join(f'al[{j}] * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j in (1, 2, 3))}) AS north FROM u3)"""
+
+
 SQL: dict[str, str] = {
     "scalar_numbers": """WITH t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 OR c_custkey % 10 = 0 THEN NULL ELSE (c_custkey % 500)::DOUBLE END AS n FROM customer)
 SELECT k AS id, '01' || lpad((k % 11)::VARCHAR, 3, '0') || CASE WHEN length(k::VARCHAR) < 4 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCHAR END || '00A' || (k % 7) AS key, n,
@@ -199,4 +258,25 @@ SELECT programa, {pick(['Habitacional', 'Mixto', '', 'Conservación / Ecológico
     "compared_colonias": f"""WITH {TRACTS}, {COLONIAS}, l AS (SELECT c.gid, coalesce(min(t.nse_nivel), '—') AS nivel FROM colonias c LEFT JOIN tracts t ON (c.x1 + c.x2) / 2 BETWEEN t.x1 AND t.x2 AND (c.y1 + c.y2) / 2 BETWEEN t.y1 AND t.y2 GROUP BY 1)
 SELECT municipio, rank::INT AS rank, gid, round(valor_m2, 4) AS valor_m2, nivel FROM (SELECT *, row_number() OVER (PARTITION BY municipio ORDER BY valor_m2 DESC, gid) AS rank FROM colonias WHERE valor_m2 IS NOT NULL) JOIN l USING (gid) WHERE rank <= 4""",
 }
+SQL |= {
+    "scalar_names": f"WITH {NAMED}, b AS (SELECT *, {bare('canon')} AS bare FROM c) SELECT gid, norm, type, base, canon, bare, {slug('canon')} AS slug, {squeezed("translate(upper(name), 'ÁÉÍÓÚÑ', 'AEIOUN')")} AS search, CASE WHEN type = '' THEN '' ELSE type || ' ' END || base AS label, coalesce(nullif(trim(type), ''), 'sin tipo') AS shown FROM b",
+    "cascade_match": f"WITH {VALUES}, {KEYS}, {POLYGONS}, h AS (SELECT gid, m, sector, value, row_number() OVER (PARTITION BY gid ORDER BY turn) AS r FROM asks JOIN keys USING (municipio, level, key)) SELECT gid, (['exacto', 'base', 'canon', 'sin_seccion', 'slug'])[m + 1] AS method, sector, value FROM h WHERE r = 1",
+    "osm_points": f"WITH {ELEMENTS} SELECT id, lat, lon, category, kind, name FROM (SELECT *, row_number() OVER (PARTITION BY round(lat, 5), round(lon, 5), category ORDER BY id) AS r FROM osm) WHERE r = 1",
+    "osm_file": f"WITH {ELEMENTS} SELECT * FROM osm",
+    "projections": f"""WITH src AS (SELECT c_custkey AS id, {lon('c_custkey')} AS lon, {lat('c_custkey')} AS lat FROM customer), {utm_13('lon', 'lat')}
+SELECT id, round(east, 3) AS east, round(north, 3) AS north, round(lon, 7) AS lon, round(degrees(atan(sinh((2490000.0::DOUBLE + id) / 6378137))), 7) AS lat FROM utm""",
+    "compared_set": SQL["compared_colonias"].split("SELECT municipio, rank")[0] + "SELECT municipio, gid, round(valor_m2, 4) AS valor_m2, nivel FROM colonias JOIN l USING (gid) WHERE gid IN (17, 3, 88, 5)",
+    "reach_services": f"""{SMALLEST}, h AS (SELECT zone_id, category, count(*) AS n FROM hits JOIN businesses USING (id) GROUP BY ALL) SELECT zone_id, category, n, row_number() OVER (PARTITION BY zone_id ORDER BY n DESC, category)::INT AS rank FROM h""",
+    "reach_projects": f"""{SMALLEST}, p AS (SELECT zone_id, minutes, 'obra ' || (id * 7 % 1009) || '/' || id AS nombre FROM hits WHERE id % 4 = 0) SELECT * FROM (SELECT zone_id, minutes, nombre, row_number() OVER (PARTITION BY zone_id ORDER BY minutes, nombre)::INT AS rank FROM p) WHERE rank <= 24""",
+    "census_file": f"""SELECT {pick(['1', '5', '9'], 'c_custkey')} AS MUN, (c_custkey % 50)::VARCHAR AS LOC, c_custkey::VARCHAR AS AGEB, CASE WHEN c_custkey % 19 = 0 THEN '*' ELSE (100 + c_custkey * 37 % 3001)::VARCHAR END AS POBTOT, CASE WHEN c_custkey % 11 = 0 THEN '*' ELSE (c_custkey * 2 % 29)::VARCHAR END AS VPH_INTER,
+  CASE WHEN c_custkey % 31 = 0 THEN '0' ELSE (30 + c_custkey * 13 % 907)::VARCHAR END AS TVIVPARHAB FROM customer WHERE c_custkey % 7 <> 3 AND c_custkey % 3 <> 2""",
+    "business_snapshots": """SELECT o_orderkey AS id, 'Café "Ñandú" ' || o_orderkey AS nom_estab, strftime((SELECT max(o_orderdate) FROM orders), '%m/%Y') AS label FROM orders WHERE o_orderkey % 3 = 0""",
+    "features_file": f"WITH {TRACTS} SELECT CVEGEO, POBTOT, nse_nivel, round({area('x1', 'y1', 'x2', 'y2')}, 6) AS km2, 1 AS rings FROM tracts",
+    "features_table": f"WITH {ZONES} SELECT zone_id, round(zx1, 9) AS xmin, round(zy2, 9) AS ymax FROM zones",
+    "webmap_file": f"""WITH t AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE {pick(['Habitacional popular', 'mixto', 'Vialidad primaria', 'Industria ligera'], 'p_partkey * 7 % 41')} END AS uso, round(p_size * 1.27::DOUBLE, 1) AS h, p_size::DOUBLE AS y FROM part WHERE p_partkey % 5 <> 0)
+SELECT 'M' AS municipio, 'P' AS programa, uso, CASE uso WHEN 'mixto' THEN 'Mixto' WHEN 'Industria ligera' THEN 'Industrial' ELSE 'Habitacional' END AS grupo, count(*) AS n, round(sum(h), 1) AS hectareas, max(y) AS ymax FROM t WHERE uso NOT IN (' ', 'Vialidad primaria') GROUP BY ALL""",
+    "compact_file": f"WITH {BUSINESSES} SELECT 'n' || id AS nombre, round(lat, 6) AS lat, round(lon, 6) AS lon, category AS categoria, nombre_act AS actividad, per_ocu AS tamano, (dense_rank() OVER (ORDER BY length(per_ocu), per_ocu) - 1)::INT AS tamano_code FROM businesses",
+    "metrics_file": """SELECT c_nationkey::INT AS zone_id, 'clientes "' || c_mktsegment || '", total' AS metrica, count(*)::VARCHAR AS valor, 'clientes' AS unidad FROM customer GROUP BY ALL""",
+    "reports_file": f"WITH {TRACTS}, {ZONES}, {OVERLAP}, n AS (SELECT zone_id, count(*) AS tracts FROM rows GROUP BY 1) SELECT zone_id, 2 AS schema_version, round(radius_km, 3) AS radio_km, tracts FROM zones LEFT JOIN n USING (zone_id)",
+}
 SQL["census_joins"] = SQL["census_joins"].replace(f"coalesce({level_of('pct')}, 'S/D') AS nse_nivel_", f"CASE WHEN ranked.CVEGEO IS NULL THEN 'S/D' ELSE {level_of('pct')} END AS nse_nivel").replace(", ranked.CVEGEO IS NULL AS missing", "")

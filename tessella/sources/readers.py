@@ -47,10 +47,16 @@ def _rings(polygons: Column) -> Column:
     return F.flatten(F.transform(polygons, one))
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """A row a feature: the named properties (a DDL list), geom for (multi)polygons, lon and lat for points."""
+def read_geojson(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """A row a feature: the named properties (a DDL list), geom for (multi)polygons, lon and lat for points.
+
+    A file is one collection or, with lines, each line one feature (as write_features has it), which Spark reads in parts.
+    """
     schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([T.StructField("geometry", T.StringType()), T.StructField("properties", T._parse_datatype_string(properties))])))])
-    f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    if lines:
+        f = spark.read.schema(schema["features"].dataType.elementType).json(path).select(F.struct("geometry", "properties").alias("f"))
+    else:
+        f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
     kind = F.get_json_object("f.geometry", "$.type")
     coords = F.get_json_object("f.geometry", "$.coordinates")
     polygons = F.when(kind == "Polygon", F.array(F.from_json(coords, _POLYGON))).when(kind == "MultiPolygon", F.from_json(coords, f"array<{_POLYGON}>"))
@@ -59,14 +65,14 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     return f.select("f.properties.*", geom.alias("geom"), point[0].alias("lon"), point[1].alias("lat"))
 
 
-def read_webmap(spark: SparkSession, path: str, title: str, field: str, municipality: str, programme: str, area_field: str | None = None, skip_prefix: str | None = None) -> DataFrame:
+def read_webmap(spark: SparkSession, path: str, title: str, field: str, municipality: str, programme: str, area_field: str | None = None, skip_prefix: str | None = None, lines: bool = False) -> DataFrame:
     """Layers -> sublayers -> features of a web map, those of the layer of this title, with attributes under our names.
 
-    Rows with an empty use, or one that begins with skip_prefix, go.
+    Rows with an empty use, or one that begins with skip_prefix, go. With lines, each line of a file is a map.
     """
     attributes = f"struct<`{field}`:string" + (f",`{area_field}`:double" if area_field else "") + ">"
     kind = f"struct<operationalLayers:array<struct<title:string,featureCollection:struct<layers:array<struct<featureSet:struct<features:array<struct<attributes:{attributes},geometry:struct<rings:{_POLYGON}>>>>>>>>>>"
-    d = spark.read.schema(T._parse_datatype_string(kind)).json(path, multiLine=True)
+    d = spark.read.schema(T._parse_datatype_string(kind)).json(path, multiLine=not lines)
     d = d.select(F.explode("operationalLayers").alias("l")).where(F.col("l.title") == title)
     d = d.select(F.explode("l.featureCollection.layers").alias("s")).select(F.explode("s.featureSet.features").alias("f"))
     use = F.trim(F.col("f.attributes")[field])
@@ -76,6 +82,7 @@ def read_webmap(spark: SparkSession, path: str, title: str, field: str, municipa
     return d.select(F.lit(municipality).alias("municipio"), F.lit(programme).alias("programa"), use.alias("uso"), landuse_group(use).alias("grupo"), hectares.alias("hectareas"), F.lit(field).alias("plano"), geometry_of(rings).alias("geom"))
 
 
-def read_osm(spark: SparkSession, path: str) -> DataFrame:
+def read_osm(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row an element. A file is one answer of the service or, with lines, each line is one."""
     kind = "elements array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
-    return spark.read.schema(kind).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
+    return spark.read.schema(kind).json(path, multiLine=not lines).select(F.explode("elements").alias("e")).select("e.*")
