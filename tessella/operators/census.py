@@ -61,7 +61,7 @@ def percentile_level(df: DataFrame, col: str, name: str = "nse_nivel") -> DataFr
     The running sum is over distinct scores, in ranges of the score.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_k"))
-    ranks = running_sum(counts, [F.col(col)], F.col("_k"), "_upto")
+    ranks = running_sum(counts, [F.col(col)], {"_upto": F.col("_k")})
     ranks = ranks.select(F.col(col).alias("_c"), ((F.col("_upto") - F.col("_k") + (F.col("_k") + 1) / 2) / F.col("_upto_all") * 100).alias("_pct"))
     d = df.join(ranks, F.col(col) == F.col("_c"), "left")
     return d.withColumn(name, F.when(F.col("_pct").isNotNull(), S.level_of(F.col("_pct")))).drop("_c", "_pct")

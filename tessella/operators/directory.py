@@ -45,7 +45,7 @@ def dictionary_encode(df: DataFrame, cols: list[str], order: dict[str, list[Colu
     for c in cols:
         by = (order or {}).get(c) or [F.col(c)]
         values = df.where(F.col(c).isNotNull()).select(c).distinct()
-        dim = running_sum(values, by, F.lit(1), "_n").select((F.col("_n") - 1).cast("int").alias("code"), F.col(c).alias("value"))
+        dim = running_sum(values, by, {"_n": F.lit(1)}).select((F.col("_n") - 1).cast("int").alias("code"), F.col(c).alias("value"))
         dims[c] = dim
         out = out.join(dim.select(F.col("code").alias(f"{c}_code"), F.col("value").alias(c)), c, "left")
     return out, dims
