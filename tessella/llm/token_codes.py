@@ -4,9 +4,10 @@ A block of ids is cut into levels of 8, 8 and 16 bits. Level 0 holds the low byt
 id goes on; level 1 holds the next byte of those that do, and so on. A rank directory (the count of set bits before each
 512-bit stretch) finds the place of an id in the next level, so that any token is read on its own, without decoding a block.
 
-File format: one Parquet row a block (written by Spark's committer, so that a lost executor leaves no half file), with the
-block's documents in ascending doc_id order, their id counts and the code as binary. Documents are dealt to blocks by ranges
-of doc_id. A null text counts as empty and is the end id alone; an empty table gives no blocks.
+File format: one Parquet row a block (written by Spark's committer, so that a lost executor leaves no half file), with its
+range (`part`), its place there (`seq`), the ids of the range before it (`before`), its documents in ascending doc_id order,
+their id counts and the code as binary. Documents are dealt to ranges of doc_id (rows of one doc_id by hash of their texts).
+Repeated rows are each encoded. A null text counts as empty and is the end id alone; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tessella.llm.common import Spans, scratch_dir, slices
@@ -234,8 +236,8 @@ def _byte_encoder(path: str, added: bool) -> PieceEncoder:
 
 # --- files -----------------------------------------------------------------------------------------------------------
 
-_BLOCK = pa.schema([("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("code", pa.binary())])
-BLOCK_TYPE = "first_doc long, doc_ids array<long>, counts array<long>, n_ids long, code binary"
+_BLOCK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("code", pa.binary())])
+BLOCK_TYPE = "part int, seq int, before long, doc_ids array<long>, counts array<long>, n_ids long, code binary"
 
 
 def write_token_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, block_docs: int = BLOCK_DOCS, added: bool = False) -> None:
@@ -248,9 +250,13 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _byte_encoder(tokenizer_path, added)
 
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
+
         def block(doc_ids, counts, parts):
+            nonlocal seq, before
             ids = np.concatenate(parts)
-            return pa.RecordBatch.from_arrays([pa.array([doc_ids[0]], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([encode_block(ids)], pa.binary())], schema=_BLOCK)
+            seq, before = seq + 1, before + len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq - 1], pa.int32()), pa.array([before - len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([encode_block(ids)], pa.binary())], schema=_BLOCK)
 
         doc_ids, counts, parts = [], [], []
         for batch in batches:
@@ -269,19 +275,17 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     spark = docs.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ranged.mapInArrow(encode, BLOCK_TYPE).write.parquet(path)
 
 
 def read_token_codes(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks, with `start`: the ids of all blocks before it. The running sum is over one row a block."""
+    """The blocks, with `start`: the ids of all blocks before it. A block knows its place in its range, so only the ranges'
+    totals (one row a range, as many as there were partitions) are summed up and sent to all; codes stay where they are."""
     blocks = spark.read.schema(BLOCK_TYPE).parquet(path)
-    ahead = W.orderBy(F.col("first_doc").asc_nulls_first(), "last_doc", "n_ids").rowsBetween(W.unboundedPreceding, -1)
-    key = blocks.select("first_doc", F.element_at("doc_ids", -1).alias("last_doc"), "n_ids", F.crc32("code").alias("sum"))
-    starts = key.select("first_doc", "last_doc", "sum", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("start"))
-    b = blocks.withColumn("last_doc", F.element_at("doc_ids", -1)).withColumn("sum", F.crc32("code"))
-    same = b.first_doc.eqNullSafe(starts.first_doc) & b.last_doc.eqNullSafe(starts.last_doc) & (b["sum"] == starts["sum"])
-    return b.join(starts, same).select(b.first_doc, b.doc_ids, b.counts, b.n_ids, b.code, starts.start)
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    ahead = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("ahead"))
+    return blocks.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + F.col("before")).drop("ahead")
 
 
 def token_digests(blocks: DataFrame) -> DataFrame:
