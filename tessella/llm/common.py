@@ -32,9 +32,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where that is unset a temporary one, on one machine only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(spark, "_tessella_scratch", None)
         if not found:
             found = spark._tessella_scratch = "file://" + tempfile.mkdtemp(prefix="spark-tessella-")

@@ -17,29 +17,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.llm.common import WORD_PATTERN, cut
+from tessella.operators.ranking import running_sum
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-DOCS_PER_SHARD, MOST_SHARDS = 1024, 4096
+#: Shards hold about so many documents; the tree first parts a quota among groups of so many shards, then within each.
+DOCS_PER_SHARD, GROUP = 1024, 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target): a share of all words by weight, no target above `most` times its source.
 
     Handing the excess on by weight until none is above ends where targets are min(cap, weight * level); the level follows
-    from the sources in order of cap / weight. One row a source, so the two ordered windows are small.
+    from the sources in order of cap / weight, by running sums over ranges of that order.
     """
     k = len(weights)
-    order = W.orderBy(F.col("source").asc_nulls_last())
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("i", F.row_number().over(order) - 1)
-    s = s.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % k + 1).cast("int")))
+    s = running_sum(s, [F.col("source").asc_nulls_last()], {"i": F.lit(1)}).drop("i_all")
+    s = s.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("i") - 1, F.lit(k)) + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * float(most)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    everything = W.partitionBy(F.lit(1))
-    upto = W.orderBy("ratio", "i").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("total", F.sum("source_size").over(everything) * share).withColumn("weights", F.sum("weight").over(everything))
-    s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))))
+    s = running_sum(s, [F.col("ratio"), F.col("i")], {"caps": F.col("cap"), "weights": F.col("weight"), "sizes": F.col("source_size")})
+    s = s.withColumn("level", (F.col("sizes_all") * share - (F.col("caps") - F.col("cap"))) / (F.col("weights_all") - (F.col("weights") - F.col("weight"))))
     s = s.withColumn("free", F.col("level") <= F.col("ratio"))
     first = s.where("free").groupBy().agg(F.min_by("level", F.struct("ratio", "i")).alias("at"))
     s = s.join(F.broadcast(first), F.lit(True), "left")  # one row
@@ -79,7 +78,7 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), *extra)
     sized = cut(base.select("doc_id", "source", "size", *extra), "sizes")
     n = sized.count()
-    shards = min(MOST_SHARDS, max(1, -(-n // DOCS_PER_SHARD)))
+    shards = max(1, -(-n // DOCS_PER_SHARD))
     sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"))
     targets = cut(source_targets(sized, weights, share, most), "targets")
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -90,11 +89,16 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
         name = pdf["source"].iloc[0]
-        key = [seed, *(name or "").encode(), 256 if name is None else 257]
+        key = [seed, int(pdf["group"].iloc[0]) + 1, *(name or "").encode(), 256 if name is None else 257]
         pdf["quota"] = split_quota(pdf["have"].to_numpy(), int(pdf["quota"].iloc[0]), np.random.Generator(np.random.PCG64(key)))
         return pdf
 
-    dealt = cells.groupBy("source").applyInPandas(deal, cells.schema)  # at most MOST_SHARDS rows a source
+    cells = cells.withColumn("group", F.floor(F.col("shard") / GROUP).cast("int"))
+    groups = cells.groupBy("source", F.col("group").alias("shard"), "quota").agg(F.sum("have").alias("have")).withColumn("group", F.lit(-1))
+    upper = groups.groupBy("source").applyInPandas(deal, groups.schema)  # a row for GROUP * DOCS_PER_SHARD documents
+    upper = upper.select(F.col("source").alias("s"), F.col("shard").alias("g"), F.col("quota").alias("share"))
+    cells = cells.join(upper, cells.source.eqNullSafe(upper.s) & (cells.group == upper.g)).drop("s", "g", "quota").withColumnRenamed("share", "quota")
+    dealt = cells.groupBy("source", "group").applyInPandas(deal, cells.schema)  # at most GROUP rows each
     d = dealt.select(F.col("source").alias("s"), F.col("shard").alias("h"), "source_size", "target", "whole", "quota")
     joined = sized.join(d, sized.source.eqNullSafe(d.s) & (sized.shard == d.h)).drop("s", "h")
     order = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -108,7 +112,9 @@ def mixed_documents(docs: DataFrame, seed: int = 17, whole: bool = False, **opti
     first words, for a part. With `whole` no text is cut: a document of which a part is due stands once more as it is when that
     is half of it at least, and else not; a source's words then differ from its target by half a document a shard at most.
     Rows that the mix doesn't take are gone. Partitions are in random order within."""
-    columns = docs.columns
+    given = docs.columns
+    columns = [c if c in ("doc_id", "source", "text") else f"column_{i}" for i, c in enumerate(given)]  # no clash with names of ours
+    docs = docs.toDF(*columns)
     key = F.xxhash64("doc_id", "source", "text")
     m = mix(docs.withColumn("_row", key), seed=seed, extra=("_row",), **options).where("taken > 0")
     # repeated rows look alike to the draw: each takes one of the draws of their kind
@@ -122,7 +128,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, whole: bool = False, **opti
     j = j.select(*columns, "_t", F.posexplode(copies).alias("_copy", "_cut"))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.greatest(F.col("_t.part"), F.lit(1)).cast("int"))
     j = j.sortWithinPartitions(F.xxhash64(F.lit(seed + 2), "doc_id", "_copy"))
-    return j.select(*[F.when(F.col("_cut"), F.array_join(words, " ")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns])
+    return j.select(*[F.when(F.col("_cut"), F.array_join(words, " ")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns]).toDF(*given)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
