@@ -4,7 +4,8 @@ Each language gives every piece of a fixed public vocabulary a probability. A te
 over all ways to cut it into pieces; as pieces stay within words, it is the product of its words' sums, each by a forward
 algorithm over the word's bytes. Piece probabilities are fitted by expectation maximisation (forward and backward) on the
 distinct words of a bounded sample, DOCS_PER_LANGUAGE documents of each language, taken by hash of the id. Texts are
-lower-cased; every word of every whole text counts. A word above LONGEST bytes is cut into parts of that length.
+lower-cased; every word of every whole text counts. A run without white space above LONGEST bytes is read as parts of at
+most that length, cut between characters; pieces don't span two parts.
 
 A null text and one without a letter are `und` with score 0. Rows without a language teach nothing but are scored. Repeated
 rows are each scored. If no row teaches a language (an empty table, say), all are `und`.
@@ -26,7 +27,6 @@ from tessella.llm.common import Spans, cut, held_out, slices
 DOCS_PER_LANGUAGE = 2000
 ROUNDS = 3
 LONGEST = 64
-LONGEST_PIECE = 10
 SMOOTH = 0.02
 MOST_WORDS = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -39,7 +39,8 @@ class Vocabulary:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.size = max(ranks.values()) + 1
-        pieces = [(p, i) for p, i in ranks.items() if len(p) <= LONGEST_PIECE]
+        pieces = list(ranks.items())
+        self.longest = max(map(len, ranks))
         data = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
         ends = np.cumsum([len(p) for p, _ in pieces])
         h = Spans(data, np.array([0, len(data)]), lower=False).hashes(ends - np.array([len(p) for p, _ in pieces]), ends)
@@ -75,7 +76,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def lattice(v: Vocabulary, spans: Spans, starts: np.ndarray, n: int) -> list[list[np.ndarray]]:
     """ids[j][l]: the piece that covers the bytes from j - l - 1 to j, for words of n bytes."""
-    return [[v.find(spans.hashes(starts + j - k, starts + j)) for k in range(1, min(j, LONGEST_PIECE) + 1)] for j in range(1, n + 1)]
+    return [[v.find(spans.hashes(starts + j - k, starts + j)) for k in range(1, min(j, v.longest) + 1)] for j in range(1, n + 1)]
 
 
 def forward(ids: list[list[np.ndarray]], p: np.ndarray) -> list[np.ndarray]:
@@ -92,14 +93,18 @@ def by_length(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.nd
         yield int(n), np.flatnonzero(size == n)
 
 
-def parts(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (with the byte before them, a white space) in parts of LONGEST bytes, and each part's word."""
+def parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (with the byte before them, a white space) in parts of up to LONGEST bytes, and each part's word."""
     starts = starts - 1
     n = -(-(ends - starts) // LONGEST)
     word = np.repeat(np.arange(len(starts)), n)
     k = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
     s = starts[word] + k * LONGEST
-    return s, np.minimum(s + LONGEST, ends[word]), word
+    e = np.minimum(s + LONGEST, ends[word])
+    for _ in range(3):  # a cut inside a character moves to its start, at both sides of the cut
+        s = s - ((k > 0) & (data[s] & 0xC0 == 0x80))
+        e = e - ((e < ends[word]) & (data[np.minimum(e, len(data) - 1)] & 0xC0 == 0x80))
+    return s, e, word
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -127,7 +132,7 @@ class Scorer:
         out = np.zeros((len(offsets) - 1, self.p.shape[1]))
         if not len(starts):
             return out
-        starts, ends, word = parts(starts, ends)
+        starts, ends, word = parts(spans.data, starts, ends)
         doc = doc[word]
         keys, first, back = np.unique(spans.hashes(starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > MOST_WORDS:
@@ -168,7 +173,7 @@ def fit(docs: DataFrame, vocabulary_path: str, per_language: int = DOCS_PER_LANG
                 starts, ends, doc = spans.words()
                 if not len(starts):
                     continue
-                starts, ends, word = parts(starts, ends)
+                starts, ends, word = parts(spans.data, starts, ends)
                 lang = np.searchsorted(langs, names[first:last])[doc[word]]
                 h = spans.hashes(starts, ends)
                 _, at, n = np.unique(h * np.uint64(2 * len(langs) + 1) + lang.astype(np.uint64), return_index=True, return_counts=True)
@@ -200,7 +205,7 @@ def fit(docs: DataFrame, vocabulary_path: str, per_language: int = DOCS_PER_LANG
                     for row in ids:
                         alpha.append(sum(alpha[-k] * q(x) for k, x in enumerate(row, 1)))
                     for j in range(size - 1, -1, -1):
-                        beta.append(sum(beta[-k] * q(ids[j + k - 1][k - 1]) for k in range(1, min(size - j, LONGEST_PIECE) + 1)))
+                        beta.append(sum(beta[-k] * q(ids[j + k - 1][k - 1]) for k in range(1, min(size - j, v.longest) + 1)))
                     beta = beta[::-1]
                     weight = n[at] / np.maximum(alpha[-1], 1e-300)
                     for j, row in enumerate(ids, 1):
