@@ -1,22 +1,30 @@
 """Surrogates for personal data, by DataFrame expressions alone.
 
-Entities (mail and IP addresses, phone, card, account and social security numbers, secrets, names after a title or a known
-given name) are found by patterns and replaced by surrogates of their kind. A surrogate is a keyed permutation of its kind's
+Entities (mail and IP addresses, phone, card, account and social security numbers, secrets; names after a title, with a known
+given name, or beside words that go with persons) are found by patterns and replaced by surrogates of their kind. Words of a
+name that a text gives in full are entities wherever else they stand in that text, so that a person who is named once more by
+surname alone is the same surrogate person. A surrogate is a keyed permutation of its kind's
 own format: characters keep their class and script (digits, vowels, consonants, capitals, hexadecimal digits, letters of
 other scripts), separators their place; a card number keeps its first digit and whether its check digit is right, an IP
-address stays one, a mail address keeps its top-level domain, a given name becomes another of the same gender, titles stay.
+address stays one, a mail address keeps its top-level domain, a given name becomes another of the same gender (the next in a
+keyed order of the list), titles stay.
 A permutation gives different entities different surrogates and one entity one surrogate wherever it occurs (numbers in
 whatever grouping, mail addresses and surnames in whatever case), in this corpus and in the next. `collisions` checks that
-on all entities of a table; the operator runs the check and fails if it finds one.
+on all entities of a table; the operator runs the check on what it has written and fails if it finds one. A surrogate of a
+small space (an IP address, a name) may by chance be some other real entity; `real_surrogates` lists those of a table.
 
 A null text stays null, an empty one empty; texts without an entity are returned as they are. Repeated rows are alike. Extra
-columns are kept as they are. An empty table gives an empty one.
+columns are kept as they are, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessella.llm.common import cut
+
 KEY = "tessella"
 ROUNDS = 4
 
@@ -25,6 +33,10 @@ MALE = "Alexander Andreas Antonio Carlos Charles Daniel David Edward Francisco F
 FEMALE = "Alice Ana Anna Barbara Carmen Catherine Claire Dolores Elizabeth Emma Ingrid Isabel Jennifer Julia Karin Laura Linda Lucia Maria Marie Martha Mary Monika Nathalie Patricia Petra Sabine Sarah Sophie Susan Teresa Ursula".split()
 TITLES = "Mr Mrs Ms Miss Mister Dr Prof Herr Frau Monsieur Madame Mademoiselle Mme Mlle Señor Señora Señorita Sr Sra".split()
 
+# Words that stand before a person's name, and after one.
+BEFORE = "met told asked thanked called emailed phoned contact dear named".split()
+AFTER = "said says told asked met wrote thanked replied called emailed phoned".split()
+
 _NAME = r"\p{Lu}[\p{L}\p{M}’'-]*\p{Ll}"
 # Kinds, in order of precedence: pattern inside a text, and the whole of an entity.
 PATTERNS = {
@@ -33,16 +45,18 @@ PATTERNS = {
     "key": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}+\b|\b(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "account": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ ./-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ ./-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])|(?<![\w.-])0\d{2,4} \d{3,4} \d{3,4}(?![\w-])",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w])",
     "hex": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b",
-    "titled": rf"\b(?:{'|'.join(TITLES)})\b\.?\s{_NAME}(?:[ -]{_NAME}){{0,2}}+",
+    "titled": rf"\b(?:{'|'.join(TITLES)})\b\.?\s{_NAME}(?:[ -]{_NAME}){{0,2}}+|\b(?:{'|'.join(t.upper() for t in TITLES)})\b\.?\s\p{{Lu}}[\p{{Lu}}’'-]+(?: \p{{Lu}}{{2,}}+)?",
     "named": rf"\b(?:{'|'.join(MALE + FEMALE)}) {_NAME}\b",
+    "cued": rf"(?<=\b(?i:{'|'.join(BEFORE)}) ){_NAME} {_NAME}\b|\b{_NAME} {_NAME}(?= (?:{'|'.join(AFTER)})\b)",
 }
+NAMES = ("titled", "named", "cued")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@=:]|\b(?:{'|'.join(TITLES + MALE + FEMALE)})\b"
+HINT = rf"[0-9@=:]|\b(?:{'|'.join(TITLES + [t.upper() for t in TITLES] + MALE + FEMALE)})\b|{PATTERNS['cued']}"
 
 _LOWER_V, _LOWER_C = "aeiou", "bcdfghjklmnpqrstvwxyz"
 _ACCENTED = "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ"
@@ -126,11 +140,11 @@ def _name(x: Column, key: str) -> Column:
     """Word by word: titles stay, given names turn round within their gender's list, other words are permuted."""
 
     def word(w: Column) -> Column:
-        out = F.when(F.regexp_replace(w, r"\.$", "").isin(TITLES), w)
+        out = F.when(F.regexp_replace(w, r"\.$", "").isin([*TITLES, *(t.upper() for t in TITLES)]), w)
         for names in (MALE, FEMALE):
-            listed = F.array(*map(F.lit, names))
-            by = F.pmod(F.conv(F.substring(F.sha2(F.lit(f"{key}\x00{names[0]}"), 256), 1, 6), 16, 10).cast("long"), F.lit(len(names) - 1)) + 1
-            out = out.when(w.isin(names), F.element_at(listed, (F.pmod(F.array_position(listed, w) - 1 + by, F.lit(len(names))) + 1).cast("int")))
+            order = sorted(names, key=lambda n: hashlib.sha256(f"{key}\x00{n}".encode()).digest())
+            listed = F.array(*map(F.lit, order))
+            out = out.when(w.isin(names), F.element_at(listed, (F.pmod(F.array_position(listed, w), F.lit(len(order))) + 1).cast("int")))
         return out.otherwise(permuted(w, "name", key))
 
     # words and what parts them, alternately
@@ -142,15 +156,16 @@ def _whole(kind: str) -> str:
 
 
 def kind_of(x: Column) -> Column:
+    """The kind of an entity; all names are of one kind."""
     out = None
     for kind in PATTERNS:
-        hit = x.rlike(_whole(kind))
+        hit = x.rlike(_whole(kind)) if kind not in NAMES else F.lit(True)
         out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
     return out
 
 
 def surrogate(x: Column, key: str = KEY) -> Column:
-    """The surrogate of an entity (a whole match of one of the patterns)."""
+    """The surrogate of an entity (a whole match of one of the patterns, or a word of a name)."""
     is_ = lambda kind: x.rlike(_whole(kind))
     tail = F.regexp_extract(x, r"\.[A-Za-z]+$", 0)
     secret_head = F.regexp_extract(x, rf"^(?i:[a-z_-]+[\"']?[ \t]*[=:][ \t]*[\"']?)", 0)
@@ -175,27 +190,64 @@ def surrogate(x: Column, key: str = KEY) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """All entities of a text, in order; an empty array for null."""
+    """All entities of a text that its patterns find, in order; an empty array for null."""
     none = F.array().cast("array<string>")
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
+def mentions(found: Column) -> Column:
+    """What else to look for in a text with these entities: its patterns, and the words of names (three letters or more)."""
+    is_name = lambda x: ~x.rlike("[0-9@=:]") & x.rlike("|".join(_whole(k) for k in ("titled", "named")) + rf"|^{_NAME} {_NAME}$")
+    words = F.array_distinct(F.flatten(F.transform(F.filter(found, is_name), lambda x: F.split(x, r"[\s-]+"))))
+    words = F.filter(words, lambda w: w.rlike(r"^\p{L}[\p{L}\p{M}’']{2,}$") & ~w.isin([*TITLES, *(t.upper() for t in TITLES)]))
+    return _let(words, lambda w: F.when(F.size(w) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}])(?:"), F.array_join(w, "|"), F.lit(r")(?![\p{L}\p{M}])"))).otherwise(F.lit(ANY)))
+
+
+def _plain(table: DataFrame) -> DataFrame:
+    """kind, entity and surrogate, apart from case."""
+    return table.select(kind_of(F.col("entity")).alias("kind"), F.lower("entity").alias("entity"), F.lower("surrogate").alias("surrogate"))
+
+
+def pairs_of(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """Distinct (entity, surrogate) of a table's texts."""
+    return docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct().withColumn("surrogate", surrogate(F.col("entity"), key))
+
+
+def _colliding(pairs: DataFrame) -> DataFrame:
+    return _plain(pairs).groupBy("kind", "surrogate").agg(F.count_distinct("entity").alias("entities")).where("entities > 1")
+
+
 def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, surrogate, entities) wherever entities that differ (apart from case and grouping) share a surrogate."""
-    found = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
-    table = found.select("entity", kind_of(F.col("entity")).alias("kind"), surrogate(F.col("entity"), key).alias("surrogate"))
-    plain = F.lower(F.col("entity"))
-    return table.groupBy("kind", F.lower("surrogate").alias("surrogate")).agg(F.count_distinct(plain).alias("entities")).where("entities > 1")
+    return _colliding(pairs_of(docs, key))
+
+
+def real_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, entity, surrogate) of surrogates that are themselves an entity of the same table."""
+    table = _plain(pairs_of(docs, key)).distinct()
+    return table.join(table.select("kind", F.col("entity").alias("surrogate")).distinct(), ["kind", "surrogate"], "left_semi").select("kind", "entity", "surrogate")
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, check: bool = True) -> DataFrame:
-    """docs with text's entities replaced, and n_entities (columns of that name are replaced)."""
-    if check and (bad := collisions(docs, key).take(1)):
-        raise RuntimeError(f"surrogates collide: {bad[0].kind}")
-    d = docs.withColumn("_entities", entities(F.col("text")))
-    new = F.transform("_entities", lambda e: surrogate(e, key))
-    text = F.array_join(F.flatten(F.zip_with(F.split("text", ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return d.withColumn("text", F.when(F.size("_entities") > 0, text).otherwise(F.col("text"))).withColumn("n_entities", F.when(F.col("text").isNull(), 0).otherwise(F.size("_entities"))).drop("_entities")
+    """docs with text's entities replaced, and n_entities (columns of that name are replaced).
+
+    Entities are found once: the result is written with its pairs of entities and surrogates, and these are checked.
+    """
+    given = [c for c in docs.columns if c != "n_entities"]
+    d = docs.select(*given).toDF(*["text" if c == "text" else f"column_{i}" for i, c in enumerate(given)])  # no clash with names of ours
+    kept = d.columns
+    d = d.withColumn("found", entities(F.col("text")))
+    d = d.withColumn("pattern", F.when(F.size("found") > 0, mentions(F.col("found"))).otherwise(F.lit(ANY)))
+    d = d.withColumn("found", F.when(F.size("found") > 0, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
+    d = d.withColumn("pairs", F.transform("found", lambda e: F.struct(e.alias("entity"), surrogate(e, key).alias("surrogate"))))
+    parts = F.zip_with(F.split("text", F.col("pattern"), -1), "pairs", lambda a, b: F.array(a, F.coalesce(b["surrogate"], F.lit(""))))
+    text = F.when(F.size("pairs") > 0, F.array_join(F.flatten(parts), "")).otherwise(F.col("text"))
+    d = d.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], F.when(F.col("text").isNull(), 0).otherwise(F.size("pairs")).alias("n_entities"), "pairs")
+    if check:
+        d = cut(d, "surrogates")
+        if bad := _colliding(d.select(F.explode("pairs").alias("p")).select("p.*").distinct()).take(1):
+            raise RuntimeError(f"surrogates collide: {bad[0].kind}")
+    return d.drop("pairs").toDF(*given, "n_entities")
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

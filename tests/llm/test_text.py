@@ -76,6 +76,19 @@ def test_op8_takes_the_librarys_defaults(spark, tmp_path):
     assert got == {1: (0, 5, crc([64, 220, 50256, 275, 2])), 2: (5, 2, crc([*t.encode("c").ids, 2]))}
 
 
+def test_token_files_of_repeated_rows(spark, tmp_path):
+    """Rows of one doc_id, all alike and not, are each encoded once."""
+    rows = [(7, "one two", "s")] * 1200 + [(7, "three", "s")] * 3 + [(8, "x", "s")]
+    token_codes.write_token_codes(docs(spark, rows).repartition(5), str(tmp_path / "f"), BYTES, block_docs=100)
+    got = token_codes.token_digests(token_codes.read_token_codes(spark, str(tmp_path / "f"))).collect()
+    assert len(got) == 1204
+    upto = 0
+    for x in sorted(got, key=lambda x: x.start):
+        assert x.start == upto
+        upto += x.n_tokens
+    assert max(got, key=lambda x: x.start).doc_id == 8
+
+
 def test_pieces(spark):
     texts = odd_texts()
     sp = sentencepiece.SentencePieceProcessor(model_file=SP)
@@ -343,6 +356,24 @@ def test_pii(spark):
     assert pii.collisions(d).count() == 0 and pii.pseudonymise(docs(spark, [])).count() == 0
 
 
+def test_pii_follows_a_person_through_a_text(spark):
+    named = "Mr. John Smith came. Smith said no; Smith's wife and John left. Smithers stayed. Priya Raman met Wei Chen. MR. JONES, JONES and Dr Wu-Li. Call 020 7946 0958."
+    rows = [(1, named, "s"), (2, "Smith sold a smith's hammer. The Smith house, 1999.", "s"), (3, "Mrs Anna Smith", "s")]
+    d = docs(spark, rows).withColumns({"found": F.lit("a"), "pairs": F.lit("b"), "_entities": F.lit("c"), "pattern": F.lit("d")})
+    out = pii.pseudonymise(d)
+    assert out.columns == [*d.columns, "n_entities"]
+    got = {x.doc_id: x for x in out.collect()}
+    t = got[1].text
+    assert not re.search(r"\b(John|Smith|Priya|Raman|Wei|Chen|JONES)\b|7946", t) and "Smithers stayed" in t and (got[1].found, got[1].pairs, got[1].pattern) == ("a", "b", "d")
+    m = re.match(r"Mr\. (\w+) (\w+) came\. (\w+) said no; (\w+)'s wife and (\w+) left\.", t)
+    assert m[1] == m[5] and m[2] == m[3] == m[4] and m[1] in pii.MALE
+    j = re.search(r"MR\. (\p{Lu}+), (\p{Lu}+) and".replace("\\p{Lu}", "[A-Z]"), t)
+    assert j[1] == j[2]
+    assert got[2].text == rows[1][1] and got[2].n_entities == 0  # no person is named there
+    assert got[3].text.split()[-1] == m[2]
+    assert {len(set(sorted(n, key=str))) for n in (pii.MALE, pii.FEMALE)} and pii.real_surrogates(d).where("kind = 'mail'").count() == 0
+
+
 def test_surrogates_are_distinct(spark):
     d = spark.range(3000).select(F.concat(F.lit("10."), (F.col("id") % 200).cast("string"), F.lit("."), F.floor(F.col("id") / 200).cast("string"), F.lit(".7")).alias("a"), F.format_string("%07d", F.col("id")).alias("b"))
     s = d.select(pii.surrogate(F.col("a")).alias("a"), pii.permuted(F.col("b"), "x", "k").alias("b"))
