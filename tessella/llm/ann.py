@@ -1,13 +1,19 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Vectors are centred on the mean, rotated by a seeded random rotation and kept as one sign bit a dimension, with two
-correction scalars: the distance to the centre and the inner product of the unit vector with its code. For a query the
-packed bits give an estimate of every inner product and the scalars a bound on its error. In each block the k best estimates
-are measured exactly; whatever could still be nearer by its bound is measured too, and the k nearest are kept.
+correction scalars: the distance to the centre and the inner product of the unit vector with its code. Only these codes are
+scanned, as packed bits: a query's rotated vector is quantised to PLANES bits a component, so that its inner product with a
+code is a sum of population counts. The scalars turn that into an estimate of the distance, and a bound on its error.
+
+1. A first scan gives each query the k best estimates of all blocks. Their originals are fetched by id and measured: the kth
+   of these distances is one that the true kth can't exceed.
+2. A second scan keeps every vector that by its bound could be as near. The originals of these are fetched by id and measured,
+   and the k nearest are kept.
 
 Scores are Euclidean distances of the original vectors in double precision, so only which vectors are measured is
 approximate. Vectors that are null, empty, zero, or hold null or non-finite components take no part. A query never meets rows
-of its own id. An id that occurs repeatedly is a candidate as often, and one query. An empty table returns no rows.
+of its own id. An id that occurs repeatedly is a candidate as often, and one query. Distances that overflow a double are
+infinite and come last. An empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +29,10 @@ from tessella.llm.common import cut
 
 #: Width of the error bound: an estimate misses by more with a chance below 2 exp(-BOUND ** 2 / 2).
 BOUND = 1.9
-INDEXED = "n int, ids binary, data binary, bits binary, norms binary, dots binary"
+PLANES = 8
+#: Words of a scan that are held at once.
+AT_ONCE = 1 << 22
+INDEXED = "n int, dim int, ids binary, bits binary, norms binary, dots binary"
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -31,8 +40,14 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def packed(on: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    bits = np.packbits(on, axis=1)
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+
+
 def index(vectors: DataFrame, seed: int = 5) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """Blocks with codes, and the centre for each vector length (few numbers; every row is indexed)."""
+    """Blocks of codes, and the centre for each vector length (few numbers; every row is indexed)."""
     mean = vectors.select(F.size("v").alias("dim"), F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("x"))
     centres: dict[int, np.ndarray] = {}
     for r in mean.collect():  # one row a dimension
@@ -40,62 +55,94 @@ def index(vectors: DataFrame, seed: int = 5) -> tuple[DataFrame, dict[int, np.nd
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits, norms, dots = [], [], []
+            out = []
             for ids, data in zip(pdf["ids"], pdf["data"], strict=True):
                 _, x = unpack(ids, data)
                 dim = x.shape[1]
                 x = x - centres[dim]
                 norm = np.sqrt((x**2).sum(1))
                 unit = (x / np.where(norm > 0, norm, 1)[:, None]) @ rotation(dim, seed).T
-                bits.append(np.packbits(unit > 0, axis=1).tobytes())
-                norms.append(norm.tobytes())
-                dots.append((np.abs(unit).sum(1) / np.sqrt(dim)).tobytes())
-            yield pdf.assign(bits=bits, norms=norms, dots=dots)
+                out.append((len(x), dim, ids, packed(unit > 0).tobytes(), norm.tobytes(), (np.abs(unit).sum(1) / np.sqrt(dim)).tobytes()))
+            yield pd.DataFrame(out, columns=["n", "dim", "ids", "bits", "norms", "dots"])
 
     return cut(pack(vectors).mapInPandas(code, INDEXED), "codes"), centres
 
 
-def search(blocks: DataFrame, centres: dict[int, np.ndarray], queries: DataFrame, k: int, seed: int = 5, bound: float = BOUND) -> DataFrame:
-    """queries (vec_id, v) -> query_id, rank, vec_id, score, measured (vectors measured exactly in the block of the row)."""
-    q, nqb = query_blocks(queries, queries.count())
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def products(unit: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of rows of `unit` with codes (packed signs), by population counts, and for each row the most by which
+    its quantisation can move them."""
+    dim = unit.shape[1]
+    low = unit.min(1, keepdims=True)
+    step = np.maximum(unit.max(1, keepdims=True) - low, 1e-12) / ((1 << PLANES) - 1)
+    level = np.rint((unit - low) / step).astype(np.int64)
+    planes = [packed((level >> p) & 1 == 1) for p in range(PLANES)]
+    count = np.bitwise_count(codes).sum(1, dtype=np.int64)
+    out = np.empty((len(unit), len(codes)), np.float64)
+    rows = max(1, AT_ONCE // max(1, codes.size))
+    for a in range(0, len(unit), rows):
+        total = sum((np.bitwise_count(codes[None] & plane[a : a + rows, None]).sum(2, dtype=np.int64) << p) for p, plane in enumerate(planes))
+        out[a : a + rows] = 2 * (low[a : a + rows] * count + step[a : a + rows] * total) - (low * dim + step * level.sum(1, keepdims=True))[a : a + rows]
+    return out, step[:, 0] * dim  # half a step, twice
+
+
+def estimates(r, x: np.ndarray, centre: np.ndarray, seed: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of queries x to a block's vectors: estimated, and the least they are by the bound."""
+    dim = x.shape[1]
+    norms, dots = np.frombuffer(r.norms), np.frombuffer(r.dots)
+    c = x - centre
+    cn = np.sqrt((c**2).sum(1))
+    unit = (c / np.where(cn > 0, cn, 1)[:, None]) @ rotation(dim, seed).T
+    product, off = products(unit, np.frombuffer(r.bits, np.uint64).reshape(len(norms), -1))
+    safe = np.where(dots > 0, dots, 1)
+    cos = product / np.sqrt(dim) / safe
+    slack = bound * np.sqrt(np.maximum(1 - safe**2, 0)) / safe / np.sqrt(max(dim - 1, 1)) + off[:, None] / np.sqrt(dim) / safe + 1e-6
+    both = 2 * cn[:, None] * norms[None, :]
+    near = cn[:, None] ** 2 + norms[None, :] ** 2 - both * cos
+    return near, near - both * slack
+
+
+def search(blocks: DataFrame, centres: dict[int, np.ndarray], vectors: DataFrame, queries: DataFrame, k: int, seed: int = 5, bound: float = BOUND) -> DataFrame:
+    """codes, centres, vectors and queries (vec_id, v) -> query_id, rank, vec_id, score."""
+    count, salts = queries.count(), partitions(vectors)
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("x")).withColumnRenamed("vec_id", "query_id")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
                 q_ids, x = unpack(r.q_ids, r.q_data)
-                v_ids, v = unpack(r.ids, r.data)
-                dim = x.shape[1]
-                norms, dots = np.frombuffer(r.norms), np.frombuffer(r.dots)
-                signs = np.unpackbits(np.frombuffer(r.bits, np.uint8).reshape(len(v_ids), -1), axis=1, count=dim).astype(np.float32) * 2 - 1
-                c = x - centres[dim]
-                cn = np.sqrt((c**2).sum(1))
-                unit = (c / np.where(cn > 0, cn, 1)[:, None]) @ rotation(dim, seed).T
-                safe = np.where(dots > 0, dots, 1)
-                cos = (unit.astype(np.float32) @ signs.T) / np.sqrt(dim) / safe
-                slack = bound * np.sqrt(np.maximum(1 - safe**2, 0)) / safe / np.sqrt(max(dim - 1, 1)) + 1e-6
-                both = 2 * cn[:, None] * norms[None, :]
-                near = cn[:, None] ** 2 + norms[None, :] ** 2 - both * cos
-                least = near - both * slack[None, :]
-                own = q_ids[:, None] == v_ids[None, :]
-                near[own] = least[own] = np.inf
-                out = []
-                for i in range(len(q_ids)):
-                    some = np.argpartition(near[i], k)[:k] if len(v_ids) > k else np.arange(len(v_ids))
-                    exact = ((v[some] - x[i]) ** 2).sum(1)
-                    exact[own[i, some]] = np.inf
-                    far = exact.max(initial=0.0)
-                    some = np.flatnonzero((least[i] <= far * (1 + 1e-9)) & ~own[i])
-                    d = np.sqrt(((v[some] - x[i]) ** 2).sum(1))
-                    keep = np.lexsort((v_ids[some], d))[:k]
-                    out.append((np.full(len(keep), q_ids[i]), v_ids[some][keep], d[keep], np.full(len(keep), len(some))))
-                a, b, d, m = (np.concatenate(z) for z in zip(*out, strict=True))
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": d, "measured": m.astype(np.int32)})
-
-    found = pairs(blocks, q, nqb, partitions(queries)).mapInPandas(find, "query_id long, vec_id long, score double, measured int")
-    return best(found, k, F.col("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score", "measured")
+                v_ids = np.frombuffer(r.ids, np.int64)
+                near, _ = estimates(r, x, centres[x.shape[1]], seed, bound)
+                near[q_ids[:, None] == v_ids[None, :]] = np.inf
+                some = np.argpartition(near, k - 1, axis=1)[:, :k] if len(v_ids) > k else np.tile(np.arange(len(v_ids)), (len(x), 1))
+                out = pd.DataFrame({"query_id": np.repeat(q_ids, some.shape[1]), "vec_id": v_ids[some].ravel(), "near": np.take_along_axis(near, some, 1).ravel()})
+                yield out[np.isfinite(out["near"])]
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                q_ids, x = unpack(r.q_ids, r.q_data)
+                v_ids, upto = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_extra, np.float64)
+                _, least = estimates(r, x, centres[x.shape[1]], seed, bound)
+                i, j = np.nonzero(least <= (upto**2)[:, None] * (1 + 1e-9))
+                i, j = i[q_ids[i] != v_ids[j]], j[q_ids[i] != v_ids[j]]
+                yield pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[j]})
+
+    def measured(found: DataFrame) -> DataFrame:
+        squares = F.aggregate(F.zip_with("x", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
+        met = found.join(vectors.select("vec_id", "v"), "vec_id").join(asked, "query_id").where(F.size("v") == F.size("x"))
+        return met.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
+
+    q, nqb = query_blocks(queries, count)
+    guess = best(pairs(blocks, q, nqb, salts).mapInPandas(first, "query_id long, vec_id long, near double"), k, F.col("near"), F.col("vec_id"))
+    reach = measured(guess.select("query_id", "vec_id").distinct()).groupBy("query_id").agg(F.max("score").alias("reach"), F.count("*").alias("n"))
+    # with fewer than k there is nothing to rule out
+    bounded = queries.join(reach.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("reach", F.when(F.col("n") >= k, F.col("reach")).otherwise(float("inf")))
+    q, nqb = query_blocks(cut(bounded.select("vec_id", "v", "reach"), "queries"), count, extra="reach")
+    found = pairs(blocks, q, nqb, salts).mapInPandas(second, "query_id long, vec_id long").distinct()
+    return best(measured(found), k, F.col("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ann(spark, sf_dir: str) -> DataFrame:
     v = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", zero=False)
     blocks, centres = index(v)
-    return search(blocks, centres, v.where("vec_id % 100 = 0"), 10)
+    return search(blocks, centres, v, v.where("vec_id % 100 = 0"), 10)

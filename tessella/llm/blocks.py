@@ -51,10 +51,11 @@ def pack(vectors: DataFrame, rows: int = BLOCK) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, PACKED)
 
 
-def query_blocks(queries: DataFrame, count: int, per_block: int = QUERIES) -> tuple[DataFrame, int]:
-    """Queries (one a vec_id: the smallest vector, should an id occur repeatedly) in about count / per_block blocks by hash."""
+def query_blocks(queries: DataFrame, count: int, per_block: int = QUERIES, extra: str | None = None) -> tuple[DataFrame, int]:
+    """Queries (one a vec_id: the smallest vector, should an id occur repeatedly) in about count / per_block blocks by hash.
+    A column `extra` (double, its least for an id) goes with them as q_extra."""
     n = max(1, -(-count // per_block))
-    one = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    one = queries.groupBy("vec_id").agg(F.min("v").alias("v"), F.min(extra or F.lit(0.0)).alias("x")).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
 
     def run(pdf):
         import pandas as pd
@@ -62,15 +63,16 @@ def query_blocks(queries: DataFrame, count: int, per_block: int = QUERIES) -> tu
         out = []
         for d, g in pdf.groupby(pdf["v"].map(len)):
             g = g.sort_values("vec_id")
-            out.append((int(g["qb"].iloc[0]), int(d), len(g), g["vec_id"].to_numpy(np.int64).tobytes(), np.array(g["v"].tolist(), np.float64).tobytes()))
-        return pd.DataFrame(out, columns=["qb", "dim", "qn", "q_ids", "q_data"])
+            out.append((int(g["qb"].iloc[0]), int(d), len(g), g["vec_id"].to_numpy(np.int64).tobytes(), np.array(g["v"].tolist(), np.float64).tobytes(), g["x"].to_numpy(np.float64).tobytes()))
+        return pd.DataFrame(out, columns=["qb", "dim", "qn", "q_ids", "q_data", "q_extra"])
 
-    return one.groupBy("qb").applyInPandas(run, "qb int, dim int, qn int, q_ids binary, q_data binary"), n
+    packed = one.groupBy("qb").applyInPandas(run, "qb int, dim int, qn int, q_ids binary, q_data binary, q_extra binary")
+    return packed if extra else packed.drop("q_extra"), n
 
 
 def pairs(vector_blocks: DataFrame, queries: DataFrame, n_query_blocks: int, salts: int) -> DataFrame:
     """Rows of a query block and a vector block each; extra columns of either side stay. Lengths must agree."""
-    v = vector_blocks.withColumn("dim", (F.length("data") / F.greatest("n", F.lit(1)) / 8).cast("int"))
+    v = vector_blocks if "dim" in vector_blocks.columns else vector_blocks.withColumn("dim", (F.length("data") / F.greatest("n", F.lit(1)) / 8).cast("int"))
     v = v.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
     q = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return v.join(q, ["qb", "dim", "salt"])

@@ -43,7 +43,7 @@ def test_topk(spark, rows, bins):
 def test_ann_recall(spark, rows):
     v = usable(frame(spark, rows), "vec_id", "embedding", zero=False)
     blocks, centres = ann.index(v)
-    got = ann.search(blocks, centres, v.where("vec_id % 50 = 0"), 10).collect()
+    got = ann.search(blocks, centres, v, v.where("vec_id % 50 = 0"), 10).collect()
     want = brute(rows, 50, 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), False, zero=False)
     mine = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
@@ -55,10 +55,29 @@ def test_ann_recall(spark, rows):
     assert all(abs(s - exact[q, i]) < 1e-12 for q in mine for i, s in mine[q] if (q, i) in exact)
 
 
+def test_products_by_population_counts():
+    r = np.random.default_rng(4)
+    for dim in (1, 7, 64, 130):
+        unit, signs = r.normal(0, 1, (9, dim)), r.random((40, dim)) < 0.5
+        got, off = ann.products(unit, ann.packed(signs))
+        assert (np.abs(got - unit @ np.where(signs, 1, -1).T) <= off[:, None] + 1e-9).all()
+
+
+def test_op10_recall_on_a_table(spark):
+    """Recall of the registered query against brute force."""
+    got = ann.op10_ann(spark, "/root/testdata/sf0.01").collect()
+    rows = [(r.vec_id, r.embedding, "") for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want = brute(rows, 100, 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), False, zero=False)
+    mine = {}
+    for r in got:
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(mine[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_empty_and_few(spark):
     e = usable(frame(spark, []), "vec_id", "embedding")
     assert topk.top_k(e, e, 5).count() == 0
     blocks, centres = ann.index(e)
-    assert ann.search(blocks, centres, e, 10).count() == 0
+    assert ann.search(blocks, centres, e, e, 10).count() == 0
     two = usable(frame(spark, [(0, [1.0], "x"), (1, [2.0], "x")]), "vec_id", "embedding")
     assert [(r.query_id, r.rank, r.vec_id) for r in topk.top_k(two, two.where("vec_id = 0"), 5).collect()] == [(0, 1, 1)]
