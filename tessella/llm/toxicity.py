@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters look at a text: a public word list, lexicons of words and of word beginnings (4 to 7 bytes) gathered from labelled
-rows, shouting, runs of exclamation marks, and the label itself where there is one. A generative model of their votes (how
-often each fires on toxic and on clean texts; voters that go together beyond that are modelled jointly) is fitted by
-expectation maximisation and gives each text a posterior. A linear classifier is trained on the posteriors, over the lexicon
+Voters look at a text: a public word list, LEXICONS lexicons each of words and of word beginnings (4 to 7 bytes) gathered from
+labelled rows and dealt by hash, shouting, runs of exclamation marks, and the label itself as one more noisy voter. A
+generative model of their votes (how often each fires on toxic and on clean texts; voters that go together beyond that, however
+many, are modelled jointly) is fitted by expectation maximisation, from the share of lexicons that fire, and gives each text a
+posterior. A linear classifier is trained on the posteriors, over the lexicon
 entries and the voters; it alone scores.
 
 Everything is fitted on a bounded sample, SAMPLE labelled rows outside the held-out quarter, taken by hash of the id, of
@@ -29,6 +30,7 @@ SAMPLE = 30_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 MOST_FEATURES = 4096
+LEXICONS = 4
 LEAST_TOXIC = 3
 LEAST_ODDS = 2.5
 # A public list of insults.
@@ -126,7 +128,7 @@ def joint_groups(votes: np.ndarray, weight: np.ndarray, p: np.ndarray, least: fl
     for i, j in itertools.combinations(range(m), 2):
         if abs((weight * residual[:, i] * residual[:, j]).sum()) / np.sqrt(var[i] * var[j]) > least:
             a, b = (next(g for g in groups if x in g) for x in (i, j))
-            if a is not b and len(a) + len(b) <= 4:
+            if a is not b:
                 a += b
                 groups.remove(b)
     return groups
@@ -134,9 +136,9 @@ def joint_groups(votes: np.ndarray, weight: np.ndarray, p: np.ndarray, least: fl
 
 def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 40) -> np.ndarray:
     """votes (rows x voters, 0 or 1), label (0, 1 or -1 for none, a noisy voter of its own) -> posterior of toxic."""
-    known = label >= 0
-    p = np.where(known, np.clip(label, 0.02, 0.98), np.clip(votes.mean(1), 0.02, 0.9))
     patterns, back, count = np.unique(np.column_stack((votes, label)), axis=0, return_inverse=True, return_counts=True)
+    # more voters than on the average text speak for toxic; the label comes in as a voter only
+    p = np.clip(0.5 + votes.mean(1) - (votes.mean() if votes.size else 0.0), 0.05, 0.95)
     back = back.ravel()
     p = np.bincount(back, p) / count
     v, l, w = patterns[:, :-1].astype(float), patterns[:, -1], count.astype(float)
@@ -145,9 +147,10 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 40) -> np.nd
         prior = np.clip((w * p).sum() / w.sum(), 1e-4, 1 - 1e-4)
         logs = np.tile(np.log([1 - prior, prior]), (len(w), 1))
         for g in groups:
-            key = (v[:, g] @ (1 << np.arange(len(g)))).astype(int)
+            key = np.unique(v[:, g], axis=0, return_inverse=True)[1].ravel()  # the votes that occur
             for c, q in enumerate((1 - p, p)):
-                table = np.bincount(key, w * q, minlength=1 << len(g)) + 0.5 / (1 << len(g))
+                table = np.bincount(key, w * q)
+                table = table + 0.5 / len(table)
                 logs[:, c] += np.log(table / table.sum())[key]
         right = (w * np.where(l == 1, p, np.where(l == 0, 1 - p, 0))).sum() + 9
         accuracy = np.clip(right / ((w * (l >= 0)).sum() + 10), 0.6, 0.999)
@@ -232,8 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     label = np.asarray(table["toxic"])
     cols = np.asarray(lists.flatten())
     rows_ = np.repeat(np.arange(len(label)), np.diff(np.asarray(lists.offsets)))
-    voter = np.concatenate((model.voters, len(PREFIXES) + 1 + np.arange(len(PATTERNS))))
-    votes = np.zeros((len(label), len(PREFIXES) + 1 + len(PATTERNS)), np.int64)
+    lexicons = (len(PREFIXES) + 1) * LEXICONS
+    voter = np.concatenate((model.voters * LEXICONS + (model.keys % np.uint64(LEXICONS)).astype(np.int64), lexicons + np.arange(len(PATTERNS))))
+    votes = np.zeros((len(label), lexicons + len(PATTERNS)), np.int64)
     votes[rows_, voter[cols]] = 1
     model.weights, model.bias = train(rows_, cols, label_model(votes, label), model.width)
     return model
