@@ -2,7 +2,7 @@
 
 The model's protobuf is read by its wire format; normaliser, metaspace marker, pieces, scores and byte fallback are rebuilt
 as a tokenizers pipeline (unigram models by their scores, BPE models by merges that follow from the scores). Batches are
-encoded by `threads` threads. Ids are held against the sentencepiece library piece by piece (`parity`).
+encoded by `threads` threads. Ids are held against the sentencepiece library, every distinct piece of text (`parity`).
 
 Most text is repetition: where the model allows it (no character map, no piece with a marker inside), texts are cut before
 spaces and around characters that no longer piece holds, and each distinct piece of text is encoded once a worker. Other
@@ -27,6 +27,8 @@ from tessella.llm.common import slices
 from tessella.llm.token_codes import PieceEncoder
 
 MARK = "▁"
+#: Threads of the library in a Python worker.
+THREADS = 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
@@ -142,6 +144,7 @@ class Engine:
             self.model = Model(f.read())
         self.apart = self.model.parts_apart()
         self.core = self.model.tokenizer(prefix=not self.apart)
+        self.whole = self.model.tokenizer() if self.apart else self.core
         self.sp = None
         if verify:
             import sentencepiece
@@ -158,6 +161,7 @@ class Engine:
             cut[offsets[1:] - 1] = True
             return np.flatnonzero(cut[:-1])
 
+        self.threads, self.apart_at_line_end = threads, bool(single[0x0A])
         self.wrong: set[str] = set()
         self.pieces = PieceEncoder(self.encode_parts, starts)
         raw = [bytes([int(t[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else t.replace(MARK, " ").encode() for t, _, kind in self.model.pieces]
@@ -168,10 +172,16 @@ class Engine:
     def encode_parts(self, parts: list[str]) -> list[list[int]]:
         found = [x.ids for i in range(0, len(parts), 4096) for x in self.core.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False)]
         if self.sp and self.apart:  # the library puts the marker itself
-            some = [i for i, p in enumerate(parts) if p[0] == " " and len(p) > 1]
-            for i, ids in zip(some, self.sp.encode([parts[i][1:] for i in some], num_threads=1), strict=True):
+            # a part that begins with a space is a text without it; any other follows a line end, which no longer piece holds
+            led = [i for i, p in enumerate(parts) if p[0] == " " and len(p) > 1]
+            for i, ids in zip(led, self.sp.encode([parts[i][1:] for i in led], num_threads=self.threads), strict=True):
                 if ids != found[i]:
                     self.wrong.add(parts[i])
+            if self.apart_at_line_end:
+                rest, lead = [i for i, p in enumerate(parts) if p[0] != " " or len(p) == 1], self.sp.encode("\n")
+                for i, ids in zip(rest, self.sp.encode(["\n" + parts[i] for i in rest], num_threads=self.threads), strict=True):
+                    if ids != lead + found[i]:
+                        self.wrong.add(parts[i])
         return found
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bool]]]:
@@ -181,7 +191,7 @@ class Engine:
             for first in range(0, len(texts), 256):
                 some = texts[first : first + 256].to_pylist()
                 ids = [x.ids for x in self.core.encode_batch_fast(some, add_special_tokens=False)]
-                ok = [a == b for a, b in zip(ids, self.sp.encode(some, num_threads=1), strict=True)] if self.sp else [True] * len(some)
+                ok = [a == b for a, b in zip(ids, self.sp.encode(some, num_threads=self.threads), strict=True)] if self.sp else [True] * len(some)
                 yield first, first + len(some), np.array([i for x in ids for i in x], np.uint32), np.cumsum([0, *map(len, ids)]), ok
             return
         if self.model.dummy_prefix:
@@ -216,11 +226,12 @@ def engine(path: str, threads: int = 1, verify: bool = True) -> Engine:
 
 # --- operators -------------------------------------------------------------------------------------------------------
 
-def encode(docs: DataFrame, model_path: str, threads: int = 1, verify: bool = True, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, threads: int = THREADS, verify: bool = True, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """docs(text, ...) -> the kept columns, n_tokens, ids_crc32, parity, round_trip and (ids=True) ids array<int>.
 
-    parity: every part of the text that the sentencepiece library can be given alone has the same ids there.
-    round_trip: the ids decode to the text (a normalising model may differ).
+    parity: every part of the text has the same ids in the sentencepiece library.
+    round_trip: the ids decode to the text by the table of pieces' bytes (a normalising model may differ). Repeated rows are
+    each encoded.
     """
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("ids_crc32"), F.lit(True).alias("parity"), F.lit(True).alias("round_trip"), *[F.lit(None).cast("array<int>").alias("ids")] * ids).schema
 
@@ -242,16 +253,14 @@ def encode(docs: DataFrame, model_path: str, threads: int = 1, verify: bool = Tr
 
 
 def decode(df: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """df(ids array<int>, ...) -> the kept columns and text. A null or empty array gives an empty text."""
+    """df(ids array<int>, ...) -> the kept columns and text, decoded by the library. A null or empty array gives an empty text."""
     schema = df.select(*keep, F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = engine(model_path, 1, False)
+        e = engine(model_path, THREADS, False)
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-            ids = np.asarray(pc.list_flatten(lists)).astype(np.int64)
-            texts = pa.array(e.decode(ids, np.concatenate(([0], np.cumsum(n, dtype=np.int64)))), pa.string())
+            texts = pa.array([x for i in range(0, len(lists), 256) for x in e.whole.decode_batch([y or [] for y in lists[i : i + 256].to_pylist()], skip_special_tokens=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[f.name for f in schema])
 
     return df.select(*keep, F.col("ids").alias("_ids")).mapInArrow(run, schema)

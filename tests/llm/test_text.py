@@ -1,5 +1,6 @@
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -102,6 +103,27 @@ def test_pieces(spark):
     assert all(full.encode(t, add_special_tokens=False).ids == sp.encode(t) for t in texts[:500] if t)
 
 
+def test_unigram_model_with_byte_fallback(spark, tmp_path):
+    """A unigram model written by hand: pieces, scores, marker and byte fallback against the sentencepiece library."""
+    varint = lambda n: bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+    field = lambda number, body: varint(number << 3 | 2) + varint(len(body)) + body
+    flag = lambda number, n: varint(number << 3) + varint(n)
+    piece = lambda text, score, kind: field(1, field(1, text.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + flag(3, kind))
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]]
+    listed += [(t, -1.0 - k * 0.37, 1) for k, t in enumerate(["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "▁the", "th", "e", "he", "t", "h", "ca", "cab", "é", "▁▁"])]
+    model = b"".join(piece(*x) for x in listed) + field(2, flag(3, 1) + flag(35, 1) + flag(40, 0) + flag(41, 1) + flag(42, 2)) + field(3, field(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1))
+    (tmp_path / "u.model").write_bytes(model)
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model"))
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "b", "c", "the", " ", "é", "漢", "z"]) for _ in range(r.randrange(1, 20))) for _ in range(300)] + ["", None]
+    assert pieces.engine(str(tmp_path / "u.model")).model.kind == pieces.UNIGRAM
+    e = pieces.encode(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), str(tmp_path / "u.model"))
+    rows = {x.doc_id: x for x in e.collect()}
+    assert all(rows[i].ids == sp.encode(t or "") and rows[i].parity for i, t in enumerate(texts))
+    back = {x.doc_id: x.text for x in pieces.decode(e, str(tmp_path / "u.model")).collect()}
+    assert all(back[i] == sp.decode(sp.encode(t or "")) for i, t in enumerate(texts))
+
+
 def test_mixing(spark):
     r = random.Random(4)
     rows = [(i, " ".join("w" * r.randrange(1, 4) for _ in range(r.randrange(0, 90))), r.choice(["a", "b", "c", "é", None])) for i in range(900)] + [(1000, None, "a"), (1001, "", "b"), (5, "one two", "a")]
