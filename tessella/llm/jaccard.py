@@ -10,6 +10,8 @@ A text's set holds its distinct n-word shingles as 64-bit hashes. Two sets join
    is also dealt by the next level's parts where larger sets of that level could join it. Empty parts say nothing: a level
    has some parts to spare, and a set with more empty ones than that also sends the first elements of its order (its prefix),
    of which two sets that join share one. No pair that joins is left out.
+   Below a similarity of PARTED per cent parts become so small that sets with a passage in common often agree in one. There
+   candidates are found by shared shingles of the prefixes, rarer shingles first, and prefixes rule out what they can.
 3. Components of candidates are blocks. A block's sets, in the global order (of the hashes), form a prefix tree. Each set
    traverses it once, with the overlap of a branch shared by all sets below it; a branch ends where the shingles left on
    either side can't reach the needed overlap. Sets already connected within the block aren't compared again, which loses
@@ -35,9 +37,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.common import Spans, components, cut, done_with, mix, slices
+from tessella.llm.common import Spans, components, counter_rows, cut, done_with, mix, slices, sum_counters
 
 BLOCK = 1000
+#: From this similarity (in per cent) on, parts hold enough elements (six, on the average) to tell sets apart; see the method.
+PARTED = 85
+COUNTERS, CHUNK = 1 << 20, 1 << 15
 #: So many ids (8 bytes each) are broadcast at most, to keep texts where they are; more are joined by a shuffle.
 MOST_IDS = 1_000_000
 STRIDE = 32
@@ -79,6 +84,11 @@ def text_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarra
         yield first, last, grams, np.searchsorted(owner, np.arange(last - first + 1))
 
 
+def ordered(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Shingles as numbers whose order is the global one: eight bits of (logarithmic) frequency, then the hash."""
+    return (table[(grams >> np.uint64(44)).astype(np.int64)] << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1))
+
+
 def needed(n, m, percent: int):
     """Least overlap of sets of n and m elements that join."""
     return -(-(percent * (n + m)) // (100 + percent))
@@ -245,6 +255,26 @@ class Union:
         return True
 
 
+def may_join(sizes: np.ndarray, home: np.ndarray, prefixes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect all sets whose prefixes don't rule a join out (two guests meet in the band where both are at home).
+    Up to the lower of two prefixes' last elements both sets are known; beyond it they share at most what is left of either."""
+    x = [np.asarray(p, np.int64).view(np.uint64) for p in prefixes]
+    flat, at = np.concatenate(x), np.cumsum([0, *map(len, x)])[:-1]
+    last = np.array([p[-1] for p in x], np.uint64)
+    union, found = Union(len(x)), []
+    for i, p in enumerate(x):
+        place = np.minimum(np.searchsorted(p, flat), len(p) - 1)
+        common = np.add.reduceat((p[place] == flat).astype(np.int64), at)
+        theirs = np.add.reduceat((flat <= p[-1]).astype(np.int64), at)
+        mine = np.searchsorted(p, last, "right")
+        fair = common + np.minimum(sizes[i] - mine, sizes - theirs) >= needed(sizes[i], sizes, percent)
+        fair &= (100 * sizes >= percent * sizes[i]) & (percent * sizes <= 100 * sizes[i])
+        if not home[i]:
+            fair &= home
+        found += [(i, j) for j in np.flatnonzero(fair).tolist() if j != i and union.join(i, j)]
+    return found
+
+
 def join_sets(sets: list[np.ndarray], percent: int, probes: int | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect what joins among the sets; with probes, only links of the first `probes` sets to the rest."""
     found = []
@@ -350,11 +380,116 @@ def dealt(rows: DataFrame, keys: list[str], *then: str) -> DataFrame:
     return rows.repartition(n, *keys).sortWithinPartitions(*keys, *then)
 
 
+def groups(keys: list[str], fn):
+    """For mapInPandas on sorted partitions: fn on one group after the other; a group may go on in the next batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            new = np.ones(len(pdf), bool)
+            new[1:] = np.any([pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1] for k in keys], axis=0)
+            at = np.flatnonzero(new)
+            held = pdf.iloc[at[-1] :]
+            out = [fn(pdf.iloc[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            if out := [x for x in out if len(x)]:
+                yield pd.concat(out, ignore_index=True)
+        if held is not None and len(held):
+            yield fn(held)
+
+    return run
+
+
+def shingle_ranks(docs: DataFrame, words: int) -> np.ndarray:
+    """A table of COUNTERS (logarithmic) frequencies of shingles by hash: it only sets the order in which prefixes are taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, waiting, held, salt = np.zeros(COUNTERS, np.int64), [], 0, 0
+        for batch in batches:
+            for _, _, grams, _ in text_sets(batch.column(1), words):
+                salt += int(grams[0]) & 0xFF if len(grams) else 0
+                waiting.append((grams >> np.uint64(44)).astype(np.int64))
+                held += len(grams)
+                if held > 2_000_000:
+                    counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+                    waiting, held = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+        if counts.any():
+            chunk, salts, data = counter_rows(counts, CHUNK, salt)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(salts, pa.int32()), pa.array(data)], names=["chunk_id", "salt", "counts"])
+
+    counts = sum_counters(docs.mapInArrow(run, "chunk_id int, salt int, counts binary"), COUNTERS, CHUNK)
+    return np.minimum(255, np.floor(6 * np.log2(counts + 1))).astype(np.uint64)
+
+
+def candidates_by_prefixes(docs: DataFrame, member: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect all class representatives that a shared shingle of their prefixes makes candidates, and that
+    prefixes don't rule out.
+
+    A set that joins another shares a shingle with it among its first n - ceil(t n) + 1, rarer shingles first. For each such
+    shingle the smallest set by hash is the leader, found by a combinable aggregate; every set that shares it goes to the
+    leader's block, of which each band of sizes is a block of its own. A block above BLOCK sets goes on whole.
+    """
+    spark = docs.sparkSession
+    rank = spark.sparkContext.broadcast(shingle_ranks(docs, words))  # COUNTERS numbers, whatever the corpus
+    least = Levels(percent, 1).least
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for first, last, grams, at in text_sets(batch.column(1), words):
+                key = ordered(grams, rank.value)
+                doc, tokens = [], []
+                for d, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    if y - x >= least:
+                        some = y - x - -(-percent * (y - x) // 100) + 1
+                        doc.append(d)
+                        tokens.append(np.sort(np.partition(key[x:y], some - 1)[:some]))
+                if doc:
+                    _, f1, f2 = fingerprints(grams, at)
+                    flat = pa.array(np.concatenate(tokens).view(np.int64))
+                    upto = np.cumsum([0, *map(len, tokens)])
+                    doc = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, last - first).take(doc), f1.take(doc), f2.take(doc), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat)], names=["doc_id", "f1", "f2", "tokens"])
+
+    every = cut(docs.mapInArrow(prefixes, "doc_id long, f1 long, f2 long, tokens array<long>"), "prefixes")
+    p = every.join(member.where(f"doc_id = rep and n >= {least}").select("doc_id", "f1", "f2", "n"), ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id"])
+    p = cut(p.select("doc_id", "n", "tokens"), "chosen")
+    done_with(every)
+    tokens = p.select(F.explode("tokens").alias("key"), "doc_id")
+    lead = tokens.groupBy("key").agg(F.min(F.xxhash64("doc_id")).alias("leader"), F.count("*").alias("sharing")).where("sharing > 1").drop("sharing")
+    block = tokens.join(lead, "key").select("leader", "doc_id").distinct()
+    # sizes that join lie in one band or in two that are next to each other: a set is at home in its band and a guest in the next
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    block = block.join(p.select("doc_id", band.alias("own")), "doc_id").select("leader", "doc_id", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"))
+    banded = block = cut(block, "blocks")
+    counts = block.groupBy("leader", "band").agg(F.count("*").alias("members"), F.max(F.col("own") == F.col("band")).alias("home")).where("members > 1 and home").drop("home")
+    block = cut(block.join(counts, ["leader", "band"]).select(F.xxhash64("leader", "band").alias("leader"), "doc_id", (F.col("members") > BLOCK).alias("wide"), (F.col("own") == F.col("band")).alias("home")), "members")
+    done_with(banded)
+    small = block.where("not wide").join(p, "doc_id").select("leader", "doc_id", "home", "n", "tokens")
+
+    def left(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["doc_id"].to_numpy()
+        found = may_join(pdf["n"].to_numpy(), pdf["home"].to_numpy(bool), pdf["tokens"].tolist(), percent)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pd.DataFrame({"a": ids[list(a)], "b": ids[list(b)]}, columns=["a", "b"]).astype("int64")
+
+    wide = block.where("wide")
+    star = wide.join(wide.groupBy("leader").agg(F.min("doc_id").alias("b")), "leader").select(F.col("doc_id").alias("a"), "b")
+    near = cut(dealt(small, ["leader"]).mapInPandas(groups(["leader"], left), "a long, b long").unionByName(star).distinct(), "near")
+    done_with(block, p)
+    return near
+
+
 def links(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between class representatives that connect all that joins, and (doc_id, n, f1, f2, rep) of every document."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     member = set_classes(texts, words)
-    near = cut(candidates(texts, words, percent), "near")
+    near = cut(candidates(texts, words, percent), "near") if percent >= PARTED else candidates_by_prefixes(texts, member, words, percent)
     parts = cut(components(near), "candidates")
     done_with(near)
     reps = parts.join(member.where("doc_id = rep").select(F.col("doc_id").alias("node"), "f1", "f2"), "node")
@@ -362,28 +497,6 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame
     block = cut(reps.join(sizes, "component").select(F.col("component").alias("leader"), F.col("node").alias("doc_id"), "f1", "f2", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")), "members")
     done_with(parts)
 
-    def groups(keys: list[str], fn):
-        """For mapInPandas on sorted partitions: fn on one group after the other; a group may go on in the next batch."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
-            for pdf in batches:
-                if held is not None:
-                    pdf = pd.concat([held, pdf], ignore_index=True)
-                if not len(pdf):
-                    continue
-                new = np.ones(len(pdf), bool)
-                new[1:] = np.any([pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1] for k in keys], axis=0)
-                at = np.flatnonzero(new)
-                held = pdf.iloc[at[-1] :]
-                out = [fn(pdf.iloc[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                if out := [x for x in out if len(x)]:
-                    yield pd.concat(out, ignore_index=True)
-            if held is not None and len(held):
-                yield fn(held)
-
-        return run
-
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, last, grams, at in text_sets(batch.column(1), words):
