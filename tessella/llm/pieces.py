@@ -13,6 +13,7 @@ A null text counts as empty: no ids, decoded to an empty text. Extra columns are
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.common import slices
-from tessella.llm.token_codes import PieceEncoder
+from tessella.llm.token_codes import MOST_PIECES, PieceEncoder
 
 MARK = "▁"
 #: Threads of the library in a Python worker.
@@ -144,7 +145,6 @@ class Engine:
             self.model = Model(f.read())
         self.apart = self.model.parts_apart()
         self.core = self.model.tokenizer(prefix=not self.apart)
-        self.whole = self.model.tokenizer() if self.apart else self.core
         self.sp = None
         if verify:
             import sentencepiece
@@ -163,14 +163,19 @@ class Engine:
 
         self.threads, self.apart_at_line_end = threads, bool(single[0x0A])
         self.wrong: set[str] = set()
-        self.pieces = PieceEncoder(self.encode_parts, starts)
+        self.pieces = PieceEncoder(self.encode_parts, starts, MOST_PIECES // 2)  # beside two libraries' models
         raw = [bytes([int(t[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else t.replace(MARK, " ").encode() for t, _, kind in self.model.pieces]
         self.length = np.fromiter(map(len, raw), np.int64, len(raw))
         self.place = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
+    @functools.cached_property
+    def whole(self):
+        """The pipeline for whole texts; encoding by parts doesn't need it."""
+        return self.model.tokenizer() if self.apart else self.core
+
     def encode_parts(self, parts: list[str]) -> list[list[int]]:
-        found = [x.ids for i in range(0, len(parts), 4096) for x in self.core.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False)]
+        found = [x.ids for i in range(0, len(parts), 1024) for x in self.core.encode_batch_fast(parts[i : i + 1024], add_special_tokens=False)]
         if self.sp and self.apart:  # the library puts the marker itself
             # a part that begins with a space is a text without it; any other follows a line end, which no longer piece holds
             led = [i for i, p in enumerate(parts) if p[0] == " " and len(p) > 1]
