@@ -161,11 +161,13 @@ osm AS (SELECT k AS id, round({lat('k % 3001')}, 6) AS lat, round({lon('k % 3001
 
 
 def utm_13(o: str, a: str) -> str:
-    """x and y columns of UTM 13 (WGS 84) by the series of the third flattening, to the sixth order."""
-    return f"""u0 AS (SELECT *, radians({a}) AS phi, radians({o} + 105) AS dl, (1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE) AS n FROM src),
-u1 AS (SELECT *, 2 * sqrt(n) / (1 + n) AS e, 6378137 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS rect FROM u0), u2 AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM u1),
-u3 AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta, [n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16, 13 * n * n / 48 - 3 * pow(n, 3) / 5, 61 * pow(n, 3) / 240] AS al FROM u2),
-utm AS (SELECT *, 500000 + 0.9996 * rect * (eta + {' + '.join(f'al[{j}] * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j in (1, 2, 3))}) AS east, 0.9996 * rect * (xi + {' + '.join(f'al[{j}] * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j in (1, 2, 3))}) AS north FROM u3)"""
+    """x and y columns of UTM 13 (WGS 84) by the usual series."""
+    e2 = "(2 / 298.257223563::DOUBLE - pow(1 / 298.257223563::DOUBLE, 2))"
+    return f"""u0 AS (SELECT *, radians({a}) AS phi, radians({o} + 105) AS dl, {e2} AS q, {e2} / (1 - {e2}) AS ep FROM src),
+u1 AS (SELECT *, 6378137 / sqrt(1 - q * pow(sin(phi), 2)) AS nu, pow(tan(phi), 2) AS t, ep * pow(cos(phi), 2) AS c, dl * cos(phi) AS w,
+  6378137 * ((1 - q / 4 - 3 * q * q / 64 - 5 * pow(q, 3) / 256) * phi - (3 * q / 8 + 3 * q * q / 32 + 45 * pow(q, 3) / 1024) * sin(2 * phi) + (15 * q * q / 256 + 45 * pow(q, 3) / 1024) * sin(4 * phi) - 35 * pow(q, 3) / 3072 * sin(6 * phi)) AS m FROM u0),
+utm AS (SELECT *, 500000 + 0.9996::DOUBLE * nu * (w + (1 - t + c) * pow(w, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(w, 5) / 120) AS east,
+  0.9996::DOUBLE * (m + nu * tan(phi) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * pow(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(w, 6) / 720)) AS north FROM u1)"""
 
 
 SQL: dict[str, str] = {

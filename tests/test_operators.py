@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions.geometry import GEOMETRY
 from tessella.functions.geometry import rectangle
 from tessella.operators import census, directory, matching, proxy, series, spatial, zones as Z
 
@@ -156,3 +157,45 @@ def test_registered_models_fit_all_trees(spark, monkeypatch):
         with pytest.raises(Asked):
             query(spark, "/root/testdata/sf0.001")
     assert asked == [(150, 2, 0.05)] * 2
+
+
+def test_within_distance_at_any_latitude_and_radius(spark):
+    """Against brute force, near the poles, over the date line, with radii far above a cell."""
+    import math
+    import random
+
+    r = random.Random(5)
+    place = lambda: (r.choice([0, 21.8, 60, -72, 89.9, -89.99]) + r.uniform(-0.05, 0.05), r.choice([0, -102.3, 179.99, -179.99]) + r.uniform(-0.05, 0.05))
+    centres = [(i, *place(), r.choice([0.0, 0.3, 2.0, 25.0])) for i in range(60)]
+    points = [(i, max(-90.0, min(90.0, a)), o) for i, (a, o) in enumerate(place() for _ in range(300))]
+    centres = [(i, max(-90.0, min(90.0, a)), o, k) for i, a, o, k in centres]
+
+    def km(a1, o1, a2, o2):
+        x = math.sin(math.radians(a2 - a1) / 2) ** 2 + math.cos(math.radians(a1)) * math.cos(math.radians(a2)) * math.sin(math.radians(o2 - o1) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(x)))
+
+    want = {(c, p) for c, a, o, k in centres for p, b, q in points if km(a, o, b, q) <= k}
+    got = spatial.within_distance(spark.createDataFrame(centres, "cid long, lat double, lng double, r double"), spark.createDataFrame(points, "pid long, lat double, lon double"), F.col("r"), 0.5).select("cid", "pid").collect()
+    assert len(got) == len(want) > 500 and {tuple(x) for x in got} == want
+
+
+def test_rectangles_are_settled_as_the_kernels_do(spark):
+    """Rectangles by expressions against the same shapes with one corner more, which go to the kernels."""
+    import random
+
+    r = random.Random(6)
+
+    def shape(i, x, y, w, h, more):
+        xs, ys = [x, x + w, x + w, x, x], [y, y, y + h, y + h, y]
+        if more:
+            xs, ys = [x, x + w / 2, *xs[1:]], [y, y, *ys[1:]]
+        return i, (x, y, x + w, y + h, [(0, False, xs, ys)])
+
+    box = [(i, r.uniform(0, 0.1), r.uniform(0, 0.1), r.uniform(0.001, 0.03), r.uniform(0.001, 0.03)) for i in range(60)]
+    table = lambda name, more: spark.createDataFrame([shape(*b, more) for b in box], f"{name} long, geom {GEOMETRY}")
+    plain = {(x.z, x.g): (x.km2, x.frac) for x in spatial.overlap(table("z", False), table("g", False), "z", "g").collect()}
+    for a, b in ((False, True), (True, False), (True, True)):
+        other = {(x.z, x.g): (x.km2, x.frac) for x in spatial.overlap(table("z", a), table("g", b), "z", "g").collect()}
+        assert other.keys() == plain.keys() and all(abs(other[k][0] - plain[k][0]) < 1e-9 and abs(other[k][1] - plain[k][1]) < 1e-9 for k in plain)
+    meets = lambda a, b: {tuple(x) for x in spatial.polygons_intersecting(table("z", a), table("g", b), "z", "g").collect()}
+    assert meets(False, False) == meets(True, False) == meets(True, True)
