@@ -23,31 +23,35 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It is fitted on labelled rows of docs outside the held-out quarter."""
+    """Documents that the classifier rejects go. It is fitted on labelled rows of docs outside the held-out quarter. A null text
+    scores as one without a toxic word and stays; without labels the public list decides."""
     _find_here(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by five-word shingles at a similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    """Of documents joined by five-word shingles at a similarity of 0.8 or more, the one with the smallest doc_id stays.
+    Rows without text or without a doc_id stay."""
     _find_here(spark)
     return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts become surrogates; n_chars follows. A null text stays null, an empty table empty; every row stays."""
     _find_here(spark)
     columns = docs.columns
     return _measured(pii.pseudonymise(docs)).select(columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, each a whole text."""
+    """Documents as often as the mix takes them, each a whole text. Rows without a word are never drawn."""
     _find_here(spark)
     return _measured(mixing.mixed_documents(docs, whole=True)).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row's text, with parity and round trip. A null or empty text has none; an empty table gives an empty one."""
     _find_here(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "source", "lang"))
 
