@@ -98,6 +98,7 @@ def test_pieces(spark):
     for i, t in enumerate(texts):
         assert rows[i].ids == sp.encode(t or "") and rows[i].parity
     back = {r.doc_id: r.text for r in pieces.decode(e, SP).collect()}
+    assert all(rows[i].round_trip == (back[i] == (t or "")) for i, t in enumerate(texts))
     assert all(back[i] == sp.decode(sp.encode(t or "")) for i, t in enumerate(texts))
     full = pieces.engine(SP).model.tokenizer()
     assert all(full.encode(t, add_special_tokens=False).ids == sp.encode(t) for t in texts[:500] if t)
