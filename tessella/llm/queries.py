@@ -16,6 +16,9 @@ MODULES = {
     "op8_token_codes": "token_codes",
     "op9_ngram_join": "jaccard",
     "op10_ann": "ann",
+    "op11_simhash": "simhash",
+    "op12_periods": "periods",
+    "op13_merkle": "merkle",
 }
 
 
@@ -37,6 +40,7 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, d
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessella.llm.merkle import OP13_SQL
     from tessella.llm.topk import OP1_SQL
 
-    return {"op1_topk": OP1_SQL, "op9_ngram_join": OP9_SQL}
+    return {"op1_topk": OP1_SQL, "op9_ngram_join": OP9_SQL, "op13_merkle": OP13_SQL}
