@@ -92,6 +92,17 @@ def area_m2(geom: Column, project) -> Column:
     return F.aggregate(geom["rings"], F.lit(0.0), lambda s, r: s + F.when(r["hole"], -part(r)).otherwise(part(r)))
 
 
+def reproject(geom: Column, project) -> Column:
+    """The geometry with each corner (x, y) moved to project(x, y), a struct(x, y)."""
+
+    def one(r: Column) -> Column:
+        corners = F.transform(F.arrays_zip(r["xs"], r["ys"]), lambda v: project(v["xs"], v["ys"]))
+        part = lambda q, name: F.transform(q, lambda v: v[name])
+        return let(corners, lambda q: F.struct(r["part"].alias("part"), r["hole"].alias("hole"), part(q, "x").alias("xs"), part(q, "y").alias("ys")))
+
+    return F.when(geom.isNotNull(), geometry_of(F.transform(geom["rings"], one)))
+
+
 def density(population: Column, area: Column) -> Column:
     """Inhabitants a square kilometre of an area in square metres, rounded half to even."""
     return F.bround(population / F.when(area != 0, area) * 1e6, 0)

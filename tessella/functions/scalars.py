@@ -311,3 +311,14 @@ def to_lcc(lon: Column, lat: Column) -> Column:
     t = F.tan(F.lit(3.141592653589793 / 4) - phi / 2) / F.pow((1 - e * F.sin(phi)) / (1 + e * F.sin(phi)), F.lit(e / 2))
     rho, theta = 6378137.0 * f * F.pow(t, F.lit(n)), n * F.radians(lon + 102)
     return F.struct((2500000 + rho * F.sin(theta)).alias("x"), (rho0 - rho * F.cos(theta)).alias("y"))
+
+
+def from_lcc(x: Column, y: Column) -> Column:
+    """struct(lon, lat) of metres on the national conic: the latitude is the fixed point of the conformal equation, which each round
+    nears by a factor of over a hundred."""
+    e, n, f, rho0 = _lcc()
+    east, down = x - 2500000, rho0 - y
+    t = F.pow(F.hypot(east, down) / (6378137.0 * f), F.lit(1 / n))
+    half = 3.141592653589793 / 2
+    lat = lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(half) - 2 * F.atan(t), lambda phi, _: F.lit(half) - 2 * F.atan(t * F.pow((1 - e * F.sin(phi)) / (1 + e * F.sin(phi)), F.lit(e / 2))))
+    return F.struct((F.degrees(F.atan2(east, down) / n) - 102).alias("lon"), F.degrees(F.element_at(F.transform(F.array(t), lat), 1)).alias("lat"))

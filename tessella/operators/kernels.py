@@ -7,9 +7,11 @@ odd number of rings.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 
 Rings = list[tuple[np.ndarray, np.ndarray]]
 RADIUS_KM = 6378.137
@@ -29,15 +31,41 @@ def edges(rings: Rings) -> np.ndarray:
 
 
 def contains(rings: Rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ray cast for many points."""
-    inside = np.zeros(len(x), bool)
-    for x1, y1, x2, y2 in edges(rings):
-        if y1 == y2:
-            continue
-        inside ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    """Ray cast for many points, in lots that bound the memory."""
+    e = edges(rings)
+    x1, y1, x2, y2 = e[e[:, 1] != e[:, 3]].T[:, None]
+    inside, rows = np.zeros(len(x), bool), max(1, 1_000_000 // max(1, x1.size))
+    for k in range(0, len(x), rows):
+        px, py = x[k : k + rows, None], y[k : k + rows, None]
+        inside[k : k + rows] = (((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)).sum(1) % 2 == 1
     return inside
 
 
+def cells_of(rings: Rings, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Grid cells (rows of cx, cy) that a polygon's edges pass, and cells that lie in it whole."""
+    e = edges(rings)
+    low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    first, last = np.floor(low / size - 1e-9).astype(np.int64), np.floor(high / size + 1e-9).astype(np.int64)
+    edge = np.repeat(np.arange(len(e)), last - first + 1)
+    row = np.arange(len(edge)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[edge]
+    tall = np.where(high > low, high - low, 1)[edge]
+    up = e[edge, 3] >= e[edge, 1]
+    start, end = np.where(up, e[edge, 0], e[edge, 2]), np.where(up, e[edge, 2], e[edge, 0])
+    at = lambda y: start + (end - start) * np.clip((y - low[edge]) / tall, 0, 1)
+    flat = (high == low)[edge]
+    xa, xb = np.where(flat, start, at(row * size)), np.where(flat, end, at((row + 1) * size))
+    left, right = np.floor(np.minimum(xa, xb) / size - 1e-9).astype(np.int64), np.floor(np.maximum(xa, xb) / size + 1e-9).astype(np.int64)
+    n = right - left + 1
+    column = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+    passed = np.unique(np.column_stack((column, np.repeat(row, n))), axis=0)
+    (x1, y1), (x2, y2) = passed.min(0), passed.max(0)
+    grid = np.ones((x2 - x1 + 1, y2 - y1 + 1), bool)
+    grid[passed[:, 0] - x1, passed[:, 1] - y1] = False
+    other = np.argwhere(grid) + [x1, y1]
+    middle = (other + 0.5) * size
+    return passed, other[contains(rings, middle[:, 0], middle[:, 1])]
+
+
 def representative_point(rings: Rings) -> tuple[float, float]:
     """The middle of the widest stretch inside at mid-height (a little lower where only a vertex is there)."""
     e = edges(rings)
@@ -63,109 +91,345 @@ def _convex(rings: Rings) -> bool:
     return bool((turn >= -1e-15).all() or (turn <= 1e-15).all())
 
 
-def clip_convex(subject: tuple[np.ndarray, np.ndarray], clip: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The part of a ring within a convex ring, half plane by half plane. Bridges of a concave subject enclose no area."""
-    x, y = subject[0][:-1], subject[1][:-1]
-    cx, cy = clip
-    if ((cx[1:] - cx[:-1]) * (cy[1:] + cy[:-1])).sum() > 0:
-        cx, cy = cx[::-1], cy[::-1]
-    for x1, y1, x2, y2 in zip(cx[:-1], cy[:-1], cx[1:], cy[1:], strict=True):
-        if not len(x):
-            break
-        side = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
-        if (side >= 0).all():
-            continue
-        nx, ny, ns = np.roll(x, -1), np.roll(y, -1), np.roll(side, -1)
-        keep, cross = side >= 0, (side >= 0) != (ns >= 0)
-        t = np.divide(side, side - ns, out=np.zeros_like(side), where=cross)
-        place = np.concatenate((np.flatnonzero(keep) * 2, np.flatnonzero(cross) * 2 + 1))
-        px = np.concatenate((x[keep], (x + t * (nx - x))[cross]))
-        py = np.concatenate((y[keep], (y + t * (ny - y))[cross]))
-        order = np.argsort(place, kind="stable")
-        x, y = px[order], py[order]
-    return (np.append(x, x[:1]), np.append(y, y[:1]))
-
-
 def spherical_km2(x: np.ndarray, y: np.ndarray) -> float:
     """Signed area of a closed ring on the sphere."""
     s = np.sin(np.radians(y))
     return float((np.radians(np.diff(x)) * (s[1:] + s[:-1])).sum() / 2) * RADIUS_KM**2
 
 
-def slabs(a: Rings, b: Rings, op: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Boolean of two polygons as trapezoids (closed rings). op: and, or, minus, xor.
-
-    Horizontal lines through all vertices and crossings cut both into slabs, within which edges don't cross; from left to
-    right each edge turns its polygon on or off.
-    """
-    e = np.concatenate((edges(a), edges(b)))
-    own = np.repeat([0, 1], [len(edges(a)), len(edges(b))])
+def _crossings(e: np.ndarray, slope: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Heights at which two edges cross, in lots that bound the memory."""
+    found = [np.zeros(0)]
+    rows = max(1, 2_000_000 // max(1, len(e)))
+    for k in range(0, len(e), rows):
+        some = slice(k, k + rows)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = (at[None, :] - at[some, None]) / (slope[some, None] - slope[None, :])
+        low, high = np.maximum(e[None, :, 1], e[some, None, 1]), np.minimum(e[None, :, 3], e[some, None, 3])
+        found.append(y[np.isfinite(y) & (y > low) & (y < high)])
+    return np.concatenate(found)
+
+
+def _sweep(sets: list[np.ndarray], inside: Callable[[np.ndarray], np.ndarray]) -> tuple[list[tuple[float, float, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Slabs between the heights of all vertices and crossings of some sets of directed edges: (low, high, left edges, right edges)
+    of what `inside` keeps, with slope and offset of every edge. inside sees, set by set and from left to right, how often each
+    set's edges have turned round so far (up counts 1, down -1)."""
+    e = np.concatenate([np.zeros((0, 4)), *sets])
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     keep = e[:, 1] != e[:, 3]
-    e, own = e[keep], own[keep]
+    e, own = e[keep].copy(), own[keep]
     if not len(e):
-        return []
+        return [], np.zeros(0), np.zeros(0)
     down = e[:, 1] > e[:, 3]
+    turn = np.where(down, -1, 1)
     e[down] = e[down][:, [2, 3, 0, 1]]
     slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
     at = e[:, 0] - slope * e[:, 1]
-    levels = [e[:, 1], e[:, 3]]
-    for i in range(len(e)):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            y = (at - at[i]) / (slope[i] - slope)
-        levels.append(y[np.isfinite(y) & (y > np.maximum(e[:, 1], e[i, 1])) & (y < np.minimum(e[:, 3], e[i, 3]))])
-    y = np.unique(np.concatenate(levels))
-    keep_levels = np.concatenate(([True], np.diff(y) > 1e-13))
-    y = y[keep_levels]
+    y = np.unique(np.concatenate((e[:, 1], e[:, 3], _crossings(e, slope, at))))
+    y = y[np.concatenate(([True], np.diff(y) > 1e-13))]
     out = []
-    for lo, hi in zip(y[:-1], y[1:], strict=True):
+    order = np.argsort(e[:, 1], kind="stable")
+    begins = np.searchsorted(e[order, 1], (y[:-1] + y[1:]) / 2, "right")
+    live, seen = np.zeros(0, np.int64), 0
+    for lo, hi, upto in zip(y[:-1], y[1:], begins, strict=True):
         mid = (lo + hi) / 2
-        live = np.flatnonzero((e[:, 1] <= mid) & (e[:, 3] > mid))
+        live = np.concatenate((live[e[live, 3] > mid], order[seen:upto][e[order[seen:upto], 3] > mid]))
+        seen = upto
         if len(live) < 2:
             continue
-        live = live[np.argsort(at[live] + slope[live] * mid, kind="stable")]
-        state, start = [False, False], None
-        for k in live:
-            state[own[k]] = not state[own[k]]
-            on = {"and": state[0] and state[1], "or": state[0] or state[1], "minus": state[0] and not state[1], "xor": state[0] != state[1]}[op]
-            if on and start is None:
-                start = k
-            elif not on and start is not None:
-                x = [at[j] + slope[j] * v for j, v in ((start, lo), (k, lo), (k, hi), (start, hi))]
-                if x[1] - x[0] > 1e-13 or x[2] - x[3] > 1e-13:
-                    out.append((np.array([*x, x[0]]), np.array([lo, lo, hi, hi, lo])))
-                start = None
+        x = at[live] + slope[live] * mid
+        by_x = np.argsort(x, kind="stable")
+        live, x = live[by_x], x[by_x]
+        turns = np.zeros((len(sets), len(live)), np.int64)
+        turns[own[live], np.arange(len(live))] = turn[live]
+        # edges that lie on one another are passed together
+        last = np.append(np.flatnonzero(np.diff(x) > 1e-12 * np.maximum(1.0, np.abs(x[1:]))), len(x) - 1)
+        on = np.concatenate(([False], inside(np.cumsum(turns, axis=1))[last[np.searchsorted(last, np.arange(len(x)))]]))
+        edge = np.flatnonzero(on[1:] != on[:-1])
+        if len(edge) >= 2:
+            out.append((lo, hi, live[edge[0::2]][: len(edge) // 2], live[edge[1::2]]))
+    return out, slope, at
+
+
+#: What is inside of two polygons, each by the number of its rings that a point lies in (odd: inside).
+RULES = {
+    "and": lambda t: (t[0] % 2 == 1) & (t[1] % 2 == 1),
+    "or": lambda t: (t[0] % 2 == 1) | (t[1] % 2 == 1),
+    "minus": lambda t: (t[0] % 2 == 1) & (t[1] % 2 == 0),
+    "xor": lambda t: (t[0] + t[1]) % 2 == 1,
+}
+
+
+def slabs(a: Rings, b: Rings, op: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Boolean of two polygons as trapezoids (closed rings). op: and, or, minus, xor."""
+    found, slope, at = _sweep([edges(a), edges(b)], RULES[op])
+    out = []
+    for lo, hi, left, right in found:
+        x = np.array([at[left] + slope[left] * lo, at[right] + slope[right] * lo, at[right] + slope[right] * hi, at[left] + slope[left] * hi])
+        for c in x[:, (x[1] - x[0] > 1e-13) | (x[2] - x[3] > 1e-13)].T:
+            out.append((np.append(c, c[0]), np.array([lo, lo, hi, hi, lo])))
+    return out
+
+
+def stitch(starts: np.ndarray, ends: np.ndarray) -> Rings:
+    """Rings from directed edges, whose corners agree: at a corner that several leave the sharpest left turn is taken, so that
+    rings that touch there stay apart. Corners on a straight line are left out."""
+    leave: dict[tuple, list[int]] = {}
+    for k, s in enumerate(map(tuple, starts.tolist())):
+        leave.setdefault(s, []).append(k)
+    used, rings = np.zeros(len(starts), bool), []
+    to = [tuple(x) for x in ends.tolist()]
+    way = np.arctan2(*(ends - starts).T[::-1])
+    for k in range(len(starts)):
+        if used[k]:
+            continue
+        walk = []
+        while not used[k]:
+            used[k] = True
+            walk.append(k)
+            free = [j for j in leave.get(to[k], ()) if not used[j]]
+            if not free:
+                break
+            k = max(free, key=lambda j, k=k: (way[j] - way[k] + np.pi) % (2 * np.pi)) if len(free) > 1 else free[0]
+        p, bent = starts[walk], np.zeros(1, bool)
+        while len(p) and not bent.all():  # again, as a spike that goes leaves its foot twice
+            before, after = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
+            bent = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 1e-9 * np.hypot(*before.T) * np.hypot(*after.T)
+            p = p[bent]
+        if len(p) >= 3:
+            rings.append((np.append(p[:, 0], p[0, 0]), np.append(p[:, 1], p[0, 1])))
+    return rings
+
+
+def _rings(found, slope: np.ndarray, at: np.ndarray) -> Rings:
+    """Slabs as rings: sides stay, and of the horizontal edges those parts that only one of two slabs has. Outer rings run
+    counter-clockwise, holes clockwise."""
+    if not found:
+        return []
+    levels: dict[float, list[tuple[np.ndarray, int, int]]] = {}
+    for k, (lo, hi, left, right) in enumerate(found):
+        for y, kind in ((lo, 1), (hi, -1)):
+            levels.setdefault(y, []).append((np.stack((at[left] + slope[left] * y, at[right] + slope[right] * y)), kind, k))
+    # corners of one height that differ by rounding only are one corner
+    at_height: dict[tuple[float, int], np.ndarray] = {}
+    starts, ends = [], []
+    for y, parts in levels.items():
+        x = np.sort(np.concatenate([p.ravel() for p, _, _ in parts]))
+        new = np.concatenate(([True], np.diff(x) > 1e-11 * max(1.0, abs(x[-1]), abs(x[0]))))
+        place, kept = np.cumsum(new) - 1, x[new]
+        cover = np.zeros(len(kept) + 1, np.int64)
+        for p, kind, k in parts:
+            i = place[np.searchsorted(x, p)]
+            at_height[y, k] = kept[i]
+            np.add.at(cover, i[0], kind)
+            np.add.at(cover, i[1], -kind)
+        cover = np.cumsum(cover)[:-1]
+        for j in np.flatnonzero(cover):
+            a, b = (kept[j], y), (kept[j + 1], y)
+            starts.append(a if cover[j] > 0 else b)  # what lies above is walked to the right, what lies below to the left
+            ends.append(b if cover[j] > 0 else a)
+    for k, (lo, hi, _, _) in enumerate(found):
+        low, high = at_height[lo, k], at_height[hi, k]
+        for i in range(low.shape[1]):
+            if low[0, i] == low[1, i] and high[0, i] == high[1, i]:
+                continue
+            starts += [(low[1, i], lo), (high[0, i], hi)]
+            ends += [(high[1, i], hi), (low[0, i], lo)]
+    return stitch(np.array(starts), np.array(ends))
+
+
+def overlay(a: Rings, b: Rings, op: str) -> Rings:
+    """Boolean of two polygons as rings. op: and, or, minus, xor. overlay(a, [], "or") mends rings that cross or touch themselves."""
+    return _rings(*_sweep([edges(a), edges(b)], RULES[op]))
+
+
+def ring_area(x: np.ndarray, y: np.ndarray) -> float:
+    """Planar area of a closed ring, positive counter-clockwise."""
+    return float(((x[:-1] - x[0]) * (y[1:] - y[0]) - (x[1:] - x[0]) * (y[:-1] - y[0])).sum() / 2)
+
+
+def directed(rings: Rings) -> Rings:
+    """Rings of a polygon whose rings don't cross, outer ones counter-clockwise, holes clockwise, whatever they were."""
+    out = []
+    for k, (x, y) in enumerate(rings):
+        depth = sum(bool(contains([r], (x[:1] + x[1:2]) / 2, (y[:1] + y[1:2]) / 2)[0]) for j, r in enumerate(rings) if j != k)
+        out.append((x, y) if (ring_area(x, y) > 0) == (depth % 2 == 0) else (x[::-1], y[::-1]))
     return out
 
 
-def area_km2(rings: Rings) -> float:
-    """Area of a polygon on the sphere."""
-    if len(rings) == 1:
-        return abs(spherical_km2(*rings[0]))
-    return sum(abs(spherical_km2(*r)) for r in slabs(rings, [], "or"))
+def union_all(parts: list[Rings]) -> Rings:
+    """Union of many polygons in one sweep: all that any of them winds round."""
+    parts = [directed(p) for p in parts if p]
+    return _rings(*_sweep([edges([r for p in parts for r in p])], lambda t: t[0] < 0)) if parts else []
+
+
+def less(rings: Rings, masks: list[Rings]) -> Rings:
+    """A polygon less all of some others, in one sweep."""
+    mask = [r for m in masks for r in directed(m)]
+    return _rings(*_sweep([edges(rings), edges(mask)], lambda t: (t[0] % 2 == 1) & (t[1] >= 0)))
+
+
+def snapped(e: np.ndarray, same: float) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of edges, with corners closer than `same` made one; edges that become points are gone."""
+    p = np.concatenate((e[:, :2], e[:, 2:]))
+    by_x = np.argsort(p[:, 0], kind="stable")
+    column = np.empty(len(p), np.int64)
+    column[by_x] = np.cumsum(np.concatenate(([0], np.diff(p[by_x, 0]) > same)))
+    order = np.lexsort((p[:, 1], column))
+    new = np.concatenate(([True], (np.diff(column[order]) > 0) | (np.diff(p[order, 1]) > same)))
+    q = np.empty_like(p)
+    q[order] = p[order][new][np.cumsum(new) - 1]
+    starts, ends = q[: len(e)], q[len(e) :]
+    keep = np.any(starts != ends, axis=1)
+    return starts[keep], ends[keep]
+
+
+def offset(rings: Rings, d: float, steps: int = 16, corners: bool = False) -> Rings:
+    """Directed rings moved out by d > 0 (in by -d): corners become arcs of `steps` pieces a quarter turn. What the moved rings
+    wind round is the polygon and all within d of it; moved in, what all of d around lies in the polygon. With `corners`, those of
+    a turn up to 120 degrees stay corners."""
+    moved, sign = [], 1 if d > 0 else -1
+    for x, y in rings:
+        p = np.column_stack((x, y))[:-1]
+        p = p[np.any(p != np.roll(p, 1, axis=0), axis=1)]
+        if sign < 0:
+            p = p[::-1]
+        if len(p) < 3:
+            continue
+        way = np.roll(p, -1, axis=0) - p
+        angle = np.arctan2(way[:, 1], way[:, 0])
+        normal = angle - np.pi / 2  # to the right: outside of a counter-clockwise ring
+        line = []
+        for k in range(len(p)):
+            turn = (angle[k] - angle[k - 1] + np.pi) % (2 * np.pi) - np.pi
+            if corners and 0 < turn <= np.pi * 2 / 3:
+                a = normal[k - 1] + turn / 2
+                line.append(p[k : k + 1] + abs(d) / np.cos(turn / 2) * np.array([[np.cos(a), np.sin(a)]]))
+            elif turn > 0:
+                n = max(1, int(np.ceil(turn / (np.pi / 2 / steps) - 1e-9)))
+                a = normal[k - 1] + turn * np.arange(n + 1) / n
+                line.append(p[k] + abs(d) * np.column_stack((np.cos(a), np.sin(a))))
+            else:  # by way of the corner itself, so that the loop winds round nothing twice
+                line.append(np.array([p[k] + abs(d) * np.array([np.cos(normal[k - 1]), np.sin(normal[k - 1])]), p[k], p[k] + abs(d) * np.array([np.cos(normal[k]), np.sin(normal[k])])]))
+        q = np.concatenate(line)
+        moved.append((np.append(q[:, 0], q[0, 0]), np.append(q[:, 1], q[0, 1])))
+    return _rings(*_sweep([edges(moved)], (lambda t: t[0] < 0) if sign > 0 else (lambda t: t[0] > 0))) if moved else []
+
+
+def close_gaps(rings: Rings, d: float) -> Rings:
+    """Directed rings moved out by d and in again: gaps and inlets narrower than 2d close, straight sides and outer corners stay."""
+    return offset(offset(rings, d, corners=True), -d, corners=True)
+
+
+def rings_km2(rings: Rings) -> float:
+    """Area on the sphere of directed rings, as overlay and the like return them."""
+    return abs(sum(spherical_km2(*r) for r in rings))
 
 
-def overlap_km2(a: Rings, b: Rings) -> float:
-    """Area of the intersection on the sphere: by clipping where one side is convex, else by slabs."""
-    if len(a) == 1 and len(b) == 1:
-        for subject, clip in sorted(((a, b), (b, a)), key=lambda p: len(p[1][0][0])):
-            if _convex(clip):
-                return abs(spherical_km2(*clip_convex(subject[0], clip[0])))
-    return sum(abs(spherical_km2(*r)) for r in slabs(a, b, "and"))
+def area_km2(rings: Rings) -> float:
+    """Area of a polygon on the sphere."""
+    return rings_km2(rings if len(rings) == 1 else directed(rings))
+
+
+def clip_many(x: np.ndarray, y: np.ndarray, n: np.ndarray, cx: np.ndarray, cy: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Many rings (rows, the first n corners of each; open) within as many convex counter-clockwise rings (m corners), half plane by
+    half plane for all rows at once. Bridges of a concave ring enclose no area."""
+    rows = np.arange(len(x))
+    for k in range(cx.shape[1]):
+        after = np.where(k + 1 < m, k + 1, 0)
+        x1, y1, x2, y2 = (v[:, None] for v in (cx[:, k], cy[:, k], cx[rows, after], cy[rows, after]))
+        place = np.arange(x.shape[1])
+        there = place < n[:, None]
+        side = np.where((k < m)[:, None], (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1), 0.0)
+        if (side >= 0)[there].all():
+            continue
+        ahead = np.where(place + 1 < n[:, None], place + 1, 0)
+        nx, ny, ns = (np.take_along_axis(v, ahead, 1) for v in (x, y, side))
+        cross = there & ((side >= 0) != (ns >= 0))
+        t = np.divide(side, side - ns, out=np.zeros_like(side), where=cross)
+        both = [np.stack(v, axis=2).reshape(len(x), -1) for v in ((x, x + t * (nx - x)), (y, y + t * (ny - y)), (there & (side >= 0), cross))]
+        n = both[2].sum(1)
+        order = np.argsort(~both[2], axis=1, kind="stable")[:, : max(1, int(n.max(initial=0)))]
+        x, y = (np.take_along_axis(v, order, 1) for v in both[:2])
+    return x, y, n
+
+
+def _padded(rings: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Closed rings as rows of corners, without the last."""
+    n = np.array([len(x) - 1 for x, _ in rings])
+    out = np.zeros((2, len(rings), max(1, int(n.max(initial=0)))))
+    for i, r in enumerate(rings):
+        out[:, i, : n[i]] = np.array(r)[:, :-1]
+    return out[0], out[1], n
+
+
+#: Rings that are clipped at once.
+LOT = 2048
+
+
+def overlaps_km2(a: list[Rings], b: list[Rings]) -> np.ndarray:
+    """Areas of the intersections of pairs of polygons on the sphere: all pairs with a convex side by clipping together, the few
+    others by overlay. Rings of the other side count by how many of its rings they lie in."""
+    known: dict[int, tuple[bool, list[int]]] = {}
+
+    def about(g: Rings) -> tuple[bool, list[int]]:
+        if id(g) not in known:
+            depth = [sum(bool(contains([q], (r[0][:1] + r[0][1:2]) / 2, (r[1][:1] + r[1][1:2]) / 2)[0]) for q in g if q is not r) for r in g] if len(g) > 1 else [0] * len(g)
+            known[id(g)] = _convex(g), [(-1) ** d for d in depth]
+        return known[id(g)]
+
+    out, rows = np.zeros(len(a)), []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        sides = [(s, c) for s, c in ((p, q), (q, p)) if about(c)[0]]
+        if sides:
+            s, c = min(sides, key=lambda v: len(v[1][0][0]))
+            x, y = c[0]
+            rows += [(i, r, sign, (x, y) if ring_area(x, y) > 0 else (x[::-1], y[::-1])) for r, sign in zip(s, about(s)[1], strict=True) if len(r[0]) > 3]
+        else:
+            out[i] = rings_km2(overlay(p, q, "and"))
+    rows.sort(key=lambda v: (len(v[3][0]), len(v[1][0])))
+    for k in range(0, len(rows), LOT):
+        some = rows[k : k + LOT]
+        x, y, n = clip_many(*_padded([v[1] for v in some]), *_padded([v[3] for v in some]))
+        place = np.arange(x.shape[1])
+        ahead = np.where(place + 1 < n[:, None], place + 1, 0)
+        s = np.sin(np.radians(y))
+        part = np.radians(np.take_along_axis(x, ahead, 1) - x) * (s + np.take_along_axis(s, ahead, 1)) / 2
+        km2 = np.abs(np.where(place < n[:, None], part, 0).sum(1)) * RADIUS_KM**2
+        np.add.at(out, [v[0] for v in some], km2 * [v[2] for v in some])
+    return out
 
 
-def intersects(a: Rings, b: Rings) -> bool:
-    """Whether edges cross or touch, or one lies within the other."""
-    ea, eb = edges(a), edges(b)
-    if not len(ea) or not len(eb):
-        return False
-    x1, y1, x2, y2 = (ea[:, k][:, None] for k in range(4))
-    x3, y3, x4, y4 = (eb[:, k][None, :] for k in range(4))
-    side = lambda px, py, qx, qy, rx, ry: np.sign((qx - px) * (ry - py) - (qy - py) * (rx - px))
-    d1, d2, d3, d4 = side(x3, y3, x4, y4, x1, y1), side(x3, y3, x4, y4, x2, y2), side(x1, y1, x2, y2, x3, y3), side(x1, y1, x2, y2, x4, y4)
-    boxes = (np.maximum(x1, x2) >= np.minimum(x3, x4)) & (np.maximum(x3, x4) >= np.minimum(x1, x2)) & (np.maximum(y1, y2) >= np.minimum(y3, y4)) & (np.maximum(y3, y4) >= np.minimum(y1, y2))
-    if (boxes & (d1 * d2 <= 0) & (d3 * d4 <= 0)).any():
-        return True
-    return bool(contains(a, eb[:1, 0], eb[:1, 1])[0] or contains(b, ea[:1, 0], ea[:1, 1])[0])
+def _all_pairs(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair k, every i < na[k] with every j < nb[k]: k, i, j."""
+    total = na * nb
+    k = np.repeat(np.arange(len(na)), total)
+    at = np.arange(len(k)) - np.repeat(np.cumsum(total) - total, total)
+    return k, at // np.maximum(nb[k], 1), at % np.maximum(nb[k], 1)
+
+
+def meet_many(a: list[Rings], b: list[Rings]) -> np.ndarray:
+    """Whether the polygons of pairs share a point: edges that cross or touch, or one within the other. All edges of a lot of pairs
+    are compared together."""
+    once: dict[int, np.ndarray] = {}
+    of = lambda g: once.setdefault(id(g), edges(g)) if id(g) not in once else once[id(g)]
+    ea, eb = [of(g) for g in a], [of(g) for g in b]
+    na, nb = np.array([len(e) for e in ea]), np.array([len(e) for e in eb])
+    out, lot = np.zeros(len(a), bool), np.cumsum(na * nb) // 1_000_000
+    for _, rows in pd.Series(lot).groupby(lot).indices.items():
+        fa, fb = np.cumsum(na[rows]) - na[rows], np.cumsum(nb[rows]) - nb[rows]
+        va, vb = np.concatenate([ea[i] for i in rows] + [np.zeros((0, 4))]), np.concatenate([eb[i] for i in rows] + [np.zeros((0, 4))])
+        k, i, j = _all_pairs(na[rows], nb[rows])
+        x1, y1, x2, y2 = va[fa[k] + i].T
+        x3, y3, x4, y4 = vb[fb[k] + j].T
+        near = (np.maximum(x1, x2) >= np.minimum(x3, x4)) & (np.maximum(x3, x4) >= np.minimum(x1, x2)) & (np.maximum(y1, y2) >= np.minimum(y3, y4)) & (np.maximum(y3, y4) >= np.minimum(y1, y2))
+        k, (x1, y1, x2, y2, x3, y3, x4, y4) = k[near], (v[near] for v in (x1, y1, x2, y2, x3, y3, x4, y4))
+        side = lambda px, py, qx, qy, rx, ry: np.sign((qx - px) * (ry - py) - (qy - py) * (rx - px))
+        hit = (side(x3, y3, x4, y4, x1, y1) * side(x3, y3, x4, y4, x2, y2) <= 0) & (side(x1, y1, x2, y2, x3, y3) * side(x1, y1, x2, y2, x4, y4) <= 0)
+        out[rows[k[hit]]] = True
+    for i in np.flatnonzero(~out & (na > 0) & (nb > 0)):
+        out[i] = contains(a[i], eb[i][:1, 0], eb[i][:1, 1])[0] or contains(b[i], ea[i][:1, 0], ea[i][:1, 1])[0]
+    return out
 
 
 def simplify(x: np.ndarray, y: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -198,14 +462,6 @@ def smooth(x: np.ndarray, y: np.ndarray, iterations: int) -> tuple[np.ndarray, n
     return np.append(x, x[0]), np.append(y, y[0])
 
 
-def union_all(parts: list[Rings]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Union of many polygons, pair by pair in a balanced order."""
-    parts = [p for p in parts if p]
-    while len(parts) > 1:
-        parts = [slabs(parts[i], parts[i + 1], "or") if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0] if parts else []
-
-
 def name_ratio(query: str, key: str, least: float) -> float:
     """Matching-blocks ratio of two names, 0 where cheap bounds already rule `least` out."""
     total = len(query) + len(key)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tessella.functions.geometry import GEOMETRY
 from tessella.functions.scalars import exclusion_reason
 from tessella.operators import kernels as K
 from tessella.operators.directory import FEATURES
-from tessella.sources.scratch import scratch_dir
+from tessella.operators.spatial import cell_value
+from tessella.sources.scratch import written
 
 SEED = 42
 
@@ -54,12 +55,6 @@ def validation_metrics(preds: DataFrame, cuts: DataFrame, label: str = "nse_scor
     return d.agg(F.count("*").alias("n"), (1 - F.sum(F.pow(F.col("_y") - F.col("prediction"), 2)) / F.sum(F.pow(F.col("_y") - F.col("_m"), 2))).alias("r2"), F.corr("_y", "prediction").alias("correlation"), F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("accuracy"), F.avg((F.abs(F.col("_a") - F.col("_b")) >= 2).cast("double")).alias("serious"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    path = f"{scratch_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6) -> DataFrame:
     """points(pid, x, y in metres) -> pid, core, cluster (its smallest core id); noise has no row.
 
@@ -69,7 +64,7 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
     leave no doubt; only cells that then still lie in different components are compared point by point. No group is gathered.
     """
     side = eps / 3
-    p = _cut(points.select(pid, "x", "y", F.floor(F.col("x") / side).cast("int").alias("cx"), F.floor(F.col("y") / side).cast("int").alias("cy")))
+    p = written(points.select(pid, "x", "y", F.floor(F.col("x") / side).cast("int").alias("cx"), F.floor(F.col("y") / side).cast("int").alias("cy")))
     around = lambda r: F.explode(F.transform(F.sequence(F.lit(0), F.lit((2 * r + 1) ** 2 - 1)), lambda i: F.struct((F.floor(i / (2 * r + 1)) - r).cast("int").alias("dx"), (i % (2 * r + 1) - r).cast("int").alias("dy"))))
     reach = lambda d, r, *keep: d.select(*keep, "cx", "cy", around(r).alias("d")).select(*keep, "cx", "cy", (F.col("cx") + F.col("d.dx")).alias("nx"), (F.col("cy") + F.col("d.dy")).alias("ny"))
     counts = p.groupBy("cx", "cy").agg(F.count("*").alias("k"))
@@ -77,14 +72,14 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
     q = p.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
     within = F.pow(F.col("x") - F.col("qx"), 2) + F.pow(F.col("y") - F.col("qy"), 2) <= eps * eps
     few = reach(p.join(close.where(F.col("near") < min_samples), ["cx", "cy"], "left_semi"), 4, pid, "x", "y").join(q, ["nx", "ny"]).where(within)
-    cores = _cut(few.groupBy(pid).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(pid).unionByName(p.join(close.where(F.col("near") >= min_samples), ["cx", "cy"], "left_semi").select(pid)))
-    core = _cut(p.join(cores, pid, "left_semi"))
-    cells = _cut(core.groupBy("cx", "cy").agg(F.min(pid).alias("label"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2")))
+    cores = written(few.groupBy(pid).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(pid).unionByName(p.join(close.where(F.col("near") >= min_samples), ["cx", "cy"], "left_semi").select(pid)))
+    core = written(p.join(cores, pid, "left_semi"))
+    cells = written(core.groupBy("cx", "cy").agg(F.min(pid).alias("label"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2")))
     other = cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), *[F.col(c).alias("n" + c) for c in ("x1", "x2", "y1", "y2")])
     two = reach(cells, 4, "x1", "x2", "y1", "y2").where("nx > cx or (nx = cx and ny > cy)").join(other, ["nx", "ny"])
     least = F.pow(F.greatest(F.lit(0.0), F.col("nx1") - F.col("x2"), F.col("x1") - F.col("nx2")), 2) + F.pow(F.greatest(F.lit(0.0), F.col("ny1") - F.col("y2"), F.col("y1") - F.col("ny2")), 2)
     most = F.pow(F.greatest(F.col("nx2") - F.col("x1"), F.col("x2") - F.col("nx1")), 2) + F.pow(F.greatest(F.col("ny2") - F.col("y1"), F.col("y2") - F.col("ny1")), 2)
-    two = _cut(two.where(least <= eps * eps).select("cx", "cy", "nx", "ny", (most <= eps * eps).alias("sure")))
+    two = written(two.where(least <= eps * eps).select("cx", "cy", "nx", "ny", (most <= eps * eps).alias("sure")))
 
     def spread(links: DataFrame, labels: DataFrame) -> DataFrame:
         """Smallest labels over linked cells; a label, itself a core id, is followed to its own cell's label."""
@@ -93,7 +88,7 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
             seen = both.join(labels.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), "label"), ["nx", "ny"]).groupBy("cx", "cy").agg(F.min("label").alias("other"))
             step = labels.join(seen, ["cx", "cy"], "left").select("cx", "cy", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("_moved"))
             owner = core.select(F.col(pid).alias("label"), "cx", "cy").join(step.select("cx", "cy", F.col("label").alias("up")), ["cx", "cy"]).select("label", "up")
-            step = _cut(step.join(owner, "label", "left").select("cx", "cy", F.least("label", F.coalesce("up", "label")).alias("label"), "_moved"))
+            step = written(step.join(owner, "label", "left").select("cx", "cy", F.least("label", F.coalesce("up", "label")).alias("label"), "_moved"))
             labels = step.drop("_moved")
             if not step.where("_moved").take(1):
                 return labels
@@ -102,7 +97,7 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
     labels = spread(sure, cells.select("cx", "cy", "label"))
     open_ = two.where("not sure").join(labels, ["cx", "cy"]).join(labels.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("label").alias("nlabel")), ["nx", "ny"]).where("label <> nlabel").select("cx", "cy", "nx", "ny")
     far = core.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    touching = _cut(open_.join(core.select("cx", "cy", "x", "y"), ["cx", "cy"]).join(far, ["nx", "ny"]).where(within).select("cx", "cy", "nx", "ny").distinct())
+    touching = written(open_.join(core.select("cx", "cy", "x", "y"), ["cx", "cy"]).join(far, ["nx", "ny"]).where(within).select("cx", "cy", "nx", "ny").distinct())
     if touching.take(1):
         labels = spread(sure.unionByName(touching), labels)
     inside = core.join(labels, ["cx", "cy"]).select(pid, F.lit(True).alias("core"), F.col("label").alias("cluster"))
@@ -113,36 +108,64 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
     return inside.unionByName(border.groupBy(pid).agg(F.min("label").alias("cluster")).select(pid, F.lit(False).alias("core"), "cluster"))
 
 
-def cluster_footprints(points: DataFrame, cluster: str, radius_m: float = 90.0, steps: int = 24, block_m: float = 500.0) -> DataFrame:
-    """points(cluster, x, y in metres) -> cluster, km2, x, y (centroid): the union of discs around the points.
-
-    Points count once a metre; a cluster's discs are united in blocks of the plane, whose pieces don't overlap, and then added.
+def _open_arcs(points: DataFrame, others: DataFrame, cluster: str, r: float) -> DataFrame:
+    """points, others (cluster, x, y), each once -> cluster, x, y, first, last: the arcs of a point's circle (angles from 0 to two pi)
+    that no other's disc covers. Circles meet by cells as wide as r; what is covered so far is a running maximum of ends."""
+    cell = lambda d: d.withColumns({"cx": F.floor(F.col("x") / r).cast("long"), "cy": F.floor(F.col("y") / r).cast("long")})
+    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("dx"), F.lit(j).cast("long").alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])
+    p = cell(points).withColumn("d", F.explode(steps)).select(cluster, "x", "y", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
+    q = cell(others).select(cluster, "cx", "cy", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    apart = F.hypot(F.col("qx") - F.col("x"), F.col("qy") - F.col("y"))
+    met = p.join(q, [cluster, "cx", "cy"]).withColumn("apart", apart).where((F.col("apart") > 0) & (F.col("apart") < 2 * r))
+    turn = 2 * np.pi
+    half = F.acos(F.col("apart") / (2 * r))
+    start = F.pmod(F.atan2(F.col("qy") - F.col("y"), F.col("qx") - F.col("x")) - half, F.lit(turn))
+    met = met.select(cluster, "x", "y", start.alias("s"), (start + 2 * half).alias("e"))
+    part = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
+    over = F.when(F.col("e") > turn, F.array(part(F.col("s"), F.lit(turn)), part(F.lit(0.0), F.col("e") - turn))).otherwise(F.array(part(F.col("s"), F.col("e"))))
+    end = points.select(cluster, "x", "y", part(F.lit(turn), F.lit(turn)).alias("i"))  # the turn's end, for all
+    covered = met.select(cluster, "x", "y", F.explode(over).alias("i")).unionByName(end).select(cluster, "x", "y", "i.s", "i.e")
+    ahead = W.partitionBy(cluster, "x", "y").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
+    arcs = covered.select(cluster, "x", "y", F.coalesce(F.max("e").over(ahead), F.lit(0.0)).alias("first"), F.col("s").alias("last"))
+    return arcs.where(F.col("last") - F.col("first") > 1e-9)
+
+
+def cluster_footprints(points: DataFrame, cluster: str, radius_m: float = 90.0, steps: int = 16) -> DataFrame:
+    """points(cluster, x, y in metres) -> cluster, km2, x, y (centroid), geom (outline in metres): the union of discs around the points.
+
+    The boundary of the union is made of the arcs that no other disc covers. Area and centroid are sums over these arcs (Green's
+    theorem), exact for circles. A point whose circle is already covered by one point of each cell around it lies inside and
+    needn't meet all others, so that a crowd costs what its rim costs. The outline has `steps` pieces a quarter turn; it is put
+    together from the arcs of a cluster, which is one row of the result. A null cluster or place takes no part.
     """
-    turn = 2 * np.pi * np.arange(steps + 1) / steps
-    cos, sin = radius_m * np.cos(turn), radius_m * np.sin(turn)
-    d = points.select(cluster, F.round("x").alias("x"), F.round("y").alias("y")).distinct()
-    f = lambda c: F.floor(c / block_m)
-    reach = lambda c: F.sequence(f(F.col(c) - radius_m), f(F.col(c) + radius_m))
-    d = d.withColumn("bx", F.explode(reach("x"))).withColumn("by", F.explode(reach("y")))
-    kind = points.schema[cluster].dataType.simpleString()
+    r = float(radius_m)
+    d = written(points.where(F.col(cluster).isNotNull()).select(cluster, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().distinct())
+    few = d.groupBy(cluster, F.floor(F.col("x") / r).alias("cx"), F.floor(F.col("y") / r).alias("cy")).agg(F.min(F.struct("x", "y")).alias("p")).select(cluster, "p.x", "p.y")
+    rim = written(_open_arcs(d, few, cluster, r).select(cluster, "x", "y").distinct())
+    arcs = written(_open_arcs(rim, d, cluster, r))
+    a, b, x, y = F.col("first"), F.col("last"), F.col("x"), F.col("y")
+    change = lambda f: f(b) - f(a)
+    cos, sin = change(F.sin), change(lambda t: -F.cos(t))  # of integrals: over cos, sin, their squares and cubes
+    double = change(lambda t: F.sin(2 * t)) / 4
+    cos2, sin2 = (b - a) / 2 + double, (b - a) / 2 - double
+    cos3, sin3 = change(lambda t: F.sin(t) - F.pow(F.sin(t), 3) / 3), change(lambda t: F.pow(F.cos(t), 3) / 3 - F.cos(t))
+    area = F.sum(r * (r * (b - a) + x * cos + y * sin) / 2)
+    mx = F.sum(r * (x * x * cos + 2 * r * x * cos2 + r * r * cos3) / 2)
+    my = F.sum(r * (y * y * sin + 2 * r * y * sin2 + r * r * sin3) / 2)
+    sums = arcs.groupBy(cluster).agg(area.alias("area"), mx.alias("mx"), my.alias("my"))
+    figures = sums.select(cluster, (F.col("area") / 1e6).alias("km2"), (F.col("mx") / F.col("area")).alias("x"), (F.col("my") / F.col("area")).alias("y"))
+
+    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for cx, cy, first, last in pdf[["x", "y", "first", "last"]].to_numpy():
+            t = np.linspace(first, last, max(2, int(np.ceil((last - first) / (np.pi / 2) * steps - 1e-9)) + 1))
+            px, py = cx + r * np.cos(t), cy + r * np.sin(t)
+            parts.append(np.column_stack((px[:-1], py[:-1], px[1:], py[1:])))
+        return pd.DataFrame([(pdf[cluster].iloc[0], cell_value(K.stitch(*K.snapped(np.concatenate(parts), 1e-6))))], columns=[cluster, "geom"])
 
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        bx, by = float(pdf["bx"].iloc[0]) * block_m, float(pdf["by"].iloc[0]) * block_m
-        box = [(np.array([bx, bx + block_m, bx + block_m, bx, bx]), np.array([by, by, by + block_m, by + block_m, by]))]
-        rings = K.slabs(K.union_all([[(x + cos, y + sin)] for x, y in zip(pdf["x"], pdf["y"], strict=True)]), box, "and")
-        area = cx = cy = 0.0
-        for x, y in rings:
-            w = np.array(x[:-1]) * np.array(y[1:]) - np.array(x[1:]) * np.array(y[:-1])
-            s = w.sum() / 2
-            area += abs(s)
-            if s:
-                cx += abs(s) * ((x[:-1] + x[1:]) * w).sum() / (6 * s)
-                cy += abs(s) * ((y[:-1] + y[1:]) * w).sum() / (6 * s)
-        return pd.DataFrame([(pdf[cluster].iloc[0], area, cx, cy)], columns=[cluster, "area", "mx", "my"])
-
-    parts = d.groupBy(cluster, "bx", "by").applyInPandas(unite, f"{cluster} {kind}, area double, mx double, my double")
-    g = parts.groupBy(cluster).agg(F.sum("area").alias("area"), F.sum("mx").alias("mx"), F.sum("my").alias("my"))
-    return g.select(cluster, (F.col("area") / 1e6).alias("km2"), (F.col("mx") / F.col("area")).alias("x"), (F.col("my") / F.col("area")).alias("y"))
+    kind = points.schema[cluster].dataType.simpleString()
+    shapes = arcs.groupBy(cluster).applyInPandas(outline, f"{cluster} {kind}, geom {GEOMETRY}")
+    return figures.join(shapes, cluster)
 
 
 def score_clusters(features: DataFrame, model, cuts: DataFrame, cols: list[str] = FEATURES) -> DataFrame:

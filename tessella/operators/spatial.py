@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tessella.functions.geometry import GEOMETRY
 from tessella.functions.scalars import EARTH_KM, haversine_km
 from tessella.operators import kernels as K
+from tessella.sources.scratch import written
 
 CELL = 0.01
 RINGS = "array<struct<part:int,hole:boolean,xs:array<double>,ys:array<double>>>"
@@ -74,7 +75,8 @@ def _box_km2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def _kernel(df: DataFrame, keep: list[str], name: str, kind: str, fn: Callable, ids: tuple[str, ...] = ()) -> DataFrame:
-    """The kept columns and fn(*geometries) of each row. ids names a key of each geometry, which is then read once a batch."""
+    """The kept columns and, batch by batch, what fn makes of the lists of geometries. ids names a key of each geometry, which is
+    then read once a batch."""
     schema = df.select(*keep).schema.add(name, kind)
     geoms = [c for c in df.columns if c not in keep]
 
@@ -89,34 +91,68 @@ def _kernel(df: DataFrame, keep: list[str], name: str, kind: str, fn: Callable,
                 else:
                     read.append([K.rings_of(g) for g in pdf[c]])
             out = pdf[keep].copy()
-            out[name] = [fn(*g) for g in zip(*read, strict=True)]
+            out[name] = fn(*read)
             yield out
 
     return df.mapInPandas(run, schema)
 
 
+def _areas(geoms: list[K.Rings]) -> list[float]:
+    return [K.area_km2(g) for g in geoms]
+
+
+#: A polygon's cells are so wide that it has at most so many of them across; no level is below the least.
+ACROSS, LEAST_LEVEL = 32, -6
+EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+
+
+def cell_classes(polys: DataFrame, gid: str, cell: float = CELL) -> DataFrame:
+    """polys(gid, geom) -> gid, level, cx, cy, edges: the cells of a polygon, which are cell * 2 ** level wide. A cell that lies in it
+    whole has no edges (null); one that the outline passes has those edges that a ray to the right can meet from there."""
+    g = F.col("geom")
+    wide = F.greatest(g["xmax"] - g["xmin"], g["ymax"] - g["ymin"])
+    d = polys.where(g.isNotNull()).select(gid, "geom", F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(wide / (cell * ACROSS)))).cast("int").alias("level"))
+    kind = polys.schema[gid].dataType.simpleString()
+
+    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, geom, level in zip(pdf[gid], pdf["geom"], pdf["level"].fillna(LEAST_LEVEL).astype(int), strict=True):
+                rings, size = K.rings_of(geom), cell * 2.0**level
+                passed, whole = K.cells_of(rings, size)
+                e = K.edges(rings)
+                low, high, right = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3]), np.maximum(e[:, 0], e[:, 2])
+                parts = [e[(low <= (cy + 1) * size + 1e-9) & (high >= cy * size - 1e-9) & (right >= cx * size - 1e-9)] for cx, cy in passed]
+                names = ("x1", "y1", "x2", "y2")
+                both = np.concatenate((passed, whole))
+                yield pd.DataFrame({gid: [key] * len(both), "level": level, "cx": both[:, 0].astype(np.int32), "cy": both[:, 1].astype(np.int32), "edges": [[dict(zip(names, x, strict=True)) for x in p.tolist()] for p in parts] + [None] * len(whole)})
+
+    return d.mapInPandas(classify, f"{gid} {kind}, level int, cx int, cy int, edges {EDGES}")
+
+
+def points_in_cells(points: DataFrame, classes: DataFrame, pid: str, gid: str, cell: float = CELL) -> tuple[DataFrame, DataFrame]:
+    """(pid, gid) of points in cells that lie in a polygon whole, and (pid, lon, lat, gid, edges) of those that need a ray cast."""
+    levels = sorted(r.level for r in classes.select("level").distinct().collect())  # a few sizes
+    at = F.array(*[F.struct(F.lit(k).alias("level"), *[F.floor(F.col(c) / (cell * 2.0**k)).cast("int").alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))]) for k in levels]) if levels else F.array().cast("array<struct<level:int,cx:int,cy:int>>")
+    p = points.select(pid, "lon", "lat", F.explode(at).alias("at")).select(pid, "lon", "lat", "at.*")
+    meet = lambda some: p.join(some, ["level", "cx", "cy"])
+    return meet(classes.where("edges is null")).select(pid, gid), meet(classes.where("edges is not null")).select(pid, "lon", "lat", gid, "edges")
+
+
 def points_in_polygons(points: DataFrame, polys: DataFrame, pid: str, gid: str, keep_all: bool = False, cell: float = CELL) -> DataFrame:
     """points(pid, lon, lat), polys(gid, geom) -> pid, gid: the smallest gid that holds the point (all with keep_all).
 
-    A rectangle holds its lower and left edge, as the ray cast has it.
+    A rectangle holds its lower and left edge, as the ray cast has it. Of other polygons the cells are classed once; points in a
+    cell that lies inside whole need no ray cast, the others cast theirs at the few edges near.
     """
     p = points.select(pid, "lon", "lat", _floor(F.col("lon"), cell).alias("cx"), _floor(F.col("lat"), cell).alias("cy"))
     boxes, rest = _parted(polys, gid, "geom")
-    g = F.col("geom")
-    inside = (F.col("lon") >= g["xmin"]) & (F.col("lon") < g["xmax"]) & (F.col("lat") >= g["ymin"]) & (F.col("lat") < g["ymax"])
-    plain = p.join(cells(boxes, "geom", cell), ["cx", "cy"]).where(inside).select(pid, gid)
-    c = p.join(cells(rest, "geom", cell), ["cx", "cy"]).where(F.col("lon").between(g["xmin"], g["xmax"]) & F.col("lat").between(g["ymin"], g["ymax"]))
-    schema = c.select(pid, gid).schema
-
-    def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hit = np.zeros(len(pdf), bool)
-            for at in pdf.groupby(gid, sort=False).indices.values():
-                some = pdf.iloc[at]
-                hit[at] = K.contains(K.rings_of(some["geom"].iloc[0]), some["lon"].to_numpy(), some["lat"].to_numpy())
-            yield pdf.loc[hit, [pid, gid]]
-
-    hits = plain.unionByName(c.select(pid, gid, "lon", "lat", "geom").mapInPandas(cast, schema))
+    g, x, y = F.col("geom"), F.col("lon"), F.col("lat")
+    inside = (x >= g["xmin"]) & (x < g["xmax"]) & (y >= g["ymin"]) & (y < g["ymax"])
+    hits = p.join(cells(boxes, "geom", cell), ["cx", "cy"]).where(inside).select(pid, gid)
+    if rest.take(1):
+        whole, near = points_in_cells(points, written(cell_classes(rest, gid, cell)), pid, gid, cell)
+        met = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+        hits = hits.unionByName(whole).unionByName(near.where(F.size(F.filter("edges", met)) % 2 == 1).select(pid, gid))
     return hits if keep_all else hits.groupBy(pid).agg(F.min(gid).alias(gid))
 
 
@@ -128,7 +164,7 @@ def gap_points(points: DataFrame, inside_none: DataFrame, inside_any: DataFrame,
 
 def polygons_intersecting(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float = CELL) -> DataFrame:
     boxes, rest = _pairs(zones, layer, zid, gid, cell)  # rectangles whose boxes meet do
-    return boxes.select(zid, gid).unionByName(_kernel(rest, [zid, gid], "meets", "boolean", K.intersects, (zid, gid)).where("meets").drop("meets"))
+    return boxes.select(zid, gid).unionByName(_kernel(rest, [zid, gid], "meets", "boolean", K.meet_many, (zid, gid)).where("meets").drop("meets"))
 
 
 def overlap(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float = CELL) -> DataFrame:
@@ -139,8 +175,8 @@ def overlap(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float
     meet = _box_km2(F.greatest(a["xmin"], b["xmin"]), F.greatest(a["ymin"], b["ymin"]), F.least(a["xmax"], b["xmax"]), F.least(a["ymax"], b["ymax"]))
     settled = boxes.select(zid, gid, meet.alias("km2"), full.alias("whole")).where("km2 > 0")
     flat, other = _parted(layer, gid, "gb")
-    whole = flat.select(gid, full.alias("whole")).unionByName(_kernel(other, [gid], "whole", "double", K.area_km2))
-    km2 = _kernel(rest, [zid, gid], "km2", "double", K.overlap_km2, (zid, gid)).where("km2 > 0")
+    whole = flat.select(gid, full.alias("whole")).unionByName(_kernel(other, [gid], "whole", "double", _areas))
+    km2 = _kernel(rest, [zid, gid], "km2", "double", K.overlaps_km2, (zid, gid)).where("km2 > 0")
     return settled.unionByName(km2.join(whole, gid).select(zid, gid, "km2", "whole")).select(zid, gid, "km2", F.least(F.lit(1.0), F.col("km2") / F.col("whole")).alias("frac"))
 
 
@@ -232,11 +268,19 @@ def reach_tables(counts: DataFrame, projects: DataFrame, category: str, name: st
 
 # --- geometries out --------------------------------------------------------------------------------------------------
 
-def _cell_value(rings: list[tuple[np.ndarray, np.ndarray]]):
+def cell_value(rings: K.Rings):
+    """Rings as a geometry cell: clockwise ones are holes, and belong to the outer ring that they lie in."""
     if not rings:
         return None
     x, y = np.concatenate([r[0] for r in rings]), np.concatenate([r[1] for r in rings])
-    return {"xmin": float(x.min()), "ymin": float(y.min()), "xmax": float(x.max()), "ymax": float(y.max()), "rings": [{"part": i, "hole": False, "xs": r[0].tolist(), "ys": r[1].tolist()} for i, r in enumerate(rings)]}
+    holes = [K.ring_area(*r) < 0 for r in rings]
+    outer = [k for k, h in enumerate(holes) if not h]
+    part, number = {k: i for i, k in enumerate(outer)}, []
+    for k, (rx, ry) in enumerate(rings):
+        around = [j for j in outer if holes[k] and K.contains([rings[j]], (rx[:1] + rx[1:2]) / 2, (ry[:1] + ry[1:2]) / 2)[0]]
+        number.append(part[min(around, key=lambda j: K.ring_area(*rings[j]))] if around else part.get(k, 0))
+    order = sorted(range(len(rings)), key=lambda k: (number[k], holes[k]))
+    return {"xmin": float(x.min()), "ymin": float(y.min()), "xmax": float(x.max()), "ymax": float(y.max()), "rings": [{"part": number[k], "hole": holes[k], "xs": rings[k][0].tolist(), "ys": rings[k][1].tolist()} for k in order]}
 
 
 def mapped(df: DataFrame, keep: list[str], fn: Callable[[K.Rings], list]) -> DataFrame:
@@ -246,7 +290,7 @@ def mapped(df: DataFrame, keep: list[str], fn: Callable[[K.Rings], list]) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[keep].copy()
-            out["geom"] = [_cell_value(fn(K.rings_of(g))) for g in pdf["geom"]]
+            out["geom"] = [cell_value(fn(K.rings_of(g))) for g in pdf["geom"]]
             yield out
 
     return df.select(*keep, "geom").mapInPandas(run, schema)
@@ -261,8 +305,8 @@ def simplify(df: DataFrame, keep: list[str], tolerance: float) -> DataFrame:
 
 
 def repair(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Rings that cross themselves as the area that lies within an odd number of them."""
-    return mapped(df, keep, lambda g: K.slabs(g, [], "or"))
+    """Rings that cross or touch themselves as simple rings around what lies within an odd number of them, holes marked."""
+    return mapped(df, keep, lambda g: K.overlay(g, [], "or"))
 
 
 def erase(polys: DataFrame, mask: DataFrame, gid: str, mid: str, min_m2: float = 1.0, cell: float = CELL) -> DataFrame:
@@ -276,48 +320,90 @@ def erase(polys: DataFrame, mask: DataFrame, gid: str, mid: str, min_m2: float =
     kind = polys.schema[gid].dataType.simpleString()
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = K.rings_of(pdf["ga"].iloc[0])
-        for g in pdf["gb"]:
-            if g is not None and rings:
-                rings = K.slabs(rings, K.rings_of(g), "minus")
-        km2 = sum(abs(K.spherical_km2(*r)) for r in rings)
-        return pd.DataFrame([(pdf[gid].iloc[0], _cell_value(rings), km2)] if rings else [], columns=[gid, "geom", "km2"])
+        rings = K.less(K.rings_of(pdf["ga"].iloc[0]), [K.rings_of(g) for g in pdf["gb"] if g is not None])
+        return pd.DataFrame([(pdf[gid].iloc[0], cell_value(rings), K.rings_km2(rings))] if rings else [], columns=[gid, "geom", "km2"])
 
     return rows.groupBy(gid).applyInPandas(cut, f"{gid} {kind}, geom {GEOMETRY}, km2 double").where(F.col("km2") >= min_m2 / 1e6)
 
 
-def dissolve(polys: DataFrame, by: str, gap: float = 0.0, block: float = 0.05) -> DataFrame:
-    """polys(by, geom) -> by, geom, km2: the union of each group's polygons, with gaps narrower than `gap` closed.
+#: Polygons of a block above which it is parted in four, and what counts as one place, in degrees.
+CROWDED, SAME = 1000, 1e-9
+
+
+def dissolve(polys: DataFrame, by: str, gap: float = 0.0, block: float = 0.05, crowded: int = CROWDED) -> DataFrame:
+    """polys(by, geom) -> by, geom, km2: the union of each group's polygons; gaps and inlets narrower than `gap` close (all moves out
+    by half of it and in again), outer corners stay.
 
-    Two levels: polygons that start in one block of the grid are united first, then the blocks' outlines, so that no task
-    holds a group's raw polygons. Gaps are closed by moving vertices to a lattice of that width.
+    The plane is parted into blocks, crowded ones again and again into four. A block unites what comes near it and keeps what
+    lies in it. Its outline's edges on block borders cancel against the neighbours': by running sums along each border
+    line only what one side has is left. No task holds a group's polygons; what is put together at last is the outline.
     """
     kind = polys.schema[by].dataType.simpleString()
-    g = F.col("geom")
-    d = polys.select(by, "geom", _floor(g["xmin"], block).alias("bx"), _floor(g["ymin"], block).alias("by_"))
-    snap = (lambda v: np.round(v / gap) * gap) if gap else (lambda v: v)
+    reach, g = gap * 1.1, F.col("geom")
+    span = lambda low, high, size: F.sequence(F.floor((low - reach) / size), F.floor((high + reach) / size))
+    d = polys.where(g.isNotNull()).select(by, "geom", F.explode(span(g["xmin"], g["xmax"], F.lit(block))).alias("bx"))
+    d = d.select(by, "geom", "bx", F.explode(span(g["ymin"], g["ymax"], F.lit(block))).alias("by_"))
+    counts = d.groupBy(by, "bx", "by_").agg(F.count("*").alias("n"))
+    parts = counts.select(by, "bx", "by_", F.when(F.col("n") > crowded, F.ceil(F.log2(F.col("n") / crowded) / 2)).otherwise(0).cast("int").alias("level"))
+    d = d.join(parts, [by, "bx", "by_"]).withColumn("side", F.expr("shiftleft(1L, level)")).withColumn("size", F.lit(block) / F.col("side"))
+    within = lambda low, high, b: F.sequence(F.greatest(F.floor((low - reach) / F.col("size")), b * F.col("side")), F.least(F.floor((high + reach) / F.col("size")), (b + 1) * F.col("side") - 1))
+    meets = lambda low, high, b: (F.floor((low - reach) / F.col("size")) < (b + 1) * F.col("side")) & (F.floor((high + reach) / F.col("size")) >= b * F.col("side"))
+    d = d.where(meets(g["xmin"], g["xmax"], F.col("bx")) & meets(g["ymin"], g["ymax"], F.col("by_")))
+    d = d.withColumn("cx", F.explode(within(g["xmin"], g["xmax"], F.col("bx")))).withColumn("cy", F.explode(within(g["ymin"], g["ymax"], F.col("by_"))))
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = K.union_all([[(snap(x), snap(y)) for x, y in K.rings_of(v)] for v in pdf["geom"]])
-        return pd.DataFrame([(pdf[by].iloc[0], _cell_value(rings), sum(abs(K.spherical_km2(*r)) for r in rings))], columns=[by, "geom", "km2"])
-
-    schema = f"{by} {kind}, geom {GEOMETRY}, km2 double"
-    return d.groupBy(by, "bx", "by_").applyInPandas(unite, schema).groupBy(by).applyInPandas(unite, schema)
+        size, cx, cy = float(pdf["size"].iloc[0]), int(pdf["cx"].iloc[0]), int(pdf["cy"].iloc[0])
+        x1, x2, y1, y2 = cx * size, (cx + 1) * size, cy * size, (cy + 1) * size
+        rings = K.union_all([K.rings_of(v) for v in pdf["geom"]])
+        if gap:
+            rings = K.close_gaps(rings, gap / 2)
+        rings = K.overlay(rings, [(np.array([x1, x2, x2, x1, x1]), np.array([y1, y1, y2, y2, y1]))], "and")
+        e, at = K.edges(rings), []
+        for k, borders in ((0, (x1, x2)), (1, (y1, y2))):
+            near = [(np.abs(e[:, [k, k + 2]] - c) <= SAME).all(axis=1) for c in borders]
+            for c, some in zip(borders, near, strict=True):
+                e[np.ix_(some, [k, k + 2])] = c
+            at.append(near[0] | near[1])
+        upright, flat = at
+        out = pd.DataFrame(e, columns=["x1", "y1", "x2", "y2"])
+        out["axis"] = np.where(upright, 1, np.where(flat, 2, 0))
+        out[by] = pdf[by].iloc[0]
+        return out[[by, "axis", "x1", "y1", "x2", "y2"]]
+
+    e = d.groupBy(by, "size", "cx", "cy").applyInPandas(unite, f"{by} {kind}, axis int, x1 double, y1 double, x2 double, y2 double")
+    e = written(e)
+    upright = F.col("axis") == 1
+    line, a, b = F.when(upright, F.col("x1")).otherwise(F.col("y1")), F.when(upright, F.col("y1")).otherwise(F.col("x1")), F.when(upright, F.col("y2")).otherwise(F.col("x2"))
+    turns = F.array(F.struct(F.least(a, b).alias("at"), F.signum(b - a).alias("turn")), F.struct(F.greatest(a, b).alias("at"), (-F.signum(b - a)).alias("turn")))
+    on = e.where("axis > 0").select(by, "axis", line.alias("line"), F.explode(turns).alias("t")).select(by, "axis", "line", "t.at", "t.turn")
+    along = W.partitionBy(by, "axis", "line").orderBy("at")
+    left = on.groupBy(by, "axis", "line", "at").agg(F.sum("turn").alias("turn")).withColumns({"cover": F.sum("turn").over(along), "upto": F.lead("at").over(along)})
+    left = left.where((F.col("cover") != 0) & (F.col("upto") - F.col("at") > SAME))
+    first, last = F.when(F.col("cover") > 0, F.col("at")).otherwise(F.col("upto")), F.when(F.col("cover") > 0, F.col("upto")).otherwise(F.col("at"))
+    ends = lambda p: (F.when(upright, F.col("line")).otherwise(p), F.when(upright, p).otherwise(F.col("line")))
+    kept = left.select(by, *[c.alias(n) for c, n in zip((*ends(first), *ends(last)), ("x1", "y1", "x2", "y2"), strict=True)])
+    outline = e.where("axis = 0").select(by, "x1", "y1", "x2", "y2").unionByName(kept)
+
+    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = K.stitch(*K.snapped(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), SAME))
+        return pd.DataFrame([(pdf[by].iloc[0], cell_value(rings), K.rings_km2(rings))] if rings else [], columns=[by, "geom", "km2"])
+
+    return outline.groupBy(by).applyInPandas(assemble, f"{by} {kind}, geom {GEOMETRY}, km2 double")
 
 
 def ring_bands(bands: DataFrame) -> DataFrame:
     """bands(zone_id, band_idx, minutes, geom) -> each band less the next smaller one, with km2 of the ring and of the full band."""
-    full = _kernel(bands.select("zone_id", "band_idx", "geom"), ["zone_id", "band_idx"], "full_km2", "double", lambda g: sum(abs(K.spherical_km2(*r)) for r in K.slabs(g, [], "or")))
+    full = _kernel(bands.select("zone_id", "band_idx", "geom"), ["zone_id", "band_idx"], "full_km2", "double", _areas)
     inner = bands.select("zone_id", (F.col("band_idx") + 1).alias("band_idx"), F.col("geom").alias("gb"))
     pairs = bands.join(inner, ["zone_id", "band_idx"], "left").select("zone_id", "band_idx", "minutes", F.col("geom").alias("ga"), "gb")
     schema = f"zone_id {bands.schema['zone_id'].dataType.simpleString()}, band_idx int, minutes int, geom {GEOMETRY}, km2 double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rings = [K.slabs(K.rings_of(a), K.rings_of(b) if b is not None else [], "minus") for a, b in zip(pdf["ga"], pdf["gb"], strict=True)]
+            rings = [K.overlay(K.rings_of(a), K.rings_of(b) if b is not None else [], "minus") for a, b in zip(pdf["ga"], pdf["gb"], strict=True)]
             out = pdf[["zone_id", "band_idx", "minutes"]].copy()
-            out["geom"] = [_cell_value(r) for r in rings]
-            out["km2"] = [sum(abs(K.spherical_km2(*x)) for x in r) for r in rings]
+            out["geom"] = [cell_value(r) for r in rings]
+            out["km2"] = [K.rings_km2(r) for r in rings]
             yield out
 
     return pairs.mapInPandas(run, schema).join(full, ["zone_id", "band_idx"])

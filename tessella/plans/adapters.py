@@ -67,3 +67,20 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     d = table(spark, sf_dir, "customer").select(k.alias("zone_id"), lon_of(k).alias("lng"), lat_of(k).alias("lat"), ((k % 5 + 1) * 0.1).alias("radius_km"), ((k % 6 + 1) * 0.002).alias("half"))
     return d.withColumn("geom", rectangle(F.col("lng") - F.col("half"), F.col("lat") - F.col("half"), F.col("lng") + F.col("half"), F.col("lat") + F.col("half")))
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracts in three shapes, by gid % 3: an L (the upper right corner is missing), with a hole right of the middle, and a tile with
+    a corner in the middle of a side. All columns of tracts()."""
+    g = F.col("geom")
+    x1, y1, x2, y2 = (g[c] for c in ("xmin", "ymin", "xmax", "ymax"))
+    x = lambda part: x1 + (x2 - x1) * part
+    y = lambda part: y1 + (y2 - y1) * part
+    ring = lambda hole, xs, ys: F.struct(F.lit(0).alias("part"), F.lit(hole).alias("hole"), F.array(*xs).alias("xs"), F.array(*ys).alias("ys"))
+    whole = ring(False, (x1, x2, x2, x1, x1), (y1, y1, y2, y2, y1))
+    ell = ring(False, (x1, x2, x2, x(0.5), x(0.5), x1, x1), (y1, y1, y(0.6), y(0.6), y2, y2, y1))
+    hole = ring(True, (x(0.5), x(0.5), x(0.75), x(0.75), x(0.5)), (y(0.25), y(0.75), y(0.75), y(0.25), y(0.25)))
+    corner = ring(False, (x1, x(0.5), x2, x2, x1, x1), (y1, y1, y1, y2, y2, y1))
+    kind = F.col("gid") % 3
+    rings = F.when(kind == 0, F.array(ell)).when(kind == 1, F.array(whole, hole)).otherwise(F.array(corner))
+    return tracts(spark, sf_dir).withColumn("geom", F.struct(x1.alias("xmin"), y1.alias("ymin"), x2.alias("xmax"), y2.alias("ymax"), rings.alias("rings")))

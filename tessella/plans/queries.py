@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessella.functions import geometry as G, scalars as S
 from tessella.operators import census, directory, matching, proxy, series, spatial, zones as Z
-from tessella.plans.adapters import businesses, lat_of, lon_of, table, tiles, tracts, zones
+from tessella.plans.adapters import WIDE, businesses, lat_of, lon_of, shaped, table, tiles, tracts, zones
 from tessella.sources import readers, writers
-from tessella.sources.scratch import scratch_dir
+from tessella.sources.scratch import scratch_dir, written
 from tessella.streaming.traffic import classify_readings
 
 _r = lambda c, n=4: F.round(c, n)
@@ -77,6 +77,14 @@ def projections(spark, sf_dir) -> DataFrame:
     return c.select(k.alias("id"), _r(u["x"], 3).alias("east"), _r(u["y"], 3).alias("north"), _r(m["lon"], 7).alias("lon"), _r(m["lat"], 7).alias("lat"))
 
 
+def conic_back(spark, sf_dir) -> DataFrame:
+    """Places to the national conic and back."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    p = c.select(k.alias("id"), S.to_lcc(lon_of(k), lat_of(k)).alias("p")).select("id", S.from_lcc(F.col("p.x"), F.col("p.y")).alias("q"))
+    return p.select("id", _r(F.col("q.lon"), 8).alias("lon"), _r(F.col("q.lat"), 8).alias("lat"))
+
+
 def conic_density(spark, sf_dir) -> DataFrame:
     """Planar areas on the national conic and people a square kilometre."""
     d = tracts(spark, sf_dir).withColumn("m2", G.area_m2(F.col("geom"), S.to_lcc))
@@ -174,6 +182,28 @@ def zone_demographics_round(spark, sf_dir) -> DataFrame:
     return d.select("zone_id", "tracts", _r(F.col("POBTOT"), 2).alias("pobtot"), _r(Z.uncovered_pct(F.col("tract_km2"), F.col("km2")), 3).alias("uncovered_pct"))
 
 
+def shaped_demographics(spark, sf_dir) -> DataFrame:
+    """The same for drawn zones over tracts that are no rectangles."""
+    z, t = zones(spark, sf_dir), shaped(spark, sf_dir)
+    rows = spatial.overlap(z, t, "zone_id", "gid").join(t.drop("geom"), "gid")
+    return Z.demographics(rows).select("zone_id", "tracts", *[_r(F.col(c), 3).alias(c.lower()) for c in ("POBTOT", "TVIVPARHAB", "GRAPROES")])
+
+
+def shaped_points(spark, sf_dir) -> DataFrame:
+    """Businesses in tracts that are no rectangles."""
+    return spatial.points_in_polygons(businesses(spark, sf_dir), shaped(spark, sf_dir), "id", "gid")
+
+
+def shaped_meeting(spark, sf_dir) -> DataFrame:
+    """Drawn zones and the tracts, no rectangles, that share a point with them."""
+    return spatial.polygons_intersecting(zones(spark, sf_dir), shaped(spark, sf_dir), "zone_id", "gid")
+
+
+def shaped_inside(spark, sf_dir) -> DataFrame:
+    """Drawn zones and the tracts, no rectangles, whose representative point lies in them."""
+    return spatial.representative_in(shaped(spark, sf_dir).select("gid", "geom"), zones(spark, sf_dir), "gid", "zone_id").select("zone_id", "gid")
+
+
 def whole_tracts(spark, sf_dir) -> DataFrame:
     z, t = zones(spark, sf_dir), tracts(spark, sf_dir)
     rows = spatial.polygons_intersecting(z, t, "zone_id", "gid").join(t.drop("geom"), "gid")
@@ -317,6 +347,25 @@ def dissolve(spark, sf_dir) -> DataFrame:
     return spatial.dissolve(d, "zona").select("zona", _r(F.col("km2"), 4).alias("km2"))
 
 
+def dissolve_gaps(spark, sf_dir) -> DataFrame:
+    """Strips of settlements with a gap of a twentieth of their width between neighbours, united with narrow gaps closed."""
+    d, g = tiles(spark, sf_dir, "part", "p_partkey")
+    box = F.col("geom")
+    east = box["xmax"] - (box["xmax"] - box["xmin"]) * 0.05
+    d = d.select(F.floor(F.col("gid") / g).alias("zona"), G.rectangle(box["xmin"], box["ymin"], east, box["ymax"]).alias("geom"))
+    u = spatial.dissolve(d, "zona", gap=0.08 * WIDE / g)
+    return u.select("zona", _r(F.col("km2"), 4).alias("km2"), F.size("geom.rings").alias("rings"), F.size(F.col("geom.rings")[0]["xs"]).alias("corners"))
+
+
+def repaired(spark, sf_dir) -> DataFrame:
+    """Zones whose ring crosses itself, as the two triangles that they enclose."""
+    g = F.col("geom")
+    ring = F.struct(F.lit(0).alias("part"), F.lit(False).alias("hole"), F.array(g["xmin"], g["xmax"], g["xmax"], g["xmin"], g["xmin"]).alias("xs"), F.array(g["ymin"], g["ymax"], g["ymin"], g["ymax"], g["ymin"]).alias("ys"))
+    z = zones(spark, sf_dir).select("zone_id", G.geometry_of(F.array(ring)).alias("geom"))
+    d = spatial.repair(z, ["zone_id"])
+    return d.select("zone_id", F.size("geom.rings").alias("rings"), F.size(F.filter("geom.rings", lambda r: r["hole"])).alias("holes"), _r(G.spherical_area_km2(F.col("geom")), 5).alias("km2"))
+
+
 def smoothed_outlines(spark, sf_dir) -> DataFrame:
     """Smoothed and then simplified zones: points and area."""
     z = zones(spark, sf_dir).select("zone_id", "geom")
@@ -472,19 +521,30 @@ def _proxy_features(spark, sf_dir) -> DataFrame:
 
 def proxy_validation(spark, sf_dir) -> DataFrame:
     """Out-of-fold figures of the boosted model."""
-    f = _proxy_features(spark, sf_dir)
+    f = written(_proxy_features(spark, sf_dir))
     preds = proxy.cross_val_predict(f, "gid")
     return proxy.validation_metrics(preds, proxy.tercile_cuts(f, "nse_score"))
 
 
 def cluster_scores(spark, sf_dir) -> DataFrame:
-    """Clusters of businesses with footprint, mix, reason of exclusion or score and level."""
+    """Clusters of businesses with footprint, centre and outline, mix, reason of exclusion or score and level."""
     pts = _metres(spark, sf_dir)
-    c = pts.join(proxy.dbscan(pts, "id", eps=300.0).select("id", "cluster"), "id")
-    foot = proxy.cluster_footprints(c, "cluster")
-    mix = directory.business_mix(c.join(foot.select("cluster", "km2"), "cluster"), "cluster", F.col("km2")).join(directory.top_activity(c, "cluster"), "cluster").join(foot, "cluster")
-    f = _proxy_features(spark, sf_dir)
-    return proxy.score_clusters(mix, proxy.fit_proxy(f), proxy.tercile_cuts(f, "nse_score")).select("cluster", "n", _r(F.col("km2"), 4).alias("km2"), "excluido", "score", "nivel")
+    c = written(pts.join(proxy.dbscan(pts, "id", eps=300.0).select("id", "cluster"), "id"))
+    foot = written(proxy.cluster_footprints(c, "cluster"))
+    mix = directory.business_mix(c.join(foot.select("cluster", "km2"), "cluster"), "cluster", F.col("km2")).join(directory.top_activity(c, "cluster"), "cluster").join(foot.drop("geom"), "cluster")
+    f = written(_proxy_features(spark, sf_dir))
+    scored = proxy.score_clusters(mix, proxy.fit_proxy(f), proxy.tercile_cuts(f, "nse_score"))
+    degrees = lambda x, y: F.struct((x / 103000 - 102.42).alias("x"), (y / 110700 + 21.75).alias("y"))
+    outline = spatial.simplify(foot.select("cluster", G.reproject(F.col("geom"), degrees).alias("geom")), ["cluster"], 5e-5)
+    at = degrees(F.col("x"), F.col("y"))
+    d = scored.withColumn("at", at).join(outline, "cluster")
+    return d.select("cluster", "n", _r(F.col("km2"), 4).alias("km2"), S.round_py(F.col("at.y"), 6).alias("lat"), S.round_py(F.col("at.x"), 6).alias("lon"), F.size("geom.rings").alias("rings"), _r(G.spherical_area_km2(F.col("geom")), 3).alias("outline_km2"), "top", "excluido", "score", "nivel")
+
+
+def disc_footprints(spark, sf_dir) -> DataFrame:
+    """The union of discs of 90 m around the businesses of each sector: area and centre."""
+    d = proxy.cluster_footprints(_metres(spark, sf_dir).withColumn("cluster", F.col("sector")), "cluster")
+    return d.select("cluster", _r(F.col("km2"), 6).alias("km2"), _r(F.col("x"), 2).alias("x"), _r(F.col("y"), 2).alias("y"))
 
 
 def compared_colonias(spark, sf_dir) -> DataFrame:
@@ -603,6 +663,6 @@ QUERIES = {f.__name__: f for f in (
     price_index_yoy, price_index_latest, zone_demographics, zone_demographics_round, whole_tracts, value_stats, value_stats_drawn, top_values, landuse_shares, zone_poi_counts, zone_nearest,
     points_in_tracts, gap_points, colonia_levels, smallest_band, reach_counts, reachable_projects, ring_bands, nearest_segment, viewport_points, erase, dissolve, smoothed_outlines, zone_reports,
     metric_rows, gis_layer, collapsed_values, cascade_match, fuzzy_match, search, osm_points, category_counts, dictionary_codes, business_mix, value_histogram, described_values, landuse_union,
-    totals_by_status, dbscan, terciles, proxy_validation, cluster_scores, compared_colonias, compared_set, reach_services, reach_projects, census_file, business_snapshots, features_file,
+    totals_by_status, dbscan, terciles, proxy_validation, cluster_scores, disc_footprints, conic_back, shaped_demographics, shaped_points, shaped_meeting, shaped_inside, dissolve_gaps, repaired, compared_colonias, compared_set, reach_services, reach_projects, census_file, business_snapshots, features_file,
     features_table, webmap_file, osm_file, compact_file, metrics_file, reports_file,
 )}

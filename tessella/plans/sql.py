@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from tessella.functions import scalars as S
 from tessella.plans.adapters import HIGH, SOUTH, WEST, WIDE
 
@@ -282,3 +284,68 @@ SELECT 'M' AS municipio, 'P' AS programa, uso, CASE uso WHEN 'mixto' THEN 'Mixto
     "reports_file": f"WITH {TRACTS}, {ZONES}, {OVERLAP}, n AS (SELECT zone_id, count(*) AS tracts FROM rows GROUP BY 1) SELECT zone_id, 2 AS schema_version, round(radius_km, 3) AS radio_km, tracts FROM zones LEFT JOIN n USING (zone_id)",
 }
 SQL["census_joins"] = SQL["census_joins"].replace(f"coalesce({level_of('pct')}, 'S/D') AS nse_nivel_", f"CASE WHEN ranked.CVEGEO IS NULL THEN 'S/D' ELSE {level_of('pct')} END AS nse_nivel").replace(", ranked.CVEGEO IS NULL AS missing", "")
+
+#: The shapes of adapters.shaped: a tract's box less another box (none for every third).
+SHAPED = f"""{TRACTS}, shaped AS (SELECT *, CASE gid % 3 WHEN 0 THEN x1 + (x2 - x1) * 0.5::DOUBLE WHEN 1 THEN x1 + (x2 - x1) * 0.5::DOUBLE ELSE x2 END AS hx1, CASE gid % 3 WHEN 1 THEN x1 + (x2 - x1) * 0.75::DOUBLE ELSE x2 END AS hx2,
+  CASE gid % 3 WHEN 0 THEN y1 + (y2 - y1) * 0.6::DOUBLE WHEN 1 THEN y1 + (y2 - y1) * 0.25::DOUBLE ELSE y2 END AS hy1, CASE gid % 3 WHEN 1 THEN y1 + (y2 - y1) * 0.75::DOUBLE ELSE y2 END AS hy2 FROM tracts)"""
+MISSING = f"CASE WHEN greatest(zx1, hx1) < least(zx2, hx2) AND greatest(zy1, hy1) < least(zy2, hy2) THEN {area('greatest(zx1, hx1)', 'greatest(zy1, hy1)', 'least(zx2, hx2)', 'least(zy2, hy2)')} ELSE 0 END"
+SQL["shaped_demographics"] = f"""WITH {SHAPED}, {ZONES}, pairs AS (SELECT zone_id, shaped.*, {area(*BOX)} - {MISSING} AS km2, {area('x1', 'y1', 'x2', 'y2')} - {area('hx1', 'hy1', 'hx2', 'hy2')} AS whole FROM zones JOIN shaped ON {MEET}),
+rows AS (SELECT *, km2 / whole AS frac FROM pairs WHERE km2 > 1e-12)
+SELECT zone_id, count(*) AS tracts, round(sum(coalesce(POBTOT, 0) * frac), 3) AS pobtot, round(sum(coalesce(TVIVPARHAB, 0) * frac), 3) AS tvivparhab, round({wmean('GRAPROES', 'POBTOT')}, 3) AS graproes FROM rows GROUP BY zone_id"""
+SQL["shaped_points"] = f"WITH {BUSINESSES}, {SHAPED} SELECT id, min(gid) AS gid FROM businesses JOIN shaped ON lon >= x1 AND lon < x2 AND lat >= y1 AND lat < y2 AND NOT (lon >= hx1 AND lon < hx2 AND lat >= hy1 AND lat < hy2) GROUP BY id"
+SQL["shaped_meeting"] = f"""WITH {SHAPED}, {ZONES} SELECT zone_id, gid FROM zones JOIN shaped ON zx1 <= x2 AND x1 <= zx2 AND zy1 <= y2 AND y1 <= zy2
+  AND NOT (gid % 3 = 0 AND zx1 > hx1 AND zy1 > hy1) AND NOT (gid % 3 = 1 AND zx1 > hx1 AND zx2 < hx2 AND zy1 > hy1 AND zy2 < hy2)"""
+SQL["shaped_inside"] = f"""WITH {SHAPED}, {ZONES}, r AS (SELECT gid, CASE WHEN gid % 3 = 1 THEN (x1 + hx1) / 2 ELSE (x1 + x2) / 2 END AS x, y1 + (y2 - y1) * 0.5::DOUBLE AS y FROM shaped)
+SELECT zone_id, gid FROM zones JOIN r ON x >= zx1 AND x < zx2 AND y >= zy1 AND y < zy2"""
+SQL["dissolve_gaps"] = f"""WITH {tiles('part', 'p_partkey', 't')}, s AS (SELECT p_partkey // (SELECT ceil(sqrt(count(*)))::BIGINT FROM part) AS zona, min(x1) AS x1, min(y1) AS y1, max(x2 - (x2 - x1) * 0.05::DOUBLE) AS x2, max(y2) AS y2 FROM t GROUP BY 1)
+SELECT zona, round({area('x1', 'y1', 'x2', 'y2')}, 4) AS km2, 1 AS rings, 5 AS corners FROM s"""
+SQL["repaired"] = f"WITH {ZONES} SELECT zone_id, 2 AS rings, 0 AS holes, round(radians(zx2 - zx1) * (sin(radians(zy2)) - sin(radians(zy1))) / 2 * {R2}, 5) AS km2 FROM zones"
+SQL["conic_back"] = f"SELECT c_custkey AS id, round({lon('c_custkey')}, 8) AS lon, round({lat('c_custkey')}, 8) AS lat FROM customer"
+
+
+def _conic() -> tuple[str, str]:
+    """x and y of a corner (px, py) on the national conic."""
+    e, n, f, rho0 = S._lcc()
+    t = f"(tan({math.pi / 4!r}::DOUBLE - radians(py) / 2) / pow((1 - {e!r}::DOUBLE * sin(radians(py))) / (1 + {e!r}::DOUBLE * sin(radians(py))), {e / 2!r}::DOUBLE))"
+    rho = f"({6378137.0 * f!r}::DOUBLE * pow({t}, {n!r}::DOUBLE))"
+    return f"{rho} * sin({n!r}::DOUBLE * radians(px + 102))", f"{rho0!r}::DOUBLE - {rho} * cos({n!r}::DOUBLE * radians(px + 102))"
+
+
+SQL["conic_density"] = f"""WITH {TRACTS}, c AS (SELECT gid, POBTOT, k, CASE WHEN k IN (1, 2) THEN x2 ELSE x1 END AS px, CASE WHEN k >= 2 THEN y2 ELSE y1 END AS py FROM tracts, range(4) r(k)),
+p AS (SELECT gid, POBTOT, k, {_conic()[0]} AS x, {_conic()[1]} AS y FROM c), e AS (SELECT a.gid, a.POBTOT, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS m2 FROM p a JOIN p b ON a.gid = b.gid AND b.k = (a.k + 1) % 4 GROUP BY ALL)
+SELECT gid, round(m2 / 1e6, 6) AS km2, round_even(POBTOT / m2 * 1e6, 0) AS density FROM e"""
+#: Discs of 90 m: what the circles of others within 180 m leave of each circle, added up by Green's theorem.
+SQL["disc_footprints"] = f"""WITH {BUSINESSES}, p AS (SELECT DISTINCT sector AS cluster, (lon + 102.42) * 103000 AS x, (lat - 21.75) * 110700 AS y FROM businesses), c AS (SELECT *, floor(x / 180) AS cx, floor(y / 180) AS cy FROM p),
+d AS (SELECT cluster, x, y, cx + dx AS cx, cy + dy AS cy FROM c, range(-1, 2) a(dx), range(-1, 2) b(dy)),
+m AS (SELECT d.cluster, d.x, d.y, atan2(c.y - d.y, c.x - d.x) AS way, acos(sqrt(pow(c.x - d.x, 2) + pow(c.y - d.y, 2)) / 180) AS half FROM d JOIN c USING (cluster, cx, cy) WHERE sqrt(pow(c.x - d.x, 2) + pow(c.y - d.y, 2)) BETWEEN 1e-9 AND 180 - 1e-9),
+w AS (SELECT cluster, x, y, CASE WHEN way - half < 0 THEN way - half + 2 * pi() ELSE way - half END AS s, half FROM m),
+i AS (SELECT cluster, x, y, s, least(s + 2 * half, 2 * pi()) AS e FROM w UNION ALL SELECT cluster, x, y, 0, s + 2 * half - 2 * pi() FROM w WHERE s + 2 * half > 2 * pi() UNION ALL SELECT cluster, x, y, 2 * pi(), 2 * pi() FROM p),
+g AS (SELECT cluster, x, y, coalesce(max(e) OVER (PARTITION BY cluster, x, y ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, s AS b FROM i),
+t AS (SELECT cluster, sum(90 * (90 * (b - a) + x * (sin(b) - sin(a)) - y * (cos(b) - cos(a))) / 2) AS area,
+  sum(90 * (x * x * (sin(b) - sin(a)) + 180 * x * ((b - a) / 2 + (sin(2 * b) - sin(2 * a)) / 4) + 8100 * (sin(b) - pow(sin(b), 3) / 3 - sin(a) + pow(sin(a), 3) / 3)) / 2) AS mx,
+  sum(90 * (y * y * (cos(a) - cos(b)) + 180 * y * ((b - a) / 2 - (sin(2 * b) - sin(2 * a)) / 4) + 8100 * (pow(cos(b), 3) / 3 - cos(b) - pow(cos(a), 3) / 3 + cos(a))) / 2) AS my FROM g WHERE b - a > 1e-9 GROUP BY 1)
+SELECT cluster, round(area / 1e6, 6) AS km2, round(mx / area, 2) AS x, round(my / area, 2) AS y FROM t"""
+#: Round zones as rings of 96 corners; the part of a tract's box in one is what lies between its edges, each held to the box: pieces of an
+#: edge below, within and above it.
+RING = f"""corner AS (SELECT zone_id, k, radians(lat) AS phi, radians(lng) AS lam, radius_km / 6371.0088 AS d, k * (-2 * pi() / 96) AS b FROM zones, range(96) r(k)),
+ring AS (SELECT zone_id, k, lam, b, phi, d, asin(sin(phi) * cos(d) + cos(phi) * sin(d) * cos(b)) AS v FROM corner),
+ends AS (SELECT zone_id, k, degrees(lam + atan2(sin(b) * sin(d) * cos(phi), cos(d) - sin(phi) * sin(v))) AS px, degrees(v) AS py FROM ring),
+way AS (SELECT a.zone_id, CASE WHEN a.px < b.px THEN 1 ELSE -1 END AS sgn, least(a.px, b.px) AS xa, greatest(a.px, b.px) AS xb, CASE WHEN a.px < b.px THEN a.py ELSE b.py END AS ya, CASE WHEN a.px < b.px THEN b.py ELSE a.py END AS yb
+  FROM ends a JOIN ends b ON a.zone_id = b.zone_id AND b.k = (a.k + 1) % 96 WHERE a.px <> b.px)"""
+
+
+def held(x: str) -> str:
+    return f"sin(radians(least(y2, greatest(y1, ya + ({x} - xa) * (yb - ya) / (xb - xa)))))"
+
+
+def piece(a: str, b: str) -> str:
+    return f"({b} - {a}) * ({held(a)} + {held(b)}) / 2"
+
+
+SQL["zone_demographics_round"] = f"""WITH {TRACTS}, {ZONES}, {RING},
+near AS (SELECT w.*, t.gid, t.x1, t.x2, t.y1, t.y2, t.POBTOT, greatest(xa, x1) AS xl, least(xb, x2) AS xr FROM way w JOIN tracts t ON xa < x2 AND xb > x1),
+cut AS (SELECT *, CASE WHEN ya = yb THEN xl ELSE least(xr, greatest(xl, xa + (y1 - ya) * (xb - xa) / (yb - ya))) END AS c1, CASE WHEN ya = yb THEN xl ELSE least(xr, greatest(xl, xa + (y2 - ya) * (xb - xa) / (yb - ya))) END AS c2 FROM near),
+o AS (SELECT zone_id, gid, any_value(POBTOT) AS pop, abs(sum(sgn * ({piece('xl', 'least(c1, c2)')} + {piece('least(c1, c2)', 'greatest(c1, c2)')} + {piece('greatest(c1, c2)', 'xr')}))) * pi() / 180 * {R2} AS km2, any_value({area('x1', 'y1', 'x2', 'y2')}) AS whole FROM cut GROUP BY ALL),
+whole AS (SELECT zone_id, abs(sum(sgn * (xb - xa) * (sin(radians(ya)) + sin(radians(yb))) / 2)) * pi() / 180 * {R2} AS km2 FROM way GROUP BY 1)
+SELECT o.zone_id, count(*) AS tracts, round(sum(coalesce(pop, 0) * least(1.0, o.km2 / whole)), 2) AS pobtot, round(greatest(0.0, least(100.0, (1 - sum(o.km2) / any_value(w.km2)) * 100)), 3) AS uncovered_pct
+FROM o JOIN whole w USING (zone_id) WHERE o.km2 > 1e-9 GROUP BY o.zone_id"""

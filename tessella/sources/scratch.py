@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def scratch_dir(spark: SparkSession) -> str:
         if not found:
             found = spark._tessella_steps = "file://" + tempfile.mkdtemp(prefix="spark-tessella-")
     return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the scratch folder once and read back: what reads it later doesn't compute it again."""
+    path = f"{scratch_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

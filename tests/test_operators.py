@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.geometry import GEOMETRY
 from tessella.functions.geometry import rectangle
-from tessella.operators import census, directory, matching, proxy, series, spatial, zones as Z
+from tessella.operators import census, directory, kernels as K, matching, proxy, series, spatial, zones as Z
 
 
 def test_demographics(spark):
@@ -116,11 +116,28 @@ def test_dbscan_equals_brute_force(spark):
     assert {x.id: (x.core, x.cluster) for x in proxy.dbscan(pts, "id").collect()} == want
 
 
-def test_footprints(spark):
-    pts = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.2), (1, 5000.0, 0.0)], "cluster int, x double, y double")
-    f = proxy.cluster_footprints(pts, "cluster").first()
-    disc = 24 / 2 * np.sin(2 * np.pi / 24) * 90**2 / 1e6
-    assert f.km2 == pytest.approx(2 * disc, rel=1e-6) and f.x == pytest.approx(2500, rel=1e-6)
+def test_footprints_against_a_raster(spark):
+    """A lone disc, twins and a far one, a crowd, a ring around a hole far from the origin, a lattice whose circles meet in threes."""
+    r = np.random.default_rng(2)
+    turn = np.arange(8) * np.pi / 4
+    sets = {1: [[0, 0]], 2: [[0, 0], [0, 0], [5000, 0]], 3: r.normal(0, 200, (300, 2)), 4: np.column_stack((180 * np.cos(turn), 180 * np.sin(turn))) + 2.4e6, 5: [[i * 90, j * 90] for i in range(6) for j in range(6)], 6: r.uniform(-150, 150, (1500, 2))}
+    rows = [(k, float(x), float(y)) for k, v in sets.items() for x, y in v] + [(None, 0.0, 0.0), (9, None, 1.0)]
+    got = {f.cluster: f for f in proxy.cluster_footprints(spark.createDataFrame(rows, "cluster int, x double, y double"), "cluster").collect()}
+    assert got.keys() == sets.keys()
+    disc = np.pi * 90**2 / 1e6
+    assert got[1].km2 == pytest.approx(disc) and got[2].km2 == pytest.approx(2 * disc) and got[2].x == pytest.approx(2500)
+    for k in (3, 4, 5, 6):
+        v = np.array(sets[k], float)
+        low, high = v.min(0) - 91, v.max(0) + 91
+        gx, gy = np.meshgrid(np.arange(low[0], high[0], 1.0) + 0.5, np.arange(low[1], high[1], 1.0) + 0.5)
+        inside = np.zeros(gx.shape, bool)
+        for x, y in v:
+            inside |= (gx - x) ** 2 + (gy - y) ** 2 <= 8100
+        f = got[k]
+        rings = [(np.array(q.xs), np.array(q.ys)) for q in f.geom.rings]
+        assert f.km2 == pytest.approx(inside.sum() / 1e6, rel=1e-3) and abs(f.x - gx[inside].mean()) < 0.5 and abs(f.y - gy[inside].mean()) < 0.5
+        assert sum(K.ring_area(*q) for q in rings) / 1e6 == pytest.approx(f.km2, rel=2e-3)
+    assert [q.hole for q in got[4].geom.rings] == [False, True] and len(got[5].geom.rings) == 1
 
 
 def test_directory(spark):
@@ -130,12 +147,72 @@ def test_directory(spark):
     assert {x.s: x.s_code for x in d.collect()} == {"a": 0, "bb": 1, None: None}
 
 
-def test_erase_and_dissolve(spark):
+def cell(*rings):
+    """A geometry cell of rings given as corners."""
+    x, y = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+    return (min(x), min(y), max(x), max(y), [(0, k > 0, [p[0] for p in (*r, r[0])], [p[1] for p in (*r, r[0])]) for k, r in enumerate(rings)])
+
+
+def square(x1, y1, x2, y2):
+    return [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
+
+
+def test_erase(spark):
     _, a = _rects(spark, 1, 1, "gid")
     whole = spatial.erase(a, a.select(F.col("gid").alias("mid"), "geom").where("mid > 5"), "gid", "mid").first().km2
     assert whole > 0 and spatial.erase(a, a.select(F.col("gid").alias("mid"), "geom"), "gid", "mid").count() == 0
-    d = spatial.dissolve(a.unionByName(a).withColumn("z", F.lit("k")).select("z", "geom"), "z").first()
-    assert d.km2 == pytest.approx(whole, rel=1e-9)
+    p = spark.createDataFrame([(1, cell(square(0.0, 0.0, 0.03, 0.03)))], f"gid int, geom {GEOMETRY}")
+    m = spark.createDataFrame([(1, cell(square(0.01, 0.01, 0.02, 0.02))), (2, cell(square(0.015, 0.015, 0.02, 0.02)))], f"mid int, geom {GEOMETRY}")
+    left = spatial.erase(p, m, "gid", "mid").first()
+    assert [(r.part, r.hole, len(r.xs)) for r in left.geom.rings] == [(0, False, 5), (0, True, 5)] and left.km2 == pytest.approx(8 / 9 * (0.03 * 111.3194908) ** 2, rel=1e-6)
+
+
+@pytest.mark.parametrize("crowded", [1000, 3])
+def test_dissolve(spark, crowded):
+    """Tiles around a hole over many blocks, overlapping repeats, gaps; also with blocks parted in four."""
+    n, side = 7, 0.03
+    tiles = [("tiles", cell(square(-102.3 + i * side, 21.8 + j * side, -102.3 + (i + 1) * side, 21.8 + (j + 1) * side))) for i in range(n) for j in range(n) if (i, j) != (3, 3)]
+    gaps = [("gaps", cell(square(a, 0.0, b, 0.1))) for a, b in ((0.0, 0.1), (0.1008, 0.2), (0.2022, 0.3), (0.25, 0.28))]
+    d = spark.createDataFrame([*tiles, *tiles[:5], *gaps, ("none", None)], f"z string, geom {GEOMETRY}")
+    shape = lambda r: sorted((q.part, q.hole, len(q.xs)) for q in r.geom.rings)
+    plain = {r.z: r for r in spatial.dissolve(d, "z", crowded=crowded).collect()}
+    assert plain.keys() == {"tiles", "gaps"} and shape(plain["tiles"]) == [(0, False, 5), (0, True, 5)] and shape(plain["gaps"]) == [(k, False, 5) for k in range(3)]
+    closed = {r.z: r for r in spatial.dissolve(d, "z", gap=0.001, crowded=crowded).collect()}
+    assert shape(closed["tiles"]) == shape(plain["tiles"]) and closed["tiles"].km2 == pytest.approx(plain["tiles"].km2, rel=1e-9)
+    assert shape(closed["gaps"]) == [(k, False, 5) for k in range(2)]
+    assert closed["gaps"].km2 - plain["gaps"].km2 == pytest.approx(0.0008 * 0.1 * 111.3194908**2, rel=1e-4)
+    assert spatial.dissolve(d.limit(0), "z").count() == 0
+
+
+def test_ray_casts_are_for_cells_on_the_outline(spark):
+    """Points in polygons of any size by classes of cells against a plain ray cast; most points of a large one need none."""
+    r = np.random.default_rng(4)
+    shapes = []
+    for k, (cx, cy, size, n) in enumerate([(-102.3, 21.8, 0.3, 40), (-102.2, 21.9, 0.02, 7), (10.0, 0.0, 8.0, 200), (-102.35, 21.7, 0.001, 5)]):
+        a = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        d = size * (0.8 + 0.2 * np.sin(3 * a)) if k == 2 else size * r.uniform(0.6, 1.0, n)
+        outer = list(zip((cx + d * np.cos(a)).tolist(), (cy + d * np.sin(a)).tolist(), strict=True))
+        shapes.append((k, cell(outer, square(cx - size / 5, cy - size / 7, cx + size / 6, cy + size / 5))))
+    polys = spark.createDataFrame(shapes, f"gid int, geom {GEOMETRY}")
+    xy = np.concatenate([c + s * r.uniform(-1.1, 1.1, (1500, 2)) for c, s in ((np.array([-102.3, 21.8]), 0.3), (np.array([10.0, 0.0]), 8.0), (np.array([-102.2, 21.9]), 0.02), (np.array([-102.35, 21.7]), 0.001))])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "pid int, lon double, lat double")
+    rings = {k: [(np.array(q[2]), np.array(q[3])) for q in g[4]] for k, g in shapes}
+    want = {(i, k) for k, g in rings.items() for i in np.flatnonzero(K.contains(g, xy[:, 0], xy[:, 1])).tolist()}
+    got = spatial.points_in_polygons(points, polys, "pid", "gid", keep_all=True).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    classes = spatial.cell_classes(polys, "gid")
+    assert classes.groupBy("gid").count().agg(F.max("count")).first()[0] <= (spatial.ACROSS + 4) ** 2
+    whole, near = spatial.points_in_cells(points, classes, "pid", "gid")
+    assert whole.count() > 2000 and near.where("gid = 2").count() < 0.35 * 1500
+
+
+def test_conic_and_back(spark):
+    from tessella.functions.scalars import from_lcc, to_lcc
+
+    d = spark.createDataFrame([(float(x), float(y)) for x in np.linspace(-118, -86, 17) for y in np.linspace(14, 33, 20)], "lon double, lat double")
+    r = d.withColumn("p", to_lcc(F.col("lon"), F.col("lat"))).withColumn("q", from_lcc(F.col("p.x"), F.col("p.y"))).withColumn("back", to_lcc(F.col("q.lon"), F.col("q.lat")))
+    assert r.agg(F.max(F.hypot(F.col("p.x") - F.col("back.x"), F.col("p.y") - F.col("back.y")))).first()[0] < 1e-3
+    assert r.agg(F.max(F.greatest(F.abs(F.col("q.lon") - F.col("lon")), F.abs(F.col("q.lat") - F.col("lat"))))).first()[0] < 1e-9
 
 
 def test_registered_models_fit_all_trees(spark, monkeypatch):
