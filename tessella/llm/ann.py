@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Vectors are centred on the mean, rotated by a seeded random rotation and kept as one sign bit a dimension, with two
-correction scalars: the distance to the centre and the inner product of the unit vector with its code. Only these codes are
-scanned, as packed bits: a query's rotated vector is quantised to PLANES bits a component, so that its inner product with a
-code is a sum of population counts. The scalars turn that into an estimate of the distance, and a bound on its error.
-
-1. A first scan gives each query the k best estimates of all blocks. Their originals are fetched by id and measured: the kth
-   of these distances is one that the true kth can't exceed.
-2. A second scan keeps every vector that by its bound could be as near. The originals of these are fetched by id and measured,
-   and the k nearest are kept.
+Coarse centres are fitted on a bounded sample (SAMPLE rows), every row is indexed under its nearest. A vector less its centre is
+rotated by a seeded random rotation into WIDTH dimensions at least (so that codes of short vectors are sharp) and kept as one sign
+bit a dimension, with two correction scalars: the distance to the centre and the inner product of the unit vector with its code.
+Only these codes are scanned, as packed bits: a query's rotated vector is quantised to PLANES bits a component, so that its inner
+product with a code is a sum of population counts. The scalars turn that into an estimate of the distance, and a bound on its
+error.
+
+1. A first scan, of the NEAR nearest centres of a query, gives it GUESSES * k best estimates. Their originals are fetched by id and
+   measured: the kth of these distances is one that the true kth can't exceed.
+2. A second scan, of all centres that by their radius can hold anything as near, keeps every vector that by its bound could be. The
+   originals of these are fetched by id and measured, and the k nearest are kept.
 
 Scores are Euclidean distances of the original vectors in double precision, so only which vectors are measured is
 approximate. Vectors that are null, empty, zero, or hold null or non-finite components take no part. A query never meets rows
 of its own id. An id that occurs repeatedly is a candidate as often, and one query. Distances that overflow a double are
-infinite and come last. An empty table returns no rows.
+infinite and come last. An empty table returns no rows. Other columns of the caller's are not read.
 """
 
 from __future__ import annotations
@@ -24,19 +26,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.blocks import best, pack, pairs, partitions, query_blocks, unpack, usable
+from tessella.llm.blocks import BLOCK, QUERIES, best, pack, unpack, usable
 from tessella.llm.common import cut
 
 #: Width of the error bound: an estimate misses by more with a chance below 2 exp(-BOUND ** 2 / 2).
-BOUND = 1.9
+BOUND = 2.5
 PLANES = 8
-#: Words of a scan that are held at once.
-AT_ONCE = 1 << 22
-INDEXED = "n int, dim int, ids binary, bits binary, norms binary, dots binary"
+#: Bits of a code at least; words of a scan that are held at once.
+WIDTH, AT_ONCE = 512, 1 << 22
+#: Rows that centres are fitted on, rows of the sample for a centre, centres at most, rounds of fitting.
+SAMPLE, FOR_ONE, CENTRES, ROUNDS = 20_000, 50, 256, 8
+#: Centres that a query looks at first, and guesses it measures for each neighbour asked for.
+NEAR, GUESSES = 8, 3
+CODES = "dim int, centre int, n int, ids binary, bits binary, norms binary, dots binary"
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, dim)))
+    """The first `dim` columns of a random rotation of max(dim, WIDTH) dimensions."""
+    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((max(dim, WIDTH), dim)))
     return q * np.sign(np.diag(r))
 
 
@@ -46,26 +53,56 @@ def packed(on: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
 
 
+def fit_centres(x: np.ndarray, seed: int) -> np.ndarray:
+    """Centres of a sample by Lloyd's rounds from a seeded choice of rows; a centre that no row is nearest to stays where it is."""
+    k = max(1, min(CENTRES, len(x) // FOR_ONE))
+    c = x[np.random.Generator(np.random.PCG64(seed)).choice(len(x), k, replace=False)].copy()
+    for _ in range(ROUNDS):
+        near = nearest(x, c)
+        count = np.bincount(near, minlength=k)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        c[count > 0] = sums[count > 0] / count[count > 0, None]
+    return c
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+
+
 def index(vectors: DataFrame, seed: int = 5) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """Blocks of codes, and the centre for each vector length (few numbers; every row is indexed)."""
-    mean = vectors.select(F.size("v").alias("dim"), F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("x"))
-    centres: dict[int, np.ndarray] = {}
-    for r in mean.collect():  # one row a dimension
-        centres.setdefault(r.dim, np.zeros(r.dim))[r.i] = r.x
+    """Blocks of codes by centre, and the centres for each vector length (at most CENTRES rows a length)."""
+    sample = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
+    lengths = [r.n for r in vectors.groupBy(F.size("v").alias("n")).agg(F.count("*")).select("n").collect()]  # one row a vector length
+    centres = {}
+    for d in lengths:
+        own = np.array([x for x in sample if len(x) == d], np.float64).reshape(-1, d)
+        centres[d] = fit_centres(own, seed) if len(own) else np.zeros((1, d))
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for ids, data in zip(pdf["ids"], pdf["data"], strict=True):
-                _, x = unpack(ids, data)
+                ids, x = unpack(ids, data)
                 dim = x.shape[1]
-                x = x - centres[dim]
+                home = nearest(x, centres[dim])
+                x = x - centres[dim][home]
                 norm = np.sqrt((x**2).sum(1))
                 unit = (x / np.where(norm > 0, norm, 1)[:, None]) @ rotation(dim, seed).T
-                out.append((len(x), dim, ids, packed(unit > 0).tobytes(), norm.tobytes(), (np.abs(unit).sum(1) / np.sqrt(dim)).tobytes()))
-            yield pd.DataFrame(out, columns=["n", "dim", "ids", "bits", "norms", "dots"])
+                bits, dots = packed(unit > 0), np.abs(unit).sum(1) / np.sqrt(unit.shape[1])
+                rows = [(dim, int(c), len(at), ids[at].tobytes(), bits[at].tobytes(), norm[at].tobytes(), dots[at].tobytes()) for c in np.unique(home) for at in [np.flatnonzero(home == c)]]
+                yield pd.DataFrame(rows, columns=CODES.replace(",", "").split()[::2])
 
-    return cut(pack(vectors).mapInPandas(code, INDEXED), "codes"), centres
+    small = cut(pack(vectors).mapInPandas(code, CODES), "codes")
+    salts = small.groupBy("dim", "centre").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("salts"))  # at most CENTRES rows a length
+    dealt = small.join(salts, ["dim", "centre"]).withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        radius = float(np.frombuffer(b"".join(pdf["norms"])).max())
+        return pd.DataFrame([(r.dim, r.centre, r.salt, r.salts, radius, *(b"".join(pdf[c]) for c in ("ids", "bits", "norms", "dots")))], columns=["dim", "centre", "salt", "salts", "radius", "ids", "bits", "norms", "dots"])
+
+    kind = "dim int, centre int, salt int, salts int, radius double, ids binary, bits binary, norms binary, dots binary"
+    return cut(dealt.groupBy("dim", "centre", "salt").applyInPandas(merge, kind), "blocks"), centres
 
 
 def products(unit: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,64 +119,104 @@ def products(unit: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for a in range(0, len(unit), rows):
         total = sum((np.bitwise_count(codes[None] & plane[a : a + rows, None]).sum(2, dtype=np.int64) << p) for p, plane in enumerate(planes))
         out[a : a + rows] = 2 * (low[a : a + rows] * count + step[a : a + rows] * total) - (low * dim + step * level.sum(1, keepdims=True))[a : a + rows]
-    return out, step[:, 0] * dim  # half a step, twice
+    return out, 2.3 * step[:, 0] * np.sqrt(dim)  # more with a chance of 1e-4 at most
 
 
 def estimates(r, x: np.ndarray, centre: np.ndarray, seed: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances of queries x to a block's vectors: estimated, and the least they are by the bound."""
-    dim = x.shape[1]
     norms, dots = np.frombuffer(r.norms), np.frombuffer(r.dots)
     c = x - centre
     cn = np.sqrt((c**2).sum(1))
-    unit = (c / np.where(cn > 0, cn, 1)[:, None]) @ rotation(dim, seed).T
+    unit = (c / np.where(cn > 0, cn, 1)[:, None]) @ rotation(x.shape[1], seed).T
+    width = unit.shape[1]
     product, off = products(unit, np.frombuffer(r.bits, np.uint64).reshape(len(norms), -1))
     safe = np.where(dots > 0, dots, 1)
-    cos = product / np.sqrt(dim) / safe
-    slack = bound * np.sqrt(np.maximum(1 - safe**2, 0)) / safe / np.sqrt(max(dim - 1, 1)) + off[:, None] / np.sqrt(dim) / safe + 1e-6
+    cos = product / np.sqrt(width) / safe
+    slack = bound * np.sqrt(np.maximum(1 - safe**2, 0)) / safe / np.sqrt(max(width - 1, 1)) + off[:, None] / np.sqrt(width) / safe + 1e-6
     both = 2 * cn[:, None] * norms[None, :]
     near = cn[:, None] ** 2 + norms[None, :] ** 2 - both * cos
     return near, near - both * slack
 
 
-def search(blocks: DataFrame, centres: dict[int, np.ndarray], vectors: DataFrame, queries: DataFrame, k: int, seed: int = 5, bound: float = BOUND) -> DataFrame:
-    """codes, centres, vectors and queries (vec_id, v) -> query_id, rank, vec_id, score."""
-    count, salts = queries.count(), partitions(vectors)
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("x")).withColumnRenamed("vec_id", "query_id")
+def probes(queries: DataFrame, count: int, centres: dict[int, np.ndarray], radius: dict[tuple[int, int], float], salts: dict[tuple[int, int], int], first: bool) -> DataFrame:
+    """queries(vec_id, v, reach) in blocks for each centre they look at, one row for each of its salts: the nearest centres at first,
+    then all that can hold a vector within reach."""
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, g in pdf.groupby(pdf["v"].map(len)):
+                x, c = np.array(g["v"].tolist(), np.float64), centres[d]
+                there = np.array([(d, k) in radius for k in range(len(c))])
+                away = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T))
+                away[:, ~there] = np.inf
+                if first:
+                    i, k = np.repeat(np.arange(len(x)), min(NEAR, len(c))), np.argsort(away, axis=1, kind="stable")[:, :NEAR].ravel()
+                    i, k = i[there[k]], k[there[k]]
+                else:
+                    least = away - np.array([radius.get((d, j), 0.0) for j in range(len(c))])
+                    size = np.sqrt((x**2).sum(1)) + np.sqrt((c**2).sum(1)).max()  # rounding of the distance to a centre
+                    i, k = np.nonzero(there & (least <= g["reach"].to_numpy()[:, None] + 1e-6 * size[:, None]))
+                yield pd.DataFrame({"dim": int(d), "centre": k.astype(np.int32), "qid": g["vec_id"].to_numpy()[i], "x": [v.tobytes() for v in x[i]], "reach": g["reach"].to_numpy()[i]})
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("qid")
+        d, k = int(pdf["dim"].iloc[0]), int(pdf["centre"].iloc[0])
+        return pd.DataFrame({"dim": d, "centre": k, "salt": np.arange(salts[d, k], dtype=np.int32), "q_ids": pdf["qid"].to_numpy(np.int64).tobytes(), "q_data": b"".join(pdf["x"]), "q_reach": pdf["reach"].to_numpy(np.float64).tobytes()})
+
+    rows = queries.select("vec_id", "v", "reach").mapInPandas(look, "dim int, centre int, qid long, x binary, reach double")
+    rows = rows.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-count // QUERIES)))))
+    return rows.groupBy("dim", "centre", "qb").applyInPandas(block, "dim int, centre int, salt int, q_ids binary, q_data binary, q_reach binary")
+
+
+def candidates(blocks: DataFrame, centres: dict[int, np.ndarray], vectors: DataFrame, queries: DataFrame, k: int, seed: int = 5, bound: float = BOUND) -> DataFrame:
+    """(query_id, vec_id) of all that is to be measured: what by its bound could be among a query's k nearest."""
+    about = blocks.groupBy("dim", "centre").agg(F.max("radius").alias("r"), F.max("salts").alias("s")).collect()  # at most CENTRES rows a length
+    radius, salts = {(x.dim, x.centre): x.r for x in about}, {(x.dim, x.centre): x.s for x in about}
+    one = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("reach", F.lit(float("inf"))), "queries")
+    count = one.count()
+
+    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
                 q_ids, x = unpack(r.q_ids, r.q_data)
                 v_ids = np.frombuffer(r.ids, np.int64)
-                near, _ = estimates(r, x, centres[x.shape[1]], seed, bound)
+                near, _ = estimates(r, x, centres[r.dim][r.centre], seed, bound)
                 near[q_ids[:, None] == v_ids[None, :]] = np.inf
-                some = np.argpartition(near, k - 1, axis=1)[:, :k] if len(v_ids) > k else np.tile(np.arange(len(v_ids)), (len(x), 1))
+                most = GUESSES * k
+                some = np.argpartition(near, most - 1, axis=1)[:, :most] if len(v_ids) > most else np.tile(np.arange(len(v_ids)), (len(x), 1))
                 out = pd.DataFrame({"query_id": np.repeat(q_ids, some.shape[1]), "vec_id": v_ids[some].ravel(), "near": np.take_along_axis(near, some, 1).ravel()})
                 yield out[np.isfinite(out["near"])]
 
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
                 q_ids, x = unpack(r.q_ids, r.q_data)
-                v_ids, upto = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_extra, np.float64)
-                _, least = estimates(r, x, centres[x.shape[1]], seed, bound)
+                v_ids, upto = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_reach, np.float64)
+                _, least = estimates(r, x, centres[r.dim][r.centre], seed, bound)
                 i, j = np.nonzero(least <= (upto**2)[:, None] * (1 + 1e-9))
                 i, j = i[q_ids[i] != v_ids[j]], j[q_ids[i] != v_ids[j]]
                 yield pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[j]})
 
-    def measured(found: DataFrame) -> DataFrame:
-        squares = F.aggregate(F.zip_with("x", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
-        met = found.join(vectors.select("vec_id", "v"), "vec_id").join(asked, "query_id").where(F.size("v") == F.size("x"))
-        return met.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
-
-    q, nqb = query_blocks(queries, count)
-    guess = best(pairs(blocks, q, nqb, salts).mapInPandas(first, "query_id long, vec_id long, near double"), k, F.col("near"), F.col("vec_id"))
-    reach = measured(guess.select("query_id", "vec_id").distinct()).groupBy("query_id").agg(F.max("score").alias("reach"), F.count("*").alias("n"))
-    # with fewer than k there is nothing to rule out
-    bounded = queries.join(reach.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("reach", F.when(F.col("n") >= k, F.col("reach")).otherwise(float("inf")))
-    q, nqb = query_blocks(cut(bounded.select("vec_id", "v", "reach"), "queries"), count, extra="reach")
-    found = pairs(blocks, q, nqb, salts).mapInPandas(second, "query_id long, vec_id long").distinct()
-    return best(measured(found), k, F.col("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")
+    meet = lambda q, first: blocks.join(probes(q, count, centres, radius, salts, first), ["dim", "centre", "salt"])
+    found = best(meet(one, True).mapInPandas(guess, "query_id long, vec_id long, near double"), GUESSES * k, F.col("near"), F.col("vec_id"))
+    nth = best(measured(found.select("query_id", "vec_id").distinct(), vectors, queries), k, F.col("score"), F.col("vec_id"))
+    reach = nth.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("nth"))  # with fewer nothing is ruled out
+    bounded = cut(one.drop("reach").join(reach, "vec_id", "left").withColumn("reach", F.coalesce("nth", F.lit(float("inf")))), "reach")
+    return meet(bounded, False).mapInPandas(keep, "query_id long, vec_id long").distinct()
+
+
+def measured(found: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """found(query_id, vec_id) with score, the distance of the originals."""
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("x")).withColumnRenamed("vec_id", "query_id")
+    squares = F.aggregate(F.zip_with("x", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
+    met = found.join(vectors.select("vec_id", "v"), "vec_id").join(asked, "query_id").where(F.size("v") == F.size("x"))
+    return met.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
+
+
+def search(blocks: DataFrame, centres: dict[int, np.ndarray], vectors: DataFrame, queries: DataFrame, k: int, seed: int = 5, bound: float = BOUND) -> DataFrame:
+    """codes, centres, vectors and queries (vec_id, v) -> query_id, rank, vec_id, score."""
+    found = candidates(blocks, centres, vectors, queries, k, seed, bound)
+    return best(measured(found, vectors, queries), k, F.col("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ann(spark, sf_dir: str) -> DataFrame:

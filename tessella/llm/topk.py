@@ -52,9 +52,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, bins: int = BINS) -> D
         return pdf.assign(lo=lo, hi=hi)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Histograms of a query block, added up over all vector blocks that a task has of it (they follow one another)."""
+        of, total = None, np.zeros(0, np.int64)
+
+        def rows() -> pd.DataFrame:
+            key = np.flatnonzero(total)
+            return pd.DataFrame({"qb": of[0] if of else 0, "dim": of[1] if of else 0, "query": (key // bins).astype(np.int32), "bin": (key % bins).astype(np.int32), "n": total[key]})
+
         for pdf in batches:
             for r in pdf.itertuples():
                 q_ids, x = unpack(r.q_ids, r.q_data)
+                if of != (r.qb, r.dim):
+                    yield rows()
+                    of, total = (r.qb, r.dim), np.zeros(len(q_ids) * bins, np.int64)
                 s = _scores(q_ids, x, *unpack(r.ids, r.data))
                 lo, hi, want = (np.frombuffer(b, np.int64) for b in (r.lo, r.hi, r.want))
                 width = -(-(hi - lo) // bins)
@@ -62,8 +72,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, bins: int = BINS) -> D
                 b = (hi[:, None] - 1 - s) // width[:, None]
                 live = (s >= lo[:, None]) & (s < hi[:, None]) & (want > 0)[:, None]
                 row, _ = np.nonzero(live)
-                key, n = np.unique(row * bins + b[live], return_counts=True)
-                yield pd.DataFrame({"qb": r.qb, "dim": r.dim, "query": (key // bins).astype(np.int32), "bin": (key % bins).astype(np.int32), "n": n})
+                total += np.bincount(row * bins + b[live], minlength=len(total))
+        yield rows()
 
     schema = "qb int, dim int, qn int, q_ids binary, q_data binary, lo binary, hi binary"
     q = q.mapInPandas(lambda it: map(ranges, it), schema)
