@@ -6,9 +6,7 @@ odd number of rings.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -462,11 +460,34 @@ def smooth(x: np.ndarray, y: np.ndarray, iterations: int) -> tuple[np.ndarray, n
     return np.append(x, x[0]), np.append(y, y[0])
 
 
-def name_ratio(query: str, key: str, least: float) -> float:
-    """Matching-blocks ratio of two names, 0 where cheap bounds already rule `least` out."""
-    total = len(query) + len(key)
-    if not total or 2 * min(len(query), len(key)) / total < least:
-        return 0.0
-    if 2 * sum((Counter(query) & Counter(key)).values()) / total < least:
-        return 0.0
-    return SequenceMatcher(None, query, key).ratio()
+def matching_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """2 * matches / total length of pairs of texts, by matching blocks: the longest common stretch (the first in a, then in b), then
+    the same to its left and to its right. All open parts of all pairs are searched together, round by round."""
+    size = np.array([len(x) for x in (*a, *b)]).reshape(2, -1)
+    chars = [np.zeros((len(a), max(1, int(n.max(initial=0)))), np.int32) for n in size]
+    for some, texts, blank in ((chars[0], a, -1), (chars[1], b, -2)):
+        some[:] = blank
+        for i, t in enumerate(texts):
+            some[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32)
+    pair = np.flatnonzero((size > 0).all(0))
+    part = np.stack((0 * pair, size[0, pair], 0 * pair, size[1, pair]))
+    total = np.zeros(len(a), np.int64)
+    while len(pair):
+        x, y = chars[0][pair], chars[1][pair]
+        place = np.arange(y.shape[1])
+        open_ = (place >= part[2][:, None]) & (place < part[3][:, None])
+        run, best, end = np.zeros((len(pair), y.shape[1] + 1), np.int32), np.zeros(len(pair), np.int32), np.zeros((2, len(pair)), np.int64)
+        for i in range(int(part[0].min()), int(part[1].max())):
+            same = (x[:, i : i + 1] == y) & open_ & ((i >= part[0]) & (i < part[1]))[:, None]
+            run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            j = run[:, 1:].argmax(1)
+            longest = run[np.arange(len(pair)), j + 1]
+            more = longest > best
+            best[more], end[0, more], end[1, more] = longest[more], i + 1, j[more] + 1
+        np.add.at(total, pair, best)
+        left = np.stack((part[0], end[0] - best, part[2], end[1] - best))
+        right = np.stack((end[0], part[1], end[1], part[3]))
+        pair, part = np.concatenate((pair, pair)), np.concatenate((left, right), axis=1)
+        go = (np.concatenate((best, best)) > 0) & (part[0] < part[1]) & (part[2] < part[3])
+        pair, part = pair[go], part[:, go]
+    return 2 * total / np.maximum(size.sum(0), 1)

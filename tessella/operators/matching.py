@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators.kernels import name_ratio
+from tessella.operators.kernels import matching_ratios
 
 METHODS = ["exacto", "base", "canon", "sin_seccion", "slug"]
 
@@ -54,26 +54,56 @@ def cascade_match(polygons: DataFrame, values: DataFrame, gid: str = "gid") -> D
     return best.select(gid, F.element_at(F.array(*map(F.lit, METHODS)), F.col("x.m") + 1).alias("method"), "x.sector", "x.value")
 
 
+#: Letters whose counts bound a ratio; others are not counted, which leaves the bound one.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÑ0123456789 "
+
+
+def _letters(name: Column) -> Column:
+    """Letters of a name each with its number among its like: A1, L1, A2, ..."""
+    at = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name))).otherwise(F.array().cast("array<int>"))
+    letter = lambda i: F.substring(name, i, F.lit(1))
+    nth = lambda i: F.length(F.substring(name, F.lit(1), i)) - F.length(F.replace(F.substring(name, F.lit(1), i), letter(i), F.lit("")))
+    return F.transform(at, lambda i: F.concat(letter(i), nth(i).cast("string")))
+
+
 def fuzzy_match(polygons: DataFrame, values: DataFrame, gid: str = "gid", cut: float = 0.88, most_apart: int = 6) -> DataFrame:
     """For polygons that the cascade left: gid, method, sector, value, ratio of the most similar key of level 2.
 
-    Blocks are (municipio, first letter, length), so candidates differ by at most `most_apart` in length; ties go to the key
-    that comes first in the table.
+    Candidates share the municipality, the first letter and, since names that match by `cut` share all but a few letters, one of
+    the rarest letters (each numbered among its like) of either name: as many are looked up as may be missing. Counts of letters
+    bound the ratio before a pair reaches the matching blocks. Ties go to the key that comes first in the table.
     """
     keys = _keys(values).where("level = 2").groupBy("municipio", "key").agg(F.min("pos").alias("pos"), F.bround(F.avg("value"), 0).cast("long").alias("value"), F.min_by("sector", "pos").alias("sector"))
-    keys = keys.withColumn("c", F.substring("key", 1, 1)).withColumn("n", F.length("key"))
-    q = polygons.select(gid, "municipio", S.canon(S.norm_name(F.col("NOM_ASEN"))).alias("cn"))
-    q = q.withColumn("c", F.substring("cn", 1, 1)).withColumn("n", F.explode(F.sequence(F.length("cn") - most_apart, F.length("cn") + most_apart)))
-    pairs = q.join(keys, ["municipio", "c", "n"]).select(gid, "cn", "key", "pos", "sector", "value")
-    schema = pairs.withColumn("ratio", F.lit(0.0)).schema
+    keys = keys.withColumn("l", _letters(F.col("key")))
+    asked = polygons.select(gid, "municipio", S.canon(S.norm_name(F.col("NOM_ASEN"))).alias("cn")).where("cn <> ''").withColumn("l", _letters(F.col("cn")))
+    often = keys.select(F.explode("l").alias("g")).groupBy("g").agg(F.count("*").alias("k"))
+
+    def rare(d: DataFrame, *by: str) -> DataFrame:
+        """The first letters of each name in order of rarity: any name that matches it has one of them among its own first."""
+        n = F.size("l")
+        shortest = F.ceil(n * cut / (2 - cut) - 1e-9)
+        first = n - F.ceil(cut * (n + shortest) / 2 - 1e-9) + 1
+        g = d.select(*by, first.alias("first"), F.explode("l").alias("g")).join(often, "g", "left")
+        nth = F.row_number().over(W.partitionBy(*by).orderBy(F.coalesce("k", F.lit(0)), "g"))
+        return g.withColumn("nth", nth).where("nth <= first").select(*by, "g")
+
+    names = asked.select("municipio", "cn").distinct().withColumn("l", _letters(F.col("cn")))
+    q = rare(names, "municipio", "cn").withColumn("c", F.substring("cn", 1, 1))
+    k = rare(keys, "municipio", "key").withColumn("c", F.substring("key", 1, 1))
+    met = q.join(k, ["municipio", "c", "g"]).where(F.abs(F.length("cn") - F.length("key")) <= most_apart).select("municipio", "cn", "key").distinct()
+    counts = lambda c: F.array(*[F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit(""))) for x in LETTERS])
+    other = lambda c: F.length(c) - F.aggregate(counts(c), F.lit(0), lambda s, v: s + v)
+    shared = F.aggregate(F.zip_with(counts("cn"), counts("key"), lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v) + F.least(other("cn"), other("key"))
+    met = met.where(2 * shared >= cut * (F.length("cn") + F.length("key")) - 1e-9)
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(ratio=[name_ratio(a, b, cut) for a, b in zip(pdf["cn"], pdf["key"], strict=True)])
+            yield pdf.assign(ratio=matching_ratios(pdf["cn"].tolist(), pdf["key"].tolist()))
 
-    best = pairs.mapInPandas(ratios, schema).where(F.col("ratio") >= cut).groupBy(gid).agg(F.max_by(F.struct("key", "sector", "value", "ratio"), F.struct("ratio", -F.col("pos"))).alias("x"))
+    close = met.mapInPandas(ratios, met.withColumn("ratio", F.lit(0.0)).schema).where(F.col("ratio") >= cut).join(keys.drop("l"), ["municipio", "key"])
+    best = close.groupBy("municipio", "cn").agg(F.max_by(F.struct("key", "sector", "value", "ratio"), F.struct("ratio", -F.col("pos"))).alias("x"))
     label = F.format_string("fuzzy(%.2f)→%s", F.col("x.ratio"), F.col("x.key"))
-    return best.select(gid, label.alias("method"), "x.sector", "x.value", "x.ratio")
+    return asked.join(best, ["municipio", "cn"]).select(gid, label.alias("method"), "x.sector", "x.value", "x.ratio")
 
 
 def search_catalogue(queries: DataFrame, catalogue: DataFrame, n: int = 8) -> DataFrame:

@@ -349,3 +349,18 @@ o AS (SELECT zone_id, gid, any_value(POBTOT) AS pop, abs(sum(sgn * ({piece('xl',
 whole AS (SELECT zone_id, abs(sum(sgn * (xb - xa) * (sin(radians(ya)) + sin(radians(yb))) / 2)) * pi() / 180 * {R2} AS km2 FROM way GROUP BY 1)
 SELECT o.zone_id, count(*) AS tracts, round(sum(coalesce(pop, 0) * least(1.0, o.km2 / whole)), 2) AS pobtot, round(greatest(0.0, least(100.0, (1 - sum(o.km2) / any_value(w.km2)) * 100)), 3) AS uncovered_pct
 FROM o JOIN whole w USING (zone_id) WHERE o.km2 > 1e-9 GROUP BY o.zone_id"""
+#: Names that the cascade leaves against keys of the same first letter: matching blocks by the longest common stretch of a part, then of
+#: what is left and right of it. m: letters that agree, with the length of the stretch that starts there.
+SQL["fuzzy_match"] = f"""WITH RECURSIVE {VALUES}, {KEYS}, {POLYGONS}, kk AS (SELECT municipio, key, min(pos) AS pos, round_even(avg(value), 0)::BIGINT AS value, arg_min(sector, pos) AS sector FROM k3 WHERE level = 2 AND key <> '' GROUP BY ALL),
+rest AS (SELECT gid, municipio, cn FROM q WHERE cn <> '' AND gid NOT IN (SELECT gid FROM asks JOIN keys USING (municipio, level, key))),
+cand AS (SELECT row_number() OVER () AS id, municipio, cn, key, length(cn) AS la, length(key) AS lb FROM (SELECT DISTINCT municipio, cn FROM rest) JOIN kk USING (municipio) WHERE left(cn, 1) = left(key, 1) AND abs(length(cn) - length(key)) <= 6),
+same AS (SELECT id, i, j, i - row_number() OVER (PARTITION BY id, j - i ORDER BY i) AS g FROM cand, range(100) a(i), range(100) b(j) WHERE i < la AND j < lb AND substr(cn, i + 1, 1) = substr(key, j + 1, 1)),
+m AS (SELECT id, i, j, max(i) OVER (PARTITION BY id, j - i, g) - i + 1 AS e FROM same),
+r(id, a1, a2, b1, b2, s) AS (SELECT id, 0::BIGINT, la::BIGINT, 0::BIGINT, lb::BIGINT, 0::BIGINT FROM cand UNION ALL
+  SELECT id, unnest([a1, i + k]), unnest([i, a2]), unnest([b1, j + k]), unnest([j, b2]), unnest([k, 0]) FROM (
+    SELECT id, a1, a2, b1, b2, best // 1000000 AS k, 999 - best % 1000000 // 1000 AS i, 999 - best % 1000 AS j FROM (
+      SELECT r.id, a1, a2, b1, b2, max(least(e, a2 - i, b2 - j) * 1000000 + (999 - i) * 1000 + 999 - j) AS best FROM r JOIN m ON r.id = m.id AND i >= a1 AND i < a2 AND j >= b1 AND j < b2 GROUP BY ALL))),
+ratios AS (SELECT id, sum(s) AS hits FROM r GROUP BY id),
+scored AS (SELECT municipio, cn, key, sector, value, pos, 2.0::DOUBLE * hits / (la + lb) AS ratio FROM cand JOIN ratios USING (id) JOIN kk USING (municipio, key)),
+best AS (SELECT *, row_number() OVER (PARTITION BY municipio, cn ORDER BY ratio DESC, pos) AS o FROM scored WHERE ratio >= 0.88)
+SELECT gid, 'fuzzy(' || printf('%.2f', ratio) || ')→' || key AS method, sector, value FROM rest JOIN best USING (municipio, cn) WHERE o = 1"""

@@ -1,3 +1,5 @@
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -160,6 +162,11 @@ def test_union():
     assert K.union_all([]) == []
 
 
-def test_names():
-    assert K.name_ratio("LOMAS", "LOMA", 0.8) > 0.88
-    assert K.name_ratio("LOMAS", "ZZZZZ", 0.88) == 0.0
+def test_matching_ratios():
+    """Against the standard library's matcher."""
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("ABCAÑ 1"), int(r.integers(0, 25))))
+    pairs = [(word(), word()) for _ in range(400)] + [("LOMAS ALTAS", "LOMAS ALTAZ"), ("", ""), ("A", ""), ("", "B"), ("SAN JOSE DEL ARENAL", "ARENAL SAN JOSE")]
+    got = K.matching_ratios(*map(list, zip(*pairs, strict=True)))
+    want = [SequenceMatcher(None, a, b).ratio() if a or b else 0 for a, b in pairs]
+    assert np.allclose(got, want, atol=1e-12) and not len(K.matching_ratios([], []))

@@ -100,6 +100,34 @@ def test_cascade_and_fuzzy(spark):
     assert [(x.gid, x.value) for x in f] == [(6, 1000)] and f[0].method.startswith("fuzzy(0.91)")
 
 
+def test_fuzzy_against_all_pairs(spark):
+    """The best key of each name by the standard library's matcher over all keys of its municipality and first letter."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(8)
+    words = ["LOMAS", "LOMA", "ALTAS", "ALTA", "SAN", "JOSE", "VIÑEDOS", "VINEDOS", "DEL", "SOL", "PASEO", "PASEOS", "XOLO", "QUINTA", "ZARCO", "EJIDO"]
+
+    def name():
+        t = " ".join(r.choice(words) for _ in range(r.randint(1, 4)))
+        k = r.randrange(len(t))
+        return t if r.random() < 0.4 else t[:k] + r.choice("ABLSZX ") + t[k + r.randint(0, 1) :]
+
+    keys = [(r.choice("MN"), i, "1", name(), float(100 + i)) for i in range(250)]
+    v = matching.collapse_values(spark.createDataFrame(keys, "municipio string, pos int, sector string, name string, value double"))
+    p = spark.createDataFrame([(i, r.choice("MN"), "", name()) for i in range(150)] + [(900, "M", "", None), (901, "M", "", "")], "gid int, municipio string, TIPO string, NOM_ASEN string")
+    table = matching._keys(v).where("level = 2").groupBy("municipio", "key").agg(F.min("pos").alias("pos")).collect()
+    want = {}
+    for x in p.select("gid", "municipio", matching.S.canon(matching.S.norm_name(F.col("NOM_ASEN"))).alias("cn")).collect():
+        if not x.cn:
+            continue
+        scored = [(SequenceMatcher(None, x.cn, k.key).ratio(), -k.pos, k.key) for k in table if k.municipio == x.municipio and k.key[0] == x.cn[0] and abs(len(k.key) - len(x.cn)) <= 6]
+        if scored and max(scored)[0] >= 0.88:
+            want[x.gid] = (max(scored)[2], round(max(scored)[0], 9))
+    got = {x.gid: (x.method.split("→")[1], round(x.ratio, 9)) for x in matching.fuzzy_match(p, v).collect()}
+    assert got == want and len(want) > 15
+
+
 def test_dbscan_equals_brute_force(spark):
     r = np.random.default_rng(5)
     xy = np.concatenate((r.normal(0, 60, (60, 2)), r.normal(900, 90, (40, 2)), r.uniform(-2000, 2000, (120, 2)), np.zeros((9, 2))))
