@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessella.functions import geometry as G
 from tessella.functions.geometry import GEOMETRY
 from tessella.functions.scalars import EARTH_KM, haversine_km
 from tessella.operators import kernels as K
@@ -297,7 +298,8 @@ def mapped(df: DataFrame, keep: list[str], fn: Callable[[K.Rings], list]) -> Dat
 
 
 def smooth(df: DataFrame, keep: list[str], iterations: int = 4) -> DataFrame:
-    return mapped(df, keep, lambda g: [K.smooth(x, y, iterations) for x, y in g])
+    """keep, geom with corners cut, by expressions."""
+    return df.select(*keep, G.smooth(F.col("geom"), iterations).alias("geom"))
 
 
 def simplify(df: DataFrame, keep: list[str], tolerance: float) -> DataFrame:

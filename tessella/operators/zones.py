@@ -56,10 +56,10 @@ def value_stats(values: DataFrame, by: str = "zone_id", col: str = "valor_m2") -
 
 
 def value_stats_upper(values: DataFrame, by: str = "zone_id", col: str = "valor_m2") -> DataFrame:
-    """n, upper median, rounded mean: the figures of a drawn polygon."""
+    """n, min, upper median, rounded mean, max: the figures of a drawn polygon."""
     v = values.where(F.col(col).isNotNull())
     g = v.groupBy(by).agg(F.sort_array(F.collect_list(col)).alias("l"), F.avg(col).alias("a"))
-    return g.select(by, F.size("l").alias("n"), F.element_at("l", (F.floor(F.size("l") / 2) + 1).cast("int")).alias("med"), S.round_js(F.col("a")).alias("avg"))
+    return g.select(by, F.size("l").alias("n"), F.element_at("l", (F.floor(F.size("l") / 2) + 1).cast("int")).alias("med"), S.round_js(F.col("a")).alias("avg"), F.array_min("l").alias("min"), F.array_max("l").alias("max"))
 
 
 def landuse_shares(overlap: DataFrame, zones: DataFrame) -> DataFrame:
@@ -128,13 +128,14 @@ def zone_report(zones: DataFrame, demo: DataFrame, shares: DataFrame, values: Da
         d = d.join(colonias.groupBy("zone_id").agg(F.sort_array(F.collect_list(F.struct((-F.coalesce("valor_m2", F.lit(0))).alias("o"), label.alias("nombre"), "municipio", "valor_m2"))).alias("_colonias")), "zone_id", "left")
     if landuse is not None:
         one = landuse.where("grupo is not null and programa is null").groupBy("zone_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("grupo", F.round("pct", 1).alias("pct"))))).alias("_uses"))
-        d = d.join(one, "zone_id", "left").join(landuse.where("grupo is null").select("zone_id", F.round("pct", 1).alias("_unzoned")), "zone_id", "left")
+        programs = landuse.where("programa is not null").groupBy("zone_id").agg(F.sort_array(F.collect_list(F.struct("grupo", "programa", F.round("pct", 1).alias("pct")))).alias("_programs"))
+        d = d.join(one, "zone_id", "left").join(programs, "zone_id", "left").join(landuse.where("grupo is null").select("zone_id", F.round("pct", 1).alias("_unzoned")), "zone_id", "left")
     if projects is not None:
         d = d.join(projects.groupBy("zone_id").agg(F.sort_array(F.collect_list(F.struct(F.round("dist_km", 2).alias("distancia_km"), "nombre", "tipo"))).alias("_projects")), "zone_id", "left")
     if pois is not None:
         d = d.join(pois.groupBy("zone_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("_pois")), "zone_id", "left")
     if context is not None:
-        d = d.join(context.groupBy("zone_id").agg(F.sort_array(F.collect_list(F.struct("municipio", "anio_fin", "cambio_pct"))).alias("_context")), "zone_id", "left")
+        d = d.join(context.groupBy("zone_id").agg(F.collect_list(F.struct("municipio", "anio_fin", "cambio_pct", *(["serie"] if "serie" in context.columns else []))).alias("_context")), "zone_id", "left")
     have = d.columns
     figure = lambda c, n: (F.round(F.col(c).cast("double"), n) if c in have else F.lit(None).cast("double"))
     part = lambda c, kind: F.coalesce(F.col(c), kind) if c in have else kind
@@ -144,30 +145,149 @@ def zone_report(zones: DataFrame, demo: DataFrame, shares: DataFrame, values: Da
         F.struct(*[figure(c, n).alias(m) for m, c, n, _ in METRICS]).alias("metricas"),
         F.round(100 - F.col("uncovered_pct"), 1).alias("cobertura_ageb_pct"),
         F.transform_values(part("shares", F.create_map().cast("map<string,double>")), lambda k, v: F.round(v, 1)).alias("nse_distribucion"), F.col("level").alias("nivel_predominante"),
-        *[F.col(c).alias(n) for c, n in (("_values", "catastral"), ("_unzoned", "sin_zonificacion_pct")) if c in have],
-        *[F.coalesce(F.col(c), F.array().cast(d.schema[c].dataType)).alias(n) for c, n in (("_colonias", "colonias"), ("_projects", "proyectos"), ("_context", "poblacion_municipio")) if c in have],
+        *[x for c, x in (("_values", F.col("_values").alias("catastral")), ("_unzoned", F.coalesce("_unzoned", F.lit(100.0)).alias("sin_zonificacion_pct"))) if c in have],
+        *[F.coalesce(F.col(c), F.array().cast(d.schema[c].dataType)).alias(n) for c, n in (("_programs", "usos_programas"), ("_colonias", "colonias"), ("_projects", "proyectos"), ("_context", "poblacion_municipio")) if c in have],
         *[F.coalesce(F.col(c), F.create_map().cast(d.schema[c].dataType)).alias(n) for c, n in (("_uses", "usos_suelo"), ("_pois", "pois")) if c in have],
         F.when(F.col("uncovered_pct") > WARN_UNCOVERED, F.array(F.lit("cobertura parcial"))).otherwise(F.array().cast("array<string>")).alias("advertencias"),
     )
     return d.select("zone_id", report.alias("report"))
 
 
+ROW = "struct<metrica:string,valor:string,unidad:string,fuente:string,metodo:string>"
+# Sources and methods of the metric rows.
+LEVEL_SOURCE, VALUE_SOURCE = "NSE proxy propio con Censo 2020 (no AMAI)", "Leyes de Ingresos 2026 (Aguascalientes y Jesús María)"
+USE_SOURCE = "PDUCA 2040 ev.2 / PDU Cd. Jesús María 2015-2035 / PMDU Jesús María 2017-2040"
+POPULATION_SOURCE = "CONAPO — Proyecciones de Población de los Municipios de México 1990-2040"
+PROJECT_SOURCE, PRICE_SOURCE = "estudio de mercado de terceros, corte 1T26 (coordenada oficial por proyecto)", "estudio de mercado de terceros, corte 1T26"
+WHOLE_METHOD = "suma directa de las AGEBs que intersectan el polígono dibujado (sin ponderación por fracción de área)"
+MISSING = "s/d"
+
+
+def _plain(c: Column, n: int | None = None) -> Column:
+    """A number as text without zeros at its end, of at most n decimals; what is missing is s/d."""
+    v = F.round(c.cast("double"), n) if n is not None else c.cast("double")
+    return F.coalesce(F.regexp_replace(v.cast("string"), r"\.0$", ""), F.lit(MISSING))
+
+
+def _fixed(c: Column, n: int) -> Column:
+    return F.when(c.isNull(), MISSING).otherwise(F.coalesce(F.format_string(f"%.{n}f", c), F.lit(MISSING)))
+
+
+def _row(name: Column | str, value: Column, unit: str, source: str = CENSUS_SOURCE, method: str = AREAL_METHOD) -> Column:
+    name = F.lit(name) if isinstance(name, str) else name
+    return F.struct(name.alias("metrica"), value.alias("valor"), F.lit(unit).alias("unidad"), F.lit(source).alias("fuente"), F.lit(method).alias("metodo"))
+
+
+def _population_rows(context: Column, series: bool) -> Column:
+    """Rows of the change and, where they are given, the years of each municipality."""
+    whole, method = "(municipio completo)", "dato del municipio completo"
+    change = F.transform(context, lambda c: _row(F.concat(F.lit("poblacion_proyeccion_cambio_2020_"), c["anio_fin"].cast("string"), F.lit(": "), c["municipio"]), _plain(c["cambio_pct"]), f"% {whole}", POPULATION_SOURCE, method))
+    if not series:
+        return change
+    years = F.flatten(F.transform(context, lambda c: F.transform(F.map_entries(c["serie"]), lambda e: _row(F.concat(F.lit("poblacion_proyeccion: "), c["municipio"], F.lit(" "), e["key"].cast("string")), _plain(e["value"]), f"habitantes {whole}", POPULATION_SOURCE, method))))
+    return F.concat(change, years)
+
+
 def metric_rows(reports: DataFrame) -> DataFrame:
-    """zone_id, metrica, valor, unidad, fuente, metodo in long form, with the report's own figures; what is missing is 's/d'."""
-    have = {f.name for f in reports.schema["report"].dataType}
-    fixed = lambda c, n: F.coalesce(F.format_string(f"%.{n}f", c), F.lit("s/d"))
-    row = lambda m, v, u, s=CENSUS_SOURCE, how=AREAL_METHOD: F.struct((F.lit(m) if isinstance(m, str) else m).alias("metrica"), v.alias("valor"), F.lit(u).alias("unidad"), F.lit(s).alias("fuente"), F.lit(how).alias("metodo"))
+    """zone_id, metrica, valor, unidad, fuente, metodo in long form, with the report's own figures; what is missing is 's/d'.
+
+    This is the round zone's form; polygon_metric_rows has the drawn polygon's."""
+    have = {f.name: f.dataType for f in reports.schema["report"].dataType}
     r = F.col("report")
-    num = lambda c, n: F.when(c.isNull(), "s/d").otherwise(fixed(c, n))
-    parts = [F.array(*[row(m, num(r["metricas"][m], n), u) for m, _, n, u in METRICS])]
-    parts.append(F.transform(F.map_entries(r["nse_distribucion"]), lambda e: row(F.concat(F.lit("nse_"), e["key"], F.lit("_pct_poblacion")), num(e["value"], 1), "% de población", "NSE proxy propio con Censo 2020 (no AMAI)")))
-    if "usos_suelo" in have:
-        parts.append(F.transform(F.map_entries(r["usos_suelo"]), lambda e: row(F.concat(F.lit("uso_suelo: "), e["key"]), num(e["value"], 1), "% del área del buffer", "zonificación", "área de intersección")))
-    if "pois" in have:
-        parts.append(F.transform(F.map_entries(r["pois"]), lambda e: row(F.concat(F.lit("poi_"), F.lower(e["key"])), e["value"].cast("string"), "puntos", "OpenStreetMap contributors (ODbL)", "puntos dentro del radio")))
+    parts = [F.array(_row("punto_lat", _fixed(r["punto"]["lat"], 6), "grados", "usuario"), _row("punto_lng", _fixed(r["punto"]["lng"], 6), "grados", "usuario"), _row("radio", _plain(r["radio_km"]), "km", "usuario"))]
+    parts.append(F.array(*[_row(m, _fixed(r["metricas"][m], n), u) for m, _, n, u in METRICS]))
+    parts.append(F.transform(F.map_entries(r["nse_distribucion"]), lambda e: _row(F.concat(F.lit("nse_"), e["key"], F.lit("_pct_poblacion")), _fixed(e["value"], 1), "% de población", LEVEL_SOURCE)))
+    if "catastral" in have:
+        v = r["catastral"]
+        rows = F.array(_row("catastral_colonias", _plain(v["n"]), "colonias", VALUE_SOURCE), *[_row(f"catastral_{n}", _plain(v[c]), "$/m² de suelo", VALUE_SOURCE) for n, c in (("min", "min"), ("mediana", "med"), ("max", "max"))])
+        parts.append(F.when(v["n"] > 0, rows).otherwise(F.array().cast(f"array<{ROW}>")))
+    if "colonias" in have:
+        parts.append(F.transform(r["colonias"], lambda c: _row(F.concat(F.lit("colonia: "), c["nombre"], F.lit(" ("), c["municipio"], F.lit(")")), _plain(c["valor_m2"]), "$/m² de suelo", VALUE_SOURCE)))
+    if "usos_programas" in have:
+        unit = "% del área del buffer"
+        parts.append(F.transform(r["usos_programas"], lambda e: _row(F.concat(F.lit("uso_suelo: "), e["grupo"], F.lit(" — "), e["programa"]), _fixed(e["pct"], 1), unit, USE_SOURCE, "área de intersección")))
+        parts.append(F.array(_row("uso_suelo: sin zonificación PDU", _fixed(r["sin_zonificacion_pct"], 1), unit, USE_SOURCE, "resto del área")))
     if "proyectos" in have:
-        parts.append(F.transform(r["proyectos"], lambda p: row(F.concat(F.lit("proyecto: "), p["nombre"], F.lit(" ("), p["tipo"], F.lit(")")), num(p["distancia_km"], 2), "km al punto central", "estudio de mercado", "distancia geodésica al punto central")))
-    return reports.select("zone_id", F.explode(F.concat(*parts)).alias("x")).select("zone_id", "x.*")
+        parts.append(F.array(_row("proyectos_vivienda_nueva", F.size(r["proyectos"]).cast("string"), "proyectos", PROJECT_SOURCE, "puntos dentro del radio")))
+        parts.append(F.transform(r["proyectos"], lambda p: _row(F.concat(F.lit("proyecto: "), p["nombre"], F.lit(" ("), p["tipo"], F.lit(")")), _fixed(p["distancia_km"], 2), "km al punto central", PROJECT_SOURCE, "distancia geodésica al punto central")))
+    if "pois" in have:
+        parts.append(F.transform(F.map_entries(r["pois"]), lambda e: _row(F.concat(F.lit("poi_"), F.lower(e["key"])), e["value"].cast("string"), "puntos", "OpenStreetMap contributors (ODbL)", "puntos dentro del radio")))
+    if "poblacion_municipio" in have:
+        parts.append(_population_rows(r["poblacion_municipio"], "serie" in have["poblacion_municipio"].elementType.names))
+    return reports.select("zone_id", F.explode(F.concat(*[p.cast(f"array<{ROW}>") for p in parts])).alias("x")).select("zone_id", "x.*")
+
+
+def polygon_metric_rows(zones: DataFrame, stats: DataFrame, values: DataFrame | None = None, colonias: DataFrame | None = None, price_zones: DataFrame | None = None, landuse: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
+    """The metric rows of drawn polygons, where tracts count whole: zones(zone_id, km2), stats of whole_tract_stats, values of
+    value_stats_upper, colonias(zone_id, TIPO, NOM_ASEN, municipio, valor_m2), price_zones(zone_id, zona, precio_min, precio_max), landuse
+    of landuse_shares, context of population_context. Zones without tracts show s/d; without values or zoning they have no such rows."""
+    d = zones.select("zone_id", "km2").join(stats, "zone_id", "left")
+    c = F.col
+    parts = [F.array(
+        _row("tipo_analisis", F.lit("polígono dibujado"), "", "usuario", "área delimitada manualmente"), _row("area_poligono", _plain(c("km2"), 2), "km²", "cálculo propio", "área geométrica del polígono"),
+        _row("agebs_intersectadas", _plain(F.coalesce("tracts", F.lit(0))), "AGEBs", CENSUS_SOURCE, "AGEBs con intersección no vacía con el polígono"),
+        _row("poblacion_estimada", _plain(c("people"), 0), "habitantes", CENSUS_SOURCE, WHOLE_METHOD), _row("nse_predominante", F.coalesce("level", F.lit(MISSING)), "", LEVEL_SOURCE, WHOLE_METHOD),
+        _row("nse_score", _plain(c("score"), 2), "índice NSE", LEVEL_SOURCE, "promedio ponderado por población"),
+        _row("pct_viviendas_2mas_recamaras", _plain(c("pct_2dorm"), 1), "% de viviendas habitadas", CENSUS_SOURCE, WHOLE_METHOD), _row("pct_viviendas_3mas_cuartos", _plain(c("pct_3cuart"), 1), "% de viviendas habitadas", CENSUS_SOURCE, WHOLE_METHOD),
+    )]
+    levels = F.coalesce("tracts_by_level", F.create_map().cast("map<string,bigint>"))
+    parts.append(F.transform(F.map_entries(levels), lambda e: _row(F.concat(F.lit("nse_"), e["key"], F.lit("_agebs")), e["value"].cast("string"), "AGEBs", LEVEL_SOURCE, WHOLE_METHOD)))
+    none = F.array().cast(f"array<{ROW}>")
+    if values is not None:
+        v = F.struct(*[c(x) for x in ("n", "min", "avg", "med", "max")])
+        d = d.join(values.select("zone_id", v.alias("_v")), "zone_id", "left")
+        method = "colonias con punto representativo dentro del polígono"
+        rows = F.array(_row("catastral_colonias", _plain(c("_v.n")), "colonias", VALUE_SOURCE, method), *[_row(f"catastral_{n}", _plain(c(f"_v.{x}")), "$/m² de suelo", VALUE_SOURCE, "") for n, x in (("min", "min"), ("promedio", "avg"), ("mediana", "med"), ("max", "max"))])
+        parts.append(F.when(c("_v").isNotNull(), rows).otherwise(none))
+    if colonias is not None:
+        name = F.concat(F.lit("colonia: "), S.colonia_label(c("TIPO"), c("NOM_ASEN")), F.lit(" ("), F.coalesce("municipio", F.lit("—")), F.lit(")"))
+        d = d.join(colonias.groupBy("zone_id").agg(F.collect_list(_row(name, _plain(c("valor_m2")), "$/m² de suelo", VALUE_SOURCE, "")).alias("_c")), "zone_id", "left")
+        parts.append(F.coalesce("_c", none))
+    if price_zones is not None:
+        range_ = F.concat(c("precio_min").cast("string"), F.lit("–"), c("precio_max").cast("string"))
+        d = d.join(price_zones.groupBy("zone_id").agg(F.collect_list(_row(F.concat(F.lit("zona_mercado: "), "zona"), range_, "$/m²", PRICE_SOURCE, "zonas cuyo polígono intersecta el área dibujada")).alias("_z")), "zone_id", "left")
+        parts.append(F.coalesce("_z", none))
+    if landuse is not None:
+        name = F.concat(F.lit("uso_suelo: "), F.coalesce("grupo", F.lit("sin zonificación PDU")))
+        d = d.join(landuse.where("programa is null").groupBy("zone_id").agg(F.collect_list(_row(name, _plain(c("pct"), 1), "% del área del polígono", USE_SOURCE, "área de intersección de la zonificación con el polígono")).alias("_u")), "zone_id", "left")
+        parts.append(F.coalesce("_u", none))
+    if context is not None:
+        series = "serie" in context.columns
+        d = d.join(context.groupBy("zone_id").agg(F.collect_list(F.struct("municipio", "anio_fin", "cambio_pct", *(["serie"] if series else []))).alias("_p")), "zone_id", "left")
+        parts.append(F.coalesce(_population_rows(c("_p"), series), none))
+    return d.select("zone_id", F.explode(F.concat(*[p.cast(f"array<{ROW}>") for p in parts])).alias("x")).select("zone_id", "x.*")
+
+
+# Short names (at most 10 bytes) and decimals of the GIS tables, by the column or the report's figure they show.
+ZONE_TABLE = {
+    "AREA_KM2": ("area_buffer", 2), "N_AGEBS": ("agebs_intersectadas", 0), "POB_TOT": ("poblacion_estimada", 0), "POB_FEM": ("poblacion_femenina", 0), "POB_MAS": ("poblacion_masculina", 0), "POB_0_14": ("poblacion_0_14", 0),
+    "POB_15_24": ("poblacion_15_24", 0), "POB_25_59": ("poblacion_25_59", 0), "POB_60MAS": ("poblacion_60_mas", 0), "VIV_HAB": ("viviendas_habitadas_estimadas", 0), "ESCOLARID": ("escolaridad_promedio", 2), "OCUP_CUART": ("ocupantes_por_cuarto", 2),
+    "PCT_INTER": ("pct_viviendas_internet", 1), "PCT_AUTO": ("pct_viviendas_automovil", 1), "PCT_2DORM": ("pct_viviendas_2mas_recamaras", 1), "PCT_3CUART": ("pct_viviendas_3mas_cuartos", 1), "PCT_DESHAB": ("pct_viviendas_deshabitadas", 1),
+}
+COLONIA_TABLE = {"CVEGEO": ("CVEGEO", None), "NOM_ASEN": ("NOM_ASEN", None), "TIPO": ("TIPO", None), "CP": ("CP", None), "MUNICIPIO": ("municipio", None), "SECTOR": ("sector", None), "VALOR_M2": ("valor_m2", 2)}
+LANDUSE_TABLE = {"MUNICIPIO": ("municipio", None), "PROGRAMA": ("programa", None), "GRUPO": ("grupo", None), "USO": ("uso", None), "HECTAREAS": ("hectareas", 2), "PLANO": ("plano", None)}
+
+
+def gis_zones(reports: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The GIS table of zones, one row each, with the report's own figures: reports(zone_id, report), outlines(zone_id, geom)."""
+    have = {f.name for f in reports.schema["report"].dataType}
+    r = F.col("report")
+    value = lambda c, n: (F.round(r["catastral"][c].cast("double"), n) if "catastral" in have else F.lit(None).cast("double"))
+    cols = [
+        F.concat(F.lit("radio "), _plain(r["radio_km"]), F.lit(" km")).alias("TIPO"), F.round(r["radio_km"], 2).alias("RADIO_KM"), F.round(r["punto"]["lat"], 6).alias("LAT"), F.round(r["punto"]["lng"], 6).alias("LON"), r["cobertura_ageb_pct"].alias("COB_AGEB"),
+        *[F.round(r["metricas"][m], n).alias(s) for s, (m, n) in ZONE_TABLE.items()], r["nivel_predominante"].alias("NSE_PRED"), F.lit(None).cast("double").alias("NSE_SCORE"),
+        value("n", 0).alias("CAT_N"), value("min", 2).alias("CAT_MIN"), value("med", 2).alias("CAT_MED"), value("max", 2).alias("CAT_MAX"), F.lit("interpolacion_areal_por_fraccion_de_ageb").alias("METODO"), r["generado"].alias("GENERADO"),
+    ]
+    return reports.join(outlines.select("zone_id", "geom"), "zone_id").select("zone_id", *cols, "geom")
+
+
+def gis_table(rows: DataFrame, short: dict[str, tuple[str, int | None]], geom: str = "geom") -> DataFrame:
+    """zone_id, the columns of a GIS table under their short names at fixed decimals (null where rows lack them), the geometry whole."""
+    long = [s for s in short if len(s.encode()) > 10]
+    if long:
+        raise ValueError(f"names above 10 bytes: {long}")
+    one = lambda c, n: F.lit(None).cast("string") if c not in rows.columns else F.round(F.col(c).cast("double"), n) if n is not None else F.col(c)
+    return rows.select("zone_id", *[one(c, n).alias(s) for s, (c, n) in short.items()], geom)
 
 
 def gis_layer(rows: DataFrame, geom: str, key: str, short: dict[str, tuple[str, int | None]]) -> DataFrame:

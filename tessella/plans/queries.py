@@ -366,6 +366,12 @@ def repaired(spark, sf_dir) -> DataFrame:
     return d.select("zone_id", F.size("geom.rings").alias("rings"), F.size(F.filter("geom.rings", lambda r: r["hole"])).alias("holes"), _r(G.spherical_area_km2(F.col("geom")), 5).alias("km2"))
 
 
+def smoothed_rings(spark, sf_dir) -> DataFrame:
+    """Zones with their corners cut four times: corners and area."""
+    s = spatial.smooth(zones(spark, sf_dir).select("zone_id", "geom"), ["zone_id"])
+    return s.select("zone_id", F.size(F.col("geom.rings")[0]["xs"]).alias("corners"), _r(G.spherical_area_km2(F.col("geom")), 6).alias("km2"))
+
+
 def smoothed_outlines(spark, sf_dir) -> DataFrame:
     """Smoothed and then simplified zones: points and area."""
     z = zones(spark, sf_dir).select("zone_id", "geom")
@@ -390,7 +396,36 @@ def zone_reports(spark, sf_dir) -> DataFrame:
 
 
 def metric_rows(spark, sf_dir) -> DataFrame:
-    return Z.metric_rows(_reports(spark, sf_dir)).where(F.col("metrica").isin("agebs_intersectadas", "poi_salud", "poi_bancos")).select("zone_id", "metrica", "valor", "unidad")
+    """All metric rows of round zones: figures of the tracts, levels, land use by programme, services."""
+    return Z.metric_rows(_reports(spark, sf_dir)).select("zone_id", "metrica", "valor", "unidad")
+
+
+def polygon_metrics(spark, sf_dir) -> DataFrame:
+    """All metric rows of drawn polygons: whole tracts, land values, settlements, land use, the municipality's people."""
+    z, t, c, u = zones(spark, sf_dir), tracts(spark, sf_dir), _colonias(spark, sf_dir), _landuse(spark, sf_dir)
+    stats = Z.whole_tract_stats(spatial.polygons_intersecting(z, t, "zone_id", "gid").join(t.drop("geom"), "gid"))
+    inside = written(spatial.representative_in(c, z, "gid", "zone_id").join(c.drop("geom"), "gid"))
+    area = z.select("zone_id", G.spherical_area_km2(F.col("geom")).alias("km2"))
+    uses = Z.landuse_shares(spatial.overlap(z, u, "zone_id", "gid").join(u.drop("geom"), "gid"), area)
+    rows = Z.polygon_metric_rows(area, stats, Z.value_stats_upper(inside), inside, landuse=uses, context=population_context(spark, sf_dir))
+    return rows.groupBy("zone_id", "metrica", "valor", "unidad").agg(F.count("*").alias("times"))
+
+
+def gis_zones(spark, sf_dir) -> DataFrame:
+    d = Z.gis_zones(_reports(spark, sf_dir), zones(spark, sf_dir))
+    return d.select("zone_id", "TIPO", "RADIO_KM", "LAT", "LON", "AREA_KM2", "COB_AGEB", "POB_TOT", "POB_FEM", "VIV_HAB", "ESCOLARID", "PCT_INTER", "NSE_PRED", _r(F.col("geom.xmin"), 6).alias("xmin"))
+
+
+def gis_colonias(spark, sf_dir) -> DataFrame:
+    z, c = zones(spark, sf_dir), _colonias(spark, sf_dir).withColumn("valor_m2", F.col("valor_m2") + 0.00123)
+    d = Z.gis_table(spatial.polygons_intersecting(z, c, "zone_id", "gid").join(c, "gid"), Z.COLONIA_TABLE)
+    return d.select("zone_id", "NOM_ASEN", "TIPO", "CP", "MUNICIPIO", "VALOR_M2", _r(F.col("geom.xmin"), 6).alias("xmin"))
+
+
+def gis_landuse(spark, sf_dir) -> DataFrame:
+    z, u = zones(spark, sf_dir), _landuse(spark, sf_dir)
+    d = Z.gis_table(spatial.polygons_intersecting(z, u, "zone_id", "gid").join(u.withColumn("hectareas", F.col("gid") / 7), "gid"), Z.LANDUSE_TABLE)
+    return d.select("zone_id", "PROGRAMA", "GRUPO", "USO", "HECTAREAS", _r(F.col("geom.ymax"), 6).alias("ymax"))
 
 
 def gis_layer(spark, sf_dir) -> DataFrame:
@@ -663,6 +698,6 @@ QUERIES = {f.__name__: f for f in (
     price_index_yoy, price_index_latest, zone_demographics, zone_demographics_round, whole_tracts, value_stats, value_stats_drawn, top_values, landuse_shares, zone_poi_counts, zone_nearest,
     points_in_tracts, gap_points, colonia_levels, smallest_band, reach_counts, reachable_projects, ring_bands, nearest_segment, viewport_points, erase, dissolve, smoothed_outlines, zone_reports,
     metric_rows, gis_layer, collapsed_values, cascade_match, fuzzy_match, search, osm_points, category_counts, dictionary_codes, business_mix, value_histogram, described_values, landuse_union,
-    totals_by_status, dbscan, terciles, proxy_validation, cluster_scores, disc_footprints, conic_back, shaped_demographics, shaped_points, shaped_meeting, shaped_inside, dissolve_gaps, repaired, compared_colonias, compared_set, reach_services, reach_projects, census_file, business_snapshots, features_file,
+    totals_by_status, dbscan, terciles, proxy_validation, cluster_scores, disc_footprints, conic_back, shaped_demographics, shaped_points, shaped_meeting, shaped_inside, dissolve_gaps, repaired, polygon_metrics, gis_zones, gis_colonias, gis_landuse, smoothed_rings, compared_colonias, compared_set, reach_services, reach_projects, census_file, business_snapshots, features_file,
     features_table, webmap_file, osm_file, compact_file, metrics_file, reports_file,
 )}

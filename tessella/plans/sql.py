@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from tessella.functions import scalars as S
+from tessella.operators.zones import METRICS
 from tessella.plans.adapters import HIGH, SOUTH, WEST, WIDE
 
 R2 = "6378.137 * 6378.137"
@@ -364,3 +365,62 @@ ratios AS (SELECT id, sum(s) AS hits FROM r GROUP BY id),
 scored AS (SELECT municipio, cn, key, sector, value, pos, 2.0::DOUBLE * hits / (la + lb) AS ratio FROM cand JOIN ratios USING (id) JOIN kk USING (municipio, key)),
 best AS (SELECT *, row_number() OVER (PARTITION BY municipio, cn ORDER BY ratio DESC, pos) AS o FROM scored WHERE ratio >= 0.88)
 SELECT gid, 'fuzzy(' || printf('%.2f', ratio) || ')→' || key AS method, sector, value FROM rest JOIN best USING (municipio, cn) WHERE o = 1"""
+
+
+def plain(x: str, n: int | None = None) -> str:
+    v = f"round(({x})::DOUBLE, {n})" if n is not None else f"({x})::DOUBLE"
+    return f"coalesce(regexp_replace({v}::VARCHAR, '\\.0$', ''), 's/d')"
+
+
+def fixed(x: str, n: int) -> str:
+    return f"coalesce(printf('%.{n}f', round(({x})::DOUBLE, {n})), 's/d')"
+
+
+#: Figures of a zone's report: f has sums and means over tracts, area and cover; p people by level; u uses by programme.
+REPORT = f"""{TRACTS}, {ZONES}, {OVERLAP}, {LANDUSE}, {BUSINESSES}, s AS (SELECT zone_id, count(*) AS n, sum(km2) AS covered, {', '.join(f'sum(coalesce({c}, 0) * frac) AS {c}' for c in ('POBTOT', 'POBFEM', 'TVIVPARHAB'))},
+  {wmean('GRAPROES', 'POBTOT')} AS GRAPROES, {', '.join(f"{wmean(c, 'TVIVPARHAB')} AS {c}" for c in ('pct_inter', 'pct_2dorm', 'pct_3cuart'))} FROM rows GROUP BY zone_id),
+f AS (SELECT z.*, s.* EXCLUDE (zone_id), {area('zx1', 'zy1', 'zx2', 'zy2')} AS km2 FROM zones z LEFT JOIN s USING (zone_id)), f2 AS (SELECT *, greatest(0.0, least(100.0, (1 - coalesce(covered, 0) / km2) * 100)) AS uncovered FROM f),
+p AS (SELECT zone_id, nse_nivel AS level, sum(coalesce(POBTOT, 0) * frac) AS p FROM rows GROUP BY ALL), p2 AS (SELECT *, sum(p) OVER (PARTITION BY zone_id) AS total FROM p),
+best AS (SELECT zone_id, level FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY p DESC, {RANK}) AS r FROM p2) WHERE r = 1 AND total > 0),
+o AS (SELECT zone_id, grupo, programa, {area(*BOX)} AS part FROM zones JOIN landuse ON {MEET}), u AS (SELECT zone_id, grupo, programa, sum(part) / any_value(km2) * 100 AS pct FROM o JOIN f USING (zone_id) GROUP BY ALL)"""
+SHOWN = {"area_buffer": "km2", "agebs_intersectadas": "n", "pct_area_sin_ageb": "uncovered", "poblacion_estimada": "POBTOT", "viviendas_habitadas_estimadas": "TVIVPARHAB", "escolaridad_promedio": "GRAPROES", "pct_viviendas_internet": "pct_inter", "pct_viviendas_2mas_recamaras": "pct_2dorm", "pct_viviendas_3mas_cuartos": "pct_3cuart", "poblacion_femenina": "POBFEM"}
+FIGURES = " UNION ALL ".join(f"SELECT zone_id, '{m}' AS metrica, {fixed(SHOWN.get(m, 'NULL'), n)} AS valor, '{u}' AS unidad FROM f2" for m, _, n, u in METRICS)
+SQL["metric_rows"] = f"""WITH {REPORT}, cats AS (SELECT unnest({list(S.POI_CATEGORIES)}) AS category),
+h AS (SELECT zone_id, category, count(*) AS k FROM zones JOIN businesses ON abs(businesses.lat - zones.lat) < 0.006 AND {haversine('zones.lat', 'lng', 'businesses.lat', 'lon')} <= radius_km GROUP BY ALL)
+{FIGURES} UNION ALL SELECT zone_id, 'punto_lat', {fixed('lat', 6)}, 'grados' FROM f UNION ALL SELECT zone_id, 'punto_lng', {fixed('lng', 6)}, 'grados' FROM f UNION ALL SELECT zone_id, 'radio', {plain('radius_km')}, 'km' FROM f
+UNION ALL SELECT zone_id, 'nse_' || level || '_pct_poblacion', {fixed('p / total * 100', 1)}, '% de población' FROM p2 WHERE total > 0
+UNION ALL SELECT zone_id, 'uso_suelo: ' || grupo || ' — ' || programa, {fixed('pct', 1)}, '% del área del buffer' FROM u
+UNION ALL SELECT zone_id, 'uso_suelo: sin zonificación PDU', {fixed('greatest(0, 100 - coalesce(zoned, 0))', 1)}, '% del área del buffer' FROM f LEFT JOIN (SELECT zone_id, sum(pct) AS zoned FROM u GROUP BY 1) w USING (zone_id)
+UNION ALL SELECT zone_id, 'poi_' || lower(category), coalesce(k, 0)::VARCHAR, 'puntos' FROM zones CROSS JOIN cats LEFT JOIN h USING (zone_id, category)"""
+SQL["gis_zones"] = f"""WITH {REPORT} SELECT zone_id, 'radio ' || {plain('radius_km')} || ' km' AS TIPO, round(radius_km, 2) AS RADIO_KM, round(lat, 6) AS LAT, round(lng, 6) AS LON, round(km2, 2) AS AREA_KM2, round(100 - uncovered, 1) AS COB_AGEB, round(POBTOT, 0) AS POB_TOT,
+  round(POBFEM, 0) AS POB_FEM, round(TVIVPARHAB, 0) AS VIV_HAB, round(GRAPROES, 2) AS ESCOLARID, round(pct_inter, 1) AS PCT_INTER, level AS NSE_PRED, round(zx1, 6) AS xmin FROM f2 LEFT JOIN best USING (zone_id)"""
+SQL["gis_colonias"] = f"WITH {COLONIAS}, {ZONES} SELECT zone_id, p_name AS NOM_ASEN, TIPO, NULL::VARCHAR AS CP, municipio AS MUNICIPIO, round(valor_m2 + 0.00123::DOUBLE, 2) AS VALOR_M2, round(x1, 6) AS xmin FROM zones JOIN colonias ON {MEET}"
+SQL["gis_landuse"] = f"WITH {LANDUSE}, {ZONES} SELECT zone_id, programa AS PROGRAMA, grupo AS GRUPO, NULL::VARCHAR AS USO, round(gid / 7, 2) AS HECTAREAS, round(y2, 6) AS ymax FROM zones JOIN landuse ON {MEET}"
+SQL["polygon_metrics"] = f"""WITH {TRACTS}, {ZONES}, {LANDUSE}, {COLONIAS}, w AS (SELECT zone_id, tracts.* FROM zones JOIN tracts ON {MEET}),
+lv AS (SELECT zone_id, nse_nivel AS level, count(*) AS k, sum(coalesce(POBTOT, 0)) AS p FROM w GROUP BY ALL), best AS (SELECT zone_id, level FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY p DESC, {RANK}) AS r FROM lv) WHERE r = 1),
+s AS (SELECT zone_id, count(*) AS n, sum(coalesce(POBTOT, 0)) AS people, sum(CASE WHEN POBTOT > 0 THEN nse_score * POBTOT END) / sum(CASE WHEN POBTOT > 0 AND nse_score IS NOT NULL THEN POBTOT END) AS score, avg(pct_2dorm) AS d2, avg(coalesce(pct_3cuart, 0)) AS d3 FROM w GROUP BY 1),
+f AS (SELECT z.zone_id, s.* EXCLUDE (zone_id), level, {area('zx1', 'zy1', 'zx2', 'zy2')} AS km2 FROM zones z LEFT JOIN s USING (zone_id) LEFT JOIN best USING (zone_id)),
+c AS (SELECT zone_id, colonias.* FROM zones JOIN colonias ON (x1 + x2) / 2 BETWEEN zx1 AND zx2 AND (y1 + y2) / 2 BETWEEN zy1 AND zy2),
+v AS (SELECT zone_id, count(*) AS n, min(valor_m2) AS least, round(avg(valor_m2)) AS mean, list_sort(list(valor_m2))[(count(*) // 2 + 1)] AS med, max(valor_m2) AS most FROM c WHERE valor_m2 IS NOT NULL GROUP BY 1),
+o AS (SELECT zone_id, grupo, {area(*BOX)} AS part FROM zones JOIN landuse ON {MEET}), u AS (SELECT zone_id, grupo, sum(part) / any_value(km2) * 100 AS pct FROM o JOIN f USING (zone_id) GROUP BY ALL),
+x AS ({SQL['population_context']}), all_ AS (
+SELECT zone_id, unnest([{{'m': 'tipo_analisis', 'v': 'polígono dibujado', 'u': ''}}, {{'m': 'area_poligono', 'v': {plain('km2', 2)}, 'u': 'km²'}}, {{'m': 'agebs_intersectadas', 'v': {plain('coalesce(n, 0)')}, 'u': 'AGEBs'}}, {{'m': 'poblacion_estimada', 'v': {plain('people', 0)}, 'u': 'habitantes'}},
+  {{'m': 'nse_predominante', 'v': coalesce(level, 's/d'), 'u': ''}}, {{'m': 'nse_score', 'v': {plain('score', 2)}, 'u': 'índice NSE'}}, {{'m': 'pct_viviendas_2mas_recamaras', 'v': {plain('d2', 1)}, 'u': '% de viviendas habitadas'}}, {{'m': 'pct_viviendas_3mas_cuartos', 'v': {plain('d3', 1)}, 'u': '% de viviendas habitadas'}}]) AS r FROM f
+UNION ALL SELECT zone_id, {{'m': 'nse_' || level || '_agebs', 'v': k::VARCHAR, 'u': 'AGEBs'}} FROM lv
+UNION ALL SELECT zone_id, unnest([{{'m': 'catastral_colonias', 'v': {plain('n')}, 'u': 'colonias'}}, {{'m': 'catastral_min', 'v': {plain('least')}, 'u': '$/m² de suelo'}}, {{'m': 'catastral_promedio', 'v': {plain('mean')}, 'u': '$/m² de suelo'}}, {{'m': 'catastral_mediana', 'v': {plain('med')}, 'u': '$/m² de suelo'}}, {{'m': 'catastral_max', 'v': {plain('most')}, 'u': '$/m² de suelo'}}]) FROM v
+UNION ALL SELECT zone_id, {{'m': 'colonia: ' || TIPO || ' ' || p_name || ' (' || municipio || ')', 'v': {plain('valor_m2')}, 'u': '$/m² de suelo'}} FROM c
+UNION ALL SELECT zone_id, {{'m': 'uso_suelo: ' || grupo, 'v': {plain('pct', 1)}, 'u': '% del área del polígono'}} FROM u
+UNION ALL SELECT zone_id, {{'m': 'uso_suelo: sin zonificación PDU', 'v': {plain('greatest(0, 100 - sum(pct))', 1)}, 'u': '% del área del polígono'}} FROM u GROUP BY zone_id
+UNION ALL SELECT zone_id, {{'m': 'poblacion_proyeccion_cambio_2020_' || anio_fin || ': ' || municipio, 'v': {plain('cambio_pct')}, 'u': '% (municipio completo)'}} FROM x)
+SELECT zone_id, r.m AS metrica, r.v AS valor, r.u AS unidad, count(*) AS times FROM all_ GROUP BY ALL"""
+#: Corner cutting of a ring as lists: twice as many corners a round.
+CUT = "list_transform(range(1, 2 * len({l}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN 0.75::DOUBLE * {l}[(i + 1) // 2] + 0.25::DOUBLE * {l}[(i + 1) // 2 % len({l}) + 1] ELSE 0.25::DOUBLE * {l}[i // 2] + 0.75::DOUBLE * {l}[i // 2 % len({l}) + 1] END)"
+SQL["smoothed_rings"] = f"""WITH {ZONES}, c0 AS (SELECT zone_id, [zx1, zx2, zx2, zx1] AS x, [zy1, zy1, zy2, zy2] AS y FROM zones),
+{', '.join(f"c{k + 1} AS (SELECT zone_id, {CUT.format(l='x')} AS x, {CUT.format(l='y')} AS y FROM c{k})" for k in range(4))},
+e AS (SELECT zone_id, len(x) + 1 AS corners, unnest(list_transform(range(1, len(x) + 1), lambda i: radians(x[i % len(x) + 1] - x[i]) * (sin(radians(y[i])) + sin(radians(y[i % len(x) + 1]))) / 2)) AS part FROM c4)
+SELECT zone_id, corners::INT AS corners, round(abs(sum(part)) * {R2}, 6) AS km2 FROM e GROUP BY ALL"""
+SQL["dbscan"] = f"""WITH RECURSIVE {BUSINESSES}, p AS (SELECT id, (lon + 102.42) * 103000 AS x, (lat - 21.75) * 110700 AS y FROM businesses), c AS (SELECT *, floor(x / 300)::INT AS cx, floor(y / 300)::INT AS cy FROM p),
+n AS (SELECT a.id, b.id AS other FROM c a JOIN (SELECT *, cx + dx AS nx, cy + dy AS ny FROM c, range(-1, 2) d(dx), range(-1, 2) f(dy)) b ON a.cx = b.nx AND a.cy = b.ny WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 90000),
+core AS (SELECT id FROM n GROUP BY id HAVING count(*) >= 6), e AS (SELECT n.id, other FROM n SEMI JOIN core ON n.id = core.id SEMI JOIN core k ON n.other = k.id),
+r(id, label) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT * FROM (SELECT e.other AS id, min(r.label) AS label FROM r JOIN e ON r.id = e.id GROUP BY e.other) m WHERE m.label < (SELECT label FROM recurring.r q WHERE q.id = m.id))
+SELECT id, true AS core, label AS cluster FROM r UNION ALL SELECT n.id, false, min(r.label) FROM n JOIN r ON n.other = r.id ANTI JOIN core ON n.id = core.id GROUP BY n.id"""

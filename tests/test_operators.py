@@ -42,6 +42,7 @@ def test_report_and_rows_agree(spark):
     assert r[1].schema_version == 2 and r[1].metricas.poblacion_estimada == 500 and r[1].pois["Salud"] == 1 and len(r[1].pois) == 6
     assert r[2].proyectos == [] and r[2].metricas.poblacion_estimada is None
     m = {(x.zone_id, x.metrica): x.valor for x in Z.metric_rows(rep).collect()}
+    assert m[1, "punto_lat"] == "21.900000" and m[1, "radio"] == "3" and m[2, "proyectos_vivienda_nueva"] == "0"
     assert m[1, "escolaridad_promedio"] == "12.35" and m[2, "poblacion_estimada"] == "s/d" and m[1, "poi_salud"] == "1" and m[1, "proyecto: Vivanta (horizontal)"] == "1.18"
     for name, _, n, _ in Z.METRICS:
         v = r[1].metricas[name]
