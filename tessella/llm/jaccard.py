@@ -277,13 +277,7 @@ def may_join(sizes: np.ndarray, home: np.ndarray, prefixes: list[np.ndarray], pe
 
 def join_sets(sets: list[np.ndarray], percent: int, probes: int | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect what joins among the sets; with probes, only links of the first `probes` sets to the rest."""
-    found = []
-    if len(sets) == 2:
-        a, b = sets
-        if len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b), percent):
-            found.append((0, 1))
-        return found
-    union = Union(len(sets))
+    found, union = [], Union(len(sets))
     k = 0 if probes is None else probes
     tree = Tree(sets[k:])
     for i in range(len(sets) if probes is None else probes):

@@ -1,9 +1,9 @@
 """Surrogates for personal data, by DataFrame expressions alone.
 
-Entities (mail and IP addresses, phone, card, account and social security numbers, secrets; names after a title, with a known
-given name, or beside words that go with persons) are found by patterns and replaced by surrogates of their kind. Words of a
+Entities (mail, IP and IPv6 addresses, phone, card, account, passport and social security numbers, secrets; names after a title,
+with a known given name, or beside words that go with persons) are found by patterns and replaced by surrogates of their kind. Words of a
 name that a text gives in full are entities wherever else they stand in that text, so that a person who is named once more by
-surname alone is the same surrogate person. A surrogate is a keyed permutation of its kind's
+surname alone, or in capitals, is the same surrogate person; a street that bears the name keeps it. A surrogate is a keyed permutation of its kind's
 own format: characters keep their class and script (digits, vowels, consonants, capitals, hexadecimal digits, letters of
 other scripts), separators their place; a card number keeps its first digit and whether its check digit is right, an IP
 address stays one, a mail address keeps its top-level domain, a given name becomes another of the same gender (the next in a
@@ -28,14 +28,18 @@ from tessella.llm.common import cut
 KEY = "tessella"
 ROUNDS = 4
 
-# Given names by gender, and titles.
+# Given names by gender (and script), and titles.
 MALE = "Alexander Andreas Antonio Carlos Charles Daniel David Edward Francisco Frank George Hans Henri Jacques James Jean John Jose Juan Klaus Luis Manuel Mark Michael Miguel Paul Peter Pierre Richard Robert Stefan Thomas William Wolfgang".split()
 FEMALE = "Alice Ana Anna Barbara Carmen Catherine Claire Dolores Elizabeth Emma Ingrid Isabel Jennifer Julia Karin Laura Linda Lucia Maria Marie Martha Mary Monika Nathalie Patricia Petra Sabine Sarah Sophie Susan Teresa Ursula".split()
-TITLES = "Mr Mrs Ms Miss Mister Dr Prof Herr Frau Monsieur Madame Mademoiselle Mme Mlle Señor Señora Señorita Sr Sra".split()
+CYRILLIC_MALE = "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Пётр Сергей".split()
+CYRILLIC_FEMALE = "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split()
+GIVEN = (MALE, FEMALE, CYRILLIC_MALE, CYRILLIC_FEMALE)
+TITLES = "Mr Mrs Ms Miss Mister Dr Prof Herr Frau Monsieur Madame Mademoiselle Mme Mlle Señor Señora Señorita Sr Sra Господин Госпожа".split()
 
-# Words that stand before a person's name, and after one.
-BEFORE = "met told asked thanked called emailed phoned contact dear named".split()
-AFTER = "said says told asked met wrote thanked replied called emailed phoned".split()
+# Words that stand before a person's name, and after one; words that make a name a street's.
+BEFORE = "met told asked thanked called emailed phoned contact dear named paid married hired".split()
+AFTER = "said says told asked met wrote thanked replied called emailed phoned lives lived works worked paid married signed".split()
+STREETS = "Street St Road Rd Avenue Ave Lane Drive Square Court Boulevard".split()
 
 _NAME = r"\p{Lu}[\p{L}\p{M}’'-]*\p{Ll}"
 # Kinds, in order of precedence: pattern inside a text, and the whole of an entity.
@@ -44,19 +48,23 @@ PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\b[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)[^\s\"',;]{4,}+",
     "key": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}+\b|\b(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "passport": r"(?<=\b(?i:passport)(?: (?i:no|nr|number)\.?)?[ :#]{1,2})[A-Z]{1,2}\d{6,8}\b",
     "account": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ ./-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])|(?<![\w.-])0\d{2,4} \d{3,4} \d{3,4}(?![\w-])",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w])",
     "hex": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b",
-    "titled": rf"\b(?:{'|'.join(TITLES)})\b\.?\s{_NAME}(?:[ -]{_NAME}){{0,2}}+|\b(?:{'|'.join(t.upper() for t in TITLES)})\b\.?\s\p{{Lu}}[\p{{Lu}}’'-]+(?: \p{{Lu}}{{2,}}+)?",
-    "named": rf"\b(?:{'|'.join(MALE + FEMALE)}) {_NAME}\b",
-    "cued": rf"(?<=\b(?i:{'|'.join(BEFORE)}) ){_NAME} {_NAME}\b|\b{_NAME} {_NAME}(?= (?:{'|'.join(AFTER)})\b)",
+    "titled": rf"\b(?:{'|'.join(TITLES)})\b\.?\s{_NAME}(?:[ -]{_NAME}){{0,2}}+|\b(?:mr|mrs|ms|dr|prof)\b\.? (?:{'|'.join(n.lower() for n in MALE + FEMALE)}) \p{{Ll}}{{2,}}+|\b(?:{'|'.join(t.upper() for t in TITLES)})\b\.?\s\p{{Lu}}[\p{{Lu}}’'-]+(?: \p{{Lu}}{{2,}}+)?",
+    "named": rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(n for some in GIVEN for n in some)}) {_NAME}(?![\p{{L}}\p{{M}}])",
+    "cued": rf"(?<=\b(?i:{'|'.join(BEFORE)}) ){_NAME} {_NAME}\b|\b{_NAME} {_NAME}(?= (?:{'|'.join(AFTER)})\b|, (?:born|aged)\b)",
 }
+#: Entities by themselves, where the pattern looks at what stands before.
+ALONE = {"passport": r"[A-Z]{1,2}\d{6,8}"}
 NAMES = ("titled", "named", "cued")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@=:]|\b(?:{'|'.join(TITLES + [t.upper() for t in TITLES] + MALE + FEMALE)})\b|{PATTERNS['cued']}"
+HINT = rf"[0-9@=:]|\b(?:{'|'.join(TITLES + [t.upper() for t in TITLES] + MALE + FEMALE)})\b|{'|'.join(CYRILLIC_MALE + CYRILLIC_FEMALE + TITLES[-2:])}|\b(?:mr|mrs|ms|dr|prof)\b|{PATTERNS['cued']}"
 
 _LOWER_V, _LOWER_C = "aeiou", "bcdfghjklmnpqrstvwxyz"
 _ACCENTED = "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ"
@@ -140,8 +148,8 @@ def _name(x: Column, key: str) -> Column:
     """Word by word: titles stay, given names turn round within their gender's list, other words are permuted."""
 
     def word(w: Column) -> Column:
-        out = F.when(F.regexp_replace(w, r"\.$", "").isin([*TITLES, *(t.upper() for t in TITLES)]), w)
-        for names in (MALE, FEMALE):
+        out = F.when(F.regexp_replace(w, r"\.$", "").isin([*TITLES, *(t.upper() for t in TITLES), *(t.lower() for t in TITLES)]), w)
+        for names in GIVEN:
             order = sorted(names, key=lambda n: hashlib.sha256(f"{key}\x00{n}".encode()).digest())
             listed = F.array(*map(F.lit, order))
             out = out.when(w.isin(names), F.element_at(listed, (F.pmod(F.array_position(listed, w), F.lit(len(order))) + 1).cast("int")))
@@ -152,7 +160,7 @@ def _name(x: Column, key: str) -> Column:
 
 
 def _whole(kind: str) -> str:
-    return rf"^(?:{PATTERNS[kind]})$"
+    return rf"^(?:{ALONE.get(kind, PATTERNS[kind])})$"
 
 
 def kind_of(x: Column) -> Column:
@@ -180,6 +188,8 @@ def surrogate(x: Column, key: str = KEY) -> Column:
         .when(is_("secret"), F.concat(secret_head, hexed(secret, "secret")))
         .when(is_("key"), F.concat(key_head, permuted(F.substring(x, F.length(key_head) + 1, F.length(x)), "key", key)))
         .when(is_("ip"), _ip(x, key))
+        .when(is_("ip6"), permuted(x, "ip6", key, HEX))
+        .when(is_("passport"), permuted(x, "passport", key))
         .when(is_("account"), F.concat(F.substring(x, 1, 2), grouped(F.substring(x, F.lit(3), F.length(x)), "account")))
         .when(is_("phone"), F.concat(dial, grouped(number, "phone")))
         .when(is_("social"), grouped(x, "social"))
@@ -196,11 +206,14 @@ def entities(text: Column) -> Column:
 
 
 def mentions(found: Column) -> Column:
-    """What else to look for in a text with these entities: its patterns, and the words of names (three letters or more)."""
+    """What else to look for in a text with these entities: its patterns, and the words of names (three letters or more), as they
+    stand and in capitals, but not where they name a street."""
     is_name = lambda x: ~x.rlike("[0-9@=:]") & x.rlike("|".join(_whole(k) for k in ("titled", "named")) + rf"|^{_NAME} {_NAME}$")
     words = F.array_distinct(F.flatten(F.transform(F.filter(found, is_name), lambda x: F.split(x, r"[\s-]+"))))
     words = F.filter(words, lambda w: w.rlike(r"^\p{L}[\p{L}\p{M}’']{2,}$") & ~w.isin([*TITLES, *(t.upper() for t in TITLES)]))
-    return _let(words, lambda w: F.when(F.size(w) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}])(?:"), F.array_join(w, "|"), F.lit(r")(?![\p{L}\p{M}])"))).otherwise(F.lit(ANY)))
+    words = F.array_distinct(F.concat(words, F.transform(words, lambda w: F.upper(w))))
+    street = rf"(?! (?:{'|'.join(STREETS)})\b)"
+    return _let(words, lambda w: F.when(F.size(w) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}])(?:"), F.array_join(w, "|"), F.lit(r")(?![\p{L}\p{M}])" + street))).otherwise(F.lit(ANY)))
 
 
 def _plain(table: DataFrame) -> DataFrame:

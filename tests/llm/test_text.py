@@ -397,6 +397,21 @@ def test_pii_follows_a_person_through_a_text(spark):
     assert {len(set(sorted(n, key=str))) for n in (pii.MALE, pii.FEMALE)} and pii.real_surrogates(d).where("kind = 'mail'").count() == 0
 
 
+def test_pii_beyond_the_lists(spark):
+    """Names by what goes with them, in capitals, in other scripts; IPv6 and passport numbers; streets and plain words stay."""
+    texts = [
+        "Wei Chen lives here. Yesterday Olga Petrova paid Tomasz Nowak.", "Jane Doe, born 1980-02-03, wrote from jane.doe@example.com", "Иван Петров встретил Анну. Господин Смирнов ушёл.", "mr. john smith came. dr. said no.",
+        "Dr. Brown came. BROWN left. Brown Street. brown dog.", "addr 2001:db8::ff00:42:8329 and fe80::1 at 12:30:45", "passport number X1234567, Passport: AB123456, std::map A::b",
+    ]
+    got = [r.text for r in pii.pseudonymise(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    gone = "Wei Chen Olga Petrova Tomasz Nowak Jane Doe jane.doe Иван Петров Смирнов john smith BROWN 2001:db8 fe80::1 X1234567 AB123456".split()
+    assert not [w for w in gone if any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", t) for t in got)]
+    assert got[2].startswith(tuple(pii.CYRILLIC_MALE)) and got[2].endswith(" ушёл.") and "Господин " in got[2]
+    assert got[4].endswith("Brown Street. brown dog.") and re.search(r"Dr\. (\w+) came\. (\w+) left", got[4])[1].upper() == re.search(r"Dr\. (\w+) came\. (\w+) left", got[4])[2]
+    assert re.fullmatch(r"addr [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4} and [0-9a-f]{4}::[0-9a-f] at 12:30:45", got[5])
+    assert re.fullmatch(r"passport number [A-Z]\d{7}, Passport: [A-Z]{2}\d{6}, std::map A::b", got[6])
+
+
 def test_surrogates_are_distinct(spark):
     d = spark.range(3000).select(F.concat(F.lit("10."), (F.col("id") % 200).cast("string"), F.lit("."), F.floor(F.col("id") / 200).cast("string"), F.lit(".7")).alias("a"), F.format_string("%07d", F.col("id")).alias("b"))
     s = d.select(pii.surrogate(F.col("a")).alias("a"), pii.permuted(F.col("b"), "x", "k").alias("b"))
