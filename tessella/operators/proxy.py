@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -26,13 +29,14 @@ def fit_proxy(features: DataFrame, label: str = "nse_score", cols: list[str] = F
 
 
 def cross_val_predict(features: DataFrame, key: str, label: str = "nse_score", cols: list[str] = FEATURES, k: int = 5, **options) -> DataFrame:
-    """key, label, fold, prediction: each row by a model that has not seen its fold."""
-    d = features.withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(k)).cast("int"))
-    out = None
-    for i in range(k):
-        one = fit_proxy(d.where(F.col("fold") != i), label, cols, **options).transform(d.where(F.col("fold") == i)).select(key, label, "fold", "prediction")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """key, label, fold, prediction: each row by a model that has not seen its fold. The folds' fits are jobs side by side, over
+    features that are written once."""
+    d = written(features.select(key, label, *cols).withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(k)).cast("int")))
+    fit = inheritable_thread_target(d.sparkSession)(lambda i: fit_proxy(d.where(F.col("fold") != i), label, cols, **options))
+    with ThreadPoolExecutor(k) as pool:
+        models = list(pool.map(fit, range(k)))
+    parts = [m.transform(d.where(F.col("fold") == i)).select(key, label, "fold", "prediction") for i, m in enumerate(models)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def tercile_cuts(df: DataFrame, col: str) -> DataFrame:

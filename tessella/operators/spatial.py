@@ -9,6 +9,7 @@ is parted before it meets (rectangles with rectangles, the rest with the rest),
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,13 +63,14 @@ def _parted(df: DataFrame, gid: str, name: str) -> tuple[DataFrame, DataFrame]:
     return d.where(_is_box(g)).select(gid, flat.alias(name)), d.where(~_is_box(g)).select(gid, F.struct(*[g[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax", "rings")]).alias(name))
 
 
-def _pairs(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float) -> tuple[DataFrame, DataFrame]:
-    """Candidates (zid, gid, ga, gb): pairs of rectangles, and all others dealt evenly."""
+def _pairs(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float) -> tuple[DataFrame, DataFrame | None]:
+    """Candidates (zid, gid, ga, gb): pairs of rectangles, and all others dealt evenly (none where both sides have rectangles only)."""
     (za, zb), (la, lb) = _parted(zones, zid, "ga"), _parted(layer, gid, "gb")
     meet = lambda a, b: _candidates(a, b, "ga", "gb", cell)
-    rest = meet(zb, la).unionByName(meet(za, lb)).unionByName(meet(zb, lb))
+    shaped, others = bool(zb.take(1)), bool(lb.take(1))
+    rest = [meet(a, b) for a, b, there in ((zb, la, shaped), (za, lb, others), (zb, lb, shaped and others)) if there]
     n = max(1, int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return meet(za, la), rest.repartition(n, zid, gid)
+    return meet(za, la), functools.reduce(DataFrame.unionByName, rest).repartition(n, zid, gid) if rest else None
 
 
 def _box_km2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -164,8 +166,9 @@ def gap_points(points: DataFrame, inside_none: DataFrame, inside_any: DataFrame,
 
 
 def polygons_intersecting(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float = CELL) -> DataFrame:
-    boxes, rest = _pairs(zones, layer, zid, gid, cell)  # rectangles whose boxes meet do
-    return boxes.select(zid, gid).unionByName(_kernel(rest, [zid, gid], "meets", "boolean", K.meet_many, (zid, gid)).where("meets").drop("meets"))
+    boxes, rest = _pairs(zones, layer, zid, gid, cell)
+    boxes = boxes.select(zid, gid)  # rectangles whose boxes meet do
+    return boxes if rest is None else boxes.unionByName(_kernel(rest, [zid, gid], "meets", "boolean", K.meet_many, (zid, gid)).where("meets").drop("meets"))
 
 
 def overlap(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float = CELL) -> DataFrame:
@@ -175,10 +178,12 @@ def overlap(zones: DataFrame, layer: DataFrame, zid: str, gid: str, cell: float
     full = _box_km2(b["xmin"], b["ymin"], b["xmax"], b["ymax"])
     meet = _box_km2(F.greatest(a["xmin"], b["xmin"]), F.greatest(a["ymin"], b["ymin"]), F.least(a["xmax"], b["xmax"]), F.least(a["ymax"], b["ymax"]))
     settled = boxes.select(zid, gid, meet.alias("km2"), full.alias("whole")).where("km2 > 0")
-    flat, other = _parted(layer, gid, "gb")
-    whole = flat.select(gid, full.alias("whole")).unionByName(_kernel(other, [gid], "whole", "double", _areas))
-    km2 = _kernel(rest, [zid, gid], "km2", "double", K.overlaps_km2, (zid, gid)).where("km2 > 0")
-    return settled.unionByName(km2.join(whole, gid).select(zid, gid, "km2", "whole")).select(zid, gid, "km2", F.least(F.lit(1.0), F.col("km2") / F.col("whole")).alias("frac"))
+    if rest is not None:
+        flat, other = _parted(layer, gid, "gb")
+        whole = flat.select(gid, full.alias("whole")).unionByName(_kernel(other, [gid], "whole", "double", _areas))
+        km2 = _kernel(rest, [zid, gid], "km2", "double", K.overlaps_km2, (zid, gid)).where("km2 > 0")
+        settled = settled.unionByName(km2.join(whole, gid).select(zid, gid, "km2", "whole"))
+    return settled.select(zid, gid, "km2", F.least(F.lit(1.0), F.col("km2") / F.col("whole")).alias("frac"))
 
 
 def with_representative(layer: DataFrame, gid: str) -> DataFrame:
