@@ -19,6 +19,7 @@ SETTLEMENT_TYPES = [
 ]
 SEARCH_TYPES = ["FRACCIONAMIENTO", "CONJUNTO HABITACIONAL", "UNIDAD HABITACIONAL", "PARQUE INDUSTRIAL", "ZONA MILITAR", "RANCHERIA", "CONDOMINIO", "COLONIA", "BARRIO", "EJIDO", "PUEBLO", "COTO"]
 SEARCH_PLACES = ["JESUS MARIA", "AGUASCALIENTES"]
+# Ordinals by their digit, as words and not as patterns: word edges at Ñ differ between engines, so _word adds them.
 ORDINALS = {
     "1": ["PRIMER", "PRIMERA", "1RA", "1A", "1ERA", "I"],
     "2": ["SEGUND", "SEGUNDA", "2DA", "2A", "II"],

@@ -114,9 +114,9 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
 
 def _open_arcs(points: DataFrame, others: DataFrame, cluster: str, r: float) -> DataFrame:
     """points, others (cluster, x, y), each once -> cluster, x, y, first, last: the arcs of a point's circle (angles from 0 to two pi)
-    that no other's disc covers. Circles meet by cells as wide as r; what is covered so far is a running maximum of ends."""
-    cell = lambda d: d.withColumns({"cx": F.floor(F.col("x") / r).cast("long"), "cy": F.floor(F.col("y") / r).cast("long")})
-    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("dx"), F.lit(j).cast("long").alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])
+    that no other's disc covers. Circles meet by cells as wide as 2r; what is covered so far is a running maximum of ends."""
+    cell = lambda d: d.withColumns({c: F.floor(F.col(v) / (2 * r)).cast("long") for c, v in (("cx", "x"), ("cy", "y"))})
+    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("dx"), F.lit(j).cast("long").alias("dy")) for i in range(-1, 2) for j in range(-1, 2)])
     p = cell(points).withColumn("d", F.explode(steps)).select(cluster, "x", "y", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
     q = cell(others).select(cluster, "cx", "cy", F.col("x").alias("qx"), F.col("y").alias("qy"))
     apart = F.hypot(F.col("qx") - F.col("x"), F.col("qy") - F.col("y"))
@@ -138,14 +138,15 @@ def cluster_footprints(points: DataFrame, cluster: str, radius_m: float = 90.0,
     """points(cluster, x, y in metres) -> cluster, km2, x, y (centroid), geom (outline in metres): the union of discs around the points.
 
     The boundary of the union is made of the arcs that no other disc covers. Area and centroid are sums over these arcs (Green's
-    theorem), exact for circles. A point whose circle is already covered by one point of each cell around it lies inside and
-    needn't meet all others, so that a crowd costs what its rim costs. The outline has `steps` pieces a quarter turn; it is put
+    theorem), exact for circles. Where points crowd, one whose circle is already covered by one point of each cell around it
+    lies inside and needn't meet all others, so that a crowd costs what its rim costs. The outline has `steps` pieces a quarter turn; it is put
     together from the arcs of a cluster, which is one row of the result. A null cluster or place takes no part.
     """
     r = float(radius_m)
     d = written(points.where(F.col(cluster).isNotNull()).select(cluster, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().distinct())
     few = d.groupBy(cluster, F.floor(F.col("x") / r).alias("cx"), F.floor(F.col("y") / r).alias("cy")).agg(F.min(F.struct("x", "y")).alias("p")).select(cluster, "p.x", "p.y")
-    rim = written(_open_arcs(d, few, cluster, r).select(cluster, "x", "y").distinct())
+    crowded = d.count() > 3 * few.count()  # else hardly a point is inside
+    rim = written(_open_arcs(d, few, cluster, r).select(cluster, "x", "y").distinct()) if crowded else d
     arcs = written(_open_arcs(rim, d, cluster, r))
     a, b, x, y = F.col("first"), F.col("last"), F.col("x"), F.col("y")
     change = lambda f: f(b) - f(a)

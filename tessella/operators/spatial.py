@@ -281,9 +281,12 @@ def cell_value(rings: K.Rings):
     x, y = np.concatenate([r[0] for r in rings]), np.concatenate([r[1] for r in rings])
     holes = [K.ring_area(*r) < 0 for r in rings]
     outer = [k for k, h in enumerate(holes) if not h]
+    boxes = np.array([(rings[k][0].min(), rings[k][0].max(), rings[k][1].min(), rings[k][1].max()) for k in outer]).reshape(-1, 4)
     part, number = {k: i for i, k in enumerate(outer)}, []
     for k, (rx, ry) in enumerate(rings):
-        around = [j for j in outer if holes[k] and K.contains([rings[j]], (rx[:1] + rx[1:2]) / 2, (ry[:1] + ry[1:2]) / 2)[0]]
+        px, py = (rx[0] + rx[1]) / 2, (ry[0] + ry[1]) / 2
+        near = np.flatnonzero((boxes[:, 0] <= px) & (px <= boxes[:, 1]) & (boxes[:, 2] <= py) & (py <= boxes[:, 3])).tolist() if holes[k] else ()
+        around = [outer[i] for i in near if K.contains([rings[outer[i]]], np.array([px]), np.array([py]))[0]]
         number.append(part[min(around, key=lambda j: K.ring_area(*rings[j]))] if around else part.get(k, 0))
     order = sorted(range(len(rings)), key=lambda k: (number[k], holes[k]))
     return {"xmin": float(x.min()), "ymin": float(y.min()), "xmax": float(x.max()), "ymax": float(y.max()), "rings": [{"part": number[k], "hole": holes[k], "xs": rings[k][0].tolist(), "ys": rings[k][1].tolist()} for k in order]}

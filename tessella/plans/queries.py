@@ -173,10 +173,10 @@ def zone_demographics(spark, sf_dir) -> DataFrame:
 
 
 def zone_demographics_round(spark, sf_dir) -> DataFrame:
-    """The same for round zones."""
-    z = zones(spark, sf_dir).withColumn("geom", G.circle_ring(F.col("lat"), F.col("lng"), F.col("radius_km")))
+    """The same for round zones; slivers of less than a square metre don't count."""
+    z = written(zones(spark, sf_dir).select("zone_id", G.circle_ring(F.col("lat"), F.col("lng"), F.col("radius_km")).alias("geom")))
     t = tracts(spark, sf_dir)
-    rows = spatial.overlap(z, t, "zone_id", "gid").join(t.drop("geom"), "gid")
+    rows = spatial.overlap(z, t, "zone_id", "gid").where("km2 > 1e-6").join(t.drop("geom"), "gid")
     covered = rows.groupBy("zone_id").agg(F.sum("km2").alias("tract_km2"))
     d = Z.demographics(rows).join(covered, "zone_id").join(z.select("zone_id", G.spherical_area_km2(F.col("geom")).alias("km2")), "zone_id")
     return d.select("zone_id", "tracts", _r(F.col("POBTOT"), 2).alias("pobtot"), _r(Z.uncovered_pct(F.col("tract_km2"), F.col("km2")), 3).alias("uncovered_pct"))

@@ -349,7 +349,7 @@ cut AS (SELECT *, CASE WHEN ya = yb THEN xl ELSE least(xr, greatest(xl, xa + (y1
 o AS (SELECT zone_id, gid, any_value(POBTOT) AS pop, abs(sum(sgn * ({piece('xl', 'least(c1, c2)')} + {piece('least(c1, c2)', 'greatest(c1, c2)')} + {piece('greatest(c1, c2)', 'xr')}))) * pi() / 180 * {R2} AS km2, any_value({area('x1', 'y1', 'x2', 'y2')}) AS whole FROM cut GROUP BY ALL),
 whole AS (SELECT zone_id, abs(sum(sgn * (xb - xa) * (sin(radians(ya)) + sin(radians(yb))) / 2)) * pi() / 180 * {R2} AS km2 FROM way GROUP BY 1)
 SELECT o.zone_id, count(*) AS tracts, round(sum(coalesce(pop, 0) * least(1.0, o.km2 / whole)), 2) AS pobtot, round(greatest(0.0, least(100.0, (1 - sum(o.km2) / any_value(w.km2)) * 100)), 3) AS uncovered_pct
-FROM o JOIN whole w USING (zone_id) WHERE o.km2 > 1e-9 GROUP BY o.zone_id"""
+FROM o JOIN whole w USING (zone_id) WHERE o.km2 > 1e-6 GROUP BY o.zone_id"""
 #: Names that the cascade leaves against keys of the same first letter: matching blocks by the longest common stretch of a part, then of
 #: what is left and right of it. m: letters that agree, with the length of the stretch that starts there.
 SQL["fuzzy_match"] = f"""WITH RECURSIVE {VALUES}, {KEYS}, {POLYGONS}, kk AS (SELECT municipio, key, min(pos) AS pos, round_even(avg(value), 0)::BIGINT AS value, arg_min(sector, pos) AS sector FROM k3 WHERE level = 2 AND key <> '' GROUP BY ALL),
