@@ -48,15 +48,15 @@ PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\b[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)[^\s\"',;]{4,}+",
     "key": r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}+\b|\b(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
-    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
-    "passport": r"(?<=\b(?i:passport)(?: (?i:no|nr|number)\.?)?[ :#]{1,2})[A-Z]{1,2}\d{6,8}\b",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f]{1,4}:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "passport": r"\b[A-Z]{1,2}\d{6,8}\b(?<=(?i:passport)(?: (?i:no|nr|number)\.?)?[ :#]{1,2}[A-Z]{1,2}\d{6,8})",
     "account": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ ./-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])|(?<![\w.-])0\d{2,4} \d{3,4} \d{3,4}(?![\w-])",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w])",
     "hex": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b",
     "titled": rf"\b(?:{'|'.join(TITLES)})\b\.?\s{_NAME}(?:[ -]{_NAME}){{0,2}}+|\b(?:mr|mrs|ms|dr|prof)\b\.? (?:{'|'.join(n.lower() for n in MALE + FEMALE)}) \p{{Ll}}{{2,}}+|\b(?:{'|'.join(t.upper() for t in TITLES)})\b\.?\s\p{{Lu}}[\p{{Lu}}’'-]+(?: \p{{Lu}}{{2,}}+)?",
-    "named": rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(n for some in GIVEN for n in some)}) {_NAME}(?![\p{{L}}\p{{M}}])",
+    "named": rf"\b(?:{'|'.join(MALE + FEMALE)}) {_NAME}\b|(?<![\p{{L}}\p{{M}}])(?:{'|'.join(CYRILLIC_MALE + CYRILLIC_FEMALE)}) {_NAME}(?![\p{{L}}\p{{M}}])",
     "cued": rf"(?<=\b(?i:{'|'.join(BEFORE)}) ){_NAME} {_NAME}\b|\b{_NAME} {_NAME}(?= (?:{'|'.join(AFTER)})\b|, (?:born|aged)\b)",
 }
 #: Entities by themselves, where the pattern looks at what stands before.
@@ -64,7 +64,7 @@ ALONE = {"passport": r"[A-Z]{1,2}\d{6,8}"}
 NAMES = ("titled", "named", "cued")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@=:]|\b(?:{'|'.join(TITLES + [t.upper() for t in TITLES] + MALE + FEMALE)})\b|{'|'.join(CYRILLIC_MALE + CYRILLIC_FEMALE + TITLES[-2:])}|\b(?:mr|mrs|ms|dr|prof)\b|{PATTERNS['cued']}"
+HINT = rf"[0-9@=:]|\b(?:{'|'.join(TITLES + [t.upper() for t in TITLES] + MALE + FEMALE)})\b|\p{{IsCyrillic}}|\b(?:mr|mrs|ms|dr|prof)\b|{PATTERNS['cued']}"
 
 _LOWER_V, _LOWER_C = "aeiou", "bcdfghjklmnpqrstvwxyz"
 _ACCENTED = "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ"
