@@ -19,7 +19,7 @@ def test_against_sql(spark, name):
     assert sorted(map(str, ours[cols].values.tolist())) == sorted(map(str, theirs[cols].values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["op2_extract", "op4_toxicity", "op5_sentencepiece", "op6_mixing", "op7_pii", "op8_token_codes", "op11_simhash", "op12_periods"])
+@pytest.mark.parametrize("name", ["op2_extract", "op3_language", "op4_toxicity", "op5_sentencepiece", "op6_mixing", "op7_pii", "op8_token_codes", "op11_simhash", "op12_periods"])
 def test_a_row_for_each_row(spark, name):
     table = spark.read.parquet(f"{SF}/{TABLE.get(name, 'documents')}.parquet")
     key = table.columns[0]
@@ -35,3 +35,12 @@ def test_stages_of_an_empty_table(spark, tmp_path, stage):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.STAGES[stage][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_pipeline_as_registered(spark):
+    """All stages over whole tables: known documents only, none without a word, ids that decode to their texts."""
+    import __spark_entry__ as entry
+
+    known = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    rows = entry.queries()["pipeline"](spark, SF).select("doc_id", "parity", "round_trip").collect()
+    assert len(rows) > 50 and {r.doc_id for r in rows} <= known and all(r.parity and r.round_trip for r in rows)

@@ -430,6 +430,23 @@ def test_extract(spark):
     assert extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_shared_lines_against_brute_force():
+    """As many places as the table of all beginnings says, in order in both pages."""
+    import random
+
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ([r.choice("abcdef"[: r.randint(1, 6)]) for _ in range(r.randint(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found = sorted(extract.shared_lines(a, b))
+        assert len(found) == best[-1][-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in found)
+
+
 
 @pytest.mark.parametrize("html,want", [
     # names are compared whole, and not looked for in values
