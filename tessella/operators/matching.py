@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators.kernels import matching_ratios
+from tessella.sources.scratch import written
 
 METHODS = ["exacto", "base", "canon", "sin_seccion", "slug"]
 
@@ -74,8 +75,8 @@ def fuzzy_match(polygons: DataFrame, values: DataFrame, gid: str = "gid", cut: f
     bound the ratio before a pair reaches the matching blocks. Ties go to the key that comes first in the table.
     """
     keys = _keys(values).where("level = 2").groupBy("municipio", "key").agg(F.min("pos").alias("pos"), F.bround(F.avg("value"), 0).cast("long").alias("value"), F.min_by("sector", "pos").alias("sector"))
-    keys = keys.withColumn("l", _letters(F.col("key")))
-    asked = polygons.select(gid, "municipio", S.canon(S.norm_name(F.col("NOM_ASEN"))).alias("cn")).where("cn <> ''").withColumn("l", _letters(F.col("cn")))
+    keys = written(keys.withColumn("l", _letters(F.col("key"))))
+    asked = written(polygons.select(gid, "municipio", S.canon(S.norm_name(F.col("NOM_ASEN"))).alias("cn")).where("cn <> ''"))
     often = keys.select(F.explode("l").alias("g")).groupBy("g").agg(F.count("*").alias("k"))
 
     def rare(d: DataFrame, *by: str) -> DataFrame:
@@ -91,7 +92,7 @@ def fuzzy_match(polygons: DataFrame, values: DataFrame, gid: str = "gid", cut: f
     q = rare(names, "municipio", "cn").withColumn("c", F.substring("cn", 1, 1))
     k = rare(keys, "municipio", "key").withColumn("c", F.substring("key", 1, 1))
     met = q.join(k, ["municipio", "c", "g"]).where(F.abs(F.length("cn") - F.length("key")) <= most_apart).select("municipio", "cn", "key").distinct()
-    counts = lambda c: F.array(*[F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit(""))) for x in LETTERS])
+    counts = lambda c: F.transform(F.split(F.lit(LETTERS), ""), lambda x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit(""))))
     other = lambda c: F.length(c) - F.aggregate(counts(c), F.lit(0), lambda s, v: s + v)
     shared = F.aggregate(F.zip_with(counts("cn"), counts("key"), lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v) + F.least(other("cn"), other("key"))
     met = met.where(2 * shared >= cut * (F.length("cn") + F.length("key")) - 1e-9)
