@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators.ranking import running_sum
+from tessella.operators.spatial import by_block
+from tessella.sources.scratch import written
 
 # Sectors of each group, and size classes that count as large.
 SECTOR_GROUPS = {
@@ -55,21 +58,27 @@ def by_length(c: str) -> list[Column]:
     return [F.length(c), F.col(c)]
 
 
-def viewport_points(points: DataFrame, viewports: DataFrame, cap: int = 4000, cell: float = 0.05) -> DataFrame:
+def viewport_points(points: DataFrame, viewports: DataFrame, cap: int = 4000, cell: float = 0.01) -> DataFrame:
     """points(id, lat, lon, category), viewports(view_id, south, west, north, east, categories) -> view_id, n, ids.
 
     Boxes are widened by a tenth on each side. ids is null where more than cap points show (too many to draw): only counts
-    are gathered for those, and at most cap + 1 ids a view are kept while counting.
+    are kept for those. A view meets its points in one block, where they are counted and dropped.
     """
     dy, dx = (F.col("north") - F.col("south")) * 0.1, (F.col("east") - F.col("west")) * 0.1
     v = viewports.select("view_id", "categories", (F.col("south") - dy).alias("s"), (F.col("north") + dy).alias("n_"), (F.col("west") - dx).alias("w"), (F.col("east") + dx).alias("e"))
-    f = lambda c: F.floor(c / cell).cast("int")
-    v = v.withColumn("cx", F.explode(F.sequence(f(F.col("w")), f(F.col("e"))))).withColumn("cy", F.explode(F.sequence(f(F.col("s")), f(F.col("n_")))))
-    p = points.select("id", "lat", "lon", "category", f(F.col("lon")).alias("cx"), f(F.col("lat")).alias("cy"))
-    hit = p.join(v, ["cx", "cy"]).where(F.col("lat").between(F.col("s"), F.col("n_")) & F.col("lon").between(F.col("w"), F.col("e")) & F.array_contains("categories", F.col("category"))).select("view_id", "id")
-    n = hit.groupBy("view_id").agg(F.count("*").alias("n"))
-    some = hit.join(n.where(F.col("n") <= cap).select("view_id"), "view_id").groupBy("view_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return viewports.select("view_id").join(n, "view_id", "left").join(some, "view_id", "left").select("view_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce("n", F.lit(0)) <= cap, F.coalesce("ids", F.array().cast("array<long>"))).alias("ids"))
+    place = lambda d, *keep: d.select(*keep, F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    boxes = v.select("view_id", "categories", F.col("w").alias("x1"), F.col("s").alias("y1"), F.col("e").alias("x2"), F.col("n_").alias("y2"))
+    asked = boxes.withColumn("category", F.explode(F.array_distinct("categories"))).drop("categories")
+    codes = written(points.select("category").union(asked.select("category")).where("category is not null").distinct().withColumn("code", F.monotonically_increasing_id()))  # a row a category
+    coded = points.join(codes, "category")
+    wanted = asked.join(codes, "category").groupBy("view_id", "x1", "y1", "x2", "y2").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+
+    def shown(view: dict, x: dict[str, np.ndarray]) -> list[tuple]:
+        hit = x["id"][np.isin(x["code"], view["codes"])]
+        return [(len(hit), sorted(hit.tolist()) if len(hit) <= cap else None)] if len(hit) else []
+
+    hits = by_block(wanted, place(coded, "id", "code"), ["view_id"], ["id", "code"], "n long, ids array<long>", shown, cell, ["codes"])
+    return viewports.select("view_id").join(hits, "view_id", "left").select("view_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce("n", F.lit(0)) <= cap, F.coalesce("ids", F.array().cast("array<long>"))).alias("ids"))
 
 
 def business_mix(points: DataFrame, by: str, area_km2: Column | None = None) -> DataFrame:

@@ -341,3 +341,29 @@ def test_nearest_meets_few_in_a_crowd(spark):
             order = np.lexsort((np.arange(4000), km[i].round(9)))[:k]
             mine = got[got["pid"] == i].assign(d=lambda x: x["dist_km"].round(9)).sort_values(["d", "sid"])["sid"].tolist()[:k]
             assert mine == [int(j) for j in order if km[i, j] <= 0.25]
+
+
+def test_zones_meet_values_in_blocks(spark, monkeypatch):
+    """Values, ranks and viewports of crowded blocks against brute force: blocks part their zones, edges count, ties go to the smaller gid."""
+    monkeypatch.setattr(spatial, "MOST_ZONES", 7)
+    rng = np.random.default_rng(9)
+    box = lambda n, wide: (lambda x, y, w: pd.DataFrame({"x1": x, "y1": y, "x2": x + w, "y2": y + w}))(rng.integers(0, 40, n) / 1024, rng.integers(0, 40, n) / 1024, rng.integers(1, wide, n) / 1024)
+    z, c = box(60, 30).assign(zone_id=np.arange(60)), box(300, 3).assign(gid=np.arange(300), v=rng.integers(0, 9, 300).astype(float))
+    c.loc[::7, "v"] = None
+    geom = rectangle(*[F.col(k) for k in ("x1", "y1", "x2", "y2")]).alias("geom")
+    zs, cs = spark.createDataFrame(z).select("zone_id", geom), spark.createDataFrame(c).select("gid", geom, F.when(~F.isnan("v"), F.col("v")).alias("valor_m2"))
+    stats, top = Z.zone_value_stats(zs, cs).toPandas().set_index("zone_id"), Z.zone_top_values(zs, cs, 5).toPandas()
+    views = spark.createDataFrame(z.rename(columns={"zone_id": "view_id", "y1": "south", "y2": "north", "x1": "west", "x2": "east"})).withColumn("categories", F.array(F.lit("a"), F.lit("b")))
+    pts = c.assign(id=c["gid"], lon=c["x1"], lat=c["y1"], category=np.where(c["gid"] % 3 == 0, "a", np.where(c["gid"] % 3 == 1, "b", "c")))
+    seen = directory.viewport_points(spark.createDataFrame(pts[["id", "lon", "lat", "category"]]), views, cap=20).toPandas().set_index("view_id")
+    for r in z.itertuples():
+        met = c[(c["x1"] <= r.x2) & (c["x2"] >= r.x1) & (c["y1"] <= r.y2) & (c["y2"] >= r.y1)]
+        v = met["v"].dropna()
+        assert (r.zone_id in stats.index) == bool(len(v))
+        if len(v):
+            assert tuple(stats.loc[r.zone_id, ["n", "min", "med", "max"]]) == (len(v), v.min(), v.median(), v.max())
+        best = met.assign(o=met["v"].fillna(0.0)).sort_values(["o", "gid"], ascending=[False, True])["gid"].tolist()[:5]
+        assert top[top["zone_id"] == r.zone_id].sort_values("rank")["gid"].tolist() == best
+        wx, wy = (r.x2 - r.x1) * 0.1, (r.y2 - r.y1) * 0.1
+        ids = pts[(pts["lon"].between(r.x1 - wx, r.x2 + wx)) & pts["lat"].between(r.y1 - wy, r.y2 + wy) & (pts["category"] != "c")]["id"].tolist()
+        assert seen.loc[r.zone_id, "n"] == len(ids) and (seen.loc[r.zone_id, "ids"] is None) == (len(ids) > 20) and (len(ids) > 20 or list(seen.loc[r.zone_id, "ids"]) == ids)
