@@ -367,3 +367,14 @@ def test_zones_meet_values_in_blocks(spark, monkeypatch):
         wx, wy = (r.x2 - r.x1) * 0.1, (r.y2 - r.y1) * 0.1
         ids = pts[(pts["lon"].between(r.x1 - wx, r.x2 + wx)) & pts["lat"].between(r.y1 - wy, r.y2 + wy) & (pts["category"] != "c")]["id"].tolist()
         assert seen.loc[r.zone_id, "n"] == len(ids) and (seen.loc[r.zone_id, "ids"] is None) == (len(ids) > 20) and (len(ids) > 20 or list(seen.loc[r.zone_id, "ids"]) == ids)
+
+
+def test_landuse_areas_are_the_overlaps_added_up(spark):
+    rng = np.random.default_rng(3)
+    x, y, w = rng.random(80) * 0.05, rng.random(80) * 0.05, 0.001 + rng.random(80) * 0.02
+    d = spark.createDataFrame(pd.DataFrame({"k": np.arange(80), "x1": x, "y1": y, "x2": x + w, "y2": y + w})).withColumn("geom", rectangle(*[F.col(k) for k in ("x1", "y1", "x2", "y2")]))
+    z = d.where("k < 20").select(F.col("k").alias("zone_id"), "geom")
+    u = d.where("k >= 20").select(F.col("k").alias("gid"), "geom", F.when(F.col("k") % 4 != 0, (F.col("k") % 4).cast("string")).alias("grupo"), (F.col("k") % 2).cast("string").alias("programa"))
+    want = {tuple(r[:3]): r[3] for r in spatial.overlap(z, u, "zone_id", "gid").join(u, "gid").groupBy("zone_id", "grupo", "programa").agg(F.sum("km2")).collect()}
+    got = {tuple(r[:3]): r[3] for r in Z.landuse_areas(z, u).collect()}
+    assert want and got == pytest.approx(want, rel=1e-9)
