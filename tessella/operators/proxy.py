@@ -134,8 +134,9 @@ def _open_arcs(points: DataFrame, others: DataFrame, cluster: str, r: float) ->
     return arcs.where(F.col("last") - F.col("first") > 1e-9)
 
 
-def cluster_footprints(points: DataFrame, cluster: str, radius_m: float = 90.0, steps: int = 16) -> DataFrame:
+def cluster_footprints(points: DataFrame, cluster: str, radius_m: float = 90.0, steps: int = 16, outlines: bool = True) -> DataFrame:
     """points(cluster, x, y in metres) -> cluster, km2, x, y (centroid), geom (outline in metres): the union of discs around the points.
+    Without outlines there is no geom, and nothing of a cluster is gathered.
 
     The boundary of the union is made of the arcs that no other disc covers. Area and centroid are sums over these arcs (Green's
     theorem), exact for circles. Where points crowd, one whose circle is already covered by one point of each cell around it
@@ -160,6 +161,9 @@ def cluster_footprints(points: DataFrame, cluster: str, radius_m: float = 90.0,
     sums = arcs.groupBy(cluster).agg(area.alias("area"), mx.alias("mx"), my.alias("my"))
     figures = sums.select(cluster, (F.col("area") / 1e6).alias("km2"), (F.col("mx") / F.col("area")).alias("x"), (F.col("my") / F.col("area")).alias("y"))
 
+    if not outlines:
+        return figures
+
     def outline(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for cx, cy, first, last in pdf[["x", "y", "first", "last"]].to_numpy():
