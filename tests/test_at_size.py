@@ -41,3 +41,25 @@ def test_search_is_done_once_a_text(spark):
     some, threes = [(1, 0), (2, 1), (3, 2)], [(1, 3), (2, 10), (3, 17)]
     assert got == {k: threes if k % 8 == 3 else some for k in range(320) if k % 8 in (0, 1, 2, 3, 5)}
     assert "contains" not in plan(d).lower()  # what meets is written for the few texts, not for each query
+
+
+def test_rectangles_meet_shapes_without_a_kernel(spark):
+    """Rectangles against polygons with holes and notches, some only touching, as the kernel has it."""
+    rng = np.random.default_rng(7)
+    boxes, shapes = [], []
+    for i in range(80):
+        x, y, w, h = (float(v) for v in (*rng.integers(0, 40, 2) / 1000, *rng.integers(1, 9, 2) / 1000))
+        boxes.append((i, (x, y, x + w, y + h, None)))
+        x, y, w = (float(v) for v in (*rng.integers(0, 40, 2) / 1000, rng.integers(4, 13) / 1000))
+        ring = [(0, False, [x, x + w, x + w, x, x], [y, y, y + w, y + w, y]), (0, True, [x + w / 4, x + w / 4, x + w * 3 / 4, x + w * 3 / 4, x + w / 4], [y + w / 4, y + w * 3 / 4, y + w * 3 / 4, y + w / 4, y + w / 4])]
+        notch = [(0, False, [x, x + w, x + w / 2, x + w / 2, x, x], [y, y, y + w / 2, y + w, y + w, y])]
+        shapes.append((i, (x, y, x + w, y + w, ring if i % 2 else notch)))
+    z = spark.createDataFrame(boxes, f"z long, geom {GEOMETRY}").select("z", rectangle(*[F.col(f"geom.{c}") for c in ("xmin", "ymin", "xmax", "ymax")]).alias("geom"))
+    g = spark.createDataFrame(shapes, f"g long, geom {GEOMETRY}")
+    d = spatial.polygons_intersecting(z, g, "z", "g")
+    assert "InPandas" not in plan(d)
+    one, two = {r.z: K.rings_of(r.geom.asDict(True)) for r in z.collect()}, {r.g: K.rings_of(r.geom.asDict(True)) for r in g.collect()}
+    keys = [(a, b) for a in one for b in two]
+    want = {k for k, m in zip(keys, K.meet_many([one[a] for a, _ in keys], [two[b] for _, b in keys]), strict=True) if m}
+    assert {tuple(r) for r in d.collect()} == want and len(want) > 100
+    assert {(r.z, r.g) for r in spatial.polygons_intersecting(g.withColumnRenamed("g", "z"), z.withColumnRenamed("z", "g"), "z", "g").collect()} == {(b, a) for a, b in want}
