@@ -63,3 +63,17 @@ def test_rectangles_meet_shapes_without_a_kernel(spark):
     want = {k for k, m in zip(keys, K.meet_many([one[a] for a, _ in keys], [two[b] for _, b in keys]), strict=True) if m}
     assert {tuple(r) for r in d.collect()} == want and len(want) > 100
     assert {(r.z, r.g) for r in spatial.polygons_intersecting(g.withColumnRenamed("g", "z"), z.withColumnRenamed("z", "g"), "z", "g").collect()} == {(b, a) for a, b in want}
+
+
+def test_nearest_returns_no_more_than_ties_beyond_k(spark):
+    rng = np.random.default_rng(8)
+    pts = pd.DataFrame({"sid": np.arange(3000), "lat": 21.9 + rng.random(3000) * 0.002, "lon": -102.3 + rng.random(3000) * 0.002})
+    at = pd.DataFrame({"pid": np.arange(30), "lat": 21.9 + rng.random(30) * 0.002, "lng": -102.3 + rng.random(30) * 0.002})
+    got = spatial.nearest_within(spark.createDataFrame(at), spark.createDataFrame(pts), "pid", "sid", F.lit(0.25), 0.25, 15).toPandas()
+    assert got.groupby("pid").size().between(15, 17).all() and got["pid"].nunique() == 30
+    for i, a in at.iterrows():
+        km = np.sort(K._km(a["lat"], a["lng"], pts["lat"].to_numpy(), pts["lon"].to_numpy()))[:15]
+        assert np.allclose(np.sort(got[got["pid"] == i]["dist_km"])[:15], km, atol=1e-9)
+    far = spark.createDataFrame([(1, 0.0, 179.9999)], "pid long, lat double, lng double")
+    over = spatial.nearest_within(far, spark.createDataFrame([(7, 0.0, -179.9999)], "sid long, lat double, lon double"), "pid", "sid", F.lit(0.25), 0.25, 15)
+    assert [(r.pid, r.sid) for r in over.collect()] == [(1, 7)]
