@@ -77,3 +77,15 @@ def test_nearest_returns_no_more_than_ties_beyond_k(spark):
     far = spark.createDataFrame([(1, 0.0, 179.9999)], "pid long, lat double, lng double")
     over = spatial.nearest_within(far, spark.createDataFrame([(7, 0.0, -179.9999)], "sid long, lat double, lon double"), "pid", "sid", F.lit(0.25), 0.25, 15)
     assert [(r.pid, r.sid) for r in over.collect()] == [(1, 7)]
+
+
+def test_points_of_circles_are_counted_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    pts = pd.DataFrame({"lat": np.append(21.9 + rng.random(2000) * 0.02, [0.0, 90.0]), "lon": np.append(-102.3 + rng.random(2000) * 0.02, [-179.9999, 12.0]), "category": ["a", "b"] * 1001})
+    at = pd.DataFrame({"zone_id": np.arange(42), "lat": np.append(21.9 + rng.random(40) * 0.02, [0.0, 89.999]), "lng": np.append(-102.3 + rng.random(40) * 0.02, [179.9999, -60.0]), "radius_km": np.append(rng.random(40), [0.1, 1.0])})
+    d = spatial.counts_within(spark.createDataFrame(at), spark.createDataFrame(pts), "zone_id", "radius_km", 0.5, "category")
+    want = {}
+    for i, a in at.iterrows():
+        for c, n in pts["category"][K._km(a["lat"], a["lng"], pts["lat"].to_numpy(), pts["lon"].to_numpy()) <= a["radius_km"]].value_counts().items():
+            want[i, c] = n
+    assert {(r.zone_id, r.category): r.k for r in d.collect()} == want and len(want) > 70
