@@ -89,3 +89,10 @@ def test_points_of_circles_are_counted_in_blocks(spark):
         for c, n in pts["category"][K._km(a["lat"], a["lng"], pts["lat"].to_numpy(), pts["lon"].to_numpy()) <= a["radius_km"]].value_counts().items():
             want[i, c] = n
     assert {(r.zone_id, r.category): r.k for r in d.collect()} == want and len(want) > 70
+
+
+def test_shapes_of_one_task_are_dealt(spark):
+    one = spark.range(20).select(F.col("id").alias("g"), F.struct(F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.lit(0.01).alias("xmax"), F.lit(0.01).alias("ymax"), F.expr("array(struct(0 as part, false as hole, array(0d, 0.01d, 0.01d, 0d) as xs, array(0d, 0d, 0.01d, 0d) as ys))").alias("rings")).alias("geom")).coalesce(1)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spatial.cell_classes(one, "g").rdd.getNumPartitions() == n
+    assert spatial.with_representative(one, "g").rdd.getNumPartitions() >= n
