@@ -96,3 +96,9 @@ def test_shapes_of_one_task_are_dealt(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spatial.cell_classes(one, "g").rdd.getNumPartitions() == n
     assert spatial.with_representative(one, "g").rdd.getNumPartitions() >= n
+
+
+def test_gis_columns_are_made_before_zones_meet(spark):
+    for name in ("gis_colonias", "gis_landuse"):
+        above = plan(queries()[name](spark, SF)).split("Join")[0]
+        assert "round(" not in above and "rings" not in above
