@@ -75,9 +75,11 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
     close = reach(counts, 1).join(counts.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), "k"), ["nx", "ny"]).groupBy("cx", "cy").agg(F.sum("k").alias("near"))
     q = p.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
     within = F.pow(F.col("x") - F.col("qx"), 2) + F.pow(F.col("y") - F.col("qy"), 2) <= eps * eps
-    few = reach(p.join(close.where(F.col("near") < min_samples), ["cx", "cy"], "left_semi"), 4, pid, "x", "y").join(q, ["nx", "ny"]).where(within)
-    cores = written(few.groupBy(pid).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(pid).unionByName(p.join(close.where(F.col("near") >= min_samples), ["cx", "cy"], "left_semi").select(pid)))
-    core = written(p.join(cores, pid, "left_semi"))
+    close = written(close)
+    sparse = p.join(close.where(F.col("near") < min_samples), ["cx", "cy"], "left_semi")
+    few = reach(sparse, 4, pid, "x", "y").join(q, ["nx", "ny"]).where(within)
+    some = written(few.groupBy(pid).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(pid))
+    core = written(p.join(close.where(F.col("near") >= min_samples), ["cx", "cy"], "left_semi").unionByName(sparse.join(some, pid, "left_semi")))
     cells = written(core.groupBy("cx", "cy").agg(F.min(pid).alias("label"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2")))
     other = cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), *[F.col(c).alias("n" + c) for c in ("x1", "x2", "y1", "y2")])
     two = reach(cells, 4, "x1", "x2", "y1", "y2").where("nx > cx or (nx = cx and ny > cy)").join(other, ["nx", "ny"])
@@ -86,16 +88,16 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
     two = written(two.where(least <= eps * eps).select("cx", "cy", "nx", "ny", (most <= eps * eps).alias("sure")))
 
     def spread(links: DataFrame, labels: DataFrame) -> DataFrame:
-        """Smallest labels over linked cells; a label, itself a core id, is followed to its own cell's label."""
+        """Smallest labels over linked cells. Cells of one label move together, to the smallest label beside any of them, and on to where
+        that one moves: whole groups merge in each round, so that rounds hardly grow with the length of a cluster."""
         both = links.unionByName(links.select(F.col("nx").alias("cx"), F.col("ny").alias("cy"), F.col("cx").alias("nx"), F.col("cy").alias("ny")))
         while True:
             seen = both.join(labels.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), "label"), ["nx", "ny"]).groupBy("cx", "cy").agg(F.min("label").alias("other"))
-            step = labels.join(seen, ["cx", "cy"], "left").select("cx", "cy", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("_moved"))
-            owner = core.select(F.col(pid).alias("label"), "cx", "cy").join(step.select("cx", "cy", F.col("label").alias("up")), ["cx", "cy"]).select("label", "up")
-            step = written(step.join(owner, "label", "left").select("cx", "cy", F.least("label", F.coalesce("up", "label")).alias("label"), "_moved"))
-            labels = step.drop("_moved")
-            if not step.where("_moved").take(1):
+            up = written(labels.join(seen, ["cx", "cy"]).groupBy("label").agg(F.min(F.least("label", "other")).alias("up")))
+            if not up.where("up < label").take(1):
                 return labels
+            on = up.join(up.select(F.col("label").alias("up"), F.col("up").alias("on")), "up").select("label", F.col("on").alias("new"))
+            labels = written(labels.join(on, "label", "left").select("cx", "cy", F.coalesce("new", "label").alias("label")))
 
     sure = two.where("sure").select("cx", "cy", "nx", "ny")
     labels = spread(sure, cells.select("cx", "cy", "label"))
@@ -106,7 +108,7 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
         labels = spread(sure.unionByName(touching), labels)
     inside = core.join(labels, ["cx", "cy"]).select(pid, F.lit(True).alias("core"), F.col("label").alias("cluster"))
     # points that are no cores take the smallest cluster among the cores they reach
-    rest = p.join(cores, pid, "left_anti")
+    rest = sparse.join(some, pid, "left_anti")
     lc = core.join(labels, ["cx", "cy"]).select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), "label")
     border = reach(rest, 4, pid, "x", "y").join(lc, ["nx", "ny"]).where(within)
     return inside.unionByName(border.groupBy(pid).agg(F.min("label").alias("cluster")).select(pid, F.lit(False).alias("core"), "cluster"))

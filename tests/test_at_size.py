@@ -102,3 +102,11 @@ def test_gis_columns_are_made_before_zones_meet(spark):
     for name in ("gis_colonias", "gis_landuse"):
         above = plan(queries()[name](spark, SF)).split("Join")[0]
         assert "round(" not in above and "rings" not in above
+
+
+def test_dbscan_rounds_are_few_along_a_chain(spark, monkeypatch):
+    n, calls, write = 120, [], proxy.written
+    monkeypatch.setattr(proxy, "written", lambda d: calls.append(1) or write(d))
+    d = spark.createDataFrame([(i * 53 % n, i * 40.0, 0.0) for i in range(n)], "id long, x double, y double")
+    got = proxy.dbscan(d, "id", eps=50.0, min_samples=2).collect()
+    assert len(got) == n and {r.cluster for r in got} == {0} and len(calls) < 40
