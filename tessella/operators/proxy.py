@@ -20,12 +20,16 @@ from tessella.operators.spatial import cell_value
 from tessella.sources.scratch import written
 
 SEED = 42
+#: Rows of a task of the fits. Each of the hundreds of rounds costs a task about as much as it costs this many rows.
+TASK_ROWS = 100_000
 
 
 def fit_proxy(features: DataFrame, label: str = "nse_score", cols: list[str] = FEATURES, trees: int = 150, depth: int = 2, rate: float = 0.05):
+    """The boosted model of all rows, which are dealt first to as many tasks as they fill, however they lie."""
     from pyspark.ml import Pipeline
 
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep"), GBTRegressor(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=SEED)]).fit(features)
+    dealt = features.select(label, *cols).repartition(max(1, -(-features.count() // TASK_ROWS))).sortWithinPartitions(label, *cols)
+    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep"), GBTRegressor(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=SEED)]).fit(dealt)
 
 
 def cross_val_predict(features: DataFrame, key: str, label: str = "nse_score", cols: list[str] = FEATURES, k: int = 5, **options) -> DataFrame:

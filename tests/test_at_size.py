@@ -110,3 +110,44 @@ def test_dbscan_rounds_are_few_along_a_chain(spark, monkeypatch):
     d = spark.createDataFrame([(i * 53 % n, i * 40.0, 0.0) for i in range(n)], "id long, x double, y double")
     got = proxy.dbscan(d, "id", eps=50.0, min_samples=2).collect()
     assert len(got) == n and {r.cluster for r in got} == {0} and len(calls) < 40
+
+
+def test_small_rectangles_have_small_cells(spark):
+    """Many tiles within one wide cell: a point meets few of them, and each lies in few cells."""
+    n, side = 40, 0.008 / 40
+    low = lambda c, k: F.lit(c) + k * side
+    tiles = spark.range(n * n).select(F.col("id").alias("gid"), rectangle(low(-102.299, F.col("id") % n), low(21.901, F.floor(F.col("id") / n)), low(-102.299, F.col("id") % n + 1), low(21.901, F.floor(F.col("id") / n) + 1)).alias("geom"))
+    wide = spark.range(1).select(F.lit(5000).cast("long").alias("gid"), rectangle(F.lit(-102.35), F.lit(21.88), F.lit(-102.25), F.lit(21.9025)).alias("geom"))
+    none = spark.range(1).select(F.lit(6000).cast("long").alias("gid"), rectangle(F.lit(-102.3), F.lit(21.9), F.lit(-102.3), F.lit(21.9)).alias("geom"))
+    polys = tiles.unionByName(wide).unionByName(none)
+    cells = spatial.box_cells(polys, "gid")
+    assert cells.where("gid < 5000").groupBy("level", "cx", "cy").count().agg(F.max("count")).first()[0] <= 16
+    assert cells.where("gid < 5000").groupBy("gid").count().agg(F.max("count")).first()[0] <= 9
+    rng = np.random.default_rng(10)
+    at = np.concatenate((rng.uniform((-102.2995, 21.9005), (-102.2905, 21.9095), (2000, 2)), [(-102.299, 21.901), (-102.299 + 3 * side, 21.901 + 2 * side), (-102.25, 21.89), (-102.35, 21.88), (-102.3, 21.9)]))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "pid long, lon double, lat double")
+    boxes = [(r.gid, r.geom.xmin, r.geom.ymin, r.geom.xmax, r.geom.ymax) for r in polys.collect()]
+    want = {(i, g) for i, (x, y) in enumerate(at) for g, x1, y1, x2, y2 in boxes if x1 <= x < x2 and y1 <= y < y2}
+    got = spatial.points_in_polygons(points, polys, "pid", "gid", keep_all=True).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 1500
+
+
+def test_fits_have_as_many_tasks_as_rows_fill(spark, monkeypatch):
+    """However many files the features lie in: each round of a fit pays for every task."""
+    from pyspark import ml
+
+    seen = []
+
+    class Fitted:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, d):
+            seen.append((d.rdd.getNumPartitions(), d.count()))
+
+    monkeypatch.setattr(ml, "Pipeline", Fitted)
+    d = spark.range(0, 950, numPartitions=8).select("id", F.rand(1).alias("nse_score"), F.rand(2).alias("x"))
+    proxy.fit_proxy(d, cols=["x"])
+    monkeypatch.setattr(proxy, "TASK_ROWS", 100)
+    proxy.fit_proxy(d, cols=["x"])
+    assert seen == [(1, 950), (10, 950)]
