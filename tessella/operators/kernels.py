@@ -563,3 +563,52 @@ def matching_ratios(a: list[str], b: list[str]) -> np.ndarray:
         go = (np.concatenate((best, best)) > 0) & (part[0] < part[1]) & (part[2] < part[3])
         pair, part = pair[go], part[:, go]
     return 2 * total / np.maximum(size.sum(0), 1)
+
+
+#: Pairs of circles that are held at once.
+CIRCLES_AT_ONCE = 1 << 20
+
+
+def open_arcs(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, first, last: the arcs of the circle of radius r around point i, angles from 0 to two pi, that no disc around another place
+    covers. Neighbours lie in three rows of cells as wide as 2r, a stretch of each; what is covered so far is a running maximum of ends."""
+    turn, cell = 2 * np.pi, 2 * r * (1 + 1e-9)
+    row, col = np.floor(qy / cell), np.floor(qx / cell)
+    west, south = (col.min(), row.min()) if len(qx) else (0.0, 0.0)
+    wide = (col.max() - west if len(qx) else 0.0) + 4  # a free column at either end keeps rows apart
+    code = (row - south) * wide + (col - west + 1)
+    order = np.argsort(code, kind="stable")
+    code, qx, qy = code[order], qx[order], qy[order]
+    px, py = np.clip(np.floor(x / cell) - west + 1, -1, wide - 1), np.floor(y / cell) - south
+    at = py[:, None] * wide + px[:, None] + np.array([-1.0, 0.0, 1.0]) * wide
+    begin, end = np.searchsorted(code, at - 1, "left"), np.searchsorted(code, at + 1, "right")
+    n = (end - begin).sum(1)
+    upto, found, a = np.cumsum(n), [], 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CIRCLES_AT_ONCE, "right")))
+        k = (end - begin)[a:b].ravel()
+        j = np.repeat(begin[a:b].ravel() - np.cumsum(k) + k, k) + np.arange(k.sum())
+        i = np.repeat(np.arange(a, b), n[a:b])
+        dx, dy = qx[j] - x[i], qy[j] - y[i]
+        apart = np.hypot(dx, dy)
+        some = (apart > 0) & (apart < 2 * r)
+        i, dx, dy, apart = i[some], dx[some], dy[some], apart[some]
+        half = np.arccos(apart / (2 * r))
+        s = np.mod(np.arctan2(dy, dx) - half, turn)
+        e = s + 2 * half
+        over, own = e > turn, np.arange(a, b)
+        # an arc over the turn's end is two; the turn's end itself is there for all
+        i = np.concatenate((i, i[over], own))
+        s = np.concatenate((s, np.zeros(over.sum()), np.full(b - a, turn)))
+        e = np.concatenate((np.minimum(e, turn), e[over] - turn, np.full(b - a, turn)))
+        order = np.lexsort((e, s, i))
+        i, s, e = i[order], s[order], e[order]
+        by_end = np.argsort(e, kind="stable")
+        rank = np.empty(len(e), np.int64)
+        rank[by_end] = np.arange(len(e))
+        top = e[by_end[np.maximum.accumulate((i - a) * len(e) + rank) % len(e)]]
+        first = np.where(np.diff(i, prepend=-1) != 0, 0.0, np.concatenate(([0.0], top[:-1])))
+        free = s - first > 1e-9
+        found.append((i[free], first[free], s[free]))
+        a = b
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))

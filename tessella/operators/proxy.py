@@ -118,26 +118,35 @@ def dbscan(points: DataFrame, pid: str, eps: float = 180.0, min_samples: int = 6
     return inside.unionByName(border.groupBy(pid).agg(F.min("label").alias("cluster")).select(pid, F.lit(False).alias("core"), "cluster"))
 
 
-def _open_arcs(points: DataFrame, others: DataFrame, cluster: str, r: float) -> DataFrame:
+#: Cells across a block where circles meet, and points of a block above which it is parted.
+CELLS_ACROSS, MOST_POINTS = 10, 100_000
+
+
+def _open_arcs(points: DataFrame, others: DataFrame, cluster: str, r: float, most: int = MOST_POINTS) -> DataFrame:
     """points, others (cluster, x, y), each once -> cluster, x, y, first, last: the arcs of a point's circle (angles from 0 to two pi)
-    that no other's disc covers. Circles meet by cells as wide as 2r; what is covered so far is a running maximum of ends."""
-    cell = lambda d: d.withColumns({c: F.floor(F.col(v) / (2 * r)).cast("long") for c, v in (("cx", "x"), ("cy", "y"))})
-    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("dx"), F.lit(j).cast("long").alias("dy")) for i in range(-1, 2) for j in range(-1, 2)])
-    p = cell(points).withColumn("d", F.explode(steps)).select(cluster, "x", "y", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-    q = cell(others).select(cluster, "cx", "cy", F.col("x").alias("qx"), F.col("y").alias("qy"))
-    apart = F.hypot(F.col("qx") - F.col("x"), F.col("qy") - F.col("y"))
-    met = p.join(q, [cluster, "cx", "cy"]).withColumn("apart", apart).where((F.col("apart") > 0) & (F.col("apart") < 2 * r))
-    turn = 2 * np.pi
-    half = F.acos(F.col("apart") / (2 * r))
-    start = F.pmod(F.atan2(F.col("qy") - F.col("y"), F.col("qx") - F.col("x")) - half, F.lit(turn))
-    met = met.select(cluster, "x", "y", start.alias("s"), (start + 2 * half).alias("e"))
-    part = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
-    over = F.when(F.col("e") > turn, F.array(part(F.col("s"), F.lit(turn)), part(F.lit(0.0), F.col("e") - turn))).otherwise(F.array(part(F.col("s"), F.col("e"))))
-    end = points.select(cluster, "x", "y", part(F.lit(turn), F.lit(turn)).alias("i"))  # the turn's end, for all
-    covered = met.select(cluster, "x", "y", F.explode(over).alias("i")).unionByName(end).select(cluster, "x", "y", "i.s", "i.e")
-    ahead = W.partitionBy(cluster, "x", "y").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
-    arcs = covered.select(cluster, "x", "y", F.coalesce(F.max("e").over(ahead), F.lit(0.0)).alias("first"), F.col("s").alias("last"))
-    return arcs.where(F.col("last") - F.col("first") > 1e-9)
+    that no other's disc covers. Circles meet in blocks, which get the others within 2r too: pairs, far more than points, are neither
+    shuffled nor broadcast. Crowded blocks part their points."""
+    size = CELLS_ACROSS * 2 * r
+    at = lambda c, by=0.0: F.floor((F.col(c) + by) / size).cast("long")
+    keys = [cluster, "bx", "by_"]
+    p = points.select(cluster, "x", "y", at("x").alias("bx"), at("y").alias("by_"))
+    parts = written(p.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")))
+    reach = 2 * r * (1 + 1e-9)
+    around = lambda c: F.explode(F.sequence(at(c, -reach), at(c, reach)))
+    p = p.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int")).drop("parts")
+    q = others.select(cluster, "x", "y", around("x").alias("bx")).withColumn("by_", around("y")).join(parts, keys)
+    own = ["_cluster", "qbx", "qby", "qpart"]  # the others may be the points themselves
+    q = q.select(*[F.col(c).alias(n) for c, n in zip((*keys, "x", "y"), (*own[:3], "qx", "qy"), strict=True)], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("qpart"))
+
+    def meet(ps: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if not len(ps):
+            return pd.DataFrame(columns=[cluster, "x", "y", "first", "last"])
+        x, y = ps["x"].to_numpy(), ps["y"].to_numpy()
+        i, first, last = K.open_arcs(x, y, qs["qx"].to_numpy(), qs["qy"].to_numpy(), r)
+        return pd.DataFrame({cluster: ps[cluster].iloc[0], "x": x[i], "y": y[i], "first": first, "last": last})
+
+    kind, keys = points.schema[cluster].dataType.simpleString(), [*keys, "part"]
+    return p.groupBy(*keys).cogroup(q.groupBy(*own)).applyInPandas(meet, f"{cluster} {kind}, x double, y double, first double, last double")
 
 
 def cluster_footprints(points: DataFrame, cluster: str, radius_m: float = 90.0, steps: int = 16, outlines: bool = True) -> DataFrame:

@@ -151,3 +151,36 @@ def test_fits_have_as_many_tasks_as_rows_fill(spark, monkeypatch):
     monkeypatch.setattr(proxy, "TASK_ROWS", 100)
     proxy.fit_proxy(d, cols=["x"])
     assert seen == [(1, 950), (10, 950)]
+
+
+def test_open_arcs_by_brute_force(spark):
+    """Circles meet others in blocks: no pair is joined, so none is broadcast; parted blocks and small lots give the same arcs."""
+    rng = np.random.default_rng(4)
+    p = [(c, float(x), float(y)) for c in "ab" for x, y in rng.uniform(-2500, 2500, (150, 2))]
+    d = spark.createDataFrame(p, "cluster string, x double, y double")
+    want, r, turn = [], 90.0, 2 * np.pi
+    for c, x, y in p:
+        met = [(turn, turn)]
+        for o, qx, qy in p:
+            apart = np.hypot(qx - x, qy - y)
+            if o == c and 0 < apart < 2 * r:
+                s, half = np.arctan2(qy - y, qx - x), np.arccos(apart / (2 * r))
+                s = np.mod(s - half, turn)
+                met += [(s, turn), (0.0, s + 2 * half - turn)] if s + 2 * half > turn else [(s, s + 2 * half)]
+        upto = 0.0
+        for s, e in sorted(met):
+            if s - upto > 1e-9:
+                want.append((c, x, y, round(upto, 7), round(s, 7)))
+            upto = max(upto, e)
+    at_once = K.CIRCLES_AT_ONCE
+    for most in (proxy.MOST_POINTS, 7):
+        arcs = proxy._open_arcs(d, d, "cluster", r, most)
+        assert "CoGroup" in plan(arcs)
+        assert sorted((a.cluster, a.x, a.y, round(a.first, 7), round(a.last, 7)) for a in arcs.collect()) == sorted(want)
+    x, y = np.array([q[1:] for q in p if q[0] == "a"]).T
+    try:
+        K.CIRCLES_AT_ONCE = 20
+        i, first, last = K.open_arcs(x, y, x, y, r)
+    finally:
+        K.CIRCLES_AT_ONCE = at_once
+    assert sorted(("a", x[k], y[k], round(a, 7), round(b, 7)) for k, a, b in zip(i, first, last)) == sorted(w for w in want if w[0] == "a")
