@@ -1,7 +1,7 @@
 """Vectors in blocks, and every block of queries against every block of vectors.
 
 Vectors are packed into rows of up to BLOCK vectors where they are read. Query blocks meet vector blocks in an equi-join on
-(query block, salt): each vector block has one salt and is sent once a query block, each query block is sent to all salts.
+(group of query blocks, salt): each vector block has one salt and is sent once a group, each query block is sent to all salts.
 The work is queries x vectors, as asked, in pairs of blocks of bounded size; nothing is broadcast.
 """
 
@@ -70,12 +70,26 @@ def query_blocks(queries: DataFrame, count: int, per_block: int = QUERIES, extra
     return packed if extra else packed.drop("q_extra"), n
 
 
-def pairs(vector_blocks: DataFrame, queries: DataFrame, n_query_blocks: int, salts: int) -> DataFrame:
-    """Rows of a query block and a vector block each; extra columns of either side stay. Lengths must agree."""
+#: Vector blocks that meet a query block in one task, at most: the join holds them.
+HELD = 64
+
+
+def grid(vector_blocks: int, query_blocks: int, tasks: int, heavier: float) -> tuple[int, int]:
+    """(groups, salts) of about so many tasks by which least is sent: vector blocks go to each group of query blocks, these to each
+    salt. heavier: bytes of a vector block by those of a query block."""
+    groups = max(1, min(query_blocks, round((tasks * query_blocks / max(1.0, vector_blocks * heavier)) ** 0.5)))
+    salts = max(1, min(vector_blocks, -(-tasks // groups)), -(-vector_blocks // HELD))
+    return min(query_blocks, max(groups, -(-tasks // salts))), salts
+
+
+def pairs(vector_blocks: DataFrame, queries: DataFrame, n_query_blocks: int, tasks: int, heavier: float = BLOCK / QUERIES) -> DataFrame:
+    """Rows of a query block and a vector block each, those of a query block and salt in a row; extra columns of either side stay. Lengths
+    must agree. Both sides grow where they are dealt, by more than Spark expects: without the hint one is broadcast, through the driver."""
+    groups, salts = grid(vector_blocks.count(), n_query_blocks, tasks, heavier)
     v = vector_blocks if "dim" in vector_blocks.columns else vector_blocks.withColumn("dim", (F.length("data") / F.greatest("n", F.lit(1)) / 8).cast("int"))
-    v = v.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    q = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return v.join(q, ["qb", "dim", "salt"])
+    v = v.withColumn("_salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    q = queries.withColumn("_group", F.pmod(F.col("qb"), F.lit(groups))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return q.hint("merge").join(v, ["_group", "dim", "_salt"]).drop("_group", "_salt")
 
 
 def partitions(df: DataFrame) -> int:

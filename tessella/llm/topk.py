@@ -36,8 +36,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, bins: int = BINS) -> D
     blocks = cut(pack(vectors), "vectors")
     q, nqb = query_blocks(queries, queries.count())
     q = cut(q, "queries")
-    salts = partitions(vectors)
-    meet = lambda q: pairs(blocks, q, nqb, salts)
+    meet = lambda q: pairs(blocks, q, nqb, partitions(vectors))
     norms = blocks.select("data").mapInPandas(lambda it: (pd.DataFrame({"m": [max(np.sqrt((np.frombuffer(x, np.float64) ** 2).sum()) for x in p["data"])]}) for p in it if len(p)), "m double")
     largest = norms.agg(F.max("m")).first()[0] or 0.0  # of a block's vectors taken together, so surely enough
 

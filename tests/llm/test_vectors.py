@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import ann, topk
-from tessella.llm.blocks import usable
+from tessella.llm.blocks import HELD, grid, pairs, usable
 
 
 def frame(spark, rows):
@@ -111,3 +111,19 @@ def test_empty_and_few(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in topk.top_k(two, two.where("vec_id = 0"), 5).collect()] == [(0, 1, 1)]
     blocks, centres = ann.index(two)
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.search(blocks, centres, two, two.where("vec_id = 0"), 5).collect()] == [(0, 1, 1)]
+
+
+def test_blocks_meet_without_broadcast(spark):
+    """Query blocks are sent to many tasks: Spark takes them for as small as they were, and would broadcast them all through the driver."""
+    v = spark.range(40).selectExpr("3 n", "cast(cast(id as string) as binary) ids", "cast(repeat('x', 48) as binary) data")
+    q = spark.range(3).selectExpr("cast(id as int) qb", "2 dim", "cast(id as string) name")
+    met = pairs(v, q, 3, 8)
+    assert sorted((r.qb, bytes(r.ids)) for r in met.collect()) == sorted((i, str(j).encode()) for i in range(3) for j in range(40))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("vectors, queries, tasks, heavier", [(351, 28, 600, 4.0), (1, 1, 12, 4.0), (0, 1, 12, 4.0), (40, 3, 8, 0.7), (100_000, 4000, 600, 4.0), (211, 1, 211, 4.0)])
+def test_grid_sends_little(vectors, queries, tasks, heavier):
+    groups, salts = grid(vectors, queries, tasks, heavier)
+    assert 1 <= groups <= queries and 1 <= salts <= max(1, vectors, tasks) and groups * salts >= min(tasks, queries * max(1, vectors)) and vectors <= salts * HELD
+    assert vectors * heavier * groups + queries * salts <= vectors * heavier * queries + queries * max(tasks, salts)
