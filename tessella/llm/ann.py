@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.blocks import BLOCK, QUERIES, best, pack, unpack, usable
+from tessella.llm.blocks import BLOCK, QUERIES, best, pack, pairs, partitions, query_blocks, unpack, usable
 from tessella.llm.common import cut
 
 #: Width of the error bound: an estimate misses by more with a chance below 2 exp(-BOUND ** 2 / 2).
@@ -138,48 +138,39 @@ def estimates(r, x: np.ndarray, centre: np.ndarray, seed: int, bound: float) ->
     return near, near - both * slack
 
 
-def probes(queries: DataFrame, count: int, centres: dict[int, np.ndarray], radius: dict[tuple[int, int], float], salts: dict[tuple[int, int], int], first: bool) -> DataFrame:
-    """queries(vec_id, v, reach) in blocks for each centre they look at, one row for each of its salts: the nearest centres at first,
-    then all that can hold a vector within reach."""
+def look_first(x: np.ndarray, c: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """For each query whether a centre is among the NEAR nearest and holds vectors."""
+    away = (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T
+    away[:, ~there] = np.inf
+    out = np.zeros(away.shape, bool)
+    np.put_along_axis(out, np.argsort(away, axis=1, kind="stable")[:, :NEAR], True, axis=1)
+    return out & there
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for d, g in pdf.groupby(pdf["v"].map(len)):
-                x, c = np.array(g["v"].tolist(), np.float64), centres[d]
-                there = np.array([(d, k) in radius for k in range(len(c))])
-                away = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T))
-                away[:, ~there] = np.inf
-                if first:
-                    i, k = np.repeat(np.arange(len(x)), min(NEAR, len(c))), np.argsort(away, axis=1, kind="stable")[:, :NEAR].ravel()
-                    i, k = i[there[k]], k[there[k]]
-                else:
-                    least = away - np.array([radius.get((d, j), 0.0) for j in range(len(c))])
-                    size = np.sqrt((x**2).sum(1)) + np.sqrt((c**2).sum(1)).max()  # rounding of the distance to a centre
-                    i, k = np.nonzero(there & (least <= g["reach"].to_numpy()[:, None] + 1e-6 * size[:, None]))
-                yield pd.DataFrame({"dim": int(d), "centre": k.astype(np.int32), "qid": g["vec_id"].to_numpy()[i], "x": [v.tobytes() for v in x[i]], "reach": g["reach"].to_numpy()[i]})
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("qid")
-        d, k = int(pdf["dim"].iloc[0]), int(pdf["centre"].iloc[0])
-        return pd.DataFrame({"dim": d, "centre": k, "salt": np.arange(salts[d, k], dtype=np.int32), "q_ids": pdf["qid"].to_numpy(np.int64).tobytes(), "q_data": b"".join(pdf["x"]), "q_reach": pdf["reach"].to_numpy(np.float64).tobytes()})
-
-    rows = queries.select("vec_id", "v", "reach").mapInPandas(look, "dim int, centre int, qid long, x binary, reach double")
-    rows = rows.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-count // QUERIES)))))
-    return rows.groupBy("dim", "centre", "qb").applyInPandas(block, "dim int, centre int, salt int, q_ids binary, q_data binary, q_reach binary")
+
+def look_within(x: np.ndarray, c: np.ndarray, k: int, radius: float, reach: np.ndarray) -> np.ndarray:
+    """Whether the centre k can hold a vector within a query's reach."""
+    size = np.sqrt((x**2).sum(1)) + np.sqrt((c**2).sum(1)).max()  # rounding of the distance to a centre
+    return np.sqrt(((x - c[k]) ** 2).sum(1)) - radius <= reach + 1e-6 * size
 
 
 def candidates(blocks: DataFrame, centres: dict[int, np.ndarray], vectors: DataFrame, queries: DataFrame, k: int, seed: int = 5, bound: float = BOUND) -> DataFrame:
     """(query_id, vec_id) of all that is to be measured: what by its bound could be among a query's k nearest."""
-    about = blocks.groupBy("dim", "centre").agg(F.max("radius").alias("r"), F.max("salts").alias("s")).collect()  # at most CENTRES rows a length
-    radius, salts = {(x.dim, x.centre): x.r for x in about}, {(x.dim, x.centre): x.s for x in about}
-    one = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("reach", F.lit(float("inf"))), "queries")
-    count = one.count()
+    radius = {(x.dim, x.centre): x.r for x in blocks.groupBy("dim", "centre").agg(F.max("radius").alias("r")).collect()}  # at most CENTRES rows a length
+    there = {d: np.array([(d, j) in radius for j in range(len(c))]) for d, c in centres.items()}
+    count = queries.select("vec_id").distinct().count()
+    blocked = lambda q: cut(query_blocks(q, count, extra="reach")[0], "queries")
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, looks = None, None
         for pdf in batches:
             for r in pdf.itertuples():
                 q_ids, x = unpack(r.q_ids, r.q_data)
-                v_ids = np.frombuffer(r.ids, np.int64)
+                if of != (r.qb, r.dim):
+                    of, looks = (r.qb, r.dim), look_first(x, centres[r.dim], there[r.dim])
+                own = looks[:, r.centre]
+                if not own.any():
+                    continue
+                q_ids, x, v_ids = q_ids[own], x[own], np.frombuffer(r.ids, np.int64)
                 near, _ = estimates(r, x, centres[r.dim][r.centre], seed, bound)
                 near[q_ids[:, None] == v_ids[None, :]] = np.inf
                 most = GUESSES * k
@@ -191,18 +182,26 @@ def candidates(blocks: DataFrame, centres: dict[int, np.ndarray], vectors: DataF
         for pdf in batches:
             for r in pdf.itertuples():
                 q_ids, x = unpack(r.q_ids, r.q_data)
-                v_ids, upto = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_reach, np.float64)
+                v_ids, upto = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_extra, np.float64)
+                own = look_within(x, centres[r.dim], r.centre, radius[r.dim, r.centre], upto)
+                if not own.any():
+                    continue
+                q_ids, x, upto = q_ids[own], x[own], upto[own]
                 _, least = estimates(r, x, centres[r.dim][r.centre], seed, bound)
                 i, j = np.nonzero(least <= (upto**2)[:, None] * (1 + 1e-9))
                 i, j = i[q_ids[i] != v_ids[j]], j[q_ids[i] != v_ids[j]]
                 yield pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[j]})
 
-    meet = lambda q, first: blocks.join(probes(q, count, centres, radius, salts, first), ["dim", "centre", "salt"])
-    found = best(meet(one, True).mapInPandas(guess, "query_id long, vec_id long, near double"), GUESSES * k, F.col("near"), F.col("vec_id"))
+    dim = max(centres, default=1)
+    heavier = BLOCK * (max(dim, WIDTH) // 8 + 24) / (QUERIES * 8 * dim)
+    codes = blocks.select("dim", "centre", "ids", "bits", "norms", "dots")
+    meet = lambda q: pairs(codes, blocked(q), max(1, -(-count // QUERIES)), partitions(queries), heavier)
+    one = queries.select("vec_id", "v").withColumn("reach", F.lit(float("inf")))
+    found = best(meet(one).mapInPandas(guess, "query_id long, vec_id long, near double"), GUESSES * k, F.col("near"), F.col("vec_id"))
     nth = best(measured(found.select("query_id", "vec_id").distinct(), vectors, queries), k, F.col("score"), F.col("vec_id"))
     reach = nth.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("nth"))  # with fewer nothing is ruled out
-    bounded = cut(one.drop("reach").join(reach, "vec_id", "left").withColumn("reach", F.coalesce("nth", F.lit(float("inf")))), "reach")
-    return meet(bounded, False).mapInPandas(keep, "query_id long, vec_id long").distinct()
+    bounded = one.drop("reach").join(reach, "vec_id", "left").withColumn("reach", F.coalesce("nth", F.lit(float("inf"))))
+    return meet(bounded).mapInPandas(keep, "query_id long, vec_id long").distinct()
 
 
 def measured(found: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
