@@ -612,3 +612,74 @@ def open_arcs(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, r: f
         found.append((i[free], first[free], s[free]))
         a = b
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+
+def edges_in_boxes(e: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """What each edge (rows xa, ya, xb, yb of directed rings) adds to the area on the sphere that its ring encloses of a box: the strip
+    between the edge, held within the box's heights, and the box's lower side."""
+    xa, ya, xb, yb = np.moveaxis(e, -1, 0)
+    left, right = np.minimum(xa, xb), np.maximum(xa, xb)
+    left, right = np.maximum(left, x1), np.minimum(right, x2)
+    rise = np.divide(yb - ya, xb - xa, out=np.zeros(np.broadcast_shapes(xa.shape)), where=xa != xb)
+    run = np.divide(xb - xa, yb - ya, out=np.zeros_like(rise), where=ya != yb)
+    right = np.maximum(left, right)
+    ends = [np.where(ya == yb, left, np.clip(xa + (y - ya) * run, left, right)) for y in (y1, y2)]
+    at = (left, np.minimum(*ends), np.maximum(*ends), right)
+    low = np.sin(np.radians(y1))
+    held = [np.sin(np.radians(np.clip(ya + (x - xa) * rise, y1, y2))) - low for x in at]
+    area = sum((at[k + 1] - at[k]) * (held[k] + held[k + 1]) for k in range(3))
+    return np.where(xb > xa, -1, 1) * np.radians(area) / 2 * RADIUS_KM**2
+
+
+def overlaps_in_block(zones: np.ndarray, layer: np.ndarray, zone_rings: list[Rings | None], layer_rings: list[Rings | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """zones, layer (rows x1, y1, x2, y2), rings where a polygon is no rectangle -> i, j, km2, share of j for all pairs whose boxes meet.
+
+    A polygon within a zone's rectangle counts whole; a polygon and a rectangle are measured edge by edge, two other polygons by clipping."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    if not len(zones) or not len(layer):
+        return none
+    rad = np.radians
+    box_km2 = lambda x1, y1, x2, y2: rad(x2 - x1) * (np.sin(rad(y2)) - np.sin(rad(y1))) * RADIUS_KM**2
+    order = np.argsort(layer[:, 1], kind="stable")
+    layer, layer_rings = layer[order], [layer_rings[k] for k in order]
+    shaped = np.array([r is not None for r in layer_rings])
+    whole = box_km2(*layer.T)
+    whole[shaped] = [area_km2(r) for r in layer_rings if r is not None]
+    steep = lambda r: (lambda e: e[e[:, 0] != e[:, 2]])(edges(directed(r)))  # noqa: E731  edges that go up or down enclose nothing
+    own = [steep(r) if r is not None else np.zeros((0, 4)) for r in layer_rings]
+    upto = np.concatenate(([0], np.cumsum([len(e) for e in own])))
+    all_edges = np.concatenate(own)
+    x1, y1, x2, y2 = layer.T
+    tall = (y2 - y1).max()
+    first, last = np.searchsorted(y1, zones[:, 1] - tall - 1e-9, "left"), np.searchsorted(y1, zones[:, 3], "right")
+    out = []
+    for i, (zx1, zy1, zx2, zy2) in enumerate(zones.tolist()):
+        part = slice(first[i], last[i])
+        hit = first[i] + np.flatnonzero((x1[part] <= zx2) & (x2[part] >= zx1) & (y2[part] >= zy1))
+        if not len(hit):
+            continue
+        km2, rings = np.zeros(len(hit)), zone_rings[i]
+        odd = shaped[hit]
+        if rings is None:
+            within = (x1[hit] >= zx1) & (x2[hit] <= zx2) & (y1[hit] >= zy1) & (y2[hit] <= zy2)
+            km2[within] = whole[hit[within]]
+            some = ~within & ~odd
+            b = layer[hit[some]]
+            wide, high = np.minimum(b[:, 2], zx2) - np.maximum(b[:, 0], zx1), np.sin(rad(np.minimum(b[:, 3], zy2))) - np.sin(rad(np.maximum(b[:, 1], zy1)))
+            km2[some] = rad(wide) * high * RADIUS_KM**2
+            some = np.flatnonzero(~within & odd)
+            n = upto[hit[some] + 1] - upto[hit[some]]
+            at = np.repeat(upto[hit[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            km2[some] = np.abs(np.bincount(np.repeat(np.arange(len(some)), n), edges_in_boxes(all_edges[at], zx1, zy1, zx2, zy2), len(some)))
+        else:
+            e, flat = steep(rings), hit[~odd]
+            rows = max(1, 1_000_000 // max(1, len(e)))
+            parts = [edges_in_boxes(e[None], *(v[flat[k : k + rows], None] for v in (x1, y1, x2, y2))).sum(1) for k in range(0, len(flat), rows)]
+            km2[~odd] = np.abs(np.concatenate(parts)) if parts else 0.0
+            if odd.any():
+                km2[odd] = overlaps_km2([rings] * int(odd.sum()), [layer_rings[k] for k in hit[odd]])
+        out.append((np.full(len(hit), i), hit, km2))
+    if not out:
+        return none
+    i, j, km2 = (np.concatenate(c) for c in zip(*out, strict=True))
+    return i, order[j], km2, np.minimum(1.0, np.divide(km2, whole[j], out=np.zeros_like(km2), where=whole[j] > 0))

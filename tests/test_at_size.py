@@ -184,3 +184,39 @@ def test_open_arcs_by_brute_force(spark):
     finally:
         K.CIRCLES_AT_ONCE = at_once
     assert sorted(("a", x[k], y[k], round(a, 7), round(b, 7)) for k, a, b in zip(i, first, last)) == sorted(w for w in want if w[0] == "a")
+
+
+def test_overlaps_in_block_equal_clipping():
+    """Rectangles and round zones over rectangles, Ls and polygons with a hole: as clipping pair by pair, without pairs of outlines."""
+    rng = np.random.default_rng(3)
+    box = lambda x1, y1, x2, y2: [(np.array([x1, x2, x2, x1, x1]), np.array([y1, y1, y2, y2, y1]))]
+    grid = [(-102 + i * 0.001, 21.7 + j * 0.0012, -102 + (i + 1) * 0.001, 21.7 + (j + 1) * 0.0012) for i in range(9) for j in range(9)]
+
+    def shape(k, x1, y1, x2, y2):
+        h, v = (x1 + x2) / 2, y1 + (y2 - y1) * 0.6
+        ell = [(np.array([x1, x2, x2, h, h, x1, x1]), np.array([y1, y1, v, v, y2, y2, y1]))]
+        return (None, ell, box(x1, y1, x2, y2) + box(h, y1 + (y2 - y1) * 0.25, h + (x2 - x1) * 0.25, v))[k % 3]
+
+    layer = [shape(k, *b) for k, b in enumerate(grid)]
+    zones, rings = [], []
+    for k in range(30):
+        x, y, r = -102 + rng.uniform(0, 0.009), 21.7 + rng.uniform(0, 0.011), rng.uniform(0.0003, 0.004)
+        t = np.linspace(0, 2 * np.pi, 97)
+        zones.append((x - r, y - r, x + r, y + r))
+        rings.append(None if k % 2 else [(x + r * np.cos(t), y + r * np.sin(t))])
+    i, j, km2, frac = K.overlaps_in_block(np.array(zones), np.array(grid), rings, layer)
+    want = K.overlaps_km2([rings[a] or box(*zones[a]) for a in i], [layer[b] or box(*grid[b]) for b in j])
+    whole = np.array([K.area_km2(layer[b] or box(*grid[b])) for b in j])
+    assert len(i) > 500 and np.abs(km2 - want).max() < 1e-12 and np.abs(frac - np.minimum(1, want / whole)).max() < 1e-9
+    assert {(a, b) for a, b, v in zip(i, j, want) if v > 1e-12} == {(a, b) for a, b, v in zip(i, j, km2) if v > 1e-12}
+
+
+def test_overlap_of_shapes_is_met_in_blocks(spark):
+    z = spark.createDataFrame([(1, 0.001, 0.001, 0.015, 0.012), (2, 0.0, 0.0, 0.03, 0.03)], "zid long, a double, b double, c double, d double").select("zid", rectangle(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("geom"))
+    ring = ([0.0, 0.02, 0.0, 0.0], [0.0, 0.0, 0.02, 0.0])
+    t = spark.createDataFrame([(7, (0.0, 0.0, 0.02, 0.02, [(0, False, *ring)]), 5.0)], f"gid long, geom {GEOMETRY}, v double")
+    d = spatial.overlap(z, t, "zid", "gid", keep=("v",))
+    assert "CoGroup" in plan(d)
+    got = {r.zid: (r.frac, r.v) for r in d.collect()}
+    want = K.overlaps_km2([[(np.array([0.001, 0.015, 0.015, 0.001, 0.001]), np.array([0.001, 0.001, 0.012, 0.012, 0.001]))]], [[tuple(map(np.array, ring))]])[0] / K.area_km2([tuple(map(np.array, ring))])
+    assert got[2] == (1.0, 5.0) and abs(got[1][0] - want) < 1e-9
